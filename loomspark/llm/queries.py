@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import query_sql
+from loomspark.llm import decontaminate, query_sql
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
 from loomspark.tables import table
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_rules(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -26,6 +30,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_mixing": op1_mixing,
+        "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
     }
 
