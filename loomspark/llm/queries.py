@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, near_dup, query_sql
+from loomspark.llm import decontaminate, line_dedup, near_dup, query_sql
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
 from loomspark.tables import table
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dup.find_groups(table(spark, sf_dir, "documents"), width=4)
     return groups.withColumn("kept", groups["doc_id"].eqNullSafe(groups["component_id"]))
@@ -35,6 +39,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_line_dedup": op4_line_dedup,
         "op7_near_dup": op7_near_dup,
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
