@@ -46,35 +46,29 @@ def word_count(text: str) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def _ln_factorial(n: Column) -> Column:
-    """Stirling's series, shifted by 8 so that it is exact to about 1e-11 from 0 on."""
-    z = n + 9.0
-    shift = reduce(lambda a, b: a * b, [n + float(k) for k in range(1, 9)])
-    return (z - 0.5) * F.ln(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) - F.ln(shift)
-
-
 def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
-    """Inverse of the hypergeometric law at u, for long columns and u in [0, 1)."""
-    d = {k: v.cast("double") for k, v in (("N", total), ("K", good), ("n", drawn))}
-    low, high = F.greatest(F.lit(0), drawn + good - total), F.least(good, drawn)
-    mean = d["n"] * d["K"] / d["N"]
-    spread = 10 * F.sqrt(F.greatest(mean * (1 - d["K"] / d["N"]) * (d["N"] - d["n"]) / F.greatest(d["N"] - 1, F.lit(1.0)), F.lit(0.0))) + 10
-    first = F.greatest(low, F.floor(mean - spread))
-    last = F.least(high, F.ceil(mean + spread))
-    x = first.cast("double")
-    start = F.exp(
-        _ln_factorial(d["K"]) - _ln_factorial(x) - _ln_factorial(d["K"] - x)
-        + _ln_factorial(d["N"] - d["K"]) - _ln_factorial(d["n"] - x) - _ln_factorial(d["N"] - d["K"] - d["n"] + x)
-        - _ln_factorial(d["N"]) + _ln_factorial(d["n"]) + _ln_factorial(d["N"] - d["n"])
-    )
-
-    def step(s: Column, k: Column) -> Column:
+    """Inverse of the hypergeometric law at u in [0, 1), for long columns.
+
+    Weights relative to the first value follow from the ratio of neighbours; ten standard deviations
+    to either side hold all of the law that doubles can tell from zero.
+    """
+    big, k, n = (c.cast("double") for c in (total, good, drawn))
+    mean = n * k / big
+    spread = 10 * F.sqrt(mean * (1 - k / big) * (big - n) / big) + 10
+    first = F.greatest(F.lit(0), drawn + good - total, F.floor(mean - spread))
+    last = F.least(good, drawn, F.ceil(mean + spread))
+
+    def step(s: Column, x: Column, limit: Column | None = None) -> Column:
         c = s["c"] + s["p"]
-        ratio = (d["K"] - k) * (d["n"] - k) / ((k + 1) * (d["N"] - d["K"] - d["n"] + k + 1))
-        return F.struct((s["p"] * ratio).alias("p"), c.alias("c"), F.when((s["x"] < 0) & (c >= u), k).otherwise(s["x"]).alias("x"))
+        ratio = (k - x) * (n - x) / ((x + 1) * (big - k - n + x + 1))
+        hit = s["x"] if limit is None else F.when((s["x"] < 0) & (c >= limit), x).otherwise(s["x"])
+        return F.struct((s["p"] * ratio).alias("p"), c.alias("c"), hit.alias("x"))
 
-    found = F.aggregate(F.sequence(first, last), F.struct(start.alias("p"), F.lit(0.0).alias("c"), F.lit(-1).cast("long").alias("x")), step)["x"]
-    return F.when((total <= 0) | (drawn <= 0) | (good <= 0), F.lit(0).cast("long")).otherwise(F.when(found < 0, last).otherwise(found))
+    zero = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("c"), F.lit(-1).cast("long").alias("x"))
+    whole = F.aggregate(F.sequence(first, last), zero, lambda s, x: step(s, x))["c"]
+    at = lambda w: F.aggregate(F.sequence(first, last), zero, lambda s, x: step(s, x, u * w))["x"]
+    found = F.element_at(F.transform(F.array(whole), at), 1)
+    return F.when((total <= 0) | (drawn <= 0) | (good <= 0), F.lit(0).cast("long")).when(found < 0, last).otherwise(found)
 
 
 def _uniform(*keys: Column) -> Column:
@@ -101,7 +95,7 @@ def split_tree(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
         node = node.select("shard", "q", F.aggregate("q", first, draw)["left"].alias("l"))
         right = F.zip_with("q", "l", lambda a, b: a - b)
         both = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("l").alias("q")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("q")))
-        node = node.select(F.explode(both).alias("x")).select("x.shard", "x.q")
+        node = materialize(node.select(F.explode(both).alias("x")).select("x.shard", "x.q"), "mix-tree")
     return node.select("shard", F.posexplode("q").alias("pos", "part")).select("shard", (F.col("pos") + 1).alias("rank"), "part")
 
 
