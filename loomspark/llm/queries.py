@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import decontaminate, line_dedup, near_dup, query_sql
+from loomspark.llm.html_text import extract_pages
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
 from loomspark.tables import table
@@ -36,6 +37,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_mixing": op1_mixing,
@@ -43,6 +48,7 @@ def queries() -> dict[str, QueryFn]:
         "op7_near_dup": op7_near_dup,
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
+        "op10_html_text": op10_html_text,
     }
 
 
