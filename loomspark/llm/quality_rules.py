@@ -134,4 +134,7 @@ def score_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return score_rules(docs).where("_q.kept").select(*[docs[c] for c in docs.columns])
+    # A filter would be pushed below the projections and repeat their expressions; an exploded flag is not.
+    one, none = F.array(F.lit(True)), F.array().cast("array<boolean>")
+    flagged = score_rules(docs).select(*docs.columns, F.explode(F.when(F.col("_q.kept"), one).otherwise(none)).alias("_kept"))
+    return flagged.drop("_kept")
