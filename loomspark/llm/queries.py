@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, line_dedup, near_dup, quality_score, query_sql
+from loomspark.llm import decontaminate, line_dedup, near_dup, pii, quality_score, query_sql
 from loomspark.llm.html_text import extract_pages
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
@@ -28,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dup.find_groups(table(spark, sf_dir, "documents"), width=4)
     return groups.withColumn("kept", groups["doc_id"].eqNullSafe(groups["component_id"]))
@@ -51,6 +55,7 @@ def queries() -> dict[str, QueryFn]:
         "op1_mixing": op1_mixing,
         "op3_quality_score": op3_quality_score,
         "op4_line_dedup": op4_line_dedup,
+        "op6_pii": op6_pii,
         "op7_near_dup": op7_near_dup,
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
