@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import decontaminate, line_dedup, near_dup, pii, quality_score, query_sql
+from loomspark.llm import decontaminate, line_dedup, near_dup, pii, quality_score, query_sql, substring_dedup
 from loomspark.llm.html_text import extract_pages
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_score.score_documents(docs, quality_score.fit_labels(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_score": op3_quality_score,
         "op4_line_dedup": op4_line_dedup,
         "op6_pii": op6_pii,
