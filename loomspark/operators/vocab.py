@@ -1,10 +1,19 @@
-"""Vocabulary statistics: counts that the four vocabulary trainers are built from."""
+"""Vocabulary training: counts, and the BPE, WordPiece, Unigram and SentencePiece-like trainers.
+
+Every step is a grouped count over the lines of the corpus; the driver only holds the merges found.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import materialize
+
+BYTE_TOKENS = 256
+OPEN, CLOSE = "", ""  # private-use marks around a token
+WORD_MARK = "▁"
+
 
 def lines(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row per line of each text."""
@@ -17,6 +26,15 @@ def char_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return chars.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
 
+def char_vocabulary(texts: DataFrame, min_frequency: int = 2, keep_bytes: bool = True, text: str = "text") -> DataFrame:
+    """Characters frequent enough, and the byte tokens ``<0xNN>`` at count 0."""
+    chars = char_counts(texts, text).where(F.col("n") >= min_frequency)
+    if not keep_bytes:
+        return chars
+    numbers = texts.sparkSession.range(BYTE_TOKENS)
+    return chars.unionByName(numbers.select(F.format_string("<0x%02X>", "id").alias("token"), F.lit(0).cast("long").alias("n")))
+
+
 def pair_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each pair of adjacent characters inside a line."""
     t = F.col(text)
@@ -29,3 +47,66 @@ def top_k(counts: DataFrame, k: int, by: str = "n") -> DataFrame:
     """The k largest counts, ties by the remaining columns in order."""
     rest = [c for c in counts.columns if c != by]
     return counts.orderBy(F.col(by).desc(), *rest).limit(k)
+
+
+def _wrapped(text: Column) -> Column:
+    """Every character between marks, so that a literal replacement of two neighbours merges from left to right."""
+    return F.regexp_replace(text, "([\\s\\S])", f"{OPEN}$1{CLOSE}")
+
+
+def _wrapped_pairs(rows: DataFrame) -> DataFrame:
+    tokens = F.split(F.rtrim(F.ltrim(F.col("w"), F.lit(OPEN)), F.lit(CLOSE)), CLOSE + OPEN)
+    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("left_token"), F.get(tokens, i + 1).alias("right_token")))
+    return rows.where("w <> ''").select("m", F.explode(pairs).alias("p")).groupBy("p.left_token", "p.right_token").agg(F.sum("m").alias("n"))
+
+
+def train_bpe(texts: DataFrame, n_merges: int, text: str = "text", cut_every: int = 8) -> DataFrame:
+    """(rank, left_token, right_token, n): the merges learned, ties by the smaller pair.
+
+    Equal words are counted once: merges never cross the line, so lines are the unit and equal lines share a row.
+    """
+    rows = lines(texts, text).groupBy(text).agg(F.count("*").alias("m")).select("m", _wrapped(F.col(text)).alias("w"))
+    rows = materialize(rows, "bpe-lines")
+    found = []
+    for rank in range(n_merges):
+        top = _wrapped_pairs(rows).orderBy(F.col("n").desc(), "left_token", "right_token").first()
+        if top is None:
+            break
+        found.append((rank, top.left_token, top.right_token, top.n))
+        rows = rows.withColumn("w", F.replace("w", F.lit(f"{OPEN}{top.left_token}{CLOSE}{OPEN}{top.right_token}{CLOSE}"), F.lit(f"{OPEN}{top.left_token}{top.right_token}{CLOSE}")))
+        if rank % cut_every == cut_every - 1:
+            rows = materialize(rows, "bpe-lines")
+    return texts.sparkSession.createDataFrame(found, "rank int, left_token string, right_token string, n long")
+
+
+def wordpiece_scores(texts: DataFrame, text: str = "text") -> DataFrame:
+    """score = count(ab) / (count(a) * count(b)) for adjacent characters of words."""
+    words = texts.select(F.explode(F.split(F.trim(F.col(text)), "\\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("m"))
+    chars = words.select("m", F.explode(F.split("w", "")).alias("token")).where("token <> ''").groupBy("token").agg(F.sum("m").alias("n"))
+    w = F.col("w")
+    both = F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: w.substr(i, F.lit(2))))
+    pairs = words.select("m", F.explode(both).alias("pair")).groupBy("pair").agg(F.sum("m").alias("n"))
+    left = chars.select(F.col("token").alias("left_token"), F.col("n").alias("n_left"))
+    right = chars.select(F.col("token").alias("right_token"), F.col("n").alias("n_right"))
+    named = pairs.select(F.substring("pair", 1, 1).alias("left_token"), F.substring("pair", 2, 1).alias("right_token"), "n")
+    scored = named.join(left, "left_token").join(right, "right_token")
+    return scored.select("left_token", "right_token", "n", (F.col("n") / (F.col("n_left") * F.col("n_right"))).alias("score"))
+
+
+def substring_counts(texts: DataFrame, longest: int, text: str = "text") -> DataFrame:
+    """Occurrences of every substring of 1 to `longest` characters inside lines."""
+    t = F.col(text)
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(t) - i + 1)), lambda n: t.substr(i, n))
+    every = F.when(F.length(t) >= 1, F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), at)))
+    # Equal lines are cut up once.
+    rows = lines(texts, text).groupBy(text).agg(F.count("*").alias("m"))
+    return rows.select("m", F.explode(every).alias("token")).groupBy("token").agg(F.sum("m").alias("n"))
+
+
+def train_unigram(texts: DataFrame, size: int, longest: int = 10, text: str = "text") -> DataFrame:
+    return top_k(substring_counts(texts, longest, text), size)
+
+
+def train_sentencepiece(texts: DataFrame, size: int, longest: int = 16, text: str = "text") -> DataFrame:
+    marked = texts.select(F.concat(F.lit(WORD_MARK), F.replace(F.col(text), F.lit(" "), F.lit(" " + WORD_MARK))).alias(text))
+    return top_k(substring_counts(marked, longest, text), size)
