@@ -10,9 +10,10 @@ least 2 ** -17 of all tokens, so it has at most 2 ** 17 rows whatever the input.
 similarity 0.8 share a token within the first n // 5 + 1 of each. Tokens that are very frequent make
 poor keys: there pairs of them within the first n // 5 + 2 are the keys instead, which two similar
 lines share too. Lines meet by key; within a key, lines with equal sets fall together (all but the
-first are removed), and the length and positional filters leave candidate pairs, which are verified
-on the words themselves. Where more than ``LARGE`` different lines meet at a key, pairs are not
-emitted: the lines themselves are gathered by key and searched there, each until an earlier match.
+first are removed), and the length and positional filters and a bound from 128-bit parity bitmaps
+(the sets differ in at least as many tokens as the bitmaps in bits) leave candidate pairs, which are
+verified on the words themselves. Where more than ``DENSE`` pairs for each line are left at a key, they
+are not emitted: the lines themselves are gathered by key and searched there, each until an earlier match.
 
 Keys travel as packed arrays in hash buckets, a row for each task and bucket.
 
@@ -30,16 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.near_dup import chunks
+from loomspark.llm.near_dup import TEXT_ROWS, chunks
 from loomspark.llm.words import RangeHash, mix64, word_ranges
-from loomspark.session import materialize, shuffle_width
+from loomspark.session import arrow_batches, materialize, shuffle_width
 
 MIN_TOKENS = 5
-LARGE = 32
+SMALL = 32
+DENSE = 8
+BLOCK = 128
+PIECE = 1 << 20
 RANKED_SHARE = 17
-HOT_SHARE = 12
+HOT_SHARE = 17
+COUNT_TOKENS = 1 << 20
 SLOTS = 1 << 20
-FLUSH_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 18
 BROADCAST_ROWS = 200_000
 TOKEN_BITS = np.uint64(44)
 TOKEN_MASK = np.uint64((1 << 44) - 1)
@@ -55,23 +60,35 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     text_of = np.searchsorted(ends, breaks)
     first = np.searchsorted(breaks, np.concatenate(([-1], ends[:-1])), side="right")
     number = np.arange(len(breaks)) - first[text_of]
-    return RangeHash(data).ranges(start, end), np.searchsorted(breaks, start), text_of, number
+    return RangeHash(data, two=False).ranges(start, end), np.searchsorted(breaks, start), text_of, number
 
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: hashes and counts of tokens that may be frequent, and the number of tokens under hash 0."""
-    total, held, counts, seen = 0, np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    held, counts, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+
+    def merge(parts: list[np.ndarray]) -> None:
+        nonlocal held, counts, total
+        token, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (held[:0], counts[:0])
+        total += int(n.sum())
+        both, c = np.concatenate((held, token)), np.concatenate((counts, n))
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
+        c = np.add.reduceat(c[order], first) if len(first) else c
+        # What is rarer than a quarter of the least share so far cannot be called frequent here.
+        keep = c > total >> (RANKED_SHARE + 2)
+        held, counts = both[first][keep], c[keep]
+
+    parts: list[np.ndarray] = []
     for batch in batches:
-        for _, piece in chunks(batch.column(0).to_pylist()):
-            token = _tokens(piece)[0]
-            seen += len(token)
-            h, n = np.unique(np.concatenate((held, token)), return_inverse=True)
-            c = np.bincount(n, np.concatenate((counts, np.ones(len(token), np.int64))), len(h)).astype(np.int64)
-            total += len(token)
-            # What is rarer than a quarter of the least share so far cannot be called frequent here.
-            keep = c > total >> (RANKED_SHARE + 2)
-            held, counts = h[keep], c[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(held.view(np.int64), 0)), pa.array(np.append(counts, seen))], names=["h", "c"])
+        for _, piece in chunks(batch.column(0).to_pylist(), PIECE):
+            parts.append(_tokens(piece)[0])
+            if sum(map(len, parts)) >= COUNT_TOKENS:
+                merge(parts)
+                parts = []
+    merge(parts)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held.view(np.int64), 0)), pa.array(np.append(counts, total))], names=["h", "c"])
 
 
 def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +118,9 @@ def line_keys(token: np.ndarray, line: np.ndarray, table: tuple[np.ndarray, np.n
     group = np.repeat(np.arange(len(first)), n)
     pos = np.arange(len(at)) - first[group] if len(at) else np.empty(0, np.int64)
     name = np.add.reduceat(mix64(ident), first) if len(first) else np.empty(0, np.uint64)
+    bit = mix64(ident) & np.uint64(127)
+    one, zero = np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)
+    parity = [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == np.uint64(k), one, zero), first) if len(first) else np.empty(0, np.uint64) for k in (0, 1)]
     size = n[group] if len(at) else np.empty(0, np.int64)
     prefix = size // 5 + 1
     hot = (ident > RARE_MASK) & ((ident & RARE_MASK) >= np.uint64(1 << 18))
@@ -119,10 +139,10 @@ def line_keys(token: np.ndarray, line: np.ndarray, table: tuple[np.ndarray, np.n
         rows.append(group[a])
         places.append(pos[a])
         step += 1
-    return {"key": np.concatenate(keys), "row": np.concatenate(rows), "pos": np.concatenate(places), "line": at[first] if len(first) else at, "n": n, "name": name}
+    return {"key": np.concatenate(keys), "row": np.concatenate(rows), "pos": np.concatenate(places), "line": at[first] if len(first) else at, "n": n, "name": name, "bits": parity[0], "more": parity[1]}
 
 
-COLUMNS = (("key", np.uint64), ("name", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.uint16))
+COLUMNS = (("key", np.uint64), ("name", np.uint64), ("bits", np.uint64), ("more", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.uint16))
 
 
 def _emit_keys(table, buckets: int):
@@ -142,11 +162,11 @@ def _emit_keys(table, buckets: int):
         held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, piece in chunks(batch.column(1).to_pylist()):
+            for first, piece in chunks(batch.column(1).to_pylist(), PIECE):
                 token, line, text_of, number = _tokens(piece)
                 k = line_keys(token, line, (keys, ranks))
                 r, at = k["row"], k["line"]
-                held.append({"key": k["key"], "name": k["name"][r], "doc": ids[first + text_of[at[r]]], "line": number[at[r]], "n": k["n"][r], "pos": np.minimum(k["pos"], 65535)})
+                held.append({"key": k["key"], "name": k["name"][r], "bits": k["bits"][r], "more": k["more"][r], "doc": ids[first + text_of[at[r]]], "line": number[at[r]], "n": k["n"][r], "pos": np.minimum(k["pos"], 65535)})
                 size += len(r)
                 if size >= FLUSH_KEYS:
                     yield from flush(held)
@@ -186,22 +206,43 @@ def _meet(packed: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate(([True], c["key"][1:] != c["key"][:-1])))
         size = np.diff(np.append(first, len(c["key"])))
         group = np.repeat(np.arange(len(first)), size)
-        big = size[group] > LARGE
-        add(MEMBER, c["key"][big], c["doc"][big], c["line"][big], c["doc"][big], c["line"][big])
-        n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
-        for step in range(1, LARGE):
-            a = np.flatnonzero((size[group] > step) & ~big)
+        n, pos, bits, more = c["n"].astype(np.int64), c["pos"].astype(np.int64), c["bits"], c["more"]
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Which pairs of rows pass the length, bitmap and positional filters."""
+            both = n[a] + n[b]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b])
+            shared = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
+            return (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * (both - apart) >= 8 * both) & (9 * shared >= 4 * both)
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            add(PAIR, c["key"][a], c["doc"][a], c["line"][a], c["doc"][b], c["line"][b])
+
+        for step in range(1, SMALL):
+            a = np.flatnonzero((size[group] > step) & (size[group] <= SMALL))
             a = a[a + step < len(group)]
             a = a[group[a] == group[a + step]]
             if not len(a):
                 break
-            b = a + step
-            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            reach = 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)
-            # Tokens ahead of the key could agree only under a key of their own, where the pair also meets.
-            ok = (5 * lo >= 4 * hi) & (9 * (reach + np.minimum(pos[a], pos[b])) >= 4 * (n[a] + n[b]))
-            a, b = a[ok], b[ok]
-            add(PAIR, c["key"][a], c["doc"][a], c["line"][a], c["doc"][b], c["line"][b])
+            a = a[near(a, a + step)]
+            keep(a, a + step)
+        for g in np.flatnonzero(size > SMALL):
+            rows = np.arange(first[g], first[g] + size[g])
+            found, total = [], 0
+            for lo in range(0, len(rows), BLOCK):
+                a, b = (x.ravel() for x in np.meshgrid(rows[: lo + BLOCK], rows[lo : lo + BLOCK]))
+                a, b = a[a < b], b[a < b]
+                ok = near(a, b)
+                found.append((a[ok], b[ok]))
+                total += int(ok.sum())
+                if total > DENSE * len(rows):
+                    break
+            if total > DENSE * len(rows):
+                keep(rows[:1].repeat(len(rows) - 1), rows[1:])
+                add(MEMBER, c["key"][rows], c["doc"][rows], c["line"][rows], c["doc"][rows], c["line"][rows])
+            else:
+                for a, b in found:
+                    keep(a, b)
     if not out:
         return MEET.empty_table()
     return pa.Table.from_arrays([pa.array(np.concatenate([o[i] for o in out]), f.type) for i, f in enumerate(MEET)], schema=MEET)
@@ -242,7 +283,7 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _search_group(rows: pa.Table) -> pa.Table:
     """Lines that meet at one key, in order: each looks for an earlier similar one among those that share a prefix token."""
     rows = rows.sort_by([("doc", "ascending"), ("line", "ascending")])
-    docs, lines, texts = (rows.column(n).to_pylist() for n in ("doc", "line", "words"))
+    docs, lines, texts, seeks = (rows.column(n).to_pylist() for n in ("doc", "line", "words", "seeks"))
     sets = [word_set(t) for t in texts]
     freq: dict[bytes, int] = {}
     for s in sets:
@@ -254,7 +295,7 @@ def _search_group(rows: pa.Table) -> pa.Table:
         prefix = sorted(s, key=lambda w: (freq[w], w))[: len(s) // 5 + 1]
         tried: set[int] = set()
         found = False
-        for w in prefix:
+        for w in prefix if seeks[i] else ():
             for j in index.get(w, ()):
                 if j not in tried and (docs[j], lines[j]) != (docs[i], lines[i]):
                     tried.add(j)
@@ -278,11 +319,16 @@ def _join_docs(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(_id, lines): numbers from 0 of the removed lines of each document that has some."""
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        return _removed_lines(docs)
+
+
+def _removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spark.sparkContext.broadcast(frequent_tokens(plain))
     buckets = 4 * shuffle_width(spark)
-    packed = plain.mapInArrow(_emit_keys(table, buckets), "bucket int, key binary, name binary, doc binary, line binary, n binary, pos binary")
+    packed = plain.mapInArrow(_emit_keys(table, buckets), "bucket int, key binary, name binary, bits binary, more binary, doc binary, line binary, n binary, pos binary")
     met = materialize(packed.groupBy("bucket").applyInArrow(_meet, "kind byte, key long, doc_a long, line_a int, doc_b long, line_b int"), "line-meet")
     exact = met.where(F.col("kind") == REMOVED).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct()
     gone = exact.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"))
@@ -293,9 +339,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     asked = materialize(ask.groupBy(F.col("doc").alias("_id")).agg(F.collect_set("line").alias("wanted")), "line-asked")
     found = materialize(_join_docs(plain, asked, "inner").select("doc_id", "text", "wanted").mapInArrow(_pick_lines, "doc long, line int, words string").distinct(), "line-texts")
     side = lambda s: found.select(F.col("doc").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"), F.col("words").alias(s))
-    both = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"]).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), "a", "b")
-    verified = both.mapInArrow(_verify_pairs, "doc long, line int")
-    searched = members.join(found, ["doc", "line"]).groupBy("key").applyInArrow(_search_group, "doc long, line int")
+
+    def verify(some: DataFrame) -> DataFrame:
+        both = some.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"]).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), "a", "b")
+        return materialize(both.mapInArrow(_verify_pairs, "doc long, line int").distinct(), "line-verified")
+
+    # Most lines match the earliest candidate; only the others try the rest of theirs.
+    earliest = pairs.groupBy("doc_b", "line_b").agg(F.min(F.struct("doc_a", "line_a")).alias("a"), F.count("*").alias("m"))
+    earliest = materialize(earliest.select("a.*", "doc_b", "line_b", "m"), "line-first")
+    verified = verify(earliest.drop("m"))
+    more = earliest.where("m > 1").select("doc_b", "line_b", F.col("doc_a").alias("fa"), F.col("line_a").alias("la"))
+    more = more.join(verified.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b")), ["doc_b", "line_b"], "left_anti")
+    rest = pairs.join(more, ["doc_b", "line_b"]).where("doc_a <> fa OR line_a <> la").select("doc_a", "line_a", "doc_b", "line_b")
+    verified = verified.unionByName(verify(rest))
+    done = verified.select("doc", "line", F.lit(False).alias("seeks"))
+    seekers = members.join(done, ["doc", "line"], "left").select("key", "doc", "line", F.coalesce("seeks", F.lit(True)).alias("seeks"))
+    open_keys = seekers.where("seeks").select("key").distinct()
+    gathered = seekers.join(open_keys, "key", "left_semi").join(found, ["doc", "line"])
+    searched = gathered.groupBy("key").applyInArrow(_search_group, "doc long, line int")
     every = exact.unionByName(verified).unionByName(searched).distinct()
     return materialize(every.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-removed")
 
