@@ -55,9 +55,11 @@ def _wrapped(text: Column) -> Column:
 
 
 def _wrapped_pairs(rows: DataFrame) -> DataFrame:
-    tokens = F.split(F.rtrim(F.ltrim(F.col("w"), F.lit(OPEN)), F.lit(CLOSE)), CLOSE + OPEN)
-    pairs = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("left_token"), F.get(tokens, i + 1).alias("right_token")))
-    return rows.where("w <> ''").select("m", F.explode(pairs).alias("p")).groupBy("p.left_token", "p.right_token").agg(F.sum("m").alias("n"))
+    cut = F.split(F.rtrim(F.ltrim(F.col("w"), F.lit(OPEN)), F.lit(CLOSE)), CLOSE + OPEN)
+    # Bound to a column of its own: inside the lambda the split would be repeated for every token.
+    bound = rows.where("w <> ''").select("m", cut.alias("t"))
+    pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda x, y: F.struct(x.alias("left_token"), y.alias("right_token")))
+    return bound.where(F.size("t") > 1).select("m", F.explode(pairs).alias("p")).groupBy("p.left_token", "p.right_token").agg(F.sum("m").alias("n"))
 
 
 def train_bpe(texts: DataFrame, n_merges: int, text: str = "text", cut_every: int = 8) -> DataFrame:

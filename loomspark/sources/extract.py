@@ -41,7 +41,7 @@ def is_extractable(kind: T.DataType) -> bool:
 def plain_number(value: Column) -> Column:
     """A double as shortest decimal digits: no exponent, no trailing ``.0``."""
     text = value.cast("string")
-    mantissa, exponent = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).cast("int")
+    mantissa, exponent = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
     sign = F.when(mantissa.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     bare = F.ltrim(mantissa, F.lit("-"))
     whole, fraction = F.split_part(bare, F.lit("."), F.lit(1)), F.split_part(bare, F.lit("."), F.lit(2))
