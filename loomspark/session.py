@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The cluster's own shuffle parallelism."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch while the block runs its jobs: rows that hold whole texts need small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
