@@ -10,9 +10,9 @@ from loomspark.catalog import Catalog
 @lru_cache(maxsize=1)
 def core_catalog() -> Catalog:
     """All queries of the core library (the optional subpackages register their own)."""
-    from loomspark.plans import corpus, packing
+    from loomspark.plans import corpus, packing, tracking, training
 
     catalog = Catalog()
-    for module in (corpus, packing):
+    for module in (corpus, packing, tracking, training):
         module.register(catalog)
     return catalog
