@@ -30,19 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.words import RangeHash
-from loomspark.session import materialize, shuffle_width
+from loomspark.session import arrow_batches, materialize, shuffle_width
 
 SPAN = 100
 KGRAM = 32
 REACH = SPAN - KGRAM
 PIECE = 1 << 20
+TEXT_ROWS = 1000
 MARGIN = 256
 FLUSH = 1 << 19
-BROADCAST_ROWS = 200_000
 MARK = 255
+# Bytes to the left and right of an anchor: every window of SPAN bytes around it holds one of these stretches.
+STRETCHES = ((51, 0), (34, 17), (17, 34), (0, 51))
 EMPTY = hashlib.sha256(b"").hexdigest()
 
-COLUMNS = (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("pos", np.int64), ("left", np.uint8), ("right", np.uint8))
+COLUMNS = (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("pos", np.int64), ("left", np.uint8), ("right", np.uint8), *((f"k{i}", np.uint32) for i in range(4)))
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -106,7 +108,13 @@ def find_anchors(parts: list[tuple[int, int, int, bytes]]) -> dict[str, np.ndarr
     where, pos, left, right, part = where[ok], pos[ok], left[ok], right[ok], part[ok]
     context = hashes.ranges(where - left, where + KGRAM + right) + left.astype(np.uint64)
     docs = np.array([p[0] for p in parts], np.int64)[part]
-    return {"h": h[where], "c": context, "doc": docs, "pos": pos, "left": left.astype(np.uint8), "right": right.astype(np.uint8)}
+    out = {"h": h[where], "c": context, "doc": docs, "pos": pos, "left": left.astype(np.uint8), "right": right.astype(np.uint8)}
+    for i, (before, after) in enumerate(STRETCHES):
+        whole = (left >= before) & (right >= after)
+        at = where[whole]
+        out[f"k{i}"] = np.zeros(len(where), np.uint32)  # 0: the stretch is cut off
+        out[f"k{i}"][whole] = hashes.ranges(at - before, at + KGRAM + after).astype(np.uint32) | np.uint32(1)
+    return out
 
 
 def _union(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +154,7 @@ def _emit(buckets: int):
     def flush(held: list[dict]) -> Iterator[pa.RecordBatch]:
         c, (doc, start, end) = _first_of_class({k: np.concatenate([x[k] for x in held]) for k, _ in COLUMNS})
         full = lambda v: np.full(len(doc), v, np.uint8)
-        marks = {"h": start.astype(np.uint64), "c": end.astype(np.uint64), "doc": doc, "pos": start, "left": full(MARK), "right": full(0)}
+        marks = {"h": start.astype(np.uint64), "c": end.astype(np.uint64), "doc": doc, "pos": start, "left": full(MARK), "right": full(0)} | {f"k{i}": np.zeros(len(doc), np.uint32) for i in range(len(STRETCHES))}
         bucket = np.concatenate(((c["h"] >> np.uint64(1)) % np.uint64(buckets), doc.astype(np.uint64) % np.uint64(buckets))).astype(np.int32)
         c = {k: np.concatenate((c[k], marks[k])).astype(t) for k, t in COLUMNS}
         order = np.argsort(bucket, kind="stable")
@@ -182,7 +190,15 @@ def _meet(packed: pa.Table) -> pa.Table:
     c, spans = _first_of_class({k: v[~mark] for k, v in c.items()})
     doc, start, end = _union(*(np.concatenate(x) for x in zip(known, spans, strict=True)))
     h = c["h"]
-    several = np.concatenate(([False], h[1:] == h[:-1])) | np.concatenate((h[1:] == h[:-1], [False])) if len(h) else np.empty(0, bool)
+    several = np.zeros(len(h), bool)
+    multi = np.flatnonzero(np.concatenate(([False], h[1:] == h[:-1])) | np.concatenate((h[1:] == h[:-1], [False]))) if len(h) else np.empty(0, np.int64)
+    for i in range(len(STRETCHES)):
+        # Only occurrences that share a stretch with another can share a window with it.
+        rows = multi[c[f"k{i}"][multi] > 0]
+        rows = rows[np.lexsort((c[f"k{i}"][rows], h[rows]))]
+        if len(rows):
+            same = (h[rows][1:] == h[rows][:-1]) & (c[f"k{i}"][rows][1:] == c[f"k{i}"][rows][:-1])
+            several[rows[np.concatenate(([False], same)) | np.concatenate((same, [False]))]] = True
     left, right = c["left"].astype(np.int64)[several], c["right"].astype(np.int64)[several]
     pos = c["pos"][several]
     cols = [np.concatenate((doc, c["doc"][several])), np.concatenate((start, pos - left)), np.concatenate((end, pos + KGRAM + right)), np.concatenate((np.zeros(len(doc), np.int64), h[several].view(np.int64)))]
@@ -206,7 +222,7 @@ def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     key = (wide[:-4] << np.uint64(48)) | (wide[1:-3] << np.uint64(32)) | (wide[2:-2] << np.uint64(16)) | wide[3:-1]
     levels, length = [], 4
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranks = np.empty(n, np.int64)
         ranks[order] = np.cumsum(np.concatenate(([0], (key[order][1:] != key[order][:-1]).astype(np.int64))))
         levels.append((length, ranks.astype(np.int32)))
@@ -289,10 +305,51 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     return [(length, sorted((int(owner[r]), int(offset[r])) for r in range(lo, hi + 1))) for length, lo, hi, _ in scan_intervals(lcp, place, left, least)]
 
 
+def _join_stretches(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    out: list[list] = []
+    for i in np.lexsort((start, doc)).tolist():
+        d, s, c = int(doc[i]), int(start[i]), contexts[i]
+        if out and out[-1][0] == d and s <= out[-1][1] + len(out[-1][2]):
+            out[-1][2] = out[-1][2] + c[max(0, out[-1][1] + len(out[-1][2]) - s) :]
+        else:
+            out.append([d, s, c])
+    return [o[2] for o in out], np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
+
+
+def _trim(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Contexts cut to the stretch whose windows occur at more than one place, without those that have none."""
+    flat = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts])
+    begins = np.cumsum(sizes) - sizes
+    n = np.maximum(sizes - SPAN + 1, 0)
+    owner = np.repeat(np.arange(len(contexts)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = begins[owner] + offset
+    h = RangeHash(flat).ranges(at, at + SPAN)
+    # A window that two contexts of a document share is one place.
+    order = np.argsort(h)
+    h, w = h[order], order
+    d, p = doc[owner[w]], start[owner[w]] + offset[w]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    other = (d != d[first[group]]) | (p != p[first[group]])
+    many = np.zeros(len(first), bool)
+    many[group[other]] = True
+    hit = w[many[group]]
+    lo, hi = np.full(len(contexts), 1 << 40), np.full(len(contexts), -1)
+    np.minimum.at(lo, owner[hit], offset[hit])
+    np.maximum.at(hi, owner[hit], offset[hit])
+    keep = np.flatnonzero(hi >= 0)
+    return [contexts[i][lo[i] : hi[i] + SPAN] for i in keep], doc[keep], start[keep] + lo[keep]
+
+
 def _search_contexts(rows: pa.Table) -> pa.Table:
     """Spans that repeat among the contexts of one bucket."""
-    contexts = rows.column("context").to_pylist()
-    doc, start = rows.column("doc").to_numpy(), rows.column("start").to_numpy()
+    contexts, doc, start = _trim(rows.column("context").to_pylist(), rows.column("doc").to_numpy(), rows.column("start").to_numpy())
+    if not contexts:
+        return pa.table({n: pa.array([], pa.int64()) for n in ("doc", "start", "end")})
+    # Contexts of one document that overlap are one stretch.
+    contexts, doc, start = _join_stretches(contexts, doc, start)
     order, lcp, owner, offset = suffix_array(contexts)
     d, p = doc[owner], start[owner] + offset
     rank = np.lexsort((p, d))
@@ -347,18 +404,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _checked(side: DataFrame) -> DataFrame:
-    """A materialised side, broadcast only if its counted rows are few."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, start, end) byte spans to remove from documents (doc_id, text) that hold no whole-text copies; spans may overlap."""
     buckets = 4 * shuffle_width(docs.sparkSession)
-    packed = docs.select("doc_id", "text").mapInArrow(_emit(buckets), "bucket int, h binary, c binary, doc binary, pos binary, left binary, right binary")
+    packed = docs.select("doc_id", "text").mapInArrow(_emit(buckets), "bucket int, h binary, c binary, doc binary, pos binary, left binary, right binary, k0 binary, k1 binary, k2 binary, k3 binary")
     met = materialize(packed.groupBy("bucket").applyInArrow(_meet, "doc long, start long, end long, h long"), "span-meet")
     asked = materialize(met.where("h <> 0").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("h", "start", "end")).alias("wanted")), "span-asked")
-    rows = docs.join(_checked(asked), docs["doc_id"] == asked["_id"]).select("doc_id", "text", "wanted")
+    rows = docs.join(asked, docs["doc_id"] == asked["_id"]).select("doc_id", "text", "wanted")
     contexts = rows.mapInArrow(_fetch, "h long, doc long, start long, context binary")
     searched = contexts.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(_search_contexts, "doc long, start long, end long")
     return met.where("h = 0").select("doc", "start", "end").unionByName(searched)
@@ -373,9 +425,10 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     alone = facts.where("NOT copy AND rep IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     copies = materialize(facts.where("copy").select(F.col("doc_id").alias("_id")).distinct().join(alone, "_id", "left_anti"), "span-copies")
     long = docs.where(F.col("doc_id").isNotNull())
-    single = long.join(_checked(copies), F.col("doc_id") == F.col("_id"), "left_anti")
-    spans = materialize(repeated_spans(single).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "span-marks")
-    cut = docs.join(_checked(spans), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans").mapInArrow(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string").distinct()
+    single = long.join(copies, F.col("doc_id") == F.col("_id"), "left_anti")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        spans = materialize(repeated_spans(single).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "span-marks")
+    cut = docs.join(spans, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans").mapInArrow(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string").distinct()
     out = facts.join(cut, (facts["doc_id"] == cut["doc"]) & ~facts["copy"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
