@@ -59,7 +59,7 @@ class Store:
     def _next(self, name: str) -> int:
         return (self.versions(name).agg(F.max("id")).first()[0] or 0) + 1
 
-    def insert(self, name: str, **values) -> int:
+    def insert(self, name: str, /, **values) -> int:
         """Add a row and return its id."""
         new = self._next(name)
         row = {"id": new, **DEFAULTS.get(name, {}), **values}
@@ -77,7 +77,7 @@ class Store:
             df = df.withColumn(stamp, F.current_timestamp())
         self._write(name, df.coalesce(1))
 
-    def update(self, name: str, id: int, **values) -> None:
+    def update(self, name: str, id: int, /, **values) -> None:
         """A new version of a row with some values changed."""
         got = self.versions(name).where(F.col("id") == id).orderBy(F.col("version").desc()).first()
         if got is None or got.deleted:
