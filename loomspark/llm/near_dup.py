@@ -3,11 +3,16 @@
 A document's set is its distinct word shingles. Documents of equal sets form a class, and only class
 representatives (smallest doc_id) go on. Each keeps the ``SKETCH`` smallest hashes of its set. The
 ``POSTINGS`` smallest are posted to inverted lists; two sets of similarity 0.8 miss each other there
-with probability 0.2 ** 16. Overlaps of a list are estimated from the bottom of the union of both
+with probability 0.2 ** 24. Overlaps of a list are estimated from the bottom of the union of both
 sketches, and those that pass are confirmed on the full sets.
 
-Pairs inside a list are not all emitted. First each list links its members to its smallest one; what
-that confirms is contracted into components. Then only pairs of a list that are still in different
+A value of a passage that many documents share has a long list that says little. Two similar sets
+that meet in long lists only (over ``POPULAR`` documents) share at least a third of their posted
+values with those lists, but for a chance below 1e-6, so a document stays in long lists only if a
+third of its posted values have one.
+
+Pairs inside a list are not all emitted. First each list links its members to its smallest one, then, for
+some rounds, those still apart to one drawn by a hash; what is confirmed is contracted into components. Then only pairs of a list that are still in different
 components are tried, so that no link between components is lost, while a group of thousands of near
 copies costs one pair for each copy.
 
@@ -28,13 +33,21 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
 from loomspark.llm.words import RangeHash, mix64, word_ranges
-from loomspark.session import materialize
+from loomspark.session import arrow_batches, materialize
 
 SIMILARITY = 80
 SKETCH = 64
-POSTINGS = 16
+POSTINGS = 24
+POPULAR = 64
+SHARED = 4
+ROUNDS = 3
+BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 200_000
 ESTIMATE = 0.5
 CHUNK_BYTES = 2 << 20
+CHECK_ROWS = 256
+TEXT_ROWS = 1000
+CHECK_SETS = 2048
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -107,16 +120,18 @@ def _checker(width: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: dict[str, tuple[np.ndarray, int]] = {}
+        for batch in (whole.slice(k, CHECK_ROWS) for whole in batches for k in range(0, whole.num_rows, CHECK_ROWS)):
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             good: tuple[list, list] = ([], [])
-            distinct = dict.fromkeys([*cols["text_a"], *cols["text_b"]])
-            names = list(distinct)
+            if len(known) > CHECK_SETS:
+                known.clear()
+            names = [t for t in dict.fromkeys([*cols["text_a"], *cols["text_b"]]) if t not in known]
             for first, piece in chunks(names):
                 for name, s in zip(names[first : first + len(piece)], shingle_sets(piece, width), strict=True):
-                    distinct[name] = (s, set_key(s)[0])
+                    known[name] = (s, set_key(s)[0])
             for a, b, ka, kb, ta, tb in zip(cols["a"], cols["b"], cols["key_a"], cols["key_b"], cols["text_a"], cols["text_b"], strict=True):
-                (x, kx), (y, ky) = distinct[ta], distinct[tb]
+                (x, kx), (y, ky) = known[ta], known[tb]
                 if kx != ka or ky != kb:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -137,36 +152,84 @@ def _estimate(x: Column, y: Column) -> Column:
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Candidate pairs (a, b) of representatives to those whose estimate passes and whose sets are similar."""
     side = lambda s: nodes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("k1").alias(f"key_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    text = lambda s: docs.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = known.where((100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (_estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE))
+    near = known.where(_close("n_a", "n_b") & (_estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE))
     near = materialize(near.select("a", "b", "key_a", "key_b"), "near-candidates")
+    ids = materialize(near.select(F.col("a").alias("_id")).unionByName(near.select(F.col("b").alias("_id"))).distinct(), "near-ids")
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = materialize(texts, "near-texts")
+    # Few documents may make many pairs; their texts then go to the pairs, if their counted bytes allow it.
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+
+    def text(s: str) -> DataFrame:
+        named = texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+        return F.broadcast(named) if size <= BROADCAST_BYTES else named
+
     rows = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "key_a", "key_b", "text_a", "text_b")
-    return rows.mapInArrow(_checker(width), "a long, b long").distinct()
+    with arrow_batches(docs.sparkSession, CHECK_ROWS):
+        return materialize(rows.mapInArrow(_checker(width), "a long, b long").distinct(), "near-links")
+
+
+def _useful(posted: DataFrame) -> DataFrame:
+    """Postings without those of long lists that no link can depend on."""
+    long = posted.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > POPULAR).select("value", F.lit(1).alias("long"))
+    flagged = posted.join(long, "value", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    share = flagged.groupBy("rep").agg(F.sum("long").alias("n_long"), F.count("*").alias("n_all")).where((F.col("n_long") > 0) & (3 * F.col("n_long") < F.col("n_all"))).select("rep", F.lit(True).alias("loose"))
+    return flagged.join(share, "rep", "left").where((F.col("long") == 0) | F.col("loose").isNull()).select("rep", "n", "value")
+
+
+def _still_open(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists (rep, value, label) that hold more than one component."""
+    labelled = posted.join(roots, posted["rep"] == roots["node"], "left").select("rep", "n", "value", F.coalesce("root", "rep").alias("label"))
+    mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
+    return materialize(labelled.join(mixed, "value", "left_semi"), "near-open")
+
+
+def _close(x: str, y: str) -> Column:
+    return 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+
+
+def _star_links(lists: DataFrame, centre: Column, nodes: DataFrame, docs: DataFrame, width: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links of each list's members with its centre, and the pairs tried."""
+    mid = lists.groupBy("value").agg(centre.alias("c"), F.count("*").alias("m")).where("m > 1").select("value", "c")
+    centres = mid.join(lists.select("value", F.col("rep").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n")), ["value", "c"])
+    pairs = lists.join(centres, "value").where("label <> c_label").where(_close("n", "c_n")).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    return _confirm(pairs, nodes, docs, width), pairs
 
 
 def find_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per document."""
-    sketches = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(width), "doc_id long, n long, k1 long, k2 long, sketch array<long>"), "near-sketches")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(width), "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        sketches = materialize(made, "near-sketches")
     key = ["n", "k1", "k2"]
     live = sketches.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(live.groupBy(*key).agg(F.min("doc_id").alias("rep")), "near-classes")
     is_rep = classes.select(*key, "rep")
     nodes = materialize(live.join(is_rep.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", *key]), "near-nodes")
-    posted = materialize(nodes.select("rep", F.explode(F.slice("sketch", 1, POSTINGS)).alias("value")), "near-postings")
+    posted = materialize(nodes.select("rep", "n", F.explode(F.slice("sketch", 1, POSTINGS)).alias("value")), "near-postings")
 
-    lists = posted.groupBy("value").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1")
-    stars = posted.join(lists, "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(_confirm(stars, nodes, docs, width), "near-links")
-    roots = components(links)
+    posted = materialize(_useful(posted), "near-lists")
 
-    labelled = posted.join(roots, posted["rep"] == roots["node"], "left").select("rep", "value", F.coalesce("root", "rep").alias("label"))
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    open_lists = materialize(labelled.join(mixed, "value", "left_semi"), "near-open")
-    other = open_lists.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-    across = open_lists.join(other, "value").where("label < label_b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    tried = across.join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirm(tried, nodes, docs, width))
+    links, tried = _star_links(posted.withColumn("label", F.col("rep")), F.min("rep"), nodes, docs, width)
+    roots = components(links)
+    for k in range(1, ROUNDS):
+        left = _still_open(posted, roots)
+        if left.isEmpty():
+            break
+        more, again = _star_links(left, F.min_by("rep", F.xxhash64("rep", F.lit(k))), nodes, docs, width, tried)
+        links, tried = links.unionByName(more), tried.unionByName(again)
+        roots = components(links)
+
+    left = _still_open(posted, roots)
+    other = left.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    across = left.join(other, "value").where("label < label_b").where(_close("n", "n_b")).groupBy(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).count()
+    # Similar sets share about four fifths of their posted values, of which at least two thirds are in lists kept here.
+    kept = posted.groupBy("rep").agg(F.count("*").alias("kept"))
+    across = across.where(F.col("count") >= SHARED).join(kept, F.col("a") == kept["rep"]).where(3 * F.col("count") >= F.col("kept")).select("a", "b")
+    links = links.unionByName(_confirm(across.join(tried, ["a", "b"], "left_anti"), nodes, docs, width))
     roots = components(materialize(links, "near-links"))
 
     by_class = classes.join(roots, classes["rep"] == roots["node"], "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
