@@ -23,7 +23,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _cell(v):
     if isinstance(v, float) or hasattr(v, "dtype") and str(getattr(v, "dtype", "")).startswith("float"):
         return "nan" if v != v else f"{float(v):.9g}"
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return "nan"
     if hasattr(v, "tolist"):
         v = v.tolist()
