@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, line_dedup, near_dup, pii, quality_score, query_sql, substring_dedup
+from loomspark.llm import decontaminate, line_dedup, near_dup, pii, quality_score, query_sql, revisits, substring_dedup
 from loomspark.llm.html_text import extract_pages
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
@@ -32,6 +33,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return done.select(F.col("record_id").alias("page_id"), "canonical_url", "is_revisit", "refers_to", "resolved", *[h[k].alias(n) for k, n in (("date", "date"), ("etag", "etag"), ("content-length", "content_length"))])
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ def queries() -> dict[str, QueryFn]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_score": op3_quality_score,
         "op4_line_dedup": op4_line_dedup,
+        "op5_revisits": op5_revisits,
         "op6_pii": op6_pii,
         "op7_near_dup": op7_near_dup,
         "op8_decontamination": op8_decontamination,
@@ -70,5 +78,6 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_revisits": query_sql.op5(),
         "op9_quality_rules": query_sql.op9(),
     }

@@ -50,3 +50,22 @@ def op9() -> str:
            NOT base_failed AND NOT (coalesce(cd > {qr.MAX_CHAR_DISTANCE} + {qr.SHORT_TEXT_SLACK} / sqrt(n_chars), false) OR coalesce(wd > {qr.MAX_WORD_DISTANCE}, false)) AS kept
     FROM j
     """
+
+
+def op5() -> str:
+    return """
+    WITH b AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+    p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[.]', '') AS host,
+                 regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                 array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+                     lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid)='))), '&') AS query
+          FROM b),
+    r AS (SELECT page_id, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url,
+                 coalesce(page_id % 2 = 1 OR regexp_matches(url, '[?#]'), false) AS is_revisit, md5(html) AS tag, length(html)::VARCHAR AS n
+          FROM p),
+    w AS (SELECT *, CASE WHEN is_revisit AND canonical_url IS NOT NULL THEN last_value(CASE WHEN NOT is_revisit THEN page_id END IGNORE NULLS)
+                 OVER (PARTITION BY canonical_url ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS refers_to FROM r)
+    SELECT w.page_id, w.canonical_url, w.is_revisit, w.refers_to, CASE WHEN w.is_revisit THEN coalesce(w.tag = a.tag, false) END AS resolved,
+           w.page_id::VARCHAR AS date, w.tag AS etag, CASE WHEN NOT w.is_revisit THEN w.n WHEN w.tag = a.tag THEN a.n END AS content_length
+    FROM w LEFT JOIN r a ON a.page_id = w.refers_to
+    """

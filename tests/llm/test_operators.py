@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, html_text, line_dedup, mixing, near_dup, pii, quality_rules, quality_score, substring_dedup
+from loomspark.llm import decontaminate, html_text, line_dedup, mixing, near_dup, pii, quality_rules, quality_score, revisits, substring_dedup
 from loomspark.llm.components import components
 from loomspark.llm.words import RangeHash, word_ranges
 
@@ -402,3 +402,45 @@ def test_pages(page, text):
 def test_page_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>ä b</p>", 5), (None, None, None, 6)], "page_id long, url string, html string, text long")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(rows).collect()] == [(1, "ä b", 3), (None, "", 0)]
+
+
+# ---- revisits ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("HTTP://www.Ex.org:80/a/?b=2&a=1&utm_source=x#f", "ex.org/a?a=1&b=2"), ("https://ex.org/a", "ex.org/a"), ("ex.org", "ex.org"), ("https://m.ex.org/A/?ref=x", "m.ex.org/A"), (None, None),
+    ],
+)
+def test_canonical_url(spark, url, want):
+    assert spark.createDataFrame([(url,)], "u string").select(revisits.canonical_url(F.col("u")).alias("x")).first().x == want
+
+
+RECORDS = "record_id long, url string, ts long, is_revisit boolean, etag string, last_modified string, digest string, headers map<string,string>, payload string"
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_revisits(spark, partitions):
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        url = None if i % 50 == 0 else "http://hot.org/x" if rng.random() < 0.4 else f"https://www.h{rng.randrange(6)}.org/p?utm_id={i}"
+        rows.append((i, url, rng.randrange(150), rng.random() < 0.5, rng.choice([None, "", "W/a", "a", "b"]), rng.choice([None, "m", "n"]), rng.choice([None, "d"]), {"date": str(i), "content-type": f"t{i}"}, f"p{i}"))
+    records = spark.createDataFrame(rows, RECORDS).repartition(partitions)
+    done = revisits.resolve(records)
+    canon = {r.record_id: r.canonical_url for r in done.collect()}
+    clean = lambda r: ((r[4] or "").removeprefix("W/") or None, r[5] or None, r[6] or None)
+    payload = {r.record_id: r.payload for r in revisits.attach_payload(done, records, "payload").collect()}
+    for r in done.collect():
+        row = rows[r.record_id]
+        if not row[3]:
+            assert (r.refers_to, r.resolved, payload[r.record_id]) == (None, None, row[8])
+            continue
+        before = [x for x in rows if not x[3] and x[1] is not None and canon[x[0]] == canon[row[0]] and (x[2], x[0]) < (row[2], row[0])] if row[1] else []
+        last = max(before, key=lambda x: (x[2], x[0]), default=None)
+        same = next((a == b for a, b in zip(clean(row), clean(last), strict=True) if a and b), False) if last else False
+        assert (r.refers_to, r.resolved) == (last[0] if last else None, same)
+        assert payload[r.record_id] == (last[8] if same else None)
+        assert r.headers == ({"date": row[7]["date"], "content-type": last[7]["content-type"]} if same else row[7])
+    assert revisits.resolve(records.limit(0)).count() == 0
