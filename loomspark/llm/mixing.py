@@ -174,14 +174,18 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
         whole = taken.where("upto <= need").select(F.col("source").alias("s"), F.explode("cells").alias("c"))
         picked.append(inside.join(whole, [F.col("source").eqNullSafe(F.col("s")), _cell(level) == whole["c"]], "left_semi").select("source", "doc_id"))
 
-    # What is left are some hundred documents of a source at most: take those that still fit, in hash order.
+    # What is left are some hundred documents of a source at most: take those that still fit, in hash order,
+    # and again, as long as no document exceeds MAX_REPEAT, so that the words taken end close to the target.
     last = inside.groupBy("source", "doc_id").agg(F.sum("size").alias("size"), F.first("h").alias("h"))
-    s = state.select(F.col("source").alias("s"), "need")
-    listed = last.join(s, F.col("source").eqNullSafe(F.col("s"))).groupBy("source", "need").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "size"))).alias("docs"))
+    spare = sources.select(F.col("rank").alias("r"), (F.lit(MAX_REPEAT) - F.col("whole")).alias("spare"))
+    s = state.join(spare, F.col("rank") == F.col("r")).select(F.col("source").alias("s"), "need", "spare")
+    listed = last.join(s, F.col("source").eqNullSafe(F.col("s"))).groupBy("source", "need", "spare").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "size"))).alias("docs"))
     start = F.struct(F.col("need").alias("room"), F.array().cast(f"array<{dict(sizes.dtypes)['doc_id']}>").alias("ids"))
-    fold = F.aggregate("docs", start, lambda a, d: F.when(d["size"] <= a["room"], F.struct((a["room"] - d["size"]).alias("room"), F.array_append(a["ids"], d["doc_id"]).alias("ids"))).otherwise(a))
+    fold = F.aggregate(F.flatten(F.array_repeat("docs", F.col("spare"))), start, lambda a, d: F.when(d["size"] <= a["room"], F.struct((a["room"] - d["size"]).alias("room"), F.array_append(a["ids"], d["doc_id"]).alias("ids"))).otherwise(a))
     picked.append(listed.select("source", F.explode(fold["ids"]).alias("doc_id")))
-    extra = materialize(reduce(DataFrame.unionByName, picked).distinct(), "mix-extra")
+    whole, final = [p.distinct() for p in picked[:-1]], picked[-1]
+    extra = reduce(DataFrame.unionByName, [*whole, final]).groupBy("source", "doc_id").agg(F.count("*").cast("int").alias("times"))
+    extra = materialize(extra, "mix-extra")
 
     # Block instances: each block `whole` times, and once more if the rest of the target reaches it.
     w = sources.select(F.col("rank").alias("r"), "whole")
@@ -206,13 +210,16 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
 def _with_draws(rows: DataFrame, plan: MixPlan) -> DataFrame:
     """rows (source, doc_id, h, ...) with an array of (epoch, shard) in _draws."""
     d = plan.draws.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), F.col("draws").alias("_draws"))
-    e = plan.extra.select(F.col("source").alias("_es"), F.col("doc_id").alias("_ed"), F.lit(True).alias("_extra"))
+    e = plan.extra.select(F.col("source").alias("_es"), F.col("doc_id").alias("_ed"), F.col("times").alias("_times"))
     out = rows.join(d, [F.col("source").eqNullSafe(F.col("_s")), _cell(0) == F.col("_c")], "left")
     out = out.join(e, [F.col("source").eqNullSafe(F.col("_es")), F.col("doc_id").eqNullSafe(F.col("_ed"))], "left")
-    mine = F.filter("_draws", lambda x: ~x["partial"] | F.coalesce(F.col("_extra"), F.lit(False)))
+    # The partial block's instance holds a document as often as it was picked.
+    times = F.coalesce("_times", F.lit(0))
+    copies = lambda x: F.when(x["partial"] & (times > 0), F.transform(F.sequence(F.lit(0), times - 1), lambda k: F.struct((x["epoch"] + k).alias("epoch"), x["shard"].alias("shard"))))
+    one = lambda x: F.array(F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard")))
     none = F.array().cast("array<struct<epoch:int,shard:int>>")
-    kept = F.transform(mine, lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard")))
-    return out.withColumn("_draws", F.coalesce(kept, none)).drop("_s", "_c", "_es", "_ed", "_extra")
+    kept = F.flatten(F.transform("_draws", lambda x: F.coalesce(copies(x), F.when(~x["partial"], one(x)), none)))
+    return out.withColumn("_draws", F.coalesce(kept, none)).drop("_s", "_c", "_es", "_ed", "_times")
 
 
 def taken_words(plan: MixPlan) -> DataFrame:
