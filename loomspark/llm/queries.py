@@ -79,5 +79,6 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_revisits": query_sql.op5(),
+        "op8_decontamination": query_sql.op8(),
         "op9_quality_rules": query_sql.op9(),
     }

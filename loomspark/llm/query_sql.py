@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomspark.llm import decontaminate as dc
 from loomspark.llm import quality_rules as qr
 
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -69,3 +70,27 @@ def op5() -> str:
            w.page_id::VARCHAR AS date, w.tag AS etag, CASE WHEN NOT w.is_revisit THEN w.n WHEN w.tag = a.tag THEN a.n END AS content_length
     FROM w LEFT JOIN r a ON a.page_id = w.refers_to
     """
+
+
+def op8() -> str:
+    tokens = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    seeds = lambda rows, key: " UNION ALL ".join(
+        f"SELECT {key}, i AS at, '{tag}' || {' || chr(1) || '.join(f't[i + {k + 1}]' for k in mask)} AS seed FROM {rows}, unnest(range(0, len(t) - {dc.SPAN - 1})) AS r(i) WHERE len(t) >= {dc.SPAN}" for tag, mask in enumerate(dc.MASKS)
+    )
+    short = lambda rows, key, n: f"SELECT {key}, i AS at, 's' || array_to_string(t[i + 1 : i + {n}], chr(1)) AS seed FROM {rows}, unnest(range(0, len(t) - {n} + 1)) AS r(i) WHERE len(t) >= {n}"
+    sizes = range(dc.MIN_TOKENS, dc.SPAN)
+    bench_short = " UNION ALL ".join(short(f"(SELECT * FROM b WHERE len(t) = {n})", "item_id", n) for n in sizes)
+    docs_short = " UNION ALL ".join(short(f"(SELECT * FROM d WHERE (SELECT count(*) FROM b WHERE len(t) = {n}) > 0)", "doc_id", n) for n in sizes)
+    return f"""
+    WITH b AS (SELECT min(item_id) AS item_id, t FROM (SELECT item_id, {tokens} AS t FROM benchmark) WHERE len(t) >= {dc.MIN_TOKENS} GROUP BY t),
+    d AS (SELECT doc_id, {tokens} AS t FROM documents),
+    bs AS ({seeds("b", "item_id")} UNION ALL {bench_short}), ds AS ({seeds("d", "doc_id")} UNION ALL {docs_short}),
+    h AS (SELECT DISTINCT doc_id, item_id, ds.at - bs.at AS shift FROM ds JOIN bs USING (seed)),
+    f AS (SELECT h.doc_id, h.item_id, len(b.t) AS n, least(len(b.t), {dc.WINDOW}) AS w,
+                 list_transform(range(0, len(b.t)), lambda j: CASE WHEN h.shift + j >= 0 AND d.t[h.shift + j + 1] = b.t[j + 1] THEN 1 ELSE 0 END) AS f
+          FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+    v AS (SELECT doc_id, item_id, list_sum(f) AS matched FROM f
+          WHERE list_max(list_transform(range(0, n - w + 1), lambda s: list_sum(f[s + 1 : s + w]))) >= CASE WHEN n < {dc.SPAN} THEN w ELSE ceil(w * {dc.SHARE} - 1e-9) END),
+    c AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(matched)::BIGINT AS max_matched FROM v GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(max_matched, 0)::BIGINT AS max_matched, coalesce(n_items, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id)
+    """
