@@ -8,8 +8,8 @@ sketches, and those that pass are confirmed on the full sets.
 
 A value of a passage that many documents share has a long list that says little. Two similar sets
 that meet in long lists only (over ``POPULAR`` documents) share at least a third of their posted
-values with those lists, but for a chance below 1e-6, so a document stays in long lists only if a
-third of its posted values have one.
+values with those lists, but for a chance below 1e-6 (sets posted whole share four fifths), so a
+document stays in long lists only if that share of its posted values have one.
 
 Pairs inside a list are not all emitted. First each list links its members to its smallest one, then, for
 some rounds, those still apart to one drawn by a hash; what is confirmed is contracted into components. Then only pairs of a list that are still in different
@@ -171,11 +171,16 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) ->
         return materialize(rows.mapInArrow(_checker(width), "a long, b long").distinct(), "near-links")
 
 
+def _has_short_link() -> Column:
+    """Whether every similar set shares a short list too: of a set posted whole it holds at least four fifths, else a third of the posted values."""
+    return F.when(F.col("n_all") < POSTINGS, 5 * F.col("n_long") < 4 * F.col("n_all")).otherwise(3 * F.col("n_long") < F.col("n_all"))
+
+
 def _useful(posted: DataFrame) -> DataFrame:
     """Postings without those of long lists that no link can depend on."""
     long = posted.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > POPULAR).select("value", F.lit(1).alias("long"))
     flagged = posted.join(long, "value", "left").withColumn("long", F.coalesce("long", F.lit(0)))
-    share = flagged.groupBy("rep").agg(F.sum("long").alias("n_long"), F.count("*").alias("n_all")).where((F.col("n_long") > 0) & (3 * F.col("n_long") < F.col("n_all"))).select("rep", F.lit(True).alias("loose"))
+    share = flagged.groupBy("rep").agg(F.sum("long").alias("n_long"), F.count("*").alias("n_all")).where((F.col("n_long") > 0) & _has_short_link()).select("rep", F.lit(True).alias("loose"))
     return flagged.join(share, "rep", "left").where((F.col("long") == 0) | F.col("loose").isNull()).select("rep", "n", "value")
 
 
@@ -228,7 +233,7 @@ def find_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     across = left.join(other, "value").where("label < label_b").where(_close("n", "n_b")).groupBy(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).count()
     # Similar sets share about four fifths of their posted values, of which at least two thirds are in lists kept here.
     kept = posted.groupBy("rep").agg(F.count("*").alias("kept"))
-    across = across.where(F.col("count") >= SHARED).join(kept, F.col("a") == kept["rep"]).where(3 * F.col("count") >= F.col("kept")).select("a", "b")
+    across = across.where(F.col("count") >= SHARED).join(kept, F.col("a") == kept["rep"]).where(5 * F.col("count") >= 2 * F.col("kept")).select("a", "b")
     links = links.unionByName(_confirm(across.join(tried, ["a", "b"], "left_anti"), nodes, docs, width))
     roots = components(materialize(links, "near-links"))
 
