@@ -12,21 +12,23 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, not once for each element of a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(values: Column) -> Column:
     return F.transform(values, lambda x: x.cast("double"))
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = _sum(e)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total))
+    return let(F.array_max(logits), lambda top: let(F.transform(logits, lambda x: F.exp(x - top)), shares))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """-log softmax at the target (from 0), shifted by the maximum."""
-    top = F.array_max(logits)
-    return F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top)))) + top - F.get(logits, target)
+    return let(F.array_max(logits), lambda top: F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top)))) + top - F.get(logits, target))
 
 
 def argmax(values: Column) -> Column:
@@ -41,14 +43,13 @@ def perplexity(loss: Column) -> Column:
 
 def layer_norm(values: Column, eps: float = 1e-5) -> Column:
     n = F.size(values)
-    mean = _sum(values) / n
-    var = _sum(F.transform(values, lambda x: (x - mean) * (x - mean))) / n
-    return F.transform(values, lambda x: (x - mean) / F.sqrt(var + eps))
+    var = lambda mean: _sum(F.transform(values, lambda x: (x - mean) * (x - mean))) / n
+    return let(_sum(values) / n, lambda mean: let(F.sqrt(var(mean) + eps), lambda scale: F.transform(values, lambda x: (x - mean) / scale)))
 
 
 def rms_norm(values: Column, eps: float = 1e-6) -> Column:
     scale = F.sqrt(_sum(F.transform(values, lambda x: x * x)) / F.size(values) + eps)
-    return F.transform(values, lambda x: x / scale)
+    return let(scale, lambda s: F.transform(values, lambda x: x / s))
 
 
 def quantize(value: Column, bits: int) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.modelmath import let
+
 HISTOGRAM_BINS = 30
 
 
@@ -83,8 +85,8 @@ def l2_norm(values: Column) -> Column:
 
 def clip(values: Column, limit: float) -> Column:
     """Scaled down to the limit if the norm exceeds it."""
-    norm = l2_norm(values)
-    return F.when((norm > limit) & F.lit(limit > 0), F.transform(values, lambda x: x.cast("double") * limit / norm)).otherwise(F.transform(values, lambda x: x.cast("double")))
+    scaled = lambda norm: F.when((norm > limit) & F.lit(limit > 0), F.transform(values, lambda x: x.cast("double") * limit / norm)).otherwise(F.transform(values, lambda x: x.cast("double")))
+    return let(l2_norm(values), scaled)
 
 
 def add_gradients(a: Column, b: Column) -> Column:
