@@ -39,12 +39,12 @@ MIN_TOKENS = 5
 SMALL = 32
 DENSE = 8
 BLOCK = 128
-PIECE = 1 << 20
+PIECE = 1 << 19
 RANKED_SHARE = 17
 HOT_SHARE = 17
 COUNT_TOKENS = 1 << 20
 SLOTS = 1 << 20
-FLUSH_KEYS = 1 << 18
+FLUSH_KEYS = 1 << 17
 BROADCAST_ROWS = 200_000
 TOKEN_BITS = np.uint64(44)
 TOKEN_MASK = np.uint64((1 << 44) - 1)
@@ -218,20 +218,31 @@ def _meet(packed: pa.Table) -> pa.Table:
         def keep(a: np.ndarray, b: np.ndarray) -> None:
             add(PAIR, c["key"][a], c["doc"][a], c["line"][a], c["doc"][b], c["line"][b])
 
+        members = size[group]
+        rest = np.flatnonzero(members <= SMALL)
         for step in range(1, SMALL):
-            a = np.flatnonzero((size[group] > step) & (size[group] <= SMALL))
-            a = a[a + step < len(group)]
+            rest = rest[members[rest] > step]
+            a = rest[rest + step < len(group)]
             a = a[group[a] == group[a + step]]
             if not len(a):
                 break
+            # The bitmap bound alone settles most pairs.
+            apart = np.bitwise_count(bits[a] ^ bits[a + step])
+            a = a[9 * apart.astype(np.int64) <= n[a] + n[a + step]]
             a = a[near(a, a + step)]
             keep(a, a + step)
+        both_n = np.minimum(n, 1 << 20).astype(np.int32)
         for g in np.flatnonzero(size > SMALL):
             rows = np.arange(first[g], first[g] + size[g])
             found, total = [], 0
             for lo in range(0, len(rows), BLOCK):
-                a, b = (x.ravel() for x in np.meshgrid(rows[: lo + BLOCK], rows[lo : lo + BLOCK]))
-                a, b = a[a < b], b[a < b]
+                early, late = rows[: lo + BLOCK], rows[lo : lo + BLOCK]
+                apart = np.bitwise_count(bits[early][:, None] ^ bits[late][None])
+                apart += np.bitwise_count(more[early][:, None] ^ more[late][None])
+                i, j = np.nonzero(apart <= np.minimum((both_n[early][:, None] + both_n[late][None]) // 9, 255))
+                a, b = early[i], late[j]
+                ok = a < b
+                a, b = a[ok], b[ok]
                 ok = near(a, b)
                 found.append((a[ok], b[ok]))
                 total += int(ok.sum())
