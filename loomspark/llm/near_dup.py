@@ -44,9 +44,9 @@ ROUNDS = 3
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 200_000
 ESTIMATE = 0.5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 CHECK_ROWS = 256
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 CHECK_SETS = 2048
 
 

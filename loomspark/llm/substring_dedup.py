@@ -35,10 +35,10 @@ from loomspark.session import arrow_batches, materialize, shuffle_width
 SPAN = 100
 KGRAM = 32
 REACH = SPAN - KGRAM
-PIECE = 1 << 20
-TEXT_ROWS = 1000
+PIECE = 1 << 19
+TEXT_ROWS = 500
 MARGIN = 256
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 MARK = 255
 # Bytes to the left and right of an anchor: every window of SPAN bytes around it holds one of these stretches.
 STRETCHES = ((51, 0), (34, 17), (17, 34), (0, 51))
