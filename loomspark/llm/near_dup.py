@@ -14,7 +14,9 @@ document stays in long lists only if that share of its posted values have one.
 Pairs inside a list are not all emitted. First each list links its members to its smallest one, then, for
 some rounds, those still apart to one drawn by a hash; what is confirmed is contracted into components. Then only pairs of a list that are still in different
 components are tried, so that no link between components is lost, while a group of thousands of near
-copies costs one pair for each copy.
+copies costs one pair for each copy. A pair is left out there only if the values it shares, with all those
+that either side did not post or keep, are too few for its set sizes, or if sets not posted whole share
+under ``SHARED`` values with all that were dropped counted as shared (chance below 1e-11 at 0.8).
 
 Edge cases: null or empty texts have empty sets and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; a repeated doc_id is one document for each
@@ -177,11 +179,26 @@ def _has_short_link() -> Column:
 
 
 def _useful(posted: DataFrame) -> DataFrame:
-    """Postings without those of long lists that no link can depend on."""
+    """Postings, with a flag at those of long lists that no link can depend on."""
     long = posted.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > POPULAR).select("value", F.lit(1).alias("long"))
     flagged = posted.join(long, "value", "left").withColumn("long", F.coalesce("long", F.lit(0)))
     share = flagged.groupBy("rep").agg(F.sum("long").alias("n_long"), F.count("*").alias("n_all")).where((F.col("n_long") > 0) & _has_short_link()).select("rep", F.lit(True).alias("loose"))
-    return flagged.join(share, "rep", "left").where((F.col("long") == 0) | F.col("loose").isNull()).select("rep", "n", "value")
+    return flagged.join(share, "rep", "left").select("rep", "n", "value", ((F.col("long") == 1) & F.col("loose").isNotNull()).alias("dropped"))
+
+
+def _open_pairs(left: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the open lists that may be similar by what they share, their sizes and what was not posted or kept of them."""
+    sized = left.join(dropped, "rep", "left").select("rep", "n", "value", "label", F.coalesce("gone", F.lit(0)).alias("gone"))
+    other = sized.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("gone").alias("gone_b"))
+    met = sized.join(other, "value").where("label < label_b").where(_close("n", "n_b"))
+    unposted = F.greatest(F.col("n") - POSTINGS, F.lit(0)) + F.greatest(F.col("n_b") - POSTINGS, F.lit(0))
+    # A repeated doc_id has several sets; the bounds then take the most lenient values of them.
+    pairs = met.groupBy(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(F.col("gone") + F.col("gone_b")).alias("gone"), F.max(unposted).alias("unposted"), F.min(F.col("n") + F.col("n_b")).alias("sizes"), F.min(F.greatest("n", "n_b")).alias("larger")
+    )
+    most = F.col("shared") + F.col("gone")
+    enough = (100 + SIMILARITY) * (most + F.col("unposted")) >= SIMILARITY * F.col("sizes")
+    return pairs.where(enough & ((F.col("larger") <= POSTINGS) | (most >= SHARED))).select("a", "b")
 
 
 def _still_open(posted: DataFrame, roots: DataFrame) -> DataFrame:
@@ -217,6 +234,8 @@ def find_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     posted = materialize(nodes.select("rep", "n", F.explode(F.slice("sketch", 1, POSTINGS)).alias("value")), "near-postings")
 
     posted = materialize(_useful(posted), "near-lists")
+    dropped = posted.where("dropped").groupBy("rep").agg(F.count("*").alias("gone"))
+    posted = posted.where("NOT dropped").drop("dropped")
 
     links, tried = _star_links(posted.withColumn("label", F.col("rep")), F.min("rep"), nodes, docs, width)
     roots = components(links)
@@ -229,11 +248,7 @@ def find_groups(docs: DataFrame, width: int = 5) -> DataFrame:
         roots = components(links)
 
     left = _still_open(posted, roots)
-    other = left.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    across = left.join(other, "value").where("label < label_b").where(_close("n", "n_b")).groupBy(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).count()
-    # Similar sets share about four fifths of their posted values, of which at least two thirds are in lists kept here.
-    kept = posted.groupBy("rep").agg(F.count("*").alias("kept"))
-    across = across.where(F.col("count") >= SHARED).join(kept, F.col("a") == kept["rep"]).where(5 * F.col("count") >= 2 * F.col("kept")).select("a", "b")
+    across = _open_pairs(left, dropped)
     links = links.unionByName(_confirm(across.join(tried, ["a", "b"], "left_anti"), nodes, docs, width))
     roots = components(materialize(links, "near-links"))
 

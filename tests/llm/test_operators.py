@@ -301,6 +301,21 @@ def test_near_duplicates(docs, texts, empty, width):
     assert near_dup.find_groups(empty, width).count() == 0
 
 
+def test_short_copies_of_a_popular_passage(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "ROUNDS", 1)  # no centre drawn by a hash happens to try the pair
+    rng = random.Random(12)
+    fresh = iter(f"f{k}" for k in range(10**6))
+    passage = [f"p{k}" for k in range(14)]
+    own = passage[-4:] + ["u", "v"]
+    # The passage is in long lists; what the two copies share besides is in lists led by longer, unlike texts.
+    texts = [" ".join([next(fresh) for _ in range(rng.randint(14, 18))] + own + [next(fresh) for _ in range(14)]) for _ in range(60)]
+    texts += [" ".join(passage + [next(fresh) for _ in range(9)]) for _ in range(80)]
+    texts += [" ".join([*passage, "u", "v", "w"]), " ".join([*passage, "u", "v", "z"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.find_groups(rows).collect()}
+    assert got == {i: i for i in range(141)} | {141: 140}
+
+
 # ---- benchmark -----------------------------------------------------------------------------------------------------
 
 
