@@ -109,7 +109,8 @@ def _sketcher(width: int):
             for first, piece in chunks(texts):
                 sets = shingle_sets(piece, width)
                 keys = [set_key(s) for s in sets]
-                sketches = [s[:SKETCH].view(np.int64) for s in sets]
+                # With the top bit flipped, signed order is the unsigned order the sketch was cut by.
+                sketches = [(s[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sketches]))).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(piece)).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), listed], schema=schema)

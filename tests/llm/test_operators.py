@@ -301,6 +301,19 @@ def test_near_duplicates(docs, texts, empty, width):
     assert near_dup.find_groups(empty, width).count() == 0
 
 
+def test_estimate_uses_the_smallest_values_of_the_union(spark):
+    words = [f"w{k}" for k in range(129)]
+    texts = {0: " ".join(words[:104]), 1: " ".join(words)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(1)
+    made = rows.mapInArrow(near_dup._sketcher(5), "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+    x, y = (made.where(F.col("doc_id") == i).select(F.col("sketch").alias(f"s{i}")) for i in texts)
+    small, large = (set(s.tolist()) for s in near_dup.shingle_sets([t.encode() for t in texts.values()], 5))
+    low = sorted(small | large)[: near_dup.SKETCH]
+    want = sum(v in small and v in large for v in low) / len(low)
+    assert (len(small), len(large)) == (100, 125)
+    assert x.join(y).select(near_dup._estimate(F.col("s0"), F.col("s1")).alias("e")).first().e == want
+
+
 def test_short_copies_of_a_popular_passage(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "ROUNDS", 1)  # no centre drawn by a hash happens to try the pair
     rng = random.Random(12)
