@@ -1,7 +1,9 @@
 """Line deduplication by an exact set-similarity join with prefix, positional and length filters.
 
 A line (``\\n``-separated) is its set of distinct words, A-Z lowered. Lines of fewer than
-``MIN_TOKENS`` distinct words are never matched. A line is removed if an earlier line of the corpus
+``MIN_TOKENS`` distinct words are matched only with ``short``: one of four words can lie in one of five
+(similarity 0.8) and is joined like longer ones; below four only equal sets are similar, and lines meet
+by their whole set. A line is removed if an earlier line of the corpus
 (smaller doc_id, or earlier in the same document) has Jaccard similarity of at least 0.8 with it.
 
 Tokens of a line are ordered by rarity: tokens outside the table of frequent ones come first, by
@@ -104,7 +106,23 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys, ranks
 
 
-def line_keys(token: np.ndarray, line: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+def _whole_keys(token: np.ndarray, line: np.ndarray, at: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Keys of the lines ``few`` (indices into ``at``, the numbers of the lines with words) by all their distinct words."""
+    of = np.searchsorted(at, line)
+    wanted = np.zeros(len(at), bool)
+    wanted[few] = True
+    chosen = wanted[of]
+    of, token = of[chosen], token[chosen]
+    order = np.lexsort((token, of))
+    of, token = of[order], token[order]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (token[1:] != token[:-1])))
+    of, token = of[new], token[new]
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    n = np.diff(np.append(first, len(of))).astype(np.uint64)
+    return mix64(np.add.reduceat(mix64(token), first) + n)
+
+
+def line_keys(token: np.ndarray, line: np.ndarray, table: tuple[np.ndarray, np.ndarray], short: bool = False) -> dict[str, np.ndarray]:
     """Join keys of the lines of a chunk: key, line, position of the key's first token, and by line n and class."""
     slot = (token & np.uint64(SLOTS - 1)).astype(np.int64)
     rank = np.where(table[0][slot] == token, table[1][slot], np.uint64(0))
@@ -124,7 +142,7 @@ def line_keys(token: np.ndarray, line: np.ndarray, table: tuple[np.ndarray, np.n
     size = n[group] if len(at) else np.empty(0, np.int64)
     prefix = size // 5 + 1
     hot = (ident > RARE_MASK) & ((ident & RARE_MASK) >= np.uint64(1 << 18))
-    good = size >= MIN_TOKENS
+    good = size >= (MIN_TOKENS - 1 if short else MIN_TOKENS)
     one = np.flatnonzero(good & (pos < prefix) & ~hot)
     keys, rows, places = [mix64(ident[one])], [group[one]], [pos[one]]
     wide = np.flatnonzero(good & (pos < prefix + 1) & hot)
@@ -139,13 +157,18 @@ def line_keys(token: np.ndarray, line: np.ndarray, table: tuple[np.ndarray, np.n
         rows.append(group[a])
         places.append(pos[a])
         step += 1
+    few = np.flatnonzero(n < MIN_TOKENS - 1) if short else first[:0]
+    if len(few):
+        keys.append(_whole_keys(token, line, at[first], few))
+        rows.append(few)
+        places.append(np.zeros(len(few), np.int64))
     return {"key": np.concatenate(keys), "row": np.concatenate(rows), "pos": np.concatenate(places), "line": at[first] if len(first) else at, "n": n, "name": name, "bits": parity[0], "more": parity[1]}
 
 
 COLUMNS = (("key", np.uint64), ("name", np.uint64), ("bits", np.uint64), ("more", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.uint16))
 
 
-def _emit_keys(table, buckets: int):
+def _emit_keys(table, buckets: int, short: bool):
     schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c, _ in COLUMNS]])
 
     def flush(held: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +187,7 @@ def _emit_keys(table, buckets: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, piece in chunks(batch.column(1).to_pylist(), PIECE):
                 token, line, text_of, number = _tokens(piece)
-                k = line_keys(token, line, (keys, ranks))
+                k = line_keys(token, line, (keys, ranks), short)
                 r, at = k["row"], k["line"]
                 held.append({"key": k["key"], "name": k["name"][r], "bits": k["bits"][r], "more": k["more"][r], "doc": ids[first + text_of[at[r]]], "line": number[at[r]], "n": k["n"][r], "pos": np.minimum(k["pos"], 65535)})
                 size += len(r)
@@ -328,18 +351,18 @@ def _join_docs(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(side) if few else side, docs["doc_id"] == side["_id"], how)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(_id, lines): numbers from 0 of the removed lines of each document that has some."""
+def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(_id, lines): numbers from 0 of the removed lines of each document that has some; short: also of lines under MIN_TOKENS words."""
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
-        return _removed_lines(docs)
+        return _removed_lines(docs, short)
 
 
-def _removed_lines(docs: DataFrame) -> DataFrame:
+def _removed_lines(docs: DataFrame, short: bool) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = spark.sparkContext.broadcast(frequent_tokens(plain))
     buckets = 4 * shuffle_width(spark)
-    packed = plain.mapInArrow(_emit_keys(table, buckets), "bucket int, key binary, name binary, bits binary, more binary, doc binary, line binary, n binary, pos binary")
+    packed = plain.mapInArrow(_emit_keys(table, buckets, short), "bucket int, key binary, name binary, bits binary, more binary, doc binary, line binary, n binary, pos binary")
     met = materialize(packed.groupBy("bucket").applyInArrow(_meet, "kind byte, key long, doc_a long, line_a int, doc_b long, line_b int"), "line-meet")
     exact = met.where(F.col("kind") == REMOVED).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct()
     gone = exact.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"))
@@ -372,26 +395,26 @@ def _removed_lines(docs: DataFrame) -> DataFrame:
     return materialize(every.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-removed")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, short: bool) -> DataFrame:
     """docs with _parts (the lines that stay), _n (lines before) and _gone (lines removed)."""
-    rows = _join_docs(docs, removed_lines(docs), "left")
+    rows = _join_docs(docs, removed_lines(docs, short), "left")
     parts = F.split("text", "\n")
     # Removed numbers are sorted; membership is looked up in a map of them, so long documents stay linear.
     stay = F.when(F.col("lines").isNull(), parts).otherwise(F.filter(parts, lambda x, i: ~F.array_contains("lines", i)))
     return rows.withColumn("_n", F.coalesce(F.size(parts), F.lit(0))).withColumn("_parts", stay).withColumn("_gone", F.coalesce(F.size("lines"), F.lit(0))).drop("_id", "lines")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, short: bool = False) -> DataFrame:
     """A row per document: lines, removed lines, characters left and the SHA-256 of the text left."""
     text = F.array_join("_parts", "\n")
-    rows = _marked(docs.select("doc_id", "text"))
+    rows = _marked(docs.select("doc_id", "text"), short)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.col("_n"))
     return rows.select("doc_id", n.cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text, 256).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs with their removed lines taken out; documents that lose all their words so are dropped."""
-    rows = _marked(docs)
+    rows = _marked(docs, short)
     text = F.when(F.col("_gone") == 0, F.col("text")).otherwise(F.array_join("_parts", "\n"))
     rows = rows.withColumn("text", text).where((F.col("_gone") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     cols = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]

@@ -30,7 +30,7 @@ def op3_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), short=True)
 
 
 def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

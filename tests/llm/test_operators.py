@@ -272,6 +272,29 @@ def test_line_dedup_large_group(spark):
     assert {r.doc_id for r in line_dedup.dedup_lines(rows).collect()} == set(range(150)) - want
 
 
+def test_short_lines_are_removed_where_asked(spark, tmp_path):
+    import corpus_pipeline
+    from loomspark.llm import queries
+
+    texts = ["All rights reserved.\nko ko ko ko ko ko\n\na b c d e", "reserved. all RIGHTS\nall rights\n\nx", "a b c d\nko", "All rights reserved.", None, "all rights reserved. ok"]
+    want = {0: set(), 1: {0}, 2: {0, 1}, 3: {0}, 4: set(), 5: set()}
+    before: list[frozenset] = []
+    gone: dict[int, set] = {i: set() for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n") if t is not None else []):
+            s = line_dedup.word_set(line)
+            if s and any(line_dedup.similar(b, s) for b in before):
+                gone[i].add(k)
+            before += [s] if s else []
+    assert gone == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_removed for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: len(g) for i, g in gone.items()}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r._id: set(r.lines) for r in line_dedup.removed_lines(docs, short=True).collect()} == {i: g for i, g in gone.items() if g}
+    assert {r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()} == {0, 1, 4, 5}
+
+
 # ---- near duplicates --------------------------------------------------------------------------------------------
 
 
