@@ -373,6 +373,25 @@ def test_decontamination(spark, empty):
     assert decontaminate.report(empty, bench).count() == 0
 
 
+def test_every_pattern_of_two_substitutions_is_found(spark):
+    import itertools
+
+    rng = random.Random(14)
+    cases = []
+    for n in (12, 13, 14, 15):
+        item = [f"i{n}a{k}" for k in range(n)]
+        places = [p for r in (1, 2, 3) for p in itertools.combinations(range(n), r)]
+        window = min(n, decontaminate.WINDOW)
+        good = [p for p in places if any(sum(s <= x < s + window for x in p) <= 2 for s in range(n - window + 1))]
+        for p in good:
+            text = [f"x{k}" if k in p else w for k, w in enumerate(item)]
+            cases.append((n, [f"f{rng.randrange(10**6)}" for _ in range(3)] + text + ["end"]))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (_, w) in enumerate(cases)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}a{k}" for k in range(n))) for n in (12, 13, 14, 15)], "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.report(docs, bench).where("contaminated").collect()}
+    assert len(cases) > 400 and found == set(range(len(cases)))
+
+
 # ---- quality score --------------------------------------------------------------------------------------------------
 
 
