@@ -11,14 +11,16 @@ Inside a block white space becomes one space, ``br`` included; two ``br`` in a r
 Character references are decoded. Blocks are joined by an empty line. Nothing else is dropped or capped.
 
 Edge cases: null, empty or text-free html gives an empty string; unclosed and mis-nested tags are
-followed by their names; an unclosed boilerplate element ends at the next block of its parent's kind;
-a cut-off tag at the end is markup; repeated rows, null ids and extra columns pass through.
+followed by their names; a paragraph, list item or table cell ends where the next one starts, and any
+element where an enclosing one ends; a boilerplate element whose end tag is lost ends at the next element
+of its own or its parent's kind, else at the next block; a cut-off tag at the end is markup; repeated rows, null ids and extra columns pass through.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +46,17 @@ BOILERPLATE_NAMES = re.compile(
     re.IGNORECASE,
 )
 CONTENT = frozenset(("article", "main"))
+# Start tags that end an open element of the second set, unless one of the third stands between.
+TABLE = frozenset(("table", "caption", "html"))
+SCOPE = TABLE | frozenset(("td", "th", "button", "object"))
+PARAGRAPH_ENDS = BLOCK - frozenset("body caption html legend tbody td tfoot th thead tr".split())
+LISTS = (BLOCK - frozenset("address div p li dd dt".split())) | SCOPE
+CELLS, ROWS, GROUPS = frozenset(("td", "th")), frozenset(("tr",)), frozenset(("tbody", "thead", "tfoot"))
+IMPLIED = {
+    "li": (frozenset(("li",)), LISTS), "dd": (frozenset(("dd", "dt")), LISTS), "dt": (frozenset(("dd", "dt")), LISTS),
+    **dict.fromkeys(CELLS, (CELLS, TABLE | ROWS)), "tr": (CELLS | ROWS, TABLE | GROUPS), **dict.fromkeys(GROUPS, (CELLS | ROWS | GROUPS, TABLE)),
+}
+OPTIONAL_END = frozenset(("p", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
@@ -94,47 +107,109 @@ class _Lines:
         self.rows.append(("", 0, self.inside > 0))
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    out, at, links, breaks = _Lines(), 0, 0, 0
-    skip: str | None = None  # name of the boilerplate element being passed over
-    depth = 0
-    tokens = list(TOKEN.finditer(page))
-    closes: dict[str, int] = {}
-    for m in tokens:
-        if (m[1] or m[4]) == "/":
-            closes[(m[2] or m[5]).lower()] = m.start()
-    for m in tokens:
+def _markup(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, without those in raw text; comments have an empty name, raw elements are one tag."""
+    out, at = [], 0
+    for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        between = page[at : m.start()]
         at = m.end()
-        if between and skip is None:
+        name, closing, attrs = (m[2] or m[5] or "").lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        if name in RAW and not closing and not attrs.rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            if end:
+                at = end.end()
+            elif name not in ("head", "title"):
+                at = len(page)
+        out.append((m.start(), at, name, closing, attrs))
+    return out
+
+
+def _boilerplate_ends(tags: list[tuple[int, int, str, bool, str]], size: int) -> dict[int, int]:
+    """Where each boilerplate element ends, by the number of its start tag."""
+    ends: dict[int, int] = {}
+    lost: dict[int, tuple[str, str]] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()  # names on the stack, so that it is only searched for what is there
+
+    def pop(depth: int, at: int, closed: bool) -> None:
+        while len(stack) > depth:
+            name, k = stack.pop()
+            held[name] -= 1
+            if k < 0:
+                continue
+            ends[k] = at
+            if not (closed and len(stack) == depth) and (name not in OPTIONAL_END or at == size):
+                lost[k] = (name, stack[-1][0] if stack else "")
+
+    def end_open(names: frozenset, barrier: frozenset, at: int) -> None:
+        if not any(held[n] for n in names):
+            return
+        for j in range(len(stack) - 1, -1, -1):
+            if stack[j][0] in names:
+                pop(j, at, True)
+            elif stack[j][0] in barrier:
+                break
+
+    paragraph = frozenset(("p",))
+    for k, (at, _, name, closing, attrs) in enumerate(tags):
+        if not name or name in VOID or name in RAW:
+            continue
+        if closing:
+            barrier = frozenset() if name in TABLE or name in CONTENT or name == "body" else TABLE if name in CELLS | ROWS | GROUPS else SCOPE if name in BLOCK else BLOCK
+            for j in range(len(stack) - 1, -1, -1) if held[name] else ():
+                if stack[j][0] == name:
+                    pop(j, at, True)
+                    break
+                if stack[j][0] in barrier:
+                    break
+        else:
+            if name in PARAGRAPH_ENDS:
+                end_open(paragraph, SCOPE, at)
+            if name in IMPLIED:
+                end_open(*IMPLIED[name], at)
+            held[name] += 1
+            stack.append((name, k if _is_boilerplate(name, attrs) else -1))
+    pop(0, size, False)
+    for k, (own, parent) in lost.items():
+        block = None
+        for i in range(k + 1, len(tags)):
+            at, _, name, closing, _ = tags[i]
+            if at >= ends[k]:
+                ends[k] = ends[k] if block is None else block
+                break
+            if not closing and (name in CONTENT or name in (own, parent)):
+                ends[k] = at
+                break
+            if not closing and name in BLOCK and block is None:
+                block = at
+        else:
+            ends[k] = block if block is not None else tags[k][1]
+    return ends
+
+
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    out, at, links, breaks = _Lines(), 0, 0, 0
+    skip = 0  # where the boilerplate element being passed over ends
+    tags = _markup(page)
+    ends = _boilerplate_ends(tags, len(page))
+    for k, (start, stop, name, closing, _) in enumerate(tags):
+        between = page[at:start]
+        if between and at >= skip:
             out.text(between, links > 0)
             if not between.isspace():
                 breaks = 0
-        raw = m[2] or m[5]
-        if raw is None:
+        at = stop
+        if not name:
             continue
-        name, closing, attrs = raw.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name in RAW:
-            if not closing and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                if end:
-                    at = end.end()
-                elif name not in ("head", "title"):
-                    at = len(page)
-            if skip is None and name in BLOCK:
+            if start >= skip and name in BLOCK:
                 out.close()
             continue
-        if skip is not None:
-            if name == skip:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = None
-            elif name in CONTENT:
-                skip = None  # an article is no part of boilerplate that was left open
-                out.inside += 0 if closing else 1
-            continue
+        if start < skip:
+            if name not in CONTENT:
+                continue
+            skip = 0  # an article is no part of boilerplate
         if name == "br":
             breaks += 1
             if breaks == 2:
@@ -147,17 +222,16 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             out.close()
             out.inside = max(0, out.inside + (-1 if closing else 1))
             continue
-        if not closing and name not in VOID and _is_boilerplate(name, attrs):
+        if k in ends:
             if name in BLOCK:
                 out.gap()
-            if closes.get(name, -1) >= m.end():
-                skip, depth = name, 1
+            skip = ends[k]
             continue
         if name == "a":
             links = 0 if closing else 1
         if name in BLOCK:
             out.close()
-    if skip is None and at < len(page):
+    if at >= skip and at < len(page):
         out.text(page[at:].rpartition("<")[0] if re.search(r"<[/!a-zA-Z]?[^<>]*\Z", page[at:]) else page[at:], False)
     out.close()
     return out.rows

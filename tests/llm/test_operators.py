@@ -469,6 +469,22 @@ def test_pages(page, text):
     assert html_text.extract_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p class="notice">Cookies<p>Main one.</p><p>Main two.</p>', "Main one.\n\nMain two."),
+        ('<article><p class="notice">Cookies<p>Main one.</p><p>Main two.</p></article>', "Main one.\n\nMain two."),
+        ('<article><ul><li class="share">Tweet<li>First<li>Second</ul><p>Last</p></article>', "First\n\nSecond\n\nLast"),
+        ('<article><dl><dt class="ad">Buy<dd>One</dl><table><tr><td class="menu">Links<td>Cell<tr><td>Next</table></article>', "One\n\nCell\n\nNext"),
+        ('<article><div class="ad">Buy<div>Main one.</div><div>Main two.</div></article>', "Main one.\n\nMain two."),
+        ('<section><nav><a href=x>Menu</a></section><p>Main</p><nav>x</nav>', "Main"), ('<div class="ad">Buy<p>Main</p>', "Main"),
+        ('<article><div class="ad">Buy<div>now</div>more</div><p>Main</p></article>', "Main"),
+    ],
+)
+def test_pages_with_lost_end_tags(page, text):
+    assert html_text.extract_text(page) == text
+
+
 def test_page_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>ä b</p>", 5), (None, None, None, 6)], "page_id long, url string, html string, text long")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(rows).collect()] == [(1, "ä b", 3), (None, "", 0)]
