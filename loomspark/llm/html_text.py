@@ -4,8 +4,9 @@ Markup is stripped into lines, one for each block element; the text of menus, he
 sidebars, notices, adverts, forms, comment sections and the like leaves empty lines in its place, and
 so do blocks that are mostly links. Text lengths are summed over sliding windows of ``WINDOW``
 lines. A surge is where the sum rises from nothing over ``SURGE`` characters, a dive where it falls to
-nothing again; text between a surge and its dive is kept. An ``article`` or ``main`` element marks its
-own text as such a stretch, however short its lines are. If no stretch surges, the heaviest one is kept.
+nothing again; text between a surge and its dive is kept, on every page. An ``article`` or ``main`` element
+adds ``SURGE`` to the weight of its own stretches, so that these count however short their lines are, links
+or not; text outside is judged by the windows alone. If no stretch surges, the heaviest one is kept.
 
 Inside a block white space becomes one space, ``br`` included; two ``br`` in a row end the block.
 Character references are decoded. Blocks are joined by an empty line. Nothing else is dropped or capped.
@@ -239,26 +240,22 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_blocks(page: str) -> list[str]:
     rows = page_lines(page)
-    marked = any(inside and line for line, _, inside in rows)
-    length = [0 if not marked and link > LINK_SHARE * len(line) else len(line) for line, link, _ in rows]
+    length = [0 if not inside and link > LINK_SHARE * len(line) else len(line) for line, link, inside in rows]
     sums, total = [], 0
     for i, n in enumerate(length):
         total += n - (length[i - WINDOW] if i >= WINDOW else 0)
         sums.append(total)
-    stretches: list[tuple[int, int, int, bool]] = []  # start, end, weight, marked
+    stretches: list[tuple[int, int, int]] = []  # start, end, weight
     start = None
     for i in range(len(rows) + 1):
         live = i < len(rows) and length[i] > 0 and (start is None or rows[i][2] == rows[start][2])
         if start is not None and not live:
-            stretches.append((start, i, max(sums[start:i]), rows[start][2]))
+            stretches.append((start, i, max(sums[start:i]) + (SURGE if rows[start][2] else 0)))
             start = None
         if start is None and i < len(rows) and length[i] > 0:
             start = i
-    if marked:
-        keep = [s for s in stretches if s[3]]
-    else:
-        keep = [s for s in stretches if s[2] >= SURGE] or sorted(stretches, key=lambda s: (-s[2], s[0]))[:1]
-    return [rows[i][0] for a, b, _, _ in keep for i in range(a, b)]
+    keep = [s for s in stretches if s[2] >= SURGE] or sorted(stretches, key=lambda s: (-s[2], s[0]))[:1]
+    return [rows[i][0] for a, b, _ in keep for i in range(a, b)]
 
 
 def extract_text(page: str | None) -> str:

@@ -485,6 +485,21 @@ def test_pages_with_lost_end_tags(page, text):
     assert html_text.extract_text(page) == text
 
 
+BODY = [f"Paragraph {k} of the body tells in some forty words what the page is about, as a page without marks does, and goes on for a while." for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    ("head", "kept"),
+    [
+        ("", []), ("<article><h2>Teaser</h2></article>", ["Teaser"]), ("<main><h1>Title</h1></main><ul><li><a href=x>Some other page of this site</a></ul>", ["Title"]),
+        ("<div>Log in</div><hr><div class=menu><a href=y>Home</a></div>", []),
+    ],
+)
+def test_windows_choose_with_and_without_articles(head, kept):
+    page = f"<body>{head}<nav>x</nav><div id=text>{''.join(f'<p>{p}</p>' for p in BODY)}</div><footer>c</footer><div><a href=z>Imprint and all that belongs to it, in one long link that is longer than a surge</a></div></body>"
+    assert html_text.main_blocks(page) == kept + BODY
+
+
 def test_page_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>ä b</p>", 5), (None, None, None, 6)], "page_id long, url string, html string, text long")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(rows).collect()] == [(1, "ä b", 3), (None, "", 0)]
