@@ -26,7 +26,9 @@ MIN_WORDS_TO_JUDGE = 50
 # The limit on character classes widens for short texts, whose shares scatter more.
 MAX_CHAR_DISTANCE = 0.18
 SHORT_TEXT_SLACK = 0.6
-MAX_WORD_DISTANCE = 0.45
+# A text without a common word of its language has distance 0.360 (en), 0.308 (de), 0.390 (es) or 0.364 (fr), clean texts
+# at most 0.326 in sf0.1. The SQL states one limit for all languages, so German texts without common words still pass.
+MAX_WORD_DISTANCE = 0.345
 
 # Reference histograms: fixed values. Character classes are lower-case letters, upper-case letters,
 # digits, white space, symbols of SYMBOLS, and everything else (punctuation).

@@ -101,6 +101,18 @@ def test_rules_reject_and_keep(spark):
     assert got[1] == got[5] or got[1]
 
 
+def test_rules_reject_texts_without_common_words(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("ka lo mi ne tu ra so vi".split()) for _ in range(rng.randint(2, 3)))
+    salad = " ".join((" ".join(word() for _ in range(12)).capitalize() + ".") for _ in range(40))
+    few = lambda k: " ".join(word() for _ in range(k))
+    english = " ".join(f"The {few(5)} of the {few(4)} and {few(4)} in a {few(3)} to {few(3)}." for _ in range(40))
+    rows = [(1, salad, "en"), (2, salad, "es"), (3, salad, "fr"), (4, english, "es"), (5, english, "fr"), (6, english, "en")]
+    got = {r.doc_id: r._q for r in quality_rules.score_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(q.base_failed or q.char_distance > quality_rules.MAX_CHAR_DISTANCE for q in got.values())
+    assert {i for i, q in got.items() if q.kept} == {6}
+
+
 def test_keep_good_columns(docs, empty):
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns
