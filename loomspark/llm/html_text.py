@@ -1,15 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element; the text of menus, headers, footers,
-sidebars, notices, adverts, forms, comment sections and the like leaves empty lines in its place, and
-so do blocks that are mostly links. Text lengths are summed over sliding windows of ``WINDOW``
-lines. A surge is where the sum rises from nothing over ``SURGE`` characters, a dive where it falls to
-nothing again; text between a surge and its dive is kept, on every page. An ``article`` or ``main`` element
-adds ``SURGE`` to the weight of its own stretches, so that these count however short their lines are, links
-or not; text outside is judged by the windows alone. If no stretch surges, the heaviest one is kept.
-
-Inside a block white space becomes one space, ``br`` included; two ``br`` in a row end the block.
-Character references are decoded. Blocks are joined by an empty line. Nothing else is dropped or capped.
+Markup is stripped into lines, one for each block element. Menus, headers, footers, sidebars and other
+page furniture leave ``WINDOW`` empty lines in their place, adverts, notices, comments and the like
+inside a text leave one. A line weighs its characters outside links, and weights are summed over
+sliding windows of ``WINDOW`` lines. A stretch surges where a window's sum rises from nothing and dives where it
+falls to nothing again; it is kept if a window in it reaches ``SURGE``, with every line from its first to its
+last that weighs something, so that a paragraph that is one link stays where text surrounds it. An ``article`` or
+``main`` element adds ``SURGE`` to its own stretches and counts its links as text, so that these count
+however short their lines are; text outside is judged by the windows alone. If no stretch is kept, the heaviest one is.
+
+An ``article`` within boilerplate (a teaser in a sidebar, a reader's comment) belongs to the boilerplate. Inside a
+block white space becomes one space, ``br`` included; two ``br`` in a row end the block. Character
+references are decoded. Blocks are joined by an empty line. Nothing else is dropped or capped.
 
 Edge cases: null, empty or text-free html gives an empty string; unclosed and mis-nested tags are
 followed by their names; a paragraph, list item or table cell ends where the next one starts, and any
@@ -29,7 +31,6 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 80
-LINK_SHARE = 0.6
 
 # Element and attribute names: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,12 +41,15 @@ BLOCK = frozenset(
 RAW = frozenset("script style noscript template textarea title xmp iframe noframes svg math head".split())
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog object audio video canvas label input fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adsense|banner|breadcrumb|breadcrumbs|byline-share|comment|comments|commentlist|consent|cookie|cookies|"
-    r"disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo|promoted|promotion|related|"
-    r"respond|share|sharing|sidebar|sidenav|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget|widgets)(?:$|[-_\s])",
-    re.IGNORECASE,
+FURNITURE = frozenset("nav header footer aside form menu dialog".split())
+BOILERPLATE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
+    "header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond share sharing sidebar sidenav signup skip "
+    "social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
+FURNITURE_NAMES = frozenset("breadcrumb breadcrumbs footer header masthead menu nav navbar navigation sidebar sidenav toolbar topbar widget widgets".split())
+ARTICLE_NAMES = frozenset("ad advert comment comments promo promoted related reply response sponsored teaser".split())
+LAYOUT = frozenset("has is no with without".split())
 CONTENT = frozenset(("article", "main"))
 # Start tags that end an open element of the second set, unless one of the third stands between.
 TABLE = frozenset(("table", "caption", "html"))
@@ -63,24 +67,42 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
+HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(raw):
+        out.setdefault(key.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return out
+
+
+def _names(attrs: dict[str, str]) -> Iterator[list[str]]:
+    """The parts of each class and of the id, without those that describe a layout (``has-sidebar``)."""
+    for token in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
+        parts = re.split("[-_]", token)
+        if parts[0] not in LAYOUT:
+            yield parts
 
 
-def _is_boilerplate(name: str, attrs: str) -> bool:
+def _is_boilerplate(name: str, raw: str) -> bool:
     if name in BOILERPLATE:
         return True
-    if name in ("html", "body", "article", "main") or not attrs:
+    if name in ("html", "body", "main") or not raw:
         return False
-    for key, value in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and BOILERPLATE_NAMES.search(value):
-            return True
-        if key == "role" and value.lower() in BOILERPLATE_ROLES:
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
-    return False
+    attrs = _attributes(raw)
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
+        return True
+    if name == "article":
+        return any(parts[0] in ARTICLE_NAMES for parts in _names(attrs))
+    return attrs.get("role", "").lower() in BOILERPLATE_ROLES or any(not BOILERPLATE_NAMES.isdisjoint(parts) for parts in _names(attrs))
+
+
+def _is_furniture(name: str, raw: str) -> bool:
+    """Whether a boilerplate element stands between texts rather than inside one."""
+    return name in FURNITURE or any(not FURNITURE_NAMES.isdisjoint(parts) for parts in _names(_attributes(raw)))
 
 
 class _Lines:
@@ -103,9 +125,9 @@ class _Lines:
             self.rows.append((line, self.link, self.inside > 0))
         self.parts, self.link = [], 0
 
-    def gap(self) -> None:
+    def gap(self, lines: int) -> None:
         self.close()
-        self.rows.append(("", 0, self.inside > 0))
+        self.rows.extend([("", 0, self.inside > 0)] * lines)
 
 
 def _markup(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -194,7 +216,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     skip = 0  # where the boilerplate element being passed over ends
     tags = _markup(page)
     ends = _boilerplate_ends(tags, len(page))
-    for k, (start, stop, name, closing, _) in enumerate(tags):
+    for k, (start, stop, name, closing, attrs) in enumerate(tags):
         between = page[at:start]
         if between and at >= skip:
             out.text(between, links > 0)
@@ -208,9 +230,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 out.close()
             continue
         if start < skip:
-            if name not in CONTENT:
-                continue
-            skip = 0  # an article is no part of boilerplate
+            continue
         if name == "br":
             breaks += 1
             if breaks == 2:
@@ -219,15 +239,15 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 out.text(" ", False)
             continue
         breaks = 0
-        if name in CONTENT:
-            out.close()
-            out.inside = max(0, out.inside + (-1 if closing else 1))
-            continue
         if k in ends:
             if name in BLOCK:
-                out.gap()
+                out.gap(WINDOW if _is_furniture(name, attrs) else 1)
             skip = ends[k]
             continue
+        if name in CONTENT:
+            out.close()
+            out.inside = max(0, out.inside + (-1 if closing else 1))
+            continue
         if name == "a":
             links = 0 if closing else 1
         if name in BLOCK:
@@ -238,24 +258,34 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return out.rows
 
 
+def line_weights(rows: list[tuple[str, int, bool]]) -> list[int]:
+    """Characters of each line without those of links; a page of nothing but links is weighed with them."""
+    weights = [len(line) if inside else max(0, len(line) - link) for line, link, inside in rows]
+    return weights if any(weights) else [len(line) for line, _, _ in rows]
+
+
 def main_blocks(page: str) -> list[str]:
     rows = page_lines(page)
-    length = [0 if not inside and link > LINK_SHARE * len(line) else len(line) for line, link, inside in rows]
-    sums, total = [], 0
-    for i, n in enumerate(length):
-        total += n - (length[i - WINDOW] if i >= WINDOW else 0)
-        sums.append(total)
-    stretches: list[tuple[int, int, int]] = []  # start, end, weight
-    start = None
-    for i in range(len(rows) + 1):
-        live = i < len(rows) and length[i] > 0 and (start is None or rows[i][2] == rows[start][2])
-        if start is not None and not live:
-            stretches.append((start, i, max(sums[start:i]) + (SURGE if rows[start][2] else 0)))
-            start = None
-        if start is None and i < len(rows) and length[i] > 0:
-            start = i
+    weights = line_weights(rows)
+    stretches: list[tuple[int, int, int]] = []  # first line, end, heaviest window
+    at = 0
+    while at < len(rows):
+        inside, end = rows[at][2], at
+        while end < len(rows) and rows[end][2] == inside:
+            end += 1
+        weight = weights[at:end] + [0] * WINDOW
+        first, last, total, top = -1, -1, 0, 0  # first and last line with weight since the surge
+        for i, w in enumerate(weight):
+            total += w - (weight[i - WINDOW] if i >= WINDOW else 0)
+            if w:
+                first, last = i if first < 0 else first, i
+            top = max(top, total)
+            if total == 0 and first >= 0:
+                stretches.append((at + first, at + last + 1, top + (SURGE if inside else 0)))
+                first, top = -1, 0
+        at = end
     keep = [s for s in stretches if s[2] >= SURGE] or sorted(stretches, key=lambda s: (-s[2], s[0]))[:1]
-    return [rows[i][0] for a, b, _ in keep for i in range(a, b)]
+    return [rows[i][0] for a, b, _ in keep for i in range(a, b) if rows[i][0]]
 
 
 def extract_text(page: str | None) -> str:
