@@ -9,6 +9,10 @@ are decoded by Viterbi in numpy batches. A span that overlaps a base span is dro
 
 Offsets are code points, end exclusive.
 
+Limits of the features, none of them of the search: a place sees ``CONTEXT`` tokens on each side, those before it within
+``REACH`` characters each; the shape of a token is that of its first ``SHAPED`` characters. Every token of
+every text is looked at, whatever its length, and scanning takes time in proportion to the text.
+
 Edge cases: null text is empty and has no spans; digits and letters are ASCII in the patterns; a doc
 without any suspicious token costs one scan; repeated rows, null ids and extra columns pass through.
 """
@@ -28,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone", "identity", "secret")
 BASE_KINDS = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match can only start where its run of digits does, so long runs are passed over once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NON_DIGIT = re.compile(r"[^0-9]")
@@ -81,7 +86,9 @@ EPOCHS = 120
 RATE = 0.15
 PENALTY = 1e-3
 CONTEXT = 4
-SUSPICIOUS = re.compile(r"\S*(?:[0-9@=]|[(\[](?:at|dot)[)\]])\S*")
+REACH = 200
+SHAPED = 64
+SUSPICIOUS = re.compile(r"[0-9@=]|[(\[](?:at|dot)[)\]]")
 TOKEN = re.compile(r"\S+")
 KEY_WORDS = frozenset("password passwd pwd secret token api_key apikey key credential auth bearer".split())
 CALL_WORDS = frozenset("call phone tel telephone mobile fax dial ring".split())
@@ -95,7 +102,7 @@ def _bucket(name: str) -> int:
 def shape(token: str) -> str:
     """Letters and digits by class, with run lengths up to 4."""
     out, last, run = [], "", 0
-    for c in token[:64]:
+    for c in token[:SHAPED]:
         k = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         run = run + 1 if k == last else 1
         if run <= 4:
@@ -104,8 +111,11 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=200_000)
 def token_features(token: str) -> tuple[int, ...]:
+    return _features(token) if len(token) > SHAPED else _cached_features(token)
+
+
+def _features(token: str) -> tuple[int, ...]:
     core = token.strip(".,;:!?\"'()[]")
     low = core.lower()
     s = shape(core)
@@ -125,6 +135,9 @@ def token_features(token: str) -> tuple[int, ...]:
     return tuple(_bucket(n) for n in names)
 
 
+_cached_features = lru_cache(maxsize=100_000)(_features)
+
+
 def encode(tokens: list[str]) -> np.ndarray:
     """Feature ids (token, PER_TOKEN)."""
     return np.array([token_features(t) for t in tokens], np.int32).reshape(len(tokens), PER_TOKEN)
@@ -270,35 +283,41 @@ def labelled_table(rows: int = 60, seed: int = 7) -> list[tuple[list[str], list[
     return table
 
 
+def _token_before(text: str, end: int, least: int) -> tuple[int, int] | None:
+    """The token that ends before ``end``, not before ``least``; cut where it is longer than REACH."""
+    low = max(least, end - REACH)
+    while end > low and text[end - 1].isspace():
+        end -= 1
+    start, low = end, max(least, end - REACH)
+    while start > low and not text[start - 1].isspace():
+        start -= 1
+    return (start, end) if start < end else None
+
+
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token offsets of the stretches around suspicious tokens."""
+    """Token offsets of the stretches around suspicious tokens: each with CONTEXT tokens on both sides, stretches that touch in one."""
     out: list[list[tuple[int, int]]] = []
-    for m in SUSPICIOUS.finditer(text):
-        if out and m.start() < out[-1][-1][1]:
-            continue
-        lo, before = m.start(), []
-        for _ in range(CONTEXT):
-            end = lo
-            while end > 0 and text[end - 1].isspace() and m.start() - end < 200:
-                end -= 1
-            start = end
-            while start > 0 and not text[start - 1].isspace() and end - start < 100:
-                start -= 1
-            if start == end or out and start < out[-1][-1][1]:
-                break
-            before.append((start, end))
-            lo = start
-        tokens, at = [*reversed(before), (m.start(), m.end())], m.end()
-        for _ in range(CONTEXT):
-            n = TOKEN.search(text, at, at + 300)
-            if not n:
-                break
-            tokens.append((n.start(), n.end()))
-            at = n.end()
-        if out and before and before[-1][0] - out[-1][-1][1] <= 1 or out and tokens[0][0] - out[-1][-1][1] <= 1:
-            out[-1].extend(tokens)
+    end = 0  # of the last stretch
+    hint = SUSPICIOUS.search(text)
+    while hint:
+        if hint.start() < end:
+            place = next(i for i in range(len(out[-1]) - 1, -1, -1) if out[-1][i][0] <= hint.start())
         else:
-            out.append(tokens)
+            start = hint.start()
+            while start > end and not text[start - 1].isspace():
+                start -= 1
+            before: list[tuple[int, int]] = []
+            while len(before) < CONTEXT and (t := _token_before(text, before[-1][0] if before else start, end)):
+                before.append(t)
+            if not out or text[end : before[-1][0] if before else start].strip():
+                out.append([])
+            out[-1] += [*reversed(before), TOKEN.match(text, start).span()]
+            place = len(out[-1]) - 1
+        token_end = out[-1][place][1]
+        while len(out[-1]) <= place + CONTEXT and (t := TOKEN.search(text, out[-1][-1][1])):
+            out[-1].append(t.span())
+        end = out[-1][-1][1]
+        hint = SUSPICIOUS.search(text, token_end)
     return out
 
 
@@ -351,14 +370,14 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
 
 
 def _finder(field: Field):
-    schema = pa.schema([("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    schema = pa.schema([("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("has_any", pa.bool_())])
     name = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = find([t or "" for t in batch.column(1).to_pylist()], field)
             cols = [[sum(s[0] == k for s in base) for base, _ in found] for k in BASE_KINDS]
-            cols += [[hashlib.sha256(name(base).encode()).hexdigest() for base, _ in found], [name(every) for _, every in found], [len(every) - len(base) for base, every in found]]
+            cols += [[hashlib.sha256(name(base).encode()).hexdigest() for base, _ in found], [name(every) for _, every in found], [len(every) - len(base) for base, every in found], [bool(every) for _, every in found]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]], names=["doc_id", *schema.names])
 
     return run
@@ -370,11 +389,11 @@ def default_field() -> Field:
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """A row per document: counts and digest of the base spans, and all spans as kind:start:end."""
+    """A row per document: counts and digest of the base spans, all spans as kind:start:end, how many the field added, and whether there is any."""
     kind = dict(docs.dtypes)["doc_id"]
     weights = docs.sparkSession.sparkContext.broadcast(field or default_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _finder(weights.value)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, has_any boolean")
