@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,19 +43,52 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), f"loomspark-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", own)
+    spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet under the scratch folder and return the table read back.
 
-    Cuts lineage like a reliable checkpoint, but stays columnar, so later readers prune columns.
+    Cuts lineage like a reliable checkpoint, but stays columnar, so later readers prune columns. ``keep``: the table outlives the
+    innermost ``temporary_tables`` block.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/loomspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned, once nothing lazy depends on it."""
+    path = _tables.pop(df, None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialize`` wrote inside, but for what was written with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
