@@ -36,7 +36,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages")))
     h = F.col("headers")
-    return done.select(F.col("record_id").alias("page_id"), "canonical_url", "is_revisit", "refers_to", "resolved", *[h[k].alias(n) for k, n in (("date", "date"), ("etag", "etag"), ("content-length", "content_length"))])
+    named = [h[k].alias(k.replace("-", "_")) for k in ("date", "etag", "last-modified", "content-length", "content-type", "cache-control")]
+    return done.select("record_id", "canonical_url", "is_revisit", "refers_to", "resolved", *named)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,20 +55,29 @@ def op9() -> str:
 
 def op5() -> str:
     return """
-    WITH b AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+    WITH b AS (SELECT page_id, url, md5(coalesce(html, '')) AS tag, length(coalesce(html, ''))::VARCHAR AS size, (page_id // 10)::VARCHAR AS day,
+                      regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
     p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[.]', '') AS host,
                  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
                  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
                      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid)='))), '&') AS query
           FROM b),
-    r AS (SELECT page_id, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url,
-                 coalesce(page_id % 2 = 1 OR regexp_matches(url, '[?#]'), false) AS is_revisit, md5(html) AS tag, length(html)::VARCHAR AS n
-          FROM p),
-    w AS (SELECT *, CASE WHEN is_revisit AND canonical_url IS NOT NULL THEN last_value(CASE WHEN NOT is_revisit THEN page_id END IGNORE NULLS)
-                 OVER (PARTITION BY canonical_url ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS refers_to FROM r)
-    SELECT w.page_id, w.canonical_url, w.is_revisit, w.refers_to, CASE WHEN w.is_revisit THEN coalesce(w.tag = a.tag, false) END AS resolved,
-           w.page_id::VARCHAR AS date, w.tag AS etag, CASE WHEN NOT w.is_revisit THEN w.n WHEN w.tag = a.tag THEN a.n END AS content_length
-    FROM w LEFT JOIN r a ON a.page_id = w.refers_to
+    u AS (SELECT page_id, tag, size, day, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url FROM p),
+    r AS (SELECT *, 8 * page_id AS id, 8 * page_id AS ts, false AS is_revisit, tag AS etag, day AS modified FROM u
+          UNION ALL SELECT *, 8 * page_id + 1, 8 * page_id + 1, true, 'W/' || tag, NULL FROM u WHERE page_id % 3 = 0
+          UNION ALL SELECT *, 8 * page_id + 2, 8 * page_id + 2, true, md5(tag), NULL FROM u WHERE page_id % 3 = 1
+          UNION ALL SELECT *, 8 * page_id + 3, 8 * page_id + 3, true, NULL, CASE WHEN page_id % 2 = 0 THEN day ELSE 'later' END FROM u WHERE page_id % 3 = 2
+          UNION ALL SELECT *, 8 * page_id + 4, 8 * page_id + 4, true, NULL, NULL FROM u WHERE page_id % 5 = 0
+          UNION ALL SELECT *, 8 * page_id + 5, 8 * page_id - 1, true, tag, NULL FROM u WHERE page_id % 7 = 0),
+    a AS (SELECT r.*, f.id AS refers_to, f.tag AS f_tag, f.day AS f_day, f.size AS f_size
+          FROM r ASOF LEFT JOIN (SELECT * FROM r WHERE NOT is_revisit) f ON r.canonical_url = f.canonical_url AND r.ts > f.ts),
+    v AS (SELECT *, CASE WHEN NOT is_revisit THEN NULL WHEN refers_to IS NULL THEN false WHEN etag IS NOT NULL THEN replace(etag, 'W/', '') = f_tag
+                         WHEN modified IS NOT NULL THEN modified = f_day ELSE false END AS resolved FROM a)
+    SELECT id AS record_id, canonical_url, is_revisit, CASE WHEN is_revisit THEN refers_to END AS refers_to, resolved, ts::VARCHAR AS date,
+           CASE WHEN resolved AND etag IS NULL THEN f_tag ELSE etag END AS etag, CASE WHEN resolved AND modified IS NULL THEN f_day ELSE modified END AS last_modified,
+           CASE WHEN NOT is_revisit THEN size WHEN resolved THEN f_size ELSE '0' END AS content_length,
+           CASE WHEN NOT is_revisit OR resolved THEN 'text/html' END AS content_type, CASE WHEN is_revisit THEN 'max-age=60' END AS cache_control
+    FROM v
     """
 
 

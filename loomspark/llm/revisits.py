@@ -77,21 +77,38 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def attach_payload(resolved: DataFrame, records: DataFrame, payload: str) -> DataFrame:
-    """resolved plus the payload: a response's own, or that of the response a resolved revisit stands for."""
+    """resolved plus the payload: a response's own, or that of the response a resolved revisit stands for; of a repeated id's payloads the least."""
     key = F.when(~F.col("is_revisit"), F.col("record_id")).when(F.col("resolved"), F.col("refers_to"))
-    source = records.where("NOT is_revisit").select(F.col("record_id").alias("_id"), payload)
+    source = records.where("NOT is_revisit").groupBy(F.col("record_id").alias("_id")).agg(F.min(payload).alias(payload))
     return resolved.join(source, key == F.col("_id"), "left").drop("_id")
 
 
+#: Numbers of a page's records: its response, then conditional fetches by kind.
+RESPONSE, SAME_TAG, OTHER_TAG, BY_TIME, NO_VALIDATOR, EARLY = range(6)
+
+
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A record for each captured page, in page_id order, as an archive writes them.
+    """Records of an archive that fetched each page once and some of them again: record_id is eight times page_id plus the kind, and so is the time.
 
-    Entity tag and digest are those of the html. Pages with an odd id, and those under an address with a query or a
-    fragment, are taken as conditional fetches that answered "not modified" with the tag; their html is not consulted.
+    Every page has a full response, whose entity tag and digest are those of the html; its modification time is a number that
+    ten pages share. By page_id, conditional fetches of the same address (with a fragment, which canonical form drops) follow: one in three
+    repeats the tag as a weak one, one in three sends another, one in three sends no tag but a modification time, right for even ids; one in five
+    has no validator at all; one in seven asks with the tag before the page itself was fetched.
     """
-    tag = F.md5(F.coalesce("html", F.lit("")))
-    conditional = F.coalesce((F.col("page_id") % 2 == 1) | F.col("url").rlike("[?#]"), F.lit(False))
-    headers = F.create_map(F.lit("content-length"), F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("date"), F.col("page_id").cast("string"), F.lit("etag"), tag)
-    own = F.when(conditional, F.map_filter(headers, lambda k, v: k != "content-length")).otherwise(headers)
-    none = F.lit(None).cast("string")
-    return pages.select(F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), conditional.alias("is_revisit"), tag.alias("etag"), none.alias("last_modified"), tag.alias("digest"), own.alias("headers"))
+    tag, at = F.md5(F.coalesce("html", F.lit(""))), F.col("page_id")
+    kinds = F.array(
+        F.lit(RESPONSE), *[F.when(at % 3 == i, F.lit(k)) for i, k in enumerate((SAME_TAG, OTHER_TAG, BY_TIME))], F.when(at % 5 == 0, F.lit(NO_VALIDATOR)), F.when(at % 7 == 0, F.lit(EARLY))
+    )
+    base = pages.select("page_id", "url", tag.alias("tag"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"), F.floor(at / 10).cast("string").alias("day"))
+    rows = base.withColumn("kind", F.explode(F.array_compact(kinds)))
+    k, none = F.col("kind"), F.lit(None).cast("string")
+    revisit = k != RESPONSE
+    etag = F.when(k.isin(RESPONSE, EARLY), F.col("tag")).when(k == SAME_TAG, F.concat(F.lit("W/"), "tag")).when(k == OTHER_TAG, F.md5("tag"))
+    modified = F.when(k == RESPONSE, F.col("day")).when(k == BY_TIME, F.when(at % 2 == 0, F.col("day")).otherwise("later"))
+    ts = F.when(k == EARLY, at * 8 - 1).otherwise(at * 8 + k)
+    headers = {"date": ts.cast("string"), "etag": etag, "last-modified": modified, "content-length": F.when(revisit, "0").otherwise(F.col("size")), "content-type": F.when(~revisit, "text/html"), "cache-control": F.when(revisit, "max-age=60")}
+    given = F.map_filter(F.create_map(*[x for n, v in headers.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    return rows.select(
+        (at * 8 + k).alias("record_id"), F.when(revisit, F.concat("url", F.lit("#again"))).otherwise(F.col("url")).alias("url"), ts.alias("ts"), revisit.alias("is_revisit"),
+        etag.alias("etag"), modified.alias("last_modified"), F.when(~revisit, F.col("tag")).otherwise(none).alias("digest"), given.alias("headers"),
+    )
