@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes
 every stage's rows as Parquet in the shared scratch folder and reads them back for the next one.
+
+Edge cases, for every stage: an empty table gives no rows; extra columns pass through, whatever their names; a null text is
+empty and fails the quality rules; null doc_ids are left alone by the stages that compare documents; rows that repeat a
+doc_id are documents of their own, of which near_dup keeps or drops all by their groups.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules
-from loomspark.session import materialize
+from loomspark.session import discard, materialize, temporary_tables
 from loomspark.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,7 +59,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed documents. What a stage wrote on its way, and the rows it was given, are deleted once its own rows are written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary_tables(spark):
+            given, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        discard(given)
     return docs

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.session import materialize
+from loomspark.session import discard, materialize
 
 
 def _state(links: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "links")
+        old, now = now, materialize(_small_star(_large_star(now)), "links")
+        discard(old)
         before, state = state, _state(now)
         if state == before:
             break
