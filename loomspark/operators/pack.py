@@ -5,6 +5,8 @@ Random choices are keyed by md5 of a seed and a key, so every run and every part
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,14 @@ def pack(rows: DataFrame, length: int, order: str, tokens: str = "tokens", two_l
     placed = offsets(rows.select(order, tokens, F.size(t).cast("long").alias("_n")).where("_n > 0"), order, "_n", "_at", two_level)
     first = F.floor(F.col("_at") / size)
     last = F.floor((F.col("_at") + F.col("_n") - 1) / size)
-    parts = placed.select(tokens, "_at", "_n", F.explode(F.sequence(first, last)).alias("seq_id"))
-    lo = F.greatest(F.col("seq_id") * size, F.col("_at"))
-    hi = F.least((F.col("seq_id") + 1) * size, F.col("_at") + F.col("_n"))
-    sliced = parts.select("seq_id", lo.alias("at"), F.slice(t, (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    def piece(block: Column) -> Column:
+        lo = F.greatest(block * size, F.col("_at"))
+        hi = F.least((block + 1) * size, F.col("_at") + F.col("_n"))
+        return F.struct(block.alias("seq_id"), lo.alias("at"), F.slice(t, (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    # Sliced before the explode, so that no row carries the tokens of the whole text.
+    sliced = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
     return sliced.groupBy("seq_id").agg(joined.alias("tokens")).where(F.size("tokens") == size)
 
@@ -164,16 +170,30 @@ def stratified_split(rows: DataFrame, stratum: str, key: str, ratio: float, seed
 # ---- augmentation and checks --------------------------------------------------------------------
 
 
+def _at_least(share: float) -> str:
+    """The least 8 hexadecimal digits whose value is at least that share of 2 ** 32."""
+    return f"{min(math.ceil(share * (1 << 32)), (1 << 32) - 1):08x}" if share < 1 else "g"
+
+
 def augment(tokens: Column, key: Column, mask_id: int, probability: float = 0.15, seed: int = 0, shuffle: bool = True) -> Column:
-    """Shuffles inside windows of three, then masks: 80 % mask, 10 % a random id below it, 10 % kept."""
-    moved = tokens
-    if shuffle:
-        placed = F.transform(tokens, lambda x, i: F.struct(F.floor(i / 3).alias("w"), hash_key(seed, "s", key, i).alias("h"), i.alias("i"), x.alias("x")))
-        moved = F.transform(F.array_sort(placed), lambda p: p["x"])
-    pick = lambda i: uniform(seed, "p", key, i)
-    kind = lambda i: uniform(seed, "k", key, i)
-    other = lambda i: F.floor(uniform(seed, "r", key, i) * mask_id).cast("int")
-    return F.transform(moved, lambda x, i: F.when(pick(i) >= probability, x).when(kind(i) < 0.8, F.lit(mask_id)).when((kind(i) < 0.9) & F.lit(mask_id > 0), other(i)).otherwise(x))
+    """Shuffles inside windows of three, then masks: 80 % mask, 10 % a random id below it, 10 % kept.
+
+    One md5 of seed, key and position gives four draws of 8 hexadecimal digits: whether the place is picked, how it is
+    changed, to which id, and the order of what stood there in its window. Digits compare like the numbers they write.
+    """
+    draws = F.transform(tokens, lambda _, i: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string"))))
+
+    def changed(d: Column) -> Column:
+        moved = tokens
+        if shuffle:
+            placed = F.transform(tokens, lambda x, i: F.struct((i - i % 3).alias("w"), F.substring(F.get(d, i), 25, 8).alias("s"), i.alias("i"), x.alias("x")))
+            moved = F.transform(F.array_sort(placed), lambda p: p["x"])
+        other = lambda h: F.floor(F.conv(F.substring(h, 17, 8), 16, 10).cast("long") * mask_id / float(1 << 32)).cast("int")
+        kind = lambda h: F.substring(h, 9, 8)
+        picked = lambda x, h: F.when(kind(h) < _at_least(0.8), F.lit(mask_id)).when((kind(h) < _at_least(0.9)) & F.lit(mask_id > 0), other(h)).otherwise(x)
+        return F.zip_with(moved, d, lambda x, h: F.when(h >= _at_least(probability), x).otherwise(picked(x, h)))
+
+    return F.get(F.transform(F.array(draws), changed), F.lit(0))  # binds the draws once
 
 
 def valid_batch(inputs: Column, targets: Column, vocabulary: int) -> Column:

@@ -35,11 +35,21 @@ def char_vocabulary(texts: DataFrame, min_frequency: int = 2, keep_bytes: bool =
     return chars.unionByName(numbers.select(F.format_string("<0x%02X>", "id").alias("token"), F.lit(0).cast("long").alias("n")))
 
 
+def _chars(text: Column) -> Column:
+    """The characters of a text; bound to a column of its own before it is used in a lambda, so that it is split once."""
+    return F.array_remove(F.split(text, ""), "")
+
+
+def _neighbours(chars: str) -> Column:
+    """Each two adjacent characters of an array, joined: linear in the line, as no substring is searched from its start."""
+    less = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.zip_with(F.slice(chars, 1, less), F.slice(chars, 2, less), lambda x, y: F.concat(x, y))
+
+
 def pair_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of each pair of adjacent characters inside a line."""
-    t = F.col(text)
-    pairs = F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: t.substr(i, F.lit(2))))
-    counted = lines(texts, text).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    chars = lines(texts, text).select(_chars(F.col(text)).alias("t"))
+    counted = chars.select(F.explode(_neighbours("t")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     return counted.select(F.substring("pair", 1, 1).alias("left_token"), F.substring("pair", 2, 1).alias("right_token"), "n")
 
 
@@ -85,9 +95,7 @@ def wordpiece_scores(texts: DataFrame, text: str = "text") -> DataFrame:
     """score = count(ab) / (count(a) * count(b)) for adjacent characters of words."""
     words = texts.select(F.explode(F.split(F.trim(F.col(text)), "\\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("m"))
     chars = words.select("m", F.explode(F.split("w", "")).alias("token")).where("token <> ''").groupBy("token").agg(F.sum("m").alias("n"))
-    w = F.col("w")
-    both = F.when(F.length(w) >= 2, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: w.substr(i, F.lit(2))))
-    pairs = words.select("m", F.explode(both).alias("pair")).groupBy("pair").agg(F.sum("m").alias("n"))
+    pairs = words.select("m", _chars(F.col("w")).alias("t")).select("m", F.explode(_neighbours("t")).alias("pair")).groupBy("pair").agg(F.sum("m").alias("n"))
     left = chars.select(F.col("token").alias("left_token"), F.col("n").alias("n_left"))
     right = chars.select(F.col("token").alias("right_token"), F.col("n").alias("n_right"))
     named = pairs.select(F.substring("pair", 1, 1).alias("left_token"), F.substring("pair", 2, 1).alias("right_token"), "n")
@@ -97,12 +105,11 @@ def wordpiece_scores(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def substring_counts(texts: DataFrame, longest: int, text: str = "text") -> DataFrame:
     """Occurrences of every substring of 1 to `longest` characters inside lines."""
-    t = F.col(text)
-    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(t) - i + 1)), lambda n: t.substr(i, n))
-    every = F.when(F.length(t) >= 1, F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), at)))
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - i + 1)), lambda n: F.array_join(F.slice("t", i, n), ""))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), at))
     # Equal lines are cut up once.
     rows = lines(texts, text).groupBy(text).agg(F.count("*").alias("m"))
-    return rows.select("m", F.explode(every).alias("token")).groupBy("token").agg(F.sum("m").alias("n"))
+    return rows.select("m", _chars(F.col(text)).alias("t")).where(F.size("t") > 0).select("m", F.explode(every).alias("token")).groupBy("token").agg(F.sum("m").alias("n"))
 
 
 def train_unigram(texts: DataFrame, size: int, longest: int = 10, text: str = "text") -> DataFrame:

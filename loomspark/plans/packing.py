@@ -99,13 +99,13 @@ def register(c: Catalog) -> None:
     def split_stratified(spark, sf_dir):
         return pack.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.1, SEED)
 
-    u = lambda tag: f"(('0x' || substr(md5('7:{tag}:' || doc_id || ':' || (i - 1)), 1, 8))::BIGINT / 4294967296.0)"
+    u = lambda at: f"(('0x' || substr(md5('7:' || doc_id || ':' || (i - 1)), {at}, 8))::BIGINT / 4294967296.0)"
 
     @c.query(
         "augment_mask_hash",
         f"""WITH t AS (SELECT doc_id, {CODES} AS x FROM documents), s AS (SELECT doc_id, i, x[i] AS tok FROM t, unnest(range(1, len(x) + 1)) AS r(i)),
-        o AS (SELECT doc_id, tok, row_number() OVER (PARTITION BY doc_id ORDER BY (i - 1) // 3, ('0x' || substr(md5('7:s:' || doc_id || ':' || (i - 1)), 1, 8))::BIGINT, i) AS i FROM s),
-        m AS (SELECT doc_id, i, CASE WHEN {u("p")} >= 0.15 THEN tok WHEN {u("k")} < 0.8 THEN 5000 WHEN {u("k")} < 0.9 THEN floor({u("r")} * 5000)::INT ELSE tok END AS tok FROM o)
+        o AS (SELECT doc_id, tok, row_number() OVER (PARTITION BY doc_id ORDER BY (i - 1) // 3, {u(25)}, i) AS i FROM s),
+        m AS (SELECT doc_id, i, CASE WHEN {u(1)} >= 0.15 THEN tok WHEN {u(9)} < 0.8 THEN 5000 WHEN {u(9)} < 0.9 THEN floor({u(17)} * 5000)::INT ELSE tok END AS tok FROM o)
         SELECT doc_id, md5(string_agg(tok::VARCHAR, ' ' ORDER BY i)) AS h FROM m GROUP BY 1""",
     )
     def augment_mask_hash(spark, sf_dir):
