@@ -6,17 +6,18 @@ representatives (smallest doc_id) go on. Each keeps the ``SKETCH`` smallest hash
 with probability 0.2 ** 24. Overlaps of a list are estimated from the bottom of the union of both
 sketches, and those that pass are confirmed on the full sets.
 
-A value of a passage that many documents share has a long list that says little. Two similar sets
-that meet in long lists only (over ``POPULAR`` documents) share at least a third of their posted
-values with those lists, but for a chance below 1e-6 (sets posted whole share four fifths), so a
-document stays in long lists only if that share of its posted values have one.
-
-Pairs inside a list are not all emitted. First each list links its members to its smallest one, then, for
-some rounds, those still apart to one drawn by a hash; what is confirmed is contracted into components. Then only pairs of a list that are still in different
-components are tried, so that no link between components is lost, while a group of thousands of near
-copies costs one pair for each copy. A pair is left out there only if the values it shares, with all those
-that either side did not post or keep, are too few for its set sizes, or if sets not posted whole share
-under ``SHARED`` values with all that were dropped counted as shared (chance below 1e-11 at 0.8).
+Pairs inside a list are not all emitted. First each list links its members to its smallest one; what is
+confirmed is contracted into components. Only links between components are still wanted, and lists that hold one
+component are done. Of the others, short lists (up to ``POPULAR`` documents) try all their pairs of different components.
+
+Long lists, of a passage that many documents share or of a family of edited copies, are settled by
+prefix lists on full sets, so that neither a list nor a pair in it has to be dropped. A document whose
+sketch shares under half of its values with other components cannot pass the union-sketch estimate and
+leaves. Of the rest, values that only one component holds cannot be shared across components: a document
+with over a fifth of these has no partner. What remains is ordered with those values first, then
+rising by the number of holders, and two sets of similarity 0.8 share a value within the first fifth of both. The
+place of that value bounds the overlap, which is tested inside the join, and pairs that pass go the
+same way of estimate and exact check.
 
 Edge cases: null or empty texts have empty sets and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one shingle; a repeated doc_id is one document for each
@@ -30,19 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.components import components
 from loomspark.llm.words import RangeHash, mix64, word_ranges
-from loomspark.session import arrow_batches, materialize
+from loomspark.session import arrow_batches, discard, materialize
 
 SIMILARITY = 80
 SKETCH = 64
 POSTINGS = 24
 POPULAR = 64
-SHARED = 4
-ROUNDS = 3
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 200_000
 ESTIMATE = 0.5
@@ -152,16 +151,22 @@ def _estimate(x: Column, y: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(low, x), y)) / F.size(low)
 
 
+def _fetch(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with a materialised side of fixed-size rows keyed _id, broadcast only if its counted rows are few."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("_id"), how)
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Candidate pairs (a, b) of representatives to those whose estimate passes and whose sets are similar."""
-    side = lambda s: nodes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("k1").alias(f"key_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    # The upper halves of the values keep their order and tell them apart well enough for an estimate.
+    half = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
+    side = lambda s: nodes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("k1").alias(f"key_{s}"), half.alias(f"sketch_{s}"))
     known = pairs.join(side("a"), "a").join(side("b"), "b")
     near = known.where(_close("n_a", "n_b") & (_estimate(F.col("sketch_a"), F.col("sketch_b")) >= ESTIMATE))
     near = materialize(near.select("a", "b", "key_a", "key_b"), "near-candidates")
     ids = materialize(near.select(F.col("a").alias("_id")).unionByName(near.select(F.col("b").alias("_id"))).distinct(), "near-ids")
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    texts = materialize(texts, "near-texts")
+    texts = materialize(_fetch(docs.select("doc_id", "text"), ids, "doc_id", "left_semi"), "near-texts")
     # Few documents may make many pairs; their texts then go to the pairs, if their counted bytes allow it.
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
 
@@ -171,90 +176,120 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) ->
 
     rows = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "key_a", "key_b", "text_a", "text_b")
     with arrow_batches(docs.sparkSession, CHECK_ROWS):
-        return materialize(rows.mapInArrow(_checker(width), "a long, b long").distinct(), "near-links")
+        links = materialize(rows.mapInArrow(_checker(width), "a long, b long").distinct(), "near-links")
+    for used in (near, ids, texts):
+        discard(used)
+    return links
+
+
+def _lists(nodes: DataFrame) -> DataFrame:
+    """Inverted lists (rep, n, value, first) of the posted values that several documents have, with the smallest of these."""
+    posted = nodes.select("rep", "n", F.explode(F.slice("sketch", 1, POSTINGS)).alias("value"))
+    met = posted.groupBy("value").agg(F.min("rep").alias("first"), F.count("*").alias("m")).where("m > 1").select("value", "first")
+    return materialize(posted.join(met, "value"), "near-lists")
+
+
+def _still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists (rep, n, value, label, long) that hold more than one component."""
+    labelled = lists.join(roots, lists["rep"] == roots["node"], "left").select("rep", "n", "value", F.coalesce("root", "rep").alias("label"))
+    mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    return materialize(labelled.join(mixed.select("value", (F.col("m") > POPULAR).alias("long")), "value"), "near-open")
 
 
-def _has_short_link() -> Column:
-    """Whether every similar set shares a short list too: of a set posted whole it holds at least four fifths, else a third of the posted values."""
-    return F.when(F.col("n_all") < POSTINGS, 5 * F.col("n_long") < 4 * F.col("n_all")).otherwise(3 * F.col("n_long") < F.col("n_all"))
+def _list_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in lists of bounded length."""
+    other = lists.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    met = lists.join(other, "value").where("label < label_b").where(_close("n", "n_b"))
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
-def _useful(posted: DataFrame) -> DataFrame:
-    """Postings, with a flag at those of long lists that no link can depend on."""
-    long = posted.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > POPULAR).select("value", F.lit(1).alias("long"))
-    flagged = posted.join(long, "value", "left").withColumn("long", F.coalesce("long", F.lit(0)))
-    share = flagged.groupBy("rep").agg(F.sum("long").alias("n_long"), F.count("*").alias("n_all")).where((F.col("n_long") > 0) & _has_short_link()).select("rep", F.lit(True).alias("loose"))
-    return flagged.join(share, "rep", "left").select("rep", "n", "value", ((F.col("long") == 1) & F.col("loose").isNotNull()).alias("dropped"))
+def _across(rows: DataFrame, *of: str) -> DataFrame:
+    """Rows whose value more than one component (label) holds, with its number of holders and the number of such values of the document (of)."""
+    held = rows.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("value", "holders")
+    return rows.join(held, "value").withColumn("useful", F.count("*").over(Window.partitionBy(*of)))
 
 
-def _open_pairs(left: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the open lists that may be similar by what they share, their sizes and what was not posted or kept of them."""
-    sized = left.join(dropped, "rep", "left").select("rep", "n", "value", "label", F.coalesce("gone", F.lit(0)).alias("gone"))
-    other = sized.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("gone").alias("gone_b"))
-    met = sized.join(other, "value").where("label < label_b").where(_close("n", "n_b"))
-    unposted = F.greatest(F.col("n") - POSTINGS, F.lit(0)) + F.greatest(F.col("n_b") - POSTINGS, F.lit(0))
-    # A repeated doc_id has several sets; the bounds then take the most lenient values of them.
-    pairs = met.groupBy(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).agg(
-        F.count("*").alias("shared"), F.max(F.col("gone") + F.col("gone_b")).alias("gone"), F.max(unposted).alias("unposted"), F.min(F.col("n") + F.col("n_b")).alias("sizes"), F.min(F.greatest("n", "n_b")).alias("larger")
-    )
-    most = F.col("shared") + F.col("gone")
-    enough = (100 + SIMILARITY) * (most + F.col("unposted")) >= SIMILARITY * F.col("sizes")
-    return pairs.where(enough & ((F.col("larger") <= POSTINGS) | (most >= SHARED))).select("a", "b")
+def _full_sets(width: int):
+    """Documents with text to a row for each value of their set."""
+    schema = pa.schema([("rep", pa.int64()), ("k1", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("value", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names) if n != "text"}
+            for first, piece in chunks(batch.column(batch.schema.names.index("text")).to_pylist()):
+                # A repeated doc_id has several texts; the key tells which of them is meant.
+                sets = [s if set_key(s)[0] == k else s[:0] for s, k in zip(shingle_sets(piece, width), cols["k1"][first:], strict=False)]
+                sizes = [len(s) for s in sets]
+                rows = [np.repeat(cols[c][first : first + len(piece)], sizes) for c in ("rep", "k1", "n", "label")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*rows, np.concatenate(sets).view(np.int64))], schema=schema)
+
+    return run
 
-def _still_open(posted: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists (rep, value, label) that hold more than one component."""
-    labelled = posted.join(roots, posted["rep"] == roots["node"], "left").select("rep", "n", "value", F.coalesce("root", "rep").alias("label"))
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    return materialize(labelled.join(mixed, "value", "left_semi"), "near-open")
+
+def _prefix_pairs(hot: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of different components among documents (rep, label) that can be similar by prefix lists on full sets."""
+    known = _fetch(nodes, hot.withColumnRenamed("rep", "_id"), "rep", "inner").drop("_id")
+    # Sets that share a repeated doc_id are counted as one here, which keeps both.
+    sketched = _across(known.select("rep", "label", F.explode("sketch").alias("value")), "rep").select("rep", "useful").distinct()
+    kept = known.join(sketched, "rep").where(F.col("useful") >= ESTIMATE * F.least("n", F.lit(SKETCH))).select("rep", "k1", "n", "label")
+    kept = materialize(kept, "near-across")
+    texts = _fetch(docs.select("doc_id", "text"), kept.withColumnRenamed("rep", "_id"), "doc_id", "inner").select(F.col("_id").alias("rep"), "k1", "n", "label", "text")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        full = materialize(texts.mapInArrow(_full_sets(width), "rep long, k1 long, n long, label long, value long"), "near-full")
+    discard(kept)
+    shared = materialize(_across(full, "rep", "k1").where(100 * F.col("useful") >= SIMILARITY * F.col("n")).select("rep", "k1", "n", "label", "value"), "near-shared")
+    discard(full)
+    ranked = _across(shared, "rep", "k1")
+    at = F.col("n") - F.col("useful") + F.row_number().over(Window.partitionBy("rep", "k1").orderBy("holders", "value")) - 1
+    prefix = materialize(ranked.withColumn("at", at).where(100 * F.col("at") <= (100 - SIMILARITY) * F.col("n")).select("rep", "n", "label", "value", "at"), "near-prefix")
+    discard(shared)
+    other = prefix.select("value", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    most = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    met = prefix.join(other, "value").where("label < label_b").where(_close("n", "n_b") & ((100 + SIMILARITY) * most >= SIMILARITY * (F.col("n") + F.col("n_b"))))
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def _close(x: str, y: str) -> Column:
     return 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)
 
 
-def _star_links(lists: DataFrame, centre: Column, nodes: DataFrame, docs: DataFrame, width: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links of each list's members with its centre, and the pairs tried."""
-    mid = lists.groupBy("value").agg(centre.alias("c"), F.count("*").alias("m")).where("m > 1").select("value", "c")
-    centres = mid.join(lists.select("value", F.col("rep").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n")), ["value", "c"])
-    pairs = lists.join(centres, "value").where("label <> c_label").where(_close("n", "c_n")).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-    pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    return _confirm(pairs, nodes, docs, width), pairs
+def _star_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's members with its smallest one."""
+    centres = lists.where("rep = first").select("value", F.col("rep").alias("c"), F.col("n").alias("c_n"))
+    return lists.join(centres, "value").where("rep <> c").where(_close("n", "c_n")).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def find_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per document."""
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(width), "doc_id long, n long, k1 long, k2 long, sketch array<long>")
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
-        sketches = materialize(made, "near-sketches")
+        sketched = materialize(made, "near-sketches")
     key = ["n", "k1", "k2"]
-    live = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(live.groupBy(*key).agg(F.min("doc_id").alias("rep")), "near-classes")
-    is_rep = classes.select(*key, "rep")
-    nodes = materialize(live.join(is_rep.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", *key]), "near-nodes")
-    posted = materialize(nodes.select("rep", "n", F.explode(F.slice("sketch", 1, POSTINGS)).alias("value")), "near-postings")
-
-    posted = materialize(_useful(posted), "near-lists")
-    dropped = posted.where("dropped").groupBy("rep").agg(F.count("*").alias("gone"))
-    posted = posted.where("NOT dropped").drop("dropped")
-
-    links, tried = _star_links(posted.withColumn("label", F.col("rep")), F.min("rep"), nodes, docs, width)
+    sets = materialize(sketched.select("doc_id", *key), "near-sets")
+    live = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    classes = materialize(sets.where(live).groupBy(*key).agg(F.min("doc_id").alias("rep")), "near-classes")
+    leads = classes.select(*key, F.col("rep").alias("doc_id"))
+    nodes = sketched.where(live).join(leads, [*key, "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", *key])
+    nodes = materialize(nodes, "near-nodes")
+    discard(sketched)
+    lists = _lists(nodes)
+    tried = materialize(_star_pairs(lists), "near-pairs")
+    links = _confirm(tried, nodes, docs, width)
     roots = components(links)
-    for k in range(1, ROUNDS):
-        left = _still_open(posted, roots)
-        if left.isEmpty():
-            break
-        more, again = _star_links(left, F.min_by("rep", F.xxhash64("rep", F.lit(k))), nodes, docs, width, tried)
-        links, tried = links.unionByName(more), tried.unionByName(again)
-        roots = components(links)
-
-    left = _still_open(posted, roots)
-    across = _open_pairs(left, dropped)
-    links = links.unionByName(_confirm(across.join(tried, ["a", "b"], "left_anti"), nodes, docs, width))
-    roots = components(materialize(links, "near-links"))
+    left = _still_open(lists, roots)
+    discard(lists)
+
+    across = _list_pairs(left.where("NOT long"))
+    hot = materialize(left.where("long").select("rep", "label").distinct(), "near-hot")
+    if not hot.isEmpty():
+        across = across.unionByName(_prefix_pairs(hot, nodes, docs, width)).distinct()
+    more = materialize(across.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    discard(left)
+    roots = components(links.unionByName(_confirm(more, nodes, docs, width)))
+    discard(nodes)
 
     by_class = classes.join(roots, classes["rep"] == roots["node"], "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
-    out = sketches.select("doc_id", *key).join(by_class, key, "left")
+    out = sets.join(by_class, key, "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
