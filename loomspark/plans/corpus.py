@@ -120,20 +120,41 @@ def register(c: Catalog) -> None:
         rows = tokenize.encode(normal(spark, sf_dir), v, "unigram").drop("text")
         return rows.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size(F.filter("tokens", lambda x: x == v.id("unk"))).cast("long").alias("n_unk"))
 
-    @c.query("bpe_encode")
+    book_list = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys([*tokenize.SPECIAL_TOKENS.values(), *PIECES, *(a + b for a, b in MERGES), *"abcdefghijklmnopqrstuvwxyz"])) + "]"
+    # With these merges a pass from the left leaves what this pattern finds, and a second one changes nothing.
+    merged = f"regexp_extract_all({NORMAL}, 'the|th|e |er|on|[\\s\\S]')"
+
+    @c.query("bpe_encode", f"SELECT doc_id, len(p)::BIGINT AS n, md5(array_to_string(list_transform(p, lambda x: coalesce(list_position({book_list}, x), 4) - 1), ' ')) AS h FROM (SELECT doc_id, {merged} AS p FROM documents WHERE regexp_matches(text, '\\S'))")
     def bpe_encode(spark, sf_dir):
         rows = tokenize.encode(normal(spark, sf_dir), book(), "bpe").drop("text")
         return rows.select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ")).alias("h"))
 
-    @c.query("wordpiece_encode")
+    inner = ("tion", "ing", "er", "en", "on", "th", "an", "re", "es", "ch")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    greedy = "(?:" + "|".join(inner) + "|[a-z])"
+
+    @c.query(
+        "wordpiece_encode",
+        f"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex({NORMAL}, '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE regexp_matches(text, '\\S')),
+        k AS (SELECT doc_id, w, regexp_extract(w, '^{greedy}*') AS known FROM w)
+        SELECT doc_id, sum(len(regexp_extract_all(known, '{greedy}')) + (known <> w)::INT)::BIGINT AS n, sum((known <> w)::INT)::BIGINT AS n_unk FROM k GROUP BY 1""",
+    )
     def wordpiece_encode(spark, sf_dir):
-        rows = tokenize.encode(normal(spark, sf_dir), book(), "wordpiece").drop("text")
-        return rows.select("doc_id", F.size("tokens").cast("long").alias("n"))
+        v = tokenize.Vocabulary([*inner, *letters, *("##" + x for x in (*inner, *letters))])
+        rows = tokenize.encode(normal(spark, sf_dir), v, "wordpiece").drop("text")
+        return rows.select("doc_id", F.size("tokens").cast("long").alias("n"), F.size(F.filter("tokens", lambda x: x == v.id("unk"))).cast("long").alias("n_unk"))
+
+    spelled = f"list_transform(p, lambda x: CASE WHEN list_contains({book_list}, x) THEN x ELSE '<|unk|>' END)"
+    ordered_book = "|".join([*sorted({*PIECES, *(a + b for a, b in MERGES)}, key=lambda p: (-len(p), p)), "[\\s\\S]"])
 
-    @c.query("decode_roundtrip", f"SELECT doc_id, length(array_to_string(list_filter({found}, lambda x: x <> ' '), ' '))::BIGINT > 0 AS any_text FROM documents WHERE regexp_matches(text, '\\S')")
+    @c.query(
+        "decode_roundtrip",
+        f"""WITH t AS (SELECT doc_id, regexp_extract_all({NORMAL}, '{ordered_book}') AS p FROM documents WHERE regexp_matches(text, '\\S')), s AS (SELECT doc_id, {spelled} AS p FROM t)
+        SELECT doc_id, md5(trim(array_to_string(list_transform(p, lambda x: CASE WHEN x LIKE '% ' THEN x ELSE x || ' ' END), ''))) AS h FROM s""",
+    )
     def decode_roundtrip(spark, sf_dir):
         rows = tokenize.encode(normal(spark, sf_dir), book(), "unigram").drop("text")
-        return tokenize.decode(rows, book()).select("doc_id", (F.length("text") > 0).alias("any_text"))
+        return tokenize.decode(rows, book()).select("doc_id", F.md5("text").alias("h"))
 
     code_list = "list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x))"
 

@@ -92,34 +92,50 @@ def register(c: Catalog) -> None:
         rates = losses.where("pos % 2 = 0").select("user_id", "pos", F.lit(0.001).alias("learning_rate"))
         return series.zip_series(losses, rates, "user_id")
 
-    @c.query("adam_fold")
+    gradients = "o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value / 100 AS g FROM events)"
+    begin = "FROM (SELECT DISTINCT user_id FROM o)"
+    following = "FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1"
+    ended = "SELECT user_id, round(arg_max(p, i), 9) AS p FROM r GROUP BY 1"
+
+    @c.query(
+        "adam_fold",
+        f"""WITH RECURSIVE {gradients},
+        r AS (SELECT user_id, 0::BIGINT AS i, 1.0::DOUBLE AS p, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v {begin}
+        UNION ALL SELECT r.user_id, o.i, r.p - 0.001 * ((0.9 * r.m + (1 - 0.9) * o.g) / (1 - power(0.9, o.i))) / (sqrt((0.999 * r.v + (1 - 0.999) * o.g * o.g) / (1 - power(0.999, o.i))) + 1e-8),
+        0.9 * r.m + (1 - 0.9) * o.g, 0.999 * r.v + (1 - 0.999) * o.g * o.g {following}) {ended}""",
+    )
     def adam_fold(spark, sf_dir):
         g = F.transform("values", lambda x: x / 100)
         return values(spark, sf_dir).select("user_id", g.alias("g")).select("user_id", F.round(series.adam(F.col("g"), 1.0, 0.001), 9).alias("p"))
 
-    @c.query("sgd_fold")
+    @c.query(
+        "sgd_fold",
+        f"""WITH RECURSIVE {gradients}, r AS (SELECT user_id, 0::BIGINT AS i, 1.0::DOUBLE AS p, 0.0::DOUBLE AS v {begin}
+        UNION ALL SELECT r.user_id, o.i, r.p - 0.001 * (0.9 * r.v + o.g), 0.9 * r.v + o.g {following}) {ended}""",
+    )
     def sgd_fold(spark, sf_dir):
         g = F.transform("values", lambda x: x / 100)
         return values(spark, sf_dir).select("user_id", g.alias("g")).select("user_id", F.round(series.sgd_momentum(F.col("g"), 1.0, 0.001), 9).alias("p"))
 
+    def each(vector):
+        """The rows (vec_id, i, y) of every element of a result vector."""
+        return lambda rows: rows.select("vec_id", F.posexplode(vector).alias("i", "y")).select("vec_id", "i", F.round("y", 6).alias("y"))
+
+    every = "SELECT vec_id, (unnest(range(1, len(y) + 1)) - 1)::INT AS i, round(unnest(y), 6) + 0.0 AS y FROM r"
+
     total = "list_sum(list_transform(x, lambda y: y * y))"
 
-    @c.query("l2_clip", f"WITH {VECTORS} SELECT vec_id, round(sqrt({total}), 9) AS norm, round(CASE WHEN sqrt({total}) > 1 THEN x[1] * 1 / sqrt({total}) ELSE x[1] END, 9) AS first FROM e")
+    @c.query("l2_clip", f"WITH {VECTORS}, r AS (SELECT vec_id, list_transform(x, lambda z: z / greatest(sqrt({total}), 1.0)) AS y FROM e) {every}")
     def l2_clip(spark, sf_dir):
-        x = F.col("x")
-        return vectors(spark, sf_dir).select("vec_id", F.round(series.l2_norm(x), 9).alias("norm"), F.round(F.get(series.clip(x, 1.0), F.lit(0)), 9).alias("first"))
-
-    mean = "list_avg(x)"
-    var = "list_avg(list_transform(x, lambda y: (y - list_avg(x)) * (y - list_avg(x))))"
+        return vectors(spark, sf_dir).select("vec_id", series.clip(F.col("x"), 1.0).alias("c")).transform(each("c"))
 
-    @c.query("layer_norm", f"WITH {VECTORS} SELECT vec_id, round((x[1] - {mean}) / sqrt({var} + 1e-5), 6) AS first, round((x[len(x)] - {mean}) / sqrt({var} + 1e-5), 6) AS last FROM e")
+    @c.query("layer_norm", f"WITH {VECTORS}, m AS (SELECT vec_id, x, list_avg(x) AS mean FROM e), v AS (SELECT *, list_avg(list_transform(x, lambda z: (z - mean) ** 2)) AS var FROM m), r AS (SELECT vec_id, list_transform(x, lambda z: (z - mean) / sqrt(var + 1e-5)) AS y FROM v) {every}")
     def layer_norm(spark, sf_dir):
-        n = vectors(spark, sf_dir).select("vec_id", mm.layer_norm(F.col("x")).alias("n"))
-        return n.select("vec_id", F.round(F.get("n", F.lit(0)), 6).alias("first"), F.round(F.element_at("n", -1), 6).alias("last"))
+        return vectors(spark, sf_dir).select("vec_id", mm.layer_norm(F.col("x")).alias("n")).transform(each("n"))
 
-    @c.query("rms_norm", f"WITH {VECTORS} SELECT vec_id, round(x[1] / sqrt({total} / len(x) + 1e-6), 6) AS first FROM e")
+    @c.query("rms_norm", f"WITH {VECTORS}, m AS (SELECT vec_id, x, sqrt({total} / len(x) + 1e-6) AS rms FROM e), r AS (SELECT vec_id, list_transform(x, lambda z: z / rms) AS y FROM m) {every}")
     def rms_norm(spark, sf_dir):
-        return vectors(spark, sf_dir).select("vec_id", F.round(F.get(mm.rms_norm(F.col("x")), F.lit(0)), 6).alias("first"))
+        return vectors(spark, sf_dir).select("vec_id", mm.rms_norm(F.col("x")).alias("n")).transform(each("n"))
 
     xent = "ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) + list_max(x) - x[label % len(x) + 1]"
 
@@ -128,19 +144,25 @@ def register(c: Catalog) -> None:
         loss = mm.cross_entropy(F.col("x"), (F.col("label") % F.size("x")).cast("int"))
         return vectors(spark, sf_dir).select("vec_id", F.round(loss, 9).alias("loss"), F.round(mm.perplexity(loss), 6).alias("perplexity"))
 
-    @c.query("quantize_8bit", f"WITH {VECTORS} SELECT vec_id, round(round(x[1] * 255) / 255, 9) + 0.0 AS q FROM e")
+    @c.query("quantize_8bit", f"WITH {VECTORS}, r AS (SELECT vec_id, list_transform(x, lambda z: round(z * 255) / 255) AS y FROM e) {every}")
     def quantize_8bit(spark, sf_dir):
-        return vectors(spark, sf_dir).select("vec_id", F.round(mm.quantize(F.get("x", F.lit(0)), 8), 9).alias("q"))
+        return vectors(spark, sf_dir).select("vec_id", F.transform("x", lambda z: mm.quantize(z, 8) + 0.0).alias("q")).transform(each("q"))
 
     @c.query("argmax_top1", f"WITH {VECTORS} SELECT label, count(*) AS n, sum((list_position(x, list_max(x)) - 1 = label % len(x))::INT)::BIGINT AS hits FROM e GROUP BY 1")
     def argmax_top1(spark, sf_dir):
         hit = (mm.argmax(F.col("x")) == F.col("label") % F.size("x")).cast("int")
         return vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"))
 
-    @c.query("activations", f"WITH {VECTORS}, a AS (SELECT vec_id, x[1] AS a FROM e) SELECT vec_id, round(0.5 * a * (1 + tanh(sqrt(2 / pi()) * (a + 0.044715 * a * a * a))), 9) AS gelu, round(a / (1 + exp(-a)), 9) AS silu, greatest(a, 0.0) AS relu FROM a")
+    @c.query("activations", f"WITH {VECTORS}, a AS (SELECT vec_id, unnest(range(1, len(x) + 1)) - 1 AS i, unnest(x) AS a FROM e) SELECT vec_id, i::INT AS i, round(0.5 * a * (1 + tanh(sqrt(2 / pi()) * (a + 0.044715 * a * a * a))), 9) AS gelu, round(a / (1 + exp(-a)), 9) AS silu, greatest(a, 0.0) AS relu FROM a")
     def activations(spark, sf_dir):
-        a = F.get("x", F.lit(0))
-        return vectors(spark, sf_dir).select("vec_id", F.round(mm.gelu(a), 9).alias("gelu"), F.round(mm.silu(a), 9).alias("silu"), mm.relu(a).alias("relu"))
+        a = F.col("a")
+        rows = vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "a"))
+        return rows.select("vec_id", "i", F.round(mm.gelu(a), 9).alias("gelu"), F.round(mm.silu(a), 9).alias("silu"), mm.relu(a).alias("relu"))
+
+    @c.query("gated_halves", f"WITH {VECTORS}, h AS (SELECT vec_id, x[1:len(x) // 2] AS g, x[len(x) // 2 + 1:] AS u FROM e), r AS (SELECT vec_id, list_transform(list_zip(g, u), lambda z: z[1] / (1 + exp(-z[1])) * z[2]) AS y FROM h) {every}")
+    def gated_halves(spark, sf_dir):
+        half = (F.size("x") / 2).cast("int")
+        return vectors(spark, sf_dir).select("vec_id", mm.gated(F.slice("x", F.lit(1), half), F.slice("x", half + 1, half), "swiglu").alias("g")).transform(each("g"))
 
     @c.query("gradient_sums", f"WITH {VECTORS}, l AS (SELECT label, unnest(range(len(x))) AS param_idx, unnest(x) AS g FROM e) SELECT label, param_idx::INT AS param_idx, round(sum(g) * 0.5, 6) AS g FROM l GROUP BY 1, 2")
     def gradient_sums(spark, sf_dir):
@@ -151,15 +173,24 @@ def register(c: Catalog) -> None:
     def finite_vectors(spark, sf_dir):
         return vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.bool_and(series.is_finite(F.col("x"))).alias("finite"))
 
-    @c.query("rope_encode", f"WITH {VECTORS} SELECT vec_id, round(x[1] * cos((vec_id % 128)::DOUBLE) - x[2] * sin((vec_id % 128)::DOUBLE), 9) AS first, round(x[1] * sin((vec_id % 128)::DOUBLE) + x[2] * cos((vec_id % 128)::DOUBLE), 9) AS second FROM e")
+    turn = "(vec_id % 128) / power(10000.0, 2 * ((i - 1) // 2) / len(x)::DOUBLE)"
+
+    @c.query("rope_encode", f"WITH {VECTORS}, r AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN x[i] * cos({turn}) - x[i + 1] * sin({turn}) ELSE x[i - 1] * sin({turn}) + x[i] * cos({turn}) END) AS y FROM e) {every}")
     def rope_encode(spark, sf_dir):
-        r = vectors(spark, sf_dir).select("vec_id", mm.rope(F.col("x"), F.col("vec_id") % 128).alias("r"))
-        return r.select("vec_id", F.round(F.get("r", F.lit(0)), 9).alias("first"), F.round(F.get("r", F.lit(1)), 9).alias("second"))
+        return vectors(spark, sf_dir).select("vec_id", mm.rope(F.col("x"), F.col("vec_id") % 128).alias("r")).transform(each("r"))
+
+    @c.query("sinusoidal_positions", "SELECT p AS pos, i::INT AS i, round(CASE WHEN i % 2 = 0 THEN sin(p / power(10000.0, i / 32.0::DOUBLE)) ELSE cos(p / power(10000.0, (i - 1) / 32.0::DOUBLE)) END, 9) AS y FROM range(256) AS a(p), range(32) AS b(i)")
+    def sinusoidal_positions(spark, sf_dir):
+        rows = spark.range(256).select(F.col("id").alias("pos"), F.posexplode(mm.sinusoidal(F.col("id"), 32)).alias("i", "y"))
+        return rows.select("pos", "i", F.round("y", 9).alias("y"))
 
-    @c.query("linear_projection", f"WITH {VECTORS} SELECT vec_id, round(x[1] * 0.5 + x[2] * 0.25 + x[3] * 0.125 + 1.0, 9) AS y0, round(x[1] * -0.5 + x[2] * 2 + x[3] * 0.75 - 1.0, 9) AS y1 FROM e")
+    # Weights by rule: output j of input i (from 0) has ((3 * i + 5 * j) % 7 - 3) / 8.
+    @c.query("linear_projection", f"WITH {VECTORS} SELECT vec_id, j::INT AS i, round(list_sum(list_transform(range(len(x)), lambda k: x[k + 1] * ((3 * k + 5 * j) % 7 - 3) / 8.0)) + j, 6) AS y FROM e, range(3) AS o(j)")
     def linear_projection(spark, sf_dir):
-        y = vectors(spark, sf_dir).select("vec_id", mm.linear(F.slice("x", 1, 3), [[0.5, -0.5], [0.25, 2.0], [0.125, 0.75]], [1.0, -1.0]).alias("y"))
-        return y.select("vec_id", F.round(F.get("y", F.lit(0)), 9).alias("y0"), F.round(F.get("y", F.lit(1)), 9).alias("y1"))
+        rows = vectors(spark, sf_dir)
+        size = rows.agg(F.max(F.size("x"))).first()[0] or 0
+        weights = [[((3 * i + 5 * j) % 7 - 3) / 8 for j in range(3)] for i in range(size)]
+        return rows.select("vec_id", mm.linear(F.col("x"), weights or [[0.0] * 3], [0.0, 1.0, 2.0]).alias("y0")).transform(each("y0"))
 
     @c.query("greedy_sample", f"WITH {VECTORS}, p AS (SELECT vec_id, list_transform(range(len(x)), lambda i: (CASE WHEN i = label THEN x[i + 1] / power(1.1, 2) ELSE x[i + 1] END) / (CASE WHEN i = 13 THEN 1.2 ELSE 1 END)) AS y FROM e) SELECT vec_id, (list_position(y, list_max(y)) - 1)::BIGINT AS token FROM p")
     def greedy_sample(spark, sf_dir):
@@ -167,7 +198,7 @@ def register(c: Catalog) -> None:
         y = vectors(spark, sf_dir).select("vec_id", mm.penalised_logits(F.col("x"), counts, 1.1, 0.0).alias("y"))
         return y.select("vec_id", mm.greedy(F.col("y")).cast("long").alias("token"))
 
-    @c.query("nucleus_size")
+    @c.query("nucleus_size", f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(len(x))) AS i, exp(unnest(x) - list_max(x)) AS w FROM e), s AS (SELECT vec_id, sum(w / t) OVER (PARTITION BY vec_id ORDER BY w DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, sum(w) OVER (PARTITION BY vec_id) AS t FROM l)) SELECT vec_id, count(*)::INT AS n FROM s WHERE coalesce(before, 0) < 0.9 GROUP BY 1")
     def nucleus_size(spark, sf_dir):
         return vectors(spark, sf_dir).select("vec_id", F.size(mm.nucleus(F.col("x"), 0.9)).alias("n"))
 
