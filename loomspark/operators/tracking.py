@@ -31,7 +31,8 @@ NOW = {"preprocessed_data": "preprocessed_at", "training_runs": "start_time", "c
 class Store:
     """A folder with a Parquet table for each of the nine; a change is a new version of its row, the latest version counts.
 
-    Appends are atomic, as Spark commits files; concurrent writers add versions and do not block each other.
+    Appends are atomic, as Spark commits files. Ids are reserved by creating a marker file, which only one writer can, so
+    writers that insert at a time get different ids. Of two that update one row at a time, one version counts.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -44,6 +45,7 @@ class Store:
         rows.write.mode("append").parquet(f"{self.path}/{name}")
 
     def versions(self, name: str) -> DataFrame:
+        self._recover(name)
         try:
             return self.spark.read.schema(self._schema(name)).parquet(f"{self.path}/{name}")
         except Exception as e:
@@ -51,19 +53,38 @@ class Store:
                 raise
             return self.spark.createDataFrame([], self._schema(name))
 
+    def _file(self, path: str) -> tuple:
+        """The file system and the path, as the JVM has them."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _recover(self, name: str) -> None:
+        """Put the old folder back if a compaction stopped between its two renames."""
+        fs, target = self._file(f"{self.path}/{name}")
+        _, old = self._file(f"{self.path}/_{name}_old")
+        if not fs.exists(target) and fs.exists(old):
+            fs.rename(old, target)
+
     def table(self, name: str) -> DataFrame:
         """Current rows."""
         last = self.versions(name).groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r"))
         return last.select("r.*").where("NOT deleted").drop("version", "deleted")
 
     def _next(self, name: str) -> int:
-        return (self.versions(name).agg(F.max("id")).first()[0] or 0) + 1
+        """Reserve the next free id."""
+        new = (self.versions(name).agg(F.max("id")).first()[0] or 0) + 1
+        while True:
+            fs, marker = self._file(f"{self.path}/_ids/{name}/{new}")
+            if fs.createNewFile(marker):
+                return new
+            new += 1
 
     def insert(self, name: str, /, **values) -> int:
         """Add a row and return its id."""
         new = self._next(name)
         row = {"id": new, **DEFAULTS.get(name, {}), **values}
-        self._put(name, row, 0, stamp=NOW.get(name))
+        stamp = NOW.get(name)
+        self._put(name, row, 0, stamp=stamp if row.get(stamp) is None else None)
         return new
 
     def _put(self, name: str, row: dict, version: int, stamp: str | None = None, deleted: bool = False) -> None:
@@ -73,19 +94,19 @@ class Store:
             raise ValueError(f"{name} has no columns {sorted(unknown)}")
         schema = self._schema(name)
         df = self.spark.createDataFrame([tuple(row.get(c) for c in names) + (version, deleted)], schema)
-        if stamp and row.get(stamp) is None:
+        if stamp:
             df = df.withColumn(stamp, F.current_timestamp())
         self._write(name, df.coalesce(1))
 
-    def update(self, name: str, id: int, /, **values) -> None:
-        """A new version of a row with some values changed."""
+    def update(self, name: str, id: int, /, *, stamp: str | None = None, **values) -> None:
+        """A new version of a row with some values changed; stamp: a column that takes the time of the change."""
         got = self.versions(name).where(F.col("id") == id).orderBy(F.col("version").desc()).first()
         if got is None or got.deleted:
             raise KeyError(f"{name} {id}")
         row = got.asDict()
         version = row.pop("version") + 1
         row.pop("deleted")
-        self._put(name, {**row, **values}, version)
+        self._put(name, {**row, **values}, version, stamp=stamp)
 
     # ---- datasets
     def add_dataset(self, dataset: str, source: str, size_gb: float, num_shards: int) -> int:
@@ -98,7 +119,7 @@ class Store:
 
     def set_download_error(self, id: int, error: str) -> None:
         row = self.table("datasets").where(F.col("id") == id).first()
-        self.update("datasets", id, download_status="failed", error_message=error, retry_count=row.retry_count + 1)
+        self.update("datasets", id, stamp="last_retry_at", download_status="error", error_message=error, retry_count=(row.retry_count or 0) + 1)
 
     # ---- runs
     def update_run(self, id: int, step: int, loss: float, status: str) -> None:
@@ -109,11 +130,11 @@ class Store:
         self.insert("metrics", run_id=id, step=step, loss=loss)
 
     def complete_run(self, id: int, final_loss: float) -> None:
-        self.update("training_runs", id, status="completed", final_loss=final_loss)
+        self.update("training_runs", id, stamp="end_time", status="completed", final_loss=final_loss)
 
     def fail_run(self, id: int, error: str) -> None:
-        self.update("training_runs", id, status="failed")
-        self.log("error", error, id)
+        self.update("training_runs", id, stamp="end_time", status="failed")
+        self.log("error", error, id, kind="training_failed")
 
     def pause_run(self, id: int) -> None:
         self.update("training_runs", id, status="paused")
@@ -121,8 +142,8 @@ class Store:
     def resume_run(self, id: int) -> None:
         self.update("training_runs", id, status="running")
 
-    def log(self, severity: str, message: str, run_id: int | None = None) -> int:
-        return self.insert("system_events", run_id=run_id, event_type=severity, message=message, severity=severity)
+    def log(self, severity: str, message: str, run_id: int | None = None, kind: str | None = None) -> int:
+        return self.insert("system_events", run_id=run_id, event_type=kind or severity, message=message, severity=severity)
 
     def delete_run(self, id: int) -> None:
         """A run and its child rows."""
@@ -140,15 +161,19 @@ class Store:
         return out
 
     def compact(self, name: str) -> None:
-        """Rewrite a table with its latest versions only, into a new folder that then takes its place by rename."""
-        spark = self.spark
-        temporary = f"{self.path}/_{name}_compact"
+        """Rewrite a table with its latest versions only.
+
+        The new folder is complete before the old one is renamed away and the new one takes its place; the old one is deleted last, and
+        is put back by the next reader if the store stops between the renames.
+        """
+        temporary, old = f"{self.path}/_{name}_compact", f"{self.path}/_{name}_old"
         self.versions(name).groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r")).select("r.*").write.mode("overwrite").parquet(temporary)
-        jvm = spark.sparkContext._jvm
-        target, source = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{self.path}/{name}", temporary))
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(target, True)
+        (fs, target), (_, source), (_, aside) = (self._file(p) for p in (f"{self.path}/{name}", temporary, old))
+        fs.delete(aside, True)
+        if fs.exists(target):
+            fs.rename(target, aside)
         fs.rename(source, target)
+        fs.delete(aside, True)
 
 
 # ---- lookups over any frame of the right columns -----------------------------------------------------

@@ -83,20 +83,23 @@ def as_text(value: Column, kind: T.DataType, depth: int = 0) -> Column:
     return none
 
 
-def candidate_columns(schema: T.StructType, compat: bool = False) -> list[str]:
+def candidate_columns(schema: T.StructType, compat: bool = False, patterns: Sequence[str] = TEXT_NAMES) -> list[str]:
     """Columns tried for text, in schema order: those named like text, or with compat any of a type that can become text."""
-    return [f.name for f in schema.fields if is_text_column(f.name) or compat and is_extractable(f.dataType)]
+    return [f.name for f in schema.fields if is_text_column(f.name, patterns) or compat and is_extractable(f.dataType)]
 
 
-def extract_text(rows: DataFrame, compat: bool = False, name: str = "text") -> DataFrame:
-    """One column: the first non-blank text among candidate columns, else among all; rows without any are dropped."""
-    schema = rows.schema
-    first = candidate_columns(schema, compat)
+def extract_text(rows: DataFrame, compat: bool = False, name: str = "text", patterns: Sequence[str] = TEXT_NAMES, custom: Column | None = None, keep: dict[str, str] | None = None) -> DataFrame:
+    """The first non-blank text among candidate columns, else among all; rows without any are dropped.
+
+    ``custom`` is tried before the columns; ``keep`` names columns that are no candidates and are returned under new names.
+    """
+    schema, keep = T.StructType([f for f in rows.schema.fields if f.name not in (keep or {})]), keep or {}
+    first = candidate_columns(schema, compat, patterns)
     order = [*first, *(c for c in schema.names if c not in first)]
     kinds = {f.name: f.dataType for f in schema.fields}
-    texts = [as_text(F.col(f"`{c}`"), kinds[c]) for c in order]
-    picked = F.coalesce(*[F.when(is_not_blank(t), t) for t in texts])
-    return rows.select(picked.alias(name)).where(F.col(name).isNotNull())
+    texts = ([] if custom is None else [custom]) + [as_text(F.col(f"`{c}`"), kinds[c]) for c in order]
+    picked = F.coalesce(*[F.when(is_not_blank(t), t) for t in texts]) if texts else F.lit(None).cast("string")
+    return rows.select(picked.alias(name), *[F.col(f"`{a}`").alias(b) for a, b in keep.items()]).where(F.col(name).isNotNull())
 
 
 def first_text(rows: DataFrame) -> Column:
@@ -137,14 +140,17 @@ def json_line_text(line: str) -> str:
         return line if all(" " <= c <= "~" or c in "\t\n\r\x0b\x0c" for c in line) else ""
 
 
-def json_texts(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Column text of JSON lines, nested values included; lines without text are dropped."""
+def json_texts(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Column text of JSON lines, nested values included, and the columns to keep; lines without text are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([json_line_text(x or "") for x in batch.column(0).to_pylist()], pa.string())], names=["text"])
+            texts = pa.array([json_line_text(x or "") for x in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
 
-    return lines.where(is_not_blank(value)).select(value).mapInArrow(run, "text string").where(is_not_blank("text"))
+    kinds = dict(lines.dtypes)
+    schema = ", ".join(["text string", *(f"`{k}` {kinds[k]}" for k in keep)])
+    return lines.where(is_not_blank(value)).select(value, *keep).mapInArrow(run, schema).where(is_not_blank("text"))
 
 
 def flat_json_text(value: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import is_not_blank
@@ -26,9 +26,26 @@ def files(spark: SparkSession, path: str, recursive: bool = False, pattern: str
     return reader.load(path).select("path", "length", "modificationTime")
 
 
+def head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, through the file system that Spark reads it by."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        inside = sorted((x.getPath() for x in fs.listStatus(at) if x.isFile() and not x.getPath().getName().startswith(("_", "."))), key=lambda p: p.toString())
+        if not inside:
+            return b""
+        at = inside[0]
+    stream = fs.open(at)
+    try:
+        out = [stream.read() for _ in range(size)]
+    finally:
+        stream.close()
+    return bytes(x for x in out if x >= 0)
+
+
 def starts_with_magic(spark: SparkSession, path: str) -> bool:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("head")).first()
-    return row is not None and bytes(row.head) == MAGIC
+    return head(spark, path, len(MAGIC)) == MAGIC
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +56,9 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank texts of the first column with a known header, else of the first column; ragged rows fail the file."""
+    """Non-blank texts of the first column whose header contains a known name, else of the first column; ragged rows fail the file."""
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
-    named = [c for c in rows.columns if c.lower() in CSV_NAMES]
+    named = [c for c in rows.columns if any(n in c.lower() for n in CSV_NAMES)]
     column = F.col(f"`{(named or rows.columns)[0]}`")
     return rows.select(column.alias("text")).where(is_not_blank("text"))
 
@@ -56,16 +73,45 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path) if kind == "csv" else read_text(spark, path)
 
 
+def _stem() -> Column:
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "[.][^.]*$", "")
+
+
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """Texts of all files right in a folder with their stem, and the files that failed with the reason."""
-    out, failed = None, []
+    """Texts of all files right in a folder with their stem, and the files that failed with the reason.
+
+    Line formats are read together, a scan for all their files; Parquet files together by schema. CSV files have a
+    header each and are read one by one. Of a file that fails only its own texts are missing.
+    """
+    groups: dict[str, list[str]] = {"json": [], "text": []}
+    parts, failed, by_schema = [], [], {}
+    stem_of = lambda p: p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     for row in files(spark, path).select("path").orderBy("path").toLocalIterator():
+        kind = format_of(row.path)
         try:
-            stem = row.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            texts = read_texts(spark, row.path).withColumn("stem", F.lit(stem))
-            out = texts if out is None else out.unionByName(texts)
+            if kind == "parquet" or kind == "text" and starts_with_magic(spark, row.path):
+                by_schema.setdefault(spark.read.parquet(row.path).schema.json(), []).append(row.path)
+            elif kind == "csv":
+                texts = read_csv(spark, row.path)
+                texts.agg(F.count("*")).first()  # a ragged row fails the file here, not the whole folder later
+                parts.append(texts.withColumn("stem", F.lit(stem_of(row.path))))
+            else:
+                groups[kind].append(row.path)
         except Exception as e:  # a bad file is reported and skipped
             failed.append((row.path, str(e).splitlines()[0]))
+    if groups["text"]:
+        lines = spark.read.text(groups["text"]).where(is_not_blank("value"))
+        parts.append(lines.select(F.col("value").alias("text"), _stem().alias("stem")))
+    if groups["json"]:
+        rows = spark.read.text(groups["json"]).select("value", _stem().alias("stem"))
+        parts.append(json_texts(rows, keep=["stem"]))
+    for paths in by_schema.values():
+        rows = spark.read.parquet(*paths)
+        parts.append(extract_text(rows.select("*", _stem().alias("_stem")), keep={"_stem": "stem"}))
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
     return out, failed
 
 
@@ -105,11 +151,12 @@ def find_models(spark: SparkSession, path: str, suffix: str = "gguf") -> DataFra
 
 def dataset_is_valid(spark: SparkSession, path: str) -> bool:
     """A text file that is not empty, is UTF-8 and starts with a non-blank line."""
-    row = spark.read.format("binaryFile").load(path).select("length", F.is_valid_utf8(F.col("content").cast("string")).alias("ok")).first()
-    if row is None or row.length == 0 or not row.ok:
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None or not first.value.strip():
         return False
-    first = spark.read.text(path).first()
-    return first is not None and bool(first.value.strip())
+    # Lines keep their bytes, so that they can be checked where they are read.
+    return bool(lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first().ok)
 
 
 def packed_file_is_valid(lines: DataFrame, length: int, value: str = "value") -> bool:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,40 @@ def test_readers(spark, tmp_path):
     assert readers.read_texts(spark, str(tmp_path / "odd.txt")).count() == 3
 
 
+def test_csv_column_by_part_of_its_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,my_text\n1,one\n2,two\n")
+    assert sorted(r.text for r in readers.read_csv(spark, str(tmp_path / "a.csv")).collect()) == ["one", "two"]
+
+
+def test_directory_isolates_bad_files(spark, tmp_path):
+    for name, column in (("p one", "text"), ("q+two", "body")):
+        spark.createDataFrame([(1, f"from {name}")], f"n long, {column} string").coalesce(1).write.parquet(str(tmp_path / "made"))
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+        shutil.rmtree(tmp_path / "made")
+    (tmp_path / "bad.parquet").write_bytes(b"nothing")
+    (tmp_path / "ragged.csv").write_text("a,text\n1,x\n2,y,z\n")
+    (tmp_path / "t.txt").write_text("line\n")
+    (tmp_path / "j.json").write_text('{"text": "row"}\n')
+    texts, failed = readers.read_directory(spark, str(tmp_path))
+    assert sorted((r.stem, r.text) for r in texts.collect()) == [("j", "row"), ("p one", "from p one"), ("q+two", "from q+two"), ("t", "line")]
+    assert sorted(p.rsplit("/", 1)[-1] for p, _ in failed) == ["bad.parquet", "ragged.csv"]
+
+
+def test_valid_dataset_is_utf8(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("größe\nmore\n".encode())
+    (tmp_path / "b.txt").write_bytes(b"one\n\xff\xfe\n")
+    (tmp_path / "c.txt").write_bytes(b" \nx\n")
+    assert [readers.dataset_is_valid(spark, str(tmp_path / f"{c}.txt")) for c in "abc"] == [True, False, False]
+    assert readers.head(spark, str(tmp_path / "a.txt"), 4) == "grö".encode()
+
+
+def test_extraction_by_own_patterns(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, None, "c")], "n long, remark string, text string")
+    assert [r.text for r in extract.extract_text(rows, patterns=["remark"]).collect()] == ["a", "2"]
+    assert [r.text for r in extract.extract_text(rows, custom=F.upper("remark")).collect()] == ["A", "c"]
+    assert [tuple(r) for r in extract.extract_text(rows, keep={"text": "kept"}).collect()] == [("1", "b"), ("2", "c")]
+
+
 def test_tokens_file(spark, tmp_path):
     rows = spark.createDataFrame([(0, [1, 2, 3]), (1, [4, 5, 6])], "seq_id long, tokens array<int>")
     writers.write_packed(rows, str(tmp_path / "t"), as_text=True)
@@ -232,13 +267,26 @@ def test_store(spark, tmp_path):
     row = store.table("datasets").first()
     assert (row.size_gb, row.download_status, row.download_progress) == (2.0, "pending", 0.0)
     store.set_download_error(d, "gone")
-    assert store.table("datasets").first().retry_count == 1
+    row = store.table("datasets").first()
+    assert (row.retry_count, row.download_status, row.last_retry_at is not None) == (1, "error", True)
     run = store.insert("training_runs", config_hash="h", total_steps=10)
     store.update_run(run, 1, 2.0, "running")
     store.update_run(run, 2, 3.0, "running")
     assert store.table("training_runs").first().best_loss == 2.0
     assert {r.table_name: r.n for r in store.counts().collect()}["metrics"] == 2
+    store.complete_run(run, 0.5)
+    done = store.table("training_runs").first()
+    assert (done.status, done.final_loss) == ("completed", 0.5) and done.end_time >= done.start_time
+    failing = store.insert("training_runs", config_hash="g", total_steps=1)
+    store.fail_run(failing, "lost")
+    assert store.table("training_runs").where(F.col("id") == failing).first().end_time is not None
+    assert store.table("system_events").first().event_type == "training_failed"
+    store.delete_run(failing)
+    other = Store(spark, store.path)
+    assert len({store._next("metrics"), other._next("metrics"), store._next("metrics")}) == 3
     store.compact("metrics")
+    os.rename(f"{store.path}/metrics", f"{store.path}/_metrics_old")  # as if the store had stopped between the renames
+    assert store.table("metrics").count() == 2
     store.delete_run(run)
     assert {r.table_name: r.n for r in store.counts().collect()} == dict.fromkeys([r.table_name for r in store.counts().collect()], 0) | {"datasets": 1}
     with pytest.raises(ValueError):
