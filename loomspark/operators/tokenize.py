@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+import tomllib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +45,32 @@ class Vocabulary:
     def __contains__(self, token: str) -> bool:
         return token in self.ids
 
+    def save(self, path: str, **settings) -> None:
+        """A JSON file of the tokens with their ids, the merges in order, the special tokens and any settings."""
+        record = {"vocab": self.ids, "merges": [list(m) for m in self.merges], "special_tokens": self.special, "vocab_size": len(self), **settings}
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(json.dumps(record, ensure_ascii=False, indent=2), encoding="utf-8")
+
+    @classmethod
+    def load(cls, path: str) -> Vocabulary:
+        """A saved vocabulary; from a TOML configuration (special_tokens), one with the special tokens only."""
+        text = Path(path).read_text(encoding="utf-8")
+        try:
+            record = json.loads(text)
+        except ValueError:
+            try:
+                record = tomllib.loads(text)
+            except tomllib.TOMLDecodeError as e:
+                raise ValueError(f"{path} holds neither a JSON vocabulary nor a TOML configuration") from e
+        special = {**SPECIAL_TOKENS, **record.get("special_tokens", {})}
+        ids = record.get("vocab", {})
+        if sorted(ids.values()) != list(range(len(ids))):
+            raise ValueError(f"{path}: ids must be dense from 0")
+        out = cls(sorted(ids, key=ids.get), [tuple(m) for m in record.get("merges", [])], special)
+        if ids and out.ids != ids:
+            out.ids, out.names = dict(sorted(ids.items(), key=lambda x: x[1])), sorted(ids, key=ids.get)
+        return out
+
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame([(t, i) for t, i in self.ids.items()], "token string, id int")
 

@@ -5,9 +5,10 @@ Every step is a grouped count over the lines of the corpus; the driver only hold
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.operators.tokenize import Vocabulary
 from loomspark.session import materialize
 
 BYTE_TOKENS = 256
@@ -103,6 +104,70 @@ def wordpiece_scores(texts: DataFrame, text: str = "text") -> DataFrame:
     return scored.select("left_token", "right_token", "n", (F.col("n") / (F.col("n_left") * F.col("n_right"))).alias("score"))
 
 
+def _wrapped_tokens(rows: DataFrame) -> DataFrame:
+    cut = F.split(F.rtrim(F.ltrim(F.col("w"), F.lit(OPEN)), F.lit(CLOSE)), CLOSE + OPEN)
+    return rows.where("w <> ''").select("m", F.explode(cut).alias("token")).groupBy("token").agg(F.sum("m").alias("n"))
+
+
+def train_wordpiece(texts: DataFrame, n_merges: int, text: str = "text", compat: bool = False, cut_every: int = 4) -> DataFrame:
+    """(rank, left_token, right_token, score): the pairs of best score count(ab) / (count(a) * count(b)) inside words, ties by the smaller pair.
+
+    Each pair found is merged before the next is sought; with ``compat`` it is not, so that the same pair stays best and is the only one.
+    Equal words are counted once.
+    """
+    words = texts.select(F.explode(F.split(F.trim(F.col(text)), "\\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("m"))
+    rows = materialize(words.select("m", _wrapped(F.col("w")).alias("w")), "wordpiece-words")
+    found: list[tuple] = []
+    for rank in range(min(n_merges, 1) if compat else n_merges):
+        tokens = _wrapped_tokens(rows)
+        left, right = (tokens.select(F.col("token").alias(f"{s}_token"), F.col("n").alias(f"n_{s}")) for s in ("left", "right"))
+        score = F.col("n") / (F.col("n_left") * F.col("n_right"))
+        scored = _wrapped_pairs(rows).join(left, "left_token").join(right, "right_token").select("left_token", "right_token", score.alias("score"))
+        top = scored.orderBy(F.col("score").desc(), "left_token", "right_token").first()
+        if top is None:
+            break
+        found.append((rank, top.left_token, top.right_token, top.score))
+        rows = rows.withColumn("w", F.replace("w", F.lit(f"{OPEN}{top.left_token}{CLOSE}{OPEN}{top.right_token}{CLOSE}"), F.lit(f"{OPEN}{top.left_token}{top.right_token}{CLOSE}")))
+        if rank % cut_every == cut_every - 1:
+            rows = materialize(rows, "wordpiece-words")
+    return texts.sparkSession.createDataFrame(found, "rank int, left_token string, right_token string, score double")
+
+
+ALGORITHMS = ("bpe", "wordpiece", "unigram", "sentencepiece")
+
+
+def train(texts: DataFrame, algorithm: str, size: int, min_frequency: int = 2, byte_tokens: bool = True, text: str = "text") -> Vocabulary:
+    """A vocabulary of at most ``size`` tokens, special ones included, by one of the four algorithms.
+
+    BPE starts from the frequent characters and byte tokens, WordPiece from all characters, and both add merges; the
+    other two take the most frequent substrings. The driver holds the tokens of the vocabulary only.
+    """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm}")
+    base = Vocabulary()
+    room = max(size - len(base), 0)
+    if algorithm in ("unigram", "sentencepiece"):
+        counts = (train_unigram if algorithm == "unigram" else train_sentencepiece)(texts, room, text=text)
+        return Vocabulary([r.token for r in counts.orderBy(F.col("n").desc(), "token").toLocalIterator()])
+    if algorithm == "bpe":
+        chars = char_vocabulary(texts, min_frequency, byte_tokens, text).orderBy(F.col("n").desc(), "token").limit(room)
+    else:
+        chars = char_counts(texts, text).where(~F.col("token").rlike("\\s")).orderBy(F.col("n").desc(), "token").limit(room)
+    tokens = [r.token for r in chars.toLocalIterator()]
+    learned = (train_bpe if algorithm == "bpe" else train_wordpiece)(texts, max(room - len(tokens), 0), text=text)
+    merges = [(r.left_token, r.right_token) for r in learned.orderBy("rank").collect()]
+    if algorithm == "bpe":
+        return Vocabulary([*tokens, *(a + b for a, b in merges)], merges)
+    whole = [*tokens, *(a + b for a, b in merges)]
+    return Vocabulary([*whole, *(f"##{t}" for t in whole)], merges)
+
+
+def train_files(spark: SparkSession, paths: list[str], algorithm: str, size: int, at_most: int | None = None, **options) -> Vocabulary:
+    """The same over the lines of text files, of at most a number of lines if one is given."""
+    lines_of = spark.read.text(paths).select(F.col("value").alias("text")).where(F.trim("text") != "")
+    return train(lines_of if at_most is None else lines_of.limit(at_most), algorithm, size, **options)
+
+
 def substring_counts(texts: DataFrame, longest: int, text: str = "text") -> DataFrame:
     """Occurrences of every substring of 1 to `longest` characters inside lines."""
     at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - i + 1)), lambda n: F.array_join(F.slice("t", i, n), ""))

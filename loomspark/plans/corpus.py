@@ -89,6 +89,20 @@ def register(c: Catalog) -> None:
         scored = vocab.wordpiece_scores(normal(spark, sf_dir)).withColumn("score", F.round("score", 12))
         return scored.orderBy(F.col("score").desc(), "left_token", "right_token").limit(200)
 
+    def best_score(src: str) -> str:
+        cut = f"(SELECT string_split(trim(w, '{o}{e}'), '{e}{o}') AS x FROM {src})"
+        return f"""SELECT p.l, p.r, p.n / (a.n * b.n)::DOUBLE AS score FROM (SELECT x[i] AS l, x[i + 1] AS r, count(*) AS n FROM {cut}, unnest(range(1, len(x))) AS u(i) GROUP BY 1, 2) p
+        JOIN (SELECT t, count(*) AS n FROM (SELECT unnest(x) AS t FROM {cut}) GROUP BY 1) a ON a.t = p.l JOIN (SELECT t, count(*) AS n FROM (SELECT unnest(x) AS t FROM {cut}) GROUP BY 1) b ON b.t = p.r ORDER BY score DESC, l, r LIMIT 1"""
+
+    @c.query(
+        "wordpiece_merge_2",
+        f"""WITH v AS (SELECT unnest(string_split_regex({NORMAL}, '\\s+')) AS t FROM documents WHERE regexp_matches(text, '\\S')), w0 AS (SELECT {wrap.format(o=o, e=e)} AS w FROM v WHERE t <> ''),
+        b0 AS MATERIALIZED ({best_score("w0")}), w1 AS MATERIALIZED ({step.format(o=o, e=e, src="w0", b="b0")}), b1 AS ({best_score("w1")})
+        SELECT 0 AS rank, l AS left_token, r AS right_token, round(score, 12) AS score FROM b0 UNION ALL SELECT 1, l, r, round(score, 12) FROM b1""",
+    )
+    def wordpiece_merge_2(spark, sf_dir):
+        return vocab.train_wordpiece(normal(spark, sf_dir), 2).withColumn("score", F.round("score", 12))
+
     def substrings(expr: str, longest: int, k: int) -> str:
         return f"""WITH l AS (SELECT t, count(*) AS m FROM (SELECT unnest(string_split({expr}, chr(10))) AS t FROM documents WHERE regexp_matches(text, '\\S')) GROUP BY 1),
         s AS (SELECT m, substr(t, i, n) AS token FROM l, unnest(range(1, length(t) + 1)) AS u(i), unnest(range(1, {longest} + 1)) AS v(n) WHERE i + n - 1 <= length(t))

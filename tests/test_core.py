@@ -138,6 +138,32 @@ def test_bpe_encode_ignores_rank():
     assert tokenize.encode_bpe("", v) == [v.id("unk")]
 
 
+@pytest.mark.parametrize("algorithm", vocab.ALGORITHMS)
+def test_trained_vocabulary_survives_a_file(spark, tmp_path, algorithm):
+    rows = spark.createDataFrame([("hello world",), ("test message hello",), ("hello hello",)], "text string")
+    v = vocab.train(rows, algorithm, 300 if algorithm == "bpe" else 60, byte_tokens=True)
+    v.save(str(tmp_path / "v.json"), algorithm=algorithm)
+    back = tokenize.Vocabulary.load(str(tmp_path / "v.json"))
+    assert (back.ids, back.names, list(back.merges), back.special) == (v.ids, v.names, [tuple(m) for m in v.merges], v.special)
+    encode = tokenize.ENCODERS[algorithm]
+    assert encode("hello world", back) == encode("hello world", v) and v.id("unk") not in encode("hello", v)
+    (tmp_path / "c.toml").write_text('vocab_size = 100\n[special_tokens]\nunk = "<?>"\n')
+    assert tokenize.Vocabulary.load(str(tmp_path / "c.toml")).special["unk"] == "<?>"
+    (tmp_path / "bad").write_text("{]")
+    with pytest.raises(ValueError, match="neither"):
+        tokenize.Vocabulary.load(str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="unknown"):
+        vocab.train(rows, "other", 10)
+
+
+def test_wordpiece_training(spark):
+    rows = spark.createDataFrame([("ab ab ab ca cb",)], "text string")
+    got = [(r.left_token, r.right_token) for r in vocab.train_wordpiece(rows, 3).orderBy("rank").collect()]
+    # c is in two words, each of its pairs once: 1 / (2 * 4); ab 3 / (4 * 4); then the rest.
+    assert got[0] == ("a", "b") and len(got) == 3
+    assert [(r.left_token, r.right_token) for r in vocab.train_wordpiece(rows, 3, compat=True).collect()] == [("a", "b")]
+
+
 def test_wordpiece_and_unigram():
     v = tokenize.Vocabulary(["hel", "##lo", "h", "he", "llo"])
     assert [v.names[i] for i in tokenize.encode_wordpiece("hello help", v)] == ["hel", "##lo", "hel", "<|unk|>"]
