@@ -116,25 +116,89 @@ def register(c: Catalog) -> None:
         )
         return rules.step_log(rows)
 
-    kinds = [k for k, *_ in rules.ERROR_KINDS]
-    case = lambda i: "CASE k " + " ".join(f"WHEN {j} THEN {row[i]!r}" for j, row in enumerate(rules.ERROR_KINDS)).replace("True", "true").replace("False", "false") + " END"
+    kinds = "IO Config Data Model Training Tokenizer Database Serialization Network Download Preprocessing Validation Device Parse Checkpoint Distributed OutOfMemory GradientOverflow GPU Timeout Strange".split()
+    endings = ["", " 404", " locked", " 解析", " 不能被", " 内存", " 文件不存在", " 无法下载"]
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
     @c.query(
         "error_classification",
-        f"""WITH e AS (SELECT event_id, (event_id % {len(kinds)})::INT AS k, event_type FROM events)
-        SELECT event_id, {case(0)} AS error_type, {case(1)} AS severity, {case(2)} AS recoverable, {case(3)} AS retry, upper(substr({case(1)}, 1, 1)) || '|' || event_type || '|' || 'event ' || event_id AS compact FROM e""",
+        f"""WITH e AS (SELECT event_id, {listed(kinds)}[event_id % 21 + 1] AS k, event_type AS context, 'event ' || event_id || {listed(endings)}[event_id % 8 + 1] AS message FROM events),
+        s AS (SELECT event_id, CASE WHEN k = 'Strange' THEN 'Unknown' ELSE k END AS error_type, context, message,
+            CASE WHEN k IN ('OutOfMemory', 'GPU') THEN 'critical' WHEN k IN ('Network', 'Download', 'Preprocessing', 'Checkpoint', 'GradientOverflow', 'Timeout') THEN 'warning' ELSE 'error' END AS severity,
+            k IN ('Network', 'Download', 'GradientOverflow', 'Timeout', 'Checkpoint', 'Preprocessing') AS recoverable, k IN ('Network', 'Download', 'Timeout') AS retry,
+            CASE k WHEN 'Config' THEN CASE WHEN message LIKE '%文件不存在%' THEN 'generate a default configuration file' WHEN message LIKE '%解析%' THEN 'check that the file is valid TOML' ELSE 'check the settings' END
+                WHEN 'Network' THEN 'check the connection or use a mirror' WHEN 'Download' THEN CASE WHEN message LIKE '%404%' OR message LIKE '%无法下载%' THEN 'check the name of the dataset or download it by hand' ELSE 'check the connection and the address' END
+                WHEN 'OutOfMemory' THEN 'use smaller batches or accumulate gradients' WHEN 'GradientOverflow' THEN 'lower the learning rate, raise the gradient limit or use mixed precision'
+                WHEN 'Device' THEN 'check the device or use the CPU' WHEN 'Validation' THEN CASE WHEN message LIKE '%不能被%' THEN 'make the dimensions of the model match' ELSE 'check the limits of the settings' END
+                WHEN 'Tokenizer' THEN CASE WHEN message LIKE '%内存%' THEN 'train from files instead of texts in memory' ELSE 'check the tokenizer''s settings' END
+                WHEN 'Database' THEN CASE WHEN message LIKE '%locked%' THEN 'wait for other processes or raise the timeout' ELSE 'check permissions and disk space' END END AS suggestion FROM e)
+        SELECT event_id, error_type, severity, recoverable, retry, suggestion, upper(substr(severity, 1, 1)) || '|' || context || '|' || message AS compact,
+            '[' || upper(severity) || '] ' || context || ': ' || error_type || ' error: ' || message || coalesce(' (hint: ' || suggestion || ')', '') AS human,
+            CASE WHEN suggestion IS NOT NULL THEN md5(to_json(struct_pack(error_type, severity, context, message, recoverable, retry, suggestion))::VARCHAR) END AS h FROM s""",
     )
     def error_classification(spark, sf_dir):
-        names = F.array(*[F.lit(k) for k in kinds])
-        e = table(spark, sf_dir, "events").select("event_id", F.get(names, (F.col("event_id") % len(kinds)).cast("int")).alias("error_type"), F.col("event_type").alias("context"), F.concat(F.lit("event "), "event_id").alias("message"))
-        return rules.error_lines(rules.classify_errors(e)).select("event_id", "error_type", "severity", "recoverable", "retry", "compact")
+        pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % len(xs)).cast("int"))
+        e = table(spark, sf_dir, "events").select("event_id", pick(kinds).alias("error_type"), F.col("event_type").alias("context"), F.concat(F.lit("event "), "event_id", pick(endings)).alias("message"))
+        out = rules.error_lines(rules.classify_errors(e))
+        return out.select("event_id", "error_type", "severity", "recoverable", "retry", "suggestion", "compact", "human", F.when(F.col("suggestion").isNotNull(), F.md5("json")).alias("h"))
+
+    # Settings of the generated configurations, around each limit: a row takes the value at its number times a step, modulo the number of values.
+    settings = {
+        "mix_total": [1.0, 0.5, 1.0000001, 1.1], "mix_count": [2, 0, 1], "mix_unnamed": [0, 1], "mix_repeated": [0, 0, 1], "mix_out_of_range": [0, 1, 0], "size_gb": [10.0, 0.0, 1000.0, 1000.5, -1.0], "num_shards": [4, 0],
+        "source": ["hub", "local", "url", "mirror"], "local_path": [None, "/x", "/y"], "local_exists": [True, False], "url": ["http://a", "https://a", "ftp://a"], "cache_is_file": [False, False, True],
+        "num_layers": [12, 0, 100, 101], "hidden_dim": [768, 0, 257, 16384, 16385], "num_heads": [12, 0, 8], "attention": ["mha", "gqa", "window", "gqa_window", "mqa"], "num_groups": [4, 0, 5], "window_size": [128, 0, 4096], "kv_heads": [None, 4, 5],
+        "dropout": [0.1, 0.0, 0.5, 0.6, 1.0, -0.1], "stochastic_depth": [None, 0.0, 0.99, 1.0, -0.5], "position": ["rope", "alibi", "learned", "sinusoidal"], "rope_theta": [None, 10000.0, 0.0, 999.0, 1000.0, 100000.0, 100001.0],
+        "normalization": ["rms", "layer"], "rms_eps": [None, 1e-6, 0.0, 1.0], "max_positions": [1024, 0, 128000, 128001], "learning_rate": [0.0003, 0.0, -0.1, 1.0, 1.5, 1e-8], "min_learning_rate": [None, 0.00001, -1.0, 0.1],
+        "scheduler": ["linear", "cosine", "restarts", "one_cycle", "constant"], "schedule_min": [0.0, -0.1], "restart_interval": [100, 0], "max_rate": [0.01, 0.0001], "pct_start": [0.3, 0.0, 1.0], "optimizer": ["adamw", "adam", "lamb", "sgd"],
+        "beta1": [0.9, 1.0, -0.1], "beta2": [0.999, 1.0, 0.0], "epsilon": [1e-8, 0.0, 1.0], "momentum": [0.9, 1.0, 0.0], "weight_decay": [0.01, -0.1, 0.1, 0.2], "grad_clip": [1.0, 0.0, -1.0], "batch_size": [32, 0, 3, 4],
+        "micro_batch_size": [None, 8, 0, 64], "num_steps": [1000, 0, 101], "warmup_steps": [100, 0, 500, 501, 1001, 50, 51], "sequence_length": [512, 0, 1025], "eval_interval": [100, 0, 5], "log_interval": [10, 200], "save_interval": [500, 0, 50],
+        "accumulation_steps": [1, 0, 32, 33], "ema_decay": [None, 0.999, 0.9, 0.89, 1.0], "mixed_precision": [None, "bf16", "fp16", "fp8"], "max_checkpoints": [5, 0], "num_workers": [4, 0, 16, 17], "cpu_count": [8], "device": ["auto", "cuda", "mps", "rocm", "cpu"],
+        "use_tf32": [False, True], "log_level": ["INFO", "warn", "verbose"], "events_is_file": [False, True, False], "csv_is_folder": [False, False, True],
+    }
+    gpus = [[], [0, 1], [0, 8], [2, 2]]
+    steps = {name: 2 * k + 1 for k, name in enumerate(settings)}
+    written = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
+    at = lambda name, n: f"((i + i // {n}) * {steps[name]}) % {n}"
+    made = ", ".join(f"[{', '.join(map(written, xs))}][{at(k, len(xs))} + 1] AS {k}" for k, xs in settings.items())
 
-    literal = "(VALUES (1, 4, 10.0, 12, 768, 12, 0.1, 0.0003, 32, 8, 512, 1024, 100, 1000, 4, 10), (2, 0, 1500.0, 0, 257, 8, 0.6, -0.001, 32, 64, 200, 128, 2000, 1000, -1, 5000)) AS t(config_id, num_shards, size_gb, num_layers, hidden_dim, num_heads, dropout, learning_rate, batch_size, micro_batch_size, max_seq_length, max_position_embeddings, warmup_steps, num_steps, num_workers, log_interval)"
-    broken = " UNION ALL ".join(f"SELECT config_id, '{s}' AS section, '{v}' AS severity, '{m}' AS message FROM {literal} WHERE {p}" for s, v, p, m in rules.CONFIG_RULES)
-
-    @c.query("config_rules", broken)
+    @c.query(
+        "config_rules",
+        f"""WITH c AS (SELECT i AS config_id, {made}, [[]::INT[], [0, 1], [0, 8], [2, 2]][(i // 3) % 4 + 1] AS gpu_ids FROM range(840) AS r(i)),
+        v AS (SELECT config_id, 'dataset' AS section, [CASE WHEN mix_total < 1 - 1e-6 OR mix_total > 1 + 1e-6 THEN 'error mix_total' END, CASE mix_count WHEN 0 THEN 'error mix_none' END, CASE WHEN mix_unnamed >= 1 THEN 'error mix_unnamed' END,
+                CASE WHEN mix_repeated >= 1 THEN 'warning mix_repeated' END, CASE WHEN mix_out_of_range >= 1 THEN 'error mix_range' END, CASE WHEN size_gb <= 0 THEN 'warning size_small' WHEN size_gb > 1000 THEN 'warning size_large' END,
+                CASE num_shards WHEN 0 THEN 'error shards_zero' END, CASE source WHEN 'local' THEN CASE WHEN local_path IS NULL THEN 'error local_unset' WHEN NOT local_exists THEN 'error local_missing' END
+                WHEN 'url' THEN CASE WHEN regexp_matches(url, '^https?://') THEN NULL ELSE 'warning url_scheme' END END, CASE WHEN cache_is_file THEN 'error cache_file' END] AS found FROM c
+            UNION ALL SELECT config_id, 'model', [CASE WHEN num_layers = 0 THEN 'error layers_zero' WHEN num_layers > 100 THEN 'warning layers_many' END, CASE WHEN hidden_dim = 0 THEN 'error hidden_zero' WHEN hidden_dim > 16384 THEN 'warning hidden_large' END,
+                CASE num_heads WHEN 0 THEN 'error heads_zero' ELSE CASE WHEN hidden_dim > 0 AND mod(hidden_dim, num_heads) > 0 THEN 'error hidden_heads' END END, CASE WHEN num_heads > 0 AND hidden_dim > 0 AND mod(hidden_dim, num_heads) > 0 THEN 'suggestion hidden_heads' END,
+                CASE WHEN attention LIKE 'gqa%' AND num_groups = 0 THEN 'error groups_zero' END, CASE WHEN attention LIKE 'gqa%' AND num_heads > 0 THEN CASE WHEN num_groups = 0 THEN 'error groups_heads' WHEN mod(num_heads, num_groups) > 0 THEN 'error groups_heads' END END,
+                CASE WHEN attention LIKE 'gqa%' AND kv_heads IS NOT NULL AND kv_heads <> num_groups THEN 'warning groups_kv' END, CASE WHEN NOT (dropout >= 0 AND dropout < 1) THEN 'error dropout_range' WHEN dropout > 0.5 THEN 'warning dropout_high' END,
+                CASE WHEN NOT (stochastic_depth >= 0 AND stochastic_depth < 1) THEN 'error depth_range' END, CASE WHEN attention LIKE '%window' AND window_size = 0 THEN 'error window_zero' END, CASE WHEN attention LIKE '%window' AND window_size > max_positions THEN 'error window_large' END,
+                CASE WHEN position <> 'rope' THEN NULL WHEN rope_theta <= 0 THEN 'error theta_sign' WHEN rope_theta NOT BETWEEN 1000 AND 100000 THEN 'warning theta_odd' END, CASE position WHEN 'alibi' THEN 'suggestion alibi_window' END,
+                CASE WHEN normalization = 'rms' AND NOT (rms_eps > 0 AND rms_eps < 1) THEN 'error norm_eps' END, CASE WHEN max_positions = 0 THEN 'error positions_zero' WHEN max_positions > 128000 THEN 'warning positions_many' END] FROM c
+            UNION ALL SELECT config_id, 'training', [CASE WHEN learning_rate <= 0 THEN 'error rate_sign' WHEN learning_rate > 1 THEN 'warning rate_high' WHEN learning_rate < 1e-7 THEN 'warning rate_low' END,
+                CASE WHEN min_learning_rate < 0 THEN 'error least_rate_sign' WHEN min_learning_rate > learning_rate THEN 'error least_rate_high' END, CASE WHEN scheduler IN ('cosine', 'restarts') AND schedule_min < 0 THEN 'error schedule_least' END,
+                CASE WHEN scheduler = 'restarts' AND restart_interval = 0 THEN 'error restart_zero' END, CASE WHEN scheduler = 'one_cycle' AND max_rate < learning_rate THEN 'error cycle_top' END, CASE WHEN scheduler = 'one_cycle' AND NOT (pct_start > 0 AND pct_start < 1) THEN 'error cycle_start' END,
+                CASE WHEN optimizer = 'sgd' THEN CASE WHEN NOT (momentum >= 0 AND momentum < 1) THEN 'error momentum_range' END ELSE CASE WHEN NOT (beta1 >= 0 AND beta1 < 1) THEN 'error beta1_range' END END,
+                CASE WHEN optimizer <> 'sgd' AND NOT (beta2 >= 0 AND beta2 < 1) THEN 'error beta2_range' END, CASE WHEN optimizer <> 'sgd' AND NOT (epsilon > 0 AND epsilon < 1) THEN 'warning epsilon_odd' END,
+                CASE WHEN weight_decay < 0 THEN 'error decay_sign' WHEN weight_decay > 0.1 THEN 'warning decay_high' END, CASE WHEN grad_clip < 0 THEN 'error clip_sign' WHEN grad_clip = 0 THEN 'warning clip_off' END,
+                CASE WHEN batch_size = 0 THEN 'error batch_zero' WHEN batch_size < 4 THEN 'warning batch_small' END, CASE WHEN micro_batch_size = 0 THEN 'error micro_zero' WHEN micro_batch_size > batch_size THEN 'warning micro_large' END,
+                CASE num_steps WHEN 0 THEN 'error steps_zero' END, CASE WHEN warmup_steps > num_steps THEN 'error warmup_long' WHEN warmup_steps > num_steps // 2 THEN 'warning warmup_half' END,
+                CASE WHEN sequence_length = 0 THEN 'error length_zero' WHEN sequence_length > max_positions THEN 'error length_positions' END, CASE WHEN eval_interval > 0 AND eval_interval < log_interval THEN 'warning eval_often' END,
+                CASE WHEN save_interval > 0 AND save_interval < eval_interval THEN 'warning save_often' END, CASE WHEN accumulation_steps = 0 THEN 'error accumulation_zero' WHEN accumulation_steps > 32 THEN 'warning accumulation_many' END,
+                CASE WHEN NOT (ema_decay >= 0.9 AND ema_decay < 1) THEN 'warning average_decay' END, CASE mixed_precision WHEN 'bf16' THEN 'suggestion bf16_hardware' WHEN 'fp8' THEN 'warning fp8_hardware' END, CASE max_checkpoints WHEN 0 THEN 'warning checkpoints_none' END] FROM c
+            UNION ALL SELECT config_id, 'hardware', [CASE WHEN list_max(gpu_ids) >= 8 THEN 'warning gpu_number' END, CASE WHEN len(list_distinct(gpu_ids)) < len(gpu_ids) THEN 'warning gpu_repeated' END,
+                CASE WHEN num_workers > cpu_count * 2 THEN 'warning workers_many' WHEN num_workers = 0 THEN 'warning workers_none' END, CASE device WHEN 'cuda' THEN 'suggestion driver_needed' WHEN 'mps' THEN 'warning device_system' WHEN 'rocm' THEN 'suggestion device_support' END,
+                CASE WHEN use_tf32 THEN 'suggestion tf32_hardware' END] FROM c
+            UNION ALL SELECT config_id, 'logging', [CASE WHEN upper(log_level) NOT IN ('DEBUG', 'INFO', 'WARN', 'ERROR') THEN 'warning level_unknown' END, CASE WHEN events_is_file THEN 'error events_file' END, CASE WHEN csv_is_folder THEN 'error csv_folder' END] FROM c),
+        x AS (SELECT config_id, section, unnest(list_filter(found, lambda f: f IS NOT NULL)) AS f FROM v)
+        SELECT config_id, section, split_part(f, ' ', 1) AS severity, split_part(f, ' ', 2) AS code FROM x""",
+    )
     def config_rules(spark, sf_dir):
-        return rules.config_violations(spark.sql(f"SELECT * FROM VALUES {literal[len('(VALUES ') :].replace(')) AS t(', ') AS t(')}"))
+        i = F.col("config_id")
+        value = lambda k, xs: F.get(F.array(*[F.lit(x) for x in xs]), (((i + F.floor(i / len(xs))) * steps[k]) % len(xs)).cast("int")).alias(k)
+        cards = F.get(F.array(*[F.array(*[F.lit(x) for x in g]).cast("array<int>") for g in gpus]), (F.floor(i / 3) % 4).cast("int")).alias("gpu_ids")
+        rows = spark.range(840).withColumnRenamed("id", "config_id").select("config_id", *[value(k, xs) for k, xs in settings.items()], cards)
+        return rules.config_violations(rows).drop("message")
 
     system = "string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) FILTER (WHERE role = 'system')"
     said = "string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) FILTER (WHERE role <> 'system' AND NOT (role = 'assistant' AND text = '') AND back < 21)"
