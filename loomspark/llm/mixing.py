@@ -24,6 +24,7 @@ an empty table gives an empty mix; extra columns pass through. The draw depends
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,6 +41,7 @@ BLOCK_DOCS = 256
 LEVELS = 3
 SEED = 20_240_607
 SHARDS = 16
+PART_WORDS = 1 << 24
 
 
 def word_count(text: str) -> Column:
@@ -126,8 +128,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return level.withColumn("target", target).withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).select("source", "rank", "source_size", "n_docs", "target", "whole", "need")
 
 
-def _cell(level: int) -> Column:
-    return F.shiftrightunsigned(F.col("h"), 8 * level).bitwiseAND(F.lit(FAN_OUT - 1)).cast("int")
+def _cell(level: int, h: str = "h") -> Column:
+    return F.shiftrightunsigned(F.col(h), 8 * level).bitwiseAND(F.lit(FAN_OUT - 1)).cast("int")
 
 
 def _same_source(a: DataFrame, b: DataFrame) -> Column:
@@ -207,11 +209,11 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
     return MixPlan(sizes, sources, materialize(draws, "mix-draws"), extra)
 
 
-def _with_draws(rows: DataFrame, plan: MixPlan) -> DataFrame:
+def _with_draws(rows: DataFrame, plan: MixPlan, h: str = "h") -> DataFrame:
     """rows (source, doc_id, h, ...) with an array of (epoch, shard) in _draws."""
     d = plan.draws.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), F.col("draws").alias("_draws"))
     e = plan.extra.select(F.col("source").alias("_es"), F.col("doc_id").alias("_ed"), F.col("times").alias("_times"))
-    out = rows.join(d, [F.col("source").eqNullSafe(F.col("_s")), _cell(0) == F.col("_c")], "left")
+    out = rows.join(d, [F.col("source").eqNullSafe(F.col("_s")), _cell(0, h) == F.col("_c")], "left")
     out = out.join(e, [F.col("source").eqNullSafe(F.col("_es")), F.col("doc_id").eqNullSafe(F.col("_ed"))], "left")
     # The partial block's instance holds a document as often as it was picked.
     times = F.coalesce("_times", F.lit(0))
@@ -232,8 +234,16 @@ def taken_words(plan: MixPlan) -> DataFrame:
 
 
 def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: the columns of docs plus shard and epoch, each shard shuffled within itself."""
+    """The mixed corpus: the columns of docs plus shard and epoch, each shard shuffled within itself.
+
+    A shard is written by as many tasks as its counted words need (``PART_WORDS`` each): rows are dealt to them by hash, so
+    that the tasks of a shard in order are one permutation of it, whatever the size of the input.
+    """
     plan = plan_mix(docs, n_shards, seed)
-    rows = _with_draws(docs.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))), plan).where(word_count("text") > 0)
+    rows = _with_draws(docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))), plan, "_h").where(word_count("text") > 0)
     copies = rows.select(*docs.columns, F.explode("_draws").alias("_d")).select(*docs.columns, "_d.shard", "_d.epoch")
-    return copies.repartition(F.col("shard"), F.col("epoch")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), F.col("epoch"), F.col("doc_id")))
+    words = plan.sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("w")).first().w
+    parts = max(1, math.ceil(words / n_shards / PART_WORDS))
+    place = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("doc_id"))
+    part = F.pmod(F.shiftright(place, 20), F.lit(parts))
+    return copies.repartition(n_shards * parts, F.col("shard"), part).sortWithinPartitions("shard", part, place)
