@@ -39,6 +39,8 @@ PIECE = 1 << 19
 TEXT_ROWS = 500
 MARGIN = 256
 FLUSH = 1 << 18
+BUCKET_BYTES = 1 << 24
+BUCKET_CONTEXTS = 1 << 14
 MARK = 255
 # Bytes to the left and right of an anchor: every window of SPAN bytes around it holds one of these stretches.
 STRETCHES = ((51, 0), (34, 17), (17, 34), (0, 51))
@@ -405,14 +407,21 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, start, end) byte spans to remove from documents (doc_id, text) that hold no whole-text copies; spans may overlap."""
-    buckets = 4 * shuffle_width(docs.sparkSession)
+    """(doc, start, end) byte spans to remove from documents (doc_id, text) that hold no whole-text copies; spans may overlap.
+
+    Buckets are as many as the counted bytes and contexts need, so that one holds about BUCKET_BYTES of text, or BUCKET_CONTEXTS.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    least = 4 * shuffle_width(docs.sparkSession)
+    buckets = max(least, size // BUCKET_BYTES)
     packed = docs.select("doc_id", "text").mapInArrow(_emit(buckets), "bucket int, h binary, c binary, doc binary, pos binary, left binary, right binary, k0 binary, k1 binary, k2 binary, k3 binary")
     met = materialize(packed.groupBy("bucket").applyInArrow(_meet, "doc long, start long, end long, h long"), "span-meet")
     asked = materialize(met.where("h <> 0").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("h", "start", "end")).alias("wanted")), "span-asked")
     rows = docs.join(asked, docs["doc_id"] == asked["_id"]).select("doc_id", "text", "wanted")
     contexts = rows.mapInArrow(_fetch, "h long, doc long, start long, context binary")
-    searched = contexts.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInArrow(_search_contexts, "doc long, start long, end long")
+    held = met.where("h <> 0").count()
+    parts = max(least, held // BUCKET_CONTEXTS)
+    searched = contexts.groupBy(F.pmod(F.xxhash64("h"), F.lit(parts)).alias("bucket")).applyInArrow(_search_contexts, "doc long, start long, end long")
     return met.where("h = 0").select("doc", "start", "end").unionByName(searched)
 
 
