@@ -31,6 +31,28 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return let(F.array_max(logits), lambda top: F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top)))) + top - F.get(logits, target))
 
 
+def mean_cross_entropy(rows: DataFrame, logits: str, target: str, *keys: str, ignore_index: int | None = None) -> DataFrame:
+    """Mean loss and the number of targets that count: those inside the vocabulary and not the one to ignore; 0 where there is none."""
+    inside = (F.col(target) >= 0) & (F.col(target) < F.size(logits))
+    if ignore_index is not None:
+        inside = inside & (F.col(target) != ignore_index)
+    loss = F.when(inside, cross_entropy(F.col(logits), F.when(inside, F.col(target)).cast("int")))
+    return rows.groupBy(*keys).agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"), F.count(loss).alias("n"))
+
+
+def dropout(values: Column, probability: float, *keys: Column | int) -> Column:
+    """Inverted dropout: elements whose hash of the keys and the place falls under the probability are 0, the others grow to keep the mean."""
+    if probability <= 0:
+        return values
+    named = [k if isinstance(k, Column) else F.lit(k) for k in keys]
+    return F.transform(values, lambda x, i: F.when(F.pmod(F.xxhash64(*named, i), F.lit(1 << 32)) / float(1 << 32) < probability, F.lit(0.0)).otherwise(x / (1 - probability)))
+
+
+def residual(values: Column, added: Column, probability: float = 0.0, *keys: Column | int) -> Column:
+    """values plus the added branch after dropout."""
+    return F.zip_with(values, dropout(added, probability, *keys), lambda x, y: x + y)
+
+
 def argmax(values: Column) -> Column:
     """Index of the largest value, the last of equal ones."""
     top = F.array_max(F.transform(values, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))
@@ -134,17 +156,34 @@ def nucleus(logits: Column, p: float) -> Column:
     return F.aggregate(ordered, start, lambda a, x: F.when(a["s"] >= p, a).otherwise(F.struct((a["s"] + x["p"]).alias("s"), F.array_append(a["ids"], -x["i"]).alias("ids"))))["ids"]
 
 
-def attention(q: DataFrame, window: int | None = None, causal: bool = True) -> DataFrame:
+def kv_head(head: Column, heads: int, kv_heads: int) -> Column:
+    """Key-value head that a query head shares; the first heads take the remainder of an uneven split."""
+    if kv_heads >= heads:
+        return F.least(head, F.lit(kv_heads - 1))
+    each, rest = divmod(heads, kv_heads)
+    return F.when(head < (each + 1) * rest, F.floor(head / (each + 1))).otherwise(rest + F.floor((head - (each + 1) * rest) / each)).cast("int")
+
+
+def alibi_slope(head: Column) -> Column:
+    return F.pow(F.lit(2.0), -8 - head)
+
+
+def attention(q: DataFrame, window: int | None = None, causal: bool = True, slope: float = 0.0, padding: str | None = None) -> DataFrame:
     """Scaled dot-product attention over rows (seq, pos, q, k, v): each position over the positions its mask allows.
 
-    Positions of a sequence meet in an equi-join on seq with the mask as a further condition.
+    ``slope`` lowers a score by the distance to an earlier position; ``padding`` names a boolean column of positions that none may see.
+    With a window each position is sent to the at most 2 * window + 1 positions that may see it, and meets them in an equi-join on
+    both, so that no sequence is joined with itself whole; without one it is, as every pair is wanted.
     """
-    k = q.select("seq", F.col("pos").alias("kpos"), "k", "v")
-    seen = F.col("kpos") <= F.col("pos") if causal else F.lit(True)
+    k = q if padding is None else q.where(~F.col(padding))
+    k = k.select("seq", F.col("pos").alias("kpos"), "k", "v")
     if window is not None:
-        seen = seen & (F.abs(F.col("pos") - F.col("kpos")) <= window)
+        last = F.col("kpos") + window
+        k = k.withColumn("pos", F.explode(F.sequence(F.col("kpos") if causal else F.col("kpos") - window, last)))
+    seen = F.col("kpos") <= F.col("pos") if causal else F.lit(True)
     dot = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("q"))
-    scored = q.select("seq", "pos", "q").join(k, "seq").where(seen).select("seq", "pos", dot.alias("score"), "v")
+    score = dot - F.greatest(F.col("pos") - F.col("kpos"), F.lit(0)) * slope if slope else dot
+    scored = q.select("seq", "pos", "q").join(k, "seq" if window is None else ["seq", "pos"]).where(seen).select("seq", "pos", score.alias("score"), "v")
     top = scored.groupBy("seq", "pos").agg(F.max("score").alias("m"))
     weighed = scored.join(top, ["seq", "pos"]).withColumn("w", F.exp(F.col("score") - F.col("m")))
     parts = weighed.select("seq", "pos", "w", F.posexplode("v").alias("i", "x")).groupBy("seq", "pos", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("y"))

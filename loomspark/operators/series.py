@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.modelmath import let
 
 HISTOGRAM_BINS = 30
+LATENCY_CELLS = 1 << 12
 
 
 def learning_rate(step: Column, kind: str, lr: float, warmup: int, total: int, min_lr: float = 0.0, restart: int = 1, max_lr: float = 0.0, pct_start: float = 0.3) -> Column:
@@ -113,6 +114,32 @@ def adam(gradients: Column, p0: float, lr: float, beta1: float = 0.9, beta2: flo
     return F.aggregate(gradients, start, step, lambda s: s["p"])
 
 
+def lamb(steps: Column, start: Column, lr: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-6, decay: float = 0.0) -> Column:
+    """Parameters (an array) after a series of gradient vectors, by LAMB as one published trainer has it: the trust ratio is that of the
+    parameters' norm to the gradient's, and the update's norm is taken of each element by itself."""
+    zeros = F.transform(start, lambda _: F.lit(0.0))
+    first = F.struct(F.transform(start, lambda x: x.cast("double")).alias("p"), zeros.alias("m"), zeros.alias("v"), F.lit(0.0).alias("t"))
+
+    def step(s: Column, g: Column) -> Column:
+        t = s["t"] + 1
+        c1, c2 = 1 - F.pow(F.lit(beta1), t), 1 - F.pow(F.lit(beta2), t)
+
+        def moved(m: Column, v: Column, trust: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                update = F.get(m, i) / c1 / (F.sqrt(F.get(v, i) / c2) + eps) + decay * p
+                return let(update, lambda u: p - F.when(u != 0, lr * trust / (F.abs(u) + eps)).otherwise(F.lit(lr)) * u)
+
+            return F.struct(F.transform(s["p"], one).alias("p"), m.alias("m"), v.alias("v"), t.alias("t"))
+
+        m = F.zip_with(s["m"], g, lambda a, x: a * beta1 + x * (1 - beta1))
+        v = F.zip_with(s["v"], g, lambda a, x: a * beta2 + x * x * (1 - beta2))
+        norms = F.struct(l2_norm(s["p"]).alias("p"), l2_norm(g).alias("g"))
+        trust = let(norms, lambda n: F.when((n["p"] > 0) & (n["g"] > 0), n["p"] / (n["g"] + eps)).otherwise(F.lit(1.0)))
+        return let(trust, lambda r: let(m, lambda mm: let(v, lambda vv: moved(mm, vv, r))))
+
+    return F.aggregate(steps, first, step, lambda s: s["p"])
+
+
 def sgd_momentum(gradients: Column, p0: float, lr: float, momentum: float = 0.9) -> Column:
     start = F.struct(F.lit(p0).alias("p"), F.lit(0.0).alias("v"))
 
@@ -132,11 +159,30 @@ def histogram(rows: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFr
 
 
 def latency(rows: DataFrame, value: str, *keys: str, tokens: int | None = None) -> DataFrame:
-    """avg, min, max, p50 (mean of the middles) and p99 (rank ceil(0.99 n), from 0, at most the last)."""
-    listed = F.array_sort(F.collect_list(value))
-    r = rows.groupBy(*keys).agg(F.avg(value).alias("avg_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), F.percentile(value, 0.5).alias("p50_ms"), listed.alias("_s"))
-    rank = F.least(F.ceil(F.size("_s") * 0.99), F.size("_s") - 1)
-    r = r.withColumn("p99_ms", F.get("_s", rank.cast("int"))).drop("_s")
+    """avg, min, max, p50 (mean of the middles) and p99 (rank ceil(0.99 n), from 0, at most the last).
+
+    The ranks are found over counts of equal values, which are summed in hash ranges of a key before their sums are, so that no
+    task holds all values of a key.
+    """
+    facts = rows.groupBy(*keys).agg(F.avg(value).alias("avg_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), F.count(value).alias("_n"))
+    by_key = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    lo, hi = F.col("min_ms"), F.col("max_ms")
+    cell = F.when(hi > lo, F.floor((F.col("_v") - lo) / (hi - lo) * (LATENCY_CELLS - 1))).otherwise(F.lit(0)).alias("_cell")
+    keyed = counts.alias("c").join(facts.select(*keys, "min_ms", "max_ms", "_n").alias("f"), by_key or F.lit(True)).select(*[F.col(f"c.{k}") for k in keys], "_v", "_c", "_n", cell)
+    cells = keyed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_s"))
+    ahead = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most LATENCY_CELLS rows a key
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_s").over(ahead), F.lit(0)))
+    at_cell = [F.col(f"k.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("k._cell") == F.col("b._cell")]
+    joined = keyed.alias("k").join(cells.select(*keys, "_cell", "_before").alias("b"), at_cell).select(*[F.col(f"k.{k}") for k in keys], F.col("k._cell").alias("_cell"), "_v", "_c", "_n", "_before")
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = joined.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    covers = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    n = F.col("_n")
+    ranks = upto.groupBy(*keys).agg(covers(F.floor((n - 1) / 2)).alias("_low"), covers(F.floor(n / 2)).alias("_high"), covers(F.least(F.ceil(n * 0.99), n - 1)).alias("p99_ms"))
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    r = facts.alias("f").join(ranks.alias("r"), same or F.lit(True), "left")
+    r = r.select(*[F.col(f"f.{k}") for k in keys], "avg_ms", "min_ms", "max_ms", ((F.col("_low") + F.col("_high")) / 2).alias("p50_ms"), "p99_ms")
     return r.withColumn("tokens_per_sec", tokens / (F.col("avg_ms") / 1000)) if tokens else r
 
 
@@ -146,6 +192,29 @@ def zip_series(losses: DataFrame, rates: DataFrame, key: str, interval: int = 10
     return joined.withColumn("learning_rate", F.coalesce("learning_rate", F.lit(0.0))).withColumn("eval_step", F.col("pos") * interval)
 
 
+def fp16(value: Column) -> Column:
+    """A float rounded to half precision, ties to even; subnormals keep their steps of 2 ** -24, and what is too large is infinite."""
+    v = value.cast("double")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14)) - 10)
+    rounded = F.rint(v / step) * step
+    large = F.when(F.abs(rounded) > 65504, F.signum(v) * float("inf")).otherwise(rounded)
+    return F.when((v == 0) | F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(large)
+
+
+def flatten_parameters(rows: DataFrame, key: str, order: str, values: str) -> DataFrame:
+    """(key, flat, names, sizes): the parameter arrays of a model joined in order of their names, with what is needed to take them apart."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("name"), F.col(values).alias("x"))))
+    rows = rows.groupBy(key).agg(parts.alias("_p"))
+    return rows.select(key, F.flatten(F.transform("_p", lambda p: p["x"])).alias("flat"), F.transform("_p", lambda p: p["name"]).alias("names"), F.transform("_p", lambda p: F.size(p["x"])).alias("sizes"))
+
+
+def unflatten_parameters(rows: DataFrame, key: str, name: str = "name", values: str = "values") -> DataFrame:
+    """The arrays again, a row for each (key, name)."""
+    ends = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", F.lit(1), i + 1), F.lit(0), lambda s, n: s + n))
+    cut = rows.select(key, "flat", F.explode(F.arrays_zip("names", "sizes", ends.alias("ends"))).alias("_z"))
+    return cut.select(key, F.col("_z.names").alias(name), F.slice("flat", F.col("_z.ends") - F.col("_z.sizes") + 1, F.col("_z.sizes")).alias(values))
+
+
 def bf16(value: Column) -> Column:
     """A float with its low 16 bits cut, through its exponent; zero and specials stay."""
     v = value.cast("double")

@@ -117,6 +117,47 @@ def register(c: Catalog) -> None:
         g = F.transform("values", lambda x: x / 100)
         return values(spark, sf_dir).select("user_id", g.alias("g")).select("user_id", F.round(series.sgd_momentum(F.col("g"), 1.0, 0.001), 9).alias("p"))
 
+    @c.query(
+        "lamb_fold",
+        f"""WITH RECURSIVE {VECTORS}, o AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, x AS g FROM e),
+        r AS (SELECT label, 0::BIGINT AS i, list_transform(g, lambda z: 1.0::DOUBLE) AS p, list_transform(g, lambda z: 0.0::DOUBLE) AS m, list_transform(g, lambda z: 0.0::DOUBLE) AS v FROM o WHERE o.i = 1
+        UNION ALL SELECT s.label, s.i, list_transform(range(1, len(p) + 1), lambda k: p[k] - CASE WHEN u[k] <> 0 THEN 0.001 * trust / (abs(u[k]) + 1e-6) ELSE 0.001 END * u[k]), m, v FROM (
+            SELECT *, list_transform(range(1, len(p) + 1), lambda k: m[k] / (1 - power(0.9, i)) / (sqrt(v[k] / (1 - power(0.999, i))) + 1e-6) + 0.01 * p[k]) AS u FROM (
+            SELECT r.label, o.i, r.p, list_transform(range(1, len(r.p) + 1), lambda k: 0.9 * r.m[k] + (1 - 0.9) * o.g[k]) AS m, list_transform(range(1, len(r.p) + 1), lambda k: 0.999 * r.v[k] + (1 - 0.999) * o.g[k] * o.g[k]) AS v,
+                sqrt(list_sum(list_transform(r.p, lambda z: z * z))) / (sqrt(list_sum(list_transform(o.g, lambda z: z * z))) + 1e-6) AS trust
+            FROM r JOIN o ON o.label = r.label AND o.i = r.i + 1)) s),
+        z AS (SELECT label, arg_max(p, i) AS y FROM r GROUP BY 1)
+        SELECT label, (unnest(range(1, len(y) + 1)) - 1)::INT AS i, round(unnest(y), 6) + 0.0 AS y FROM z""",
+    )
+    def lamb_fold(spark, sf_dir):
+        g = series.ordered_values(vectors(spark, sf_dir), "label", ["vec_id"], "x")
+        ones = F.transform(F.get("values", F.lit(0)), lambda _: F.lit(1.0))
+        done = g.select("label", series.lamb(F.col("values"), ones, 0.001, decay=0.01).alias("p"))
+        return done.select("label", F.posexplode("p").alias("i", "y")).select("label", "i", (F.round("y", 6) + 0.0).alias("y"))
+
+    @c.query("precision_rounding", f"""WITH {VECTORS}, a AS (SELECT vec_id, unnest(range(1, len(x) + 1)) - 1 AS i, unnest(x) AS a FROM e), b AS (SELECT *, floor(log2(abs(a))) AS k FROM a)
+        SELECT vec_id, i::INT AS i, CASE WHEN a = 0 THEN a ELSE round_even(a / power(2.0, greatest(k, -14) - 10), 0) * power(2.0, greatest(k, -14) - 10) END + 0.0 AS half, CASE WHEN a = 0 THEN a ELSE trunc(a / power(2.0, k - 7)) * power(2.0, k - 7) END + 0.0 AS brain FROM b""")
+    def precision_rounding(spark, sf_dir):
+        rows = vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "a"))
+        return rows.select("vec_id", "i", (series.fp16(F.col("a")) + 0.0).alias("half"), (series.bf16(F.col("a")) + 0.0).alias("brain"))
+
+    @c.query("flat_parameters", "SELECT label, vec_id AS name, md5(array_to_string(list_transform(embedding, lambda x: round(x * 1000)::INT), ' ')) AS h FROM embeddings")
+    def flat_parameters(spark, sf_dir):
+        flat = series.flatten_parameters(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+        back = series.unflatten_parameters(flat, "label")
+        return back.select("label", "name", F.md5(F.array_join(F.transform("values", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), " ")).alias("h"))
+
+    @c.query("mean_xent", f"WITH {VECTORS}, t AS (SELECT label, x, (vec_id % (len(x) + 4)) - 2 AS t FROM e), l AS (SELECT label, CASE WHEN t BETWEEN 0 AND len(x) - 1 AND t <> 5 THEN ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) + list_max(x) - x[t + 1] END AS loss FROM t) SELECT label, round(coalesce(avg(loss), 0), 9) AS loss, count(loss) AS n FROM l GROUP BY 1")
+    def mean_xent(spark, sf_dir):
+        rows = vectors(spark, sf_dir).withColumn("t", F.col("vec_id") % (F.size("x") + 4) - 2)
+        return mm.mean_cross_entropy(rows, "x", "t", "label", ignore_index=5).withColumn("loss", F.round("loss", 9))
+
+    @c.query("kv_heads", "SELECT h::INT AS head, h::INT AS even, CASE WHEN h < 6 THEN h // 3 ELSE 2 + (h - 6) // 2 END::INT AS uneven, 0::INT AS one FROM range(14) AS r(h)")
+    def kv_heads(spark, sf_dir):
+        h = F.col("id").cast("int")
+        # 14 heads over 6 (2 each, 2 left over) and over 1.
+        return spark.range(14).select(h.alias("head"), mm.kv_head(h, 14, 14).alias("even"), mm.kv_head(h, 14, 6).cast("int").alias("uneven"), mm.kv_head(h, 14, 1).cast("int").alias("one"))
+
     def each(vector):
         """The rows (vec_id, i, y) of every element of a result vector."""
         return lambda rows: rows.select("vec_id", F.posexplode(vector).alias("i", "y")).select("vec_id", "i", F.round("y", 6).alias("y"))

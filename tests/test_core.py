@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.functions.text import FOLD_FROM, FOLD_TO, is_not_blank, normalize
+from loomspark.functions import registry
 from loomspark.operators import chat, pack, rules, series, tokenize, vocab
+from loomspark.operators import modelmath as mm
 from loomspark.operators.tracking import Store
 from loomspark.sources import extract, readers, writers
 
@@ -127,6 +130,36 @@ def test_tokens_file(spark, tmp_path):
     assert readers.token_lines(spark.createDataFrame([("1 x  3 -4",)], "value string")).first().tokens == [1, 3]
 
 
+def test_functions_for_sql(spark):
+    v = tokenize.Vocabulary(["ab", "a", "b"], [("a", "b")])
+    assert registry.register(spark, v) == ["normalize_text", "json_line_text", "pack_tokens", "encode_text", "decode_ids"]
+    row = spark.sql("""SELECT normalize_text('Héllo') AS n, json_line_text('{"text": "x"}') AS j, encode_text('ab') AS e, decode_ids(encode_text('aba')) AS d, encode_text(NULL) AS z""").first()
+    assert (row.n, row.j, row.e, row.d, row.z) == ("hello", "x", [v.ids["ab"]], "ab a", [v.id("unk")])
+    spark.createDataFrame([("x", 1, [1, 2, 3]), ("x", 2, [4, 5]), ("y", 1, [7]), ("x", 0, [0]), ("y", 2, None)], "k string, o int, tokens array<int>").createOrReplaceTempView("rows_to_pack")
+    got = spark.sql("SELECT * FROM pack_tokens(TABLE(rows_to_pack) PARTITION BY (k) ORDER BY (o), 2)").collect()
+    assert sorted(map(tuple, got)) == [("x", 0, [0, 1, 2]), ("x", 1, [3, 4, 5])]
+
+
+def test_attention_masks(spark):
+    rows = spark.createDataFrame([(1, p, [float(p)], [1.0], [float(p)], p == 2) for p in range(4)], "seq int, pos int, q array<double>, k array<double>, v array<double>, pad boolean")
+    full = {r.pos: r.out[0] for r in mm.attention(rows).collect()}
+    assert full == pytest.approx({p: sum(range(p + 1)) / (p + 1) for p in range(4)})
+    near = {r.pos: r.out[0] for r in mm.attention(rows, window=1, padding="pad").collect()}
+    assert near == pytest.approx({0: 0.0, 1: 0.5, 2: 1.0, 3: 3.0})
+    both = {r.pos: r.out[0] for r in mm.attention(rows, window=1, causal=False).collect()}
+    assert both == pytest.approx({0: 0.5, 1: 1.0, 2: 2.0, 3: 2.5})
+    sloped = {r.pos: r.out[0] for r in mm.attention(rows, slope=1.0).collect()}
+    w = [math.exp(-d) for d in range(4)]
+    assert sloped[3] == pytest.approx(sum((3 - d) * w[d] for d in range(4)) / sum(w))
+
+
+def test_dropout_keeps_the_mean(spark):
+    rows = spark.range(200).select(mm.residual(F.array_repeat(F.lit(1.0), 50), F.array_repeat(F.lit(2.0), 50), 0.25, F.col("id")).alias("y"))
+    values = [x for r in rows.collect() for x in r.y]
+    assert {round(x, 9) for x in values} == {1.0, round(1 + 2 / 0.75, 9)} and abs(sum(values) / len(values) - 3) < 0.1
+    assert one(spark, mm.dropout(F.array(F.lit(1.0)), 0.0)) == [1.0]
+
+
 def test_special_tokens():
     v = tokenize.Vocabulary()
     assert len(v) == 11 and v.id("pad") == 0 and v.id("unk") == 3
