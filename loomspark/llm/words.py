@@ -27,9 +27,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Bijective finaliser over uint64 (splitmix64)."""
-    x = x.astype(np.uint64, copy=True)
+def mix64(x: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
+    """Bijective finaliser over uint64 (splitmix64), of x or of x + salt."""
+    x = x.astype(np.uint64, copy=True) if salt is None else x + salt
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -51,23 +51,38 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of any byte range of one buffer from two polynomial prefix sums mod 2**64."""
+    """64-bit hashes of any byte range of one buffer from two polynomial prefix sums mod 2**64.
+
+    The sums live in arrays that the process uses again, as fresh ones cost more than the sums: only the
+    latest instance can be asked.
+    """
 
     BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
     TABLES = tuple(mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) | np.uint64(1) for m in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
     _cache: dict[tuple[int, int], np.ndarray] = {}
+    _arrays: list[np.ndarray] = [np.empty(0, np.uint64)] * 3
+    _latest: RangeHash | None = None
 
     def __init__(self, data: np.ndarray, two: bool = True) -> None:
         n = len(data)
         self.n = n
         self.prefix, self.inverse = [], []
+        RangeHash._latest = self
         for k in range(2 if two else 1):
-            powers = self._power(n + 1, self.BASES[k], k)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.TABLES[k][data] * powers[:n], out=total[1:])
+            terms, total = self._array(0, n), self._array(k + 1, n + 1)
+            np.take(self.TABLES[k], data, out=terms, mode="clip")
+            terms *= self._power(n + 1, self.BASES[k], k)[:n]
+            total[0] = 0
+            np.cumsum(terms, out=total[1:])
             self.prefix.append(total)
             self.inverse.append(self._power(n + 1, pow(self.BASES[k], -1, 1 << 64), k + 2))
 
+    @classmethod
+    def _array(cls, slot: int, n: int) -> np.ndarray:
+        if len(cls._arrays[slot]) < n:
+            cls._arrays[slot] = np.empty(max(n, 1 << 16), np.uint64)
+        return cls._arrays[slot][:n]
+
     @classmethod
     def _power(cls, n: int, base: int, slot: int) -> np.ndarray:
         have = cls._cache.get((slot, 0))
@@ -77,20 +92,23 @@ class RangeHash:
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of data[start:end] for arrays of offsets; equal ranges hash alike wherever they stand."""
-        out = np.zeros(len(start), np.uint64)
+        if RangeHash._latest is not self:
+            raise RuntimeError("only the latest RangeHash of a process can be asked")
+        out = (end - start).astype(np.uint64)
+        out *= np.uint64(0x9E3779B97F4A7C15)
         for total, inverse in zip(self.prefix, self.inverse, strict=True):
-            out = mix64(out ^ mix64((total[end] - total[start]) * inverse[start]))
-        return mix64(out + (end - start).astype(np.uint64))
-
-
-SPACES = np.zeros(256, bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
+            part = total[end]
+            part -= total[start]
+            part *= inverse[start]
+            out = mix64(part, out)
+        return out
 
 
 def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a byte buffer."""
-    inside = np.empty(len(data) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~SPACES[data]
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    gap = np.ones(len(data) + 2, bool)
+    inside = gap[1:-1]
+    np.less_equal(data - np.uint8(9), np.uint8(4), out=inside)  # the bytes 9 to 13; smaller ones wrap around
+    inside |= data == 32
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    return edges[::2], edges[1::2]
