@@ -152,8 +152,8 @@ def fit_labels(docs: DataFrame, labels: DataFrame) -> Discriminant | float:
     """The discriminant of the labelled rows, or the share of label 1 if there is only one class."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    # At most TRAIN_ROWS rows, whatever the input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
+    # At most TRAIN_ROWS rows, whatever the input: a repeated doc_id counts once, with its least text and label.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text")
     got = rows.mapInArrow(_features, "quality int, x array<double>").toArrow()
     y = got.column("quality").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
