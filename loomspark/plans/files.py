@@ -98,8 +98,9 @@ def register(c: Catalog) -> None:
 
     @c.query("stream_hourly_means", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY 1, 2")
     def stream_hourly_means(spark, sf_dir):
-        path = f"{sf_dir}/events.parquet"
-        events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+        schema = table(spark, sf_dir, "events").schema
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, since a stream takes no single file
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
         means = streams.windowed_means(events, "ts", "value", "400 days", "1 hour", "event_type")
         flat = means.select("event_type", F.col("window.start").alias("at"), "n", "mean")
         return drained(flat, "update").select("event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 9).alias("mean"))
