@@ -86,15 +86,16 @@ def register(c: Catalog) -> None:
         writers.write_packed(pack.pack(tokens, 512, "doc_id"), path, as_text=True)
         return path
 
-    digest = F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ")).alias("h")
+    def digest():
+        return F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ")).alias("h")
 
     @c.query("token_file", packed)
     def token_file_query(spark, sf_dir):
-        return readers.read_tokens(spark, token_file(spark, sf_dir)).select(digest)
+        return readers.read_tokens(spark, token_file(spark, sf_dir)).select(digest())
 
     @c.query("stream_token_file", packed)
     def stream_token_file(spark, sf_dir):
-        return drained(streams.stream_tokens(spark, token_file(spark, sf_dir), files_per_batch=8)).select(digest)
+        return drained(streams.stream_tokens(spark, token_file(spark, sf_dir), files_per_batch=8)).select(digest())
 
     @c.query("stream_hourly_means", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY 1, 2")
     def stream_hourly_means(spark, sf_dir):
