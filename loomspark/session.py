@@ -42,9 +42,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"loomspark-{spark.sparkContext.applicationId}")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    return os.path.join(tempfile.gettempdir(), f"loomspark-{spark.sparkContext.applicationId}")
 
 
 _tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
