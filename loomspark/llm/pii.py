@@ -177,11 +177,6 @@ class Field:
         return path
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
-
-
 def pad(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(r) for r in rows])
     out = np.zeros((len(rows), int(length.max()), *rows[0].shape[1:]), rows[0].dtype)
@@ -198,42 +193,51 @@ def train_field(table: list[tuple[list[str], list[str]]]) -> Field:
     size, steps = gold.shape
     mask = np.arange(steps)[None] < length[:, None]
     one = np.eye(n)
-    grads = {"emit": np.zeros_like(field.emit), "move": np.zeros_like(field.move)}
+    # The table has few different tokens and features: counts of these make a small matrix, and scores and gradients products with it.
+    kinds, kind = np.unique(ids[mask], axis=0, return_inverse=True)
+    used = np.unique(kinds)
+    counts = np.zeros((len(kinds), len(used)))
+    np.add.at(counts, (np.arange(len(kinds))[:, None], np.searchsorted(used, kinds)), 1)
+    by_kind = np.argsort(kind, kind="stable")
+    starts = np.searchsorted(kind[by_kind], np.arange(len(kinds)))
+    part, around = np.zeros((size, steps, 3 * n)), np.zeros((size, steps, 3, n))
+    weights = {"emit": np.zeros((3, len(used), n)), "move": field.move}
+    grads = {k: np.zeros_like(v) for k, v in weights.items()}
     seen = {k: np.full_like(v, 1e-8) for k, v in grads.items()}
     for _ in range(EPOCHS):
-        e = field.scores(ids)
-        move = field.move[:n]
-        alpha = np.zeros((size, steps, n))
-        alpha[:, 0] = e[:, 0] + field.move[n]
-        for t in range(1, steps):
-            step = _logsum(alpha[:, t - 1, :, None] + move[None], 1) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], step, alpha[:, t - 1])
-        total = _logsum(alpha[:, -1], 1)
-        beta = np.zeros((size, steps, n))
+        part[mask] = (counts @ weights["emit"].transpose(1, 0, 2).reshape(len(used), 3 * n))[kind]
+        e = part[:, :, n : 2 * n].copy()
+        e[:, 1:] += part[:, :-1, :n]
+        e[:, :-1] += part[:, 1:, 2 * n :]
+        # Forward and backward sums, scaled to 1 at each place.
+        move, local = np.exp(field.move[:n]), np.exp(e - e.max(2, keepdims=True))
+        alpha, beta, scale = np.empty((size, steps, n)), np.ones((size, steps, n)), np.ones((size, steps))
+        for t in range(steps):
+            step = local[:, 0] * np.exp(field.move[n]) if t == 0 else (alpha[:, t - 1] @ move) * local[:, t]
+            scale[:, t] = step.sum(1)
+            alpha[:, t] = step / scale[:, t, None] if t == 0 else np.where(mask[:, t, None], step / scale[:, t, None], alpha[:, t - 1])
         for t in range(steps - 2, -1, -1):
-            step = _logsum(move[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
-        node = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
+            step = ((local[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]) @ move.T)
+            beta[:, t] = np.where(mask[:, t + 1, None], step, 1.0)
+        node = alpha * beta * mask[:, :, None]
         want = one[gold] * mask[:, :, None]
         gap = want - node
-        g = grads["emit"]
-        g[:] = 0
-        for k, (a, b) in enumerate(((ids[:, :-1], gap[:, 1:]), (ids, gap), (ids[:, 1:], gap[:, :-1]))):
-            for f in range(PER_TOKEN):
-                np.add.at(g[k], a[:, :, f].ravel(), b.reshape(-1, n))
-        g[:, 0] = 0
+        around[:, :-1, 0], around[:, :, 1], around[:, 1:, 2] = gap[:, 1:], gap, gap[:, :-1]
+        pulled = counts.T @ np.add.reduceat(around[mask].reshape(-1, 3 * n)[by_kind], starts)
+        grads["emit"][:] = pulled.reshape(len(used), 3, n).transpose(1, 0, 2)
         m = grads["move"]
         m[n] = gap[:, 0].sum(0)
         m[:n] = 0
         for t in range(1, steps):
             live = mask[:, t]
-            edge = np.exp(alpha[live, t - 1, :, None] + move[None] + (e[live, t] + beta[live, t])[:, None, :] - total[live, None, None])
-            m[:n] += (want[live, t - 1, :, None] * want[live, t][:, None, :]).sum(0) - edge.sum(0)
+            edge = (alpha[live, t - 1].T @ (local[live, t] * beta[live, t] / scale[live, t, None])) * move
+            m[:n] += want[live, t - 1].T @ want[live, t] - edge
         for name, grad in grads.items():
-            w = getattr(field, name)
+            w = weights[name]
             grad -= PENALTY * w
             seen[name] += grad * grad
             w += RATE * grad / np.sqrt(seen[name])
+    field.emit[:, used] = weights["emit"]
     return field
 
 
