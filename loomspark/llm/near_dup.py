@@ -41,7 +41,7 @@ from loomspark.session import arrow_batches, discard, materialize
 SIMILARITY = 80
 SKETCH = 64
 POSTINGS = 24
-POPULAR = 64
+POPULAR = 16
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 200_000
 ESTIMATE = 0.5
