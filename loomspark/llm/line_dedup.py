@@ -96,7 +96,8 @@ def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     parts: list[np.ndarray] = []
     for batch in batches:
         for _, piece in chunks(batch.column(0).to_pylist(), PIECE):
-            parts.append(_tokens(piece)[0])
+            data = np.frombuffer(b"\n".join(t.lower() for t in piece) + b"\n", np.uint8)
+            parts.append(RangeHash(data, two=False).ranges(*word_ranges(data)))
             if sum(map(len, parts)) >= COUNT_TOKENS:
                 merge(parts)
                 parts = []
@@ -226,7 +227,7 @@ def _emit_keys(table, buckets: int, short: bool):
         at = np.flatnonzero(gone[row])[at]
         row, key, pos = np.concatenate((row[keep], one)), np.concatenate((key[keep], key[at])), np.concatenate((np.minimum(pos[keep], GONE - 1), np.full(len(one), GONE)))
         b = (key % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(b, kind="stable")
+        order = np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable")
         cuts = np.searchsorted(b[order], np.arange(buckets + 1))
         have = np.flatnonzero(np.diff(cuts))
         row = row[order]
@@ -314,11 +315,13 @@ def _first_candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(found_a), np.concatenate(found_b), np.concatenate(more)
 
 
-def _in_order(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Order by key, document and line."""
-    if len(doc) and doc.min() >= 0 and doc.max() < 1 << 42 and line.max() < 1 << 21:
-        return np.lexsort(((doc << 21) | line, key))
-    return np.lexsort((line, doc, key))
+def _in_order(group: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by group, document and line; packed into one number where they fit, which only sorts faster."""
+    if len(doc) and doc.min() >= 0:
+        of_doc, of_line = int(doc.max()).bit_length(), int(line.max()).bit_length()
+        if int(group.max()).bit_length() + of_doc + of_line < 64:
+            return np.argsort((group << (of_doc + of_line)) | (doc << of_line) | line)
+    return np.lexsort((line, doc, group))
 
 
 def _meet(packed: pa.Table) -> pa.Table:
@@ -335,7 +338,7 @@ def _meet(packed: pa.Table) -> pa.Table:
         dead = {k: v[gone] for k, v in c.items()}
         add(REMOVED, dead["key"], dead, dead)
         c = {k: v[~gone] for k, v in c.items()}
-    order = np.argsort(c["key"], kind="stable")
+    order = np.argsort(c["key"])
     key = c["key"][order]
     follows = np.concatenate(([False], key[1:] == key[:-1])) if len(key) else np.empty(0, bool)
     order = order[follows | np.append(follows[1:], False)] if len(key) else order
@@ -344,15 +347,17 @@ def _meet(packed: pa.Table) -> pa.Table:
         rows[name] = c[name][order]
     reports = rows["n"] >= LEAST
     rows["n"] -= reports * LEAST
-    order = _in_order(key, rows["doc"], rows["line"])
+    group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    order = _in_order(group, rows["doc"], rows["line"])
     key, rows, reports = key[order], rows[order], reports[order]
     if len(rows):
-        # Equal sets of a key side by side, each group in corpus order as the sort is stable.
-        by_set = np.argsort(mix64(key) + rows["name"], kind="stable")
+        # Equal sets of a key side by side; the first in corpus order leads them.
+        by_set = np.argsort(mix64(key) + rows["name"])
         k, r = key[by_set], rows[by_set]
-        follows = np.concatenate(([False], (k[1:] == k[:-1]) & np.logical_and.reduce([r[c][1:] == r[c][:-1] for c in ("name", "n", "bits", "more")])))
-        same, lead = np.empty(len(key), bool), np.empty(len(key), np.int64)
-        same[by_set], lead[by_set] = follows, by_set[np.maximum.accumulate(np.where(follows, 0, np.arange(len(key))))]
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | np.logical_or.reduce([r[c][1:] != r[c][:-1] for c in ("name", "n", "bits", "more")])))
+        lead = np.empty(len(key), np.int64)
+        lead[by_set] = np.minimum.reduceat(by_set, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        same = lead != np.arange(len(key))
         # A repeated row of the same document and line is no earlier line.
         repeat = same & reports & ((rows["doc"] != rows["doc"][lead]) | (rows["line"] != rows["line"][lead]))
         add(REMOVED, key[repeat], rows[repeat], rows[repeat])
