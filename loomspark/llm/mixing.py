@@ -41,7 +41,7 @@ BLOCK_DOCS = 256
 LEVELS = 3
 SEED = 20_240_607
 SHARDS = 16
-PART_WORDS = 1 << 24
+PART_WORDS = 1 << 22
 
 
 def word_count(text: str) -> Column:
@@ -233,17 +233,17 @@ def taken_words(plan: MixPlan) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, F.transform("_draws", lambda x: x["shard"])).otherwise(F.array().cast("array<int>")).alias("shards"))
 
 
-def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, part_words: int = PART_WORDS) -> DataFrame:
     """The mixed corpus: the columns of docs plus shard and epoch, each shard shuffled within itself.
 
-    A shard is written by as many tasks as its counted words need (``PART_WORDS`` each): rows are dealt to them by hash, so
+    A shard is written by as many tasks as its counted words need (``part_words`` each): rows are dealt to them by hash, so
     that the tasks of a shard in order are one permutation of it, whatever the size of the input.
     """
     plan = plan_mix(docs, n_shards, seed)
     rows = _with_draws(docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))), plan, "_h").where(word_count("text") > 0)
     copies = rows.select(*docs.columns, F.explode("_draws").alias("_d")).select(*docs.columns, "_d.shard", "_d.epoch")
     words = plan.sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("w")).first().w
-    parts = max(1, math.ceil(words / n_shards / PART_WORDS))
+    parts = max(1, math.ceil(words / n_shards / part_words))
     place = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("doc_id"))
     part = F.pmod(F.shiftright(place, 20), F.lit(parts))
     return copies.repartition(n_shards * parts, F.col("shard"), part).sortWithinPartitions("shard", part, place)
