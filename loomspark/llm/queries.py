@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontaminate, line_dedup, near_dup, pii, quality_score, query_sql, revisits, substring_dedup
+from loomspark.llm import bpe_automaton, decontaminate, line_dedup, near_dup, pii, quality_score, query_sql, revisits, substring_dedup
 from loomspark.llm.html_text import extract_pages
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
@@ -62,6 +63,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_automaton.report(table(spark, sf_dir, "documents"), bpe_automaton.load_automaton(path))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_mixing": op1_mixing,
@@ -74,6 +80,7 @@ def queries() -> dict[str, QueryFn]:
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_text": op10_html_text,
+        "op13_bpe": op13_bpe,
     }
 
 
