@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe_automaton, decontaminate, line_dedup, near_dup, pii, quality_score, query_sql, revisits, substring_dedup
+from loomspark.llm import bpe_automaton, decontaminate, divergence, line_dedup, near_dup, pii, quality_score, query_sql, revisits, substring_dedup, vector_codes
 from loomspark.llm.html_text import extract_pages
 from loomspark.llm.mixing import plan_mix, taken_words
 from loomspark.llm.quality_rules import score_rules
@@ -63,6 +63,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     return bpe_automaton.report(table(spark, sf_dir, "documents"), bpe_automaton.load_automaton(path))
@@ -80,6 +88,8 @@ def queries() -> dict[str, QueryFn]:
         "op8_decontamination": op8_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_text": op10_html_text,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_divergence": op12_divergence,
         "op13_bpe": op13_bpe,
     }
 
@@ -89,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_revisits": query_sql.op5(),
         "op8_decontamination": query_sql.op8(),
         "op9_quality_rules": query_sql.op9(),
+        "op12_divergence": query_sql.op12(),
     }

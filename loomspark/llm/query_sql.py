@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomspark.llm import decontaminate as dc
+from loomspark.llm import divergence as dv
 from loomspark.llm import quality_rules as qr
 
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -103,3 +104,32 @@ def op8() -> str:
     c AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(matched)::BIGINT AS max_matched FROM v GROUP BY 1)
     SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(max_matched, 0)::BIGINT AS max_matched, coalesce(n_items, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id)
     """
+
+
+def op12() -> str:
+    """All kept terms for all groups, then all pairs of groups of a language."""
+    b, top = dv.BILLION, dv.TOP_TERMS
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), '{dv.UPPER}', '{dv.LOWER}'), '{dv.TERM}') AS words FROM documents),
+    t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {dv.MIN_DOCS}),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    grid AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, v
+             FROM g JOIN kept ON g.lang = kept.lang JOIN v ON v.lang = g.lang
+             LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    p AS (SELECT lang, source, term, n, 1 + {b}::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p,
+                 sum(n) OVER (PARTITION BY lang, term) AS ln, sum(n) OVER (PARTITION BY lang) AS total, v FROM grid),
+    pairs AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p)::BIGINT AS value
+              FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    every AS (SELECT x.lang, x.source, y.source AS item, coalesce(value, 0)::BIGINT AS value
+              FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+              LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+    q AS (SELECT *, 1 + {b}::HUGEINT * (ln + 1) // (total + v) AS q FROM p),
+    terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM q WHERE n > 0 AND p > q),
+    u AS (SELECT lang, source, 'pair' AS part, item, value FROM every UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {top}
+    """
