@@ -9,6 +9,9 @@ last that weighs something, so that a paragraph that is one link stays where tex
 ``main`` element adds ``SURGE`` to its own stretches and counts its links as text, so that these count
 however short their lines are; text outside is judged by the windows alone. If no stretch is kept, the heaviest one is.
 
+A class or id names boilerplate if one of its parts does so beyond doubt (``main-sidebar``), or if a part that is also a plain word stands alone or
+beside words of layout only (``share``, ``share-buttons``, but not ``market-share`` or ``related-work``).
+
 An ``article`` within boilerplate (a teaser in a sidebar, a reader's comment) belongs to the boilerplate. Inside a
 block white space becomes one space, ``br`` included; two ``br`` in a row end the block. Character
 references are decoded. Blocks are joined by an empty line. Nothing else is dropped or capped.
@@ -42,10 +45,19 @@ RAW = frozenset("script style noscript template textarea title xmp iframe nofram
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog object audio video canvas label input fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
-BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
-    "header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond share sharing sidebar sidenav signup skip "
-    "social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
+# Names of furniture wherever they stand in a class or id, and names that are also plain words: these count alone, or with parts that say where or how a block stands.
+SURE_NAMES = frozenset(
+    "ads adsense advert adverts advertisement advertising adbox breadcrumb breadcrumbs commentlist disqus footer gdpr masthead nav navbar navigation pager pagination "
+    "sidebar sidenav sponsored toolbar topbar widget widgets".split()
+)
+LIKELY_NAMES = frozenset(
+    "ad banner comment comments consent cookie cookies header menu modal newsletter notice notices popup promo promoted related respond share sharing signup skip social sponsor subscribe tags".split()
+)
+BESIDE_NAMES = frozenset(
+    "above accept actions after alert all area article articles aside asides bar bars before below block blocks body bottom box btn button buttons card cards carousel center cloud col column "
+    "container content count desktop dismiss div entry external fixed floating follow form frame global google grid group home icon icons image inline inner item items js large layout leaderboard left "
+    "link links list lower main media meta middle mobile module nested node open outer overlay page pages panel post posts primary print reader readers reply rail right row rss secondary section "
+    "site slot small sticky stories stream strip sub text thread title toggle top topic unit upper user users view wide wrap wrapper".split()
 )
 FURNITURE_NAMES = frozenset("breadcrumb breadcrumbs footer header masthead menu nav navbar navigation sidebar sidenav toolbar topbar widget widgets".split())
 ARTICLE_NAMES = frozenset("ad advert comment comments promo promoted related reply response sponsored teaser".split())
@@ -87,6 +99,12 @@ def _names(attrs: dict[str, str]) -> Iterator[list[str]]:
             yield parts
 
 
+def _named_boilerplate(parts: list[str]) -> bool:
+    if not SURE_NAMES.isdisjoint(parts):
+        return True
+    return not LIKELY_NAMES.isdisjoint(parts) and all(p in LIKELY_NAMES or p in BESIDE_NAMES or not p.isalpha() for p in parts)
+
+
 def _is_boilerplate(name: str, raw: str) -> bool:
     if name in BOILERPLATE:
         return True
@@ -96,8 +114,8 @@ def _is_boilerplate(name: str, raw: str) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
         return True
     if name == "article":
-        return any(parts[0] in ARTICLE_NAMES for parts in _names(attrs))
-    return attrs.get("role", "").lower() in BOILERPLATE_ROLES or any(not BOILERPLATE_NAMES.isdisjoint(parts) for parts in _names(attrs))
+        return any(parts[0] in ARTICLE_NAMES and all(p in ARTICLE_NAMES or p in BESIDE_NAMES or not p.isalpha() for p in parts) for parts in _names(attrs))
+    return attrs.get("role", "").lower() in BOILERPLATE_ROLES or any(map(_named_boilerplate, _names(attrs)))
 
 
 def _is_furniture(name: str, raw: str) -> bool:

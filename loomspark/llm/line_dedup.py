@@ -23,8 +23,8 @@ Keys travel as packed arrays in hash buckets, a row for each task and bucket.
 
 Edge cases: null text has no lines and stays null; empty text has one empty line; repeated rows of a
 doc_id are distinct copies at the same place in the order and do not remove each other; null doc_ids
-are left as they are; rows of one doc_id with different texts count as one document whose lines
-share their numbers; extra columns pass through; an empty table gives no rows.
+are left as they are; rows of one doc_id with different texts are documents of their own, in the order of
+their digests; extra columns pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.identity import with_key
 from loomspark.llm.near_dup import TEXT_ROWS, chunks
 from loomspark.llm.words import RangeHash, mix64, word_ranges
 from loomspark.operators.modelmath import let
@@ -439,14 +440,14 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(keep)
 
 
-def _join_docs(docs: DataFrame, side: DataFrame, numbers: str, how: str) -> DataFrame:
-    """Join by doc_id with a materialised side keyed _id that holds an array of line numbers, broadcast only if its counted bytes are few."""
+def _join_docs(docs: DataFrame, side: DataFrame, numbers: str, how: str, key: str = "doc_id") -> DataFrame:
+    """Join by a document's key with a materialised side keyed _id that holds an array of line numbers, broadcast only if its counted bytes are few."""
     size = side.agg(F.coalesce(F.sum(32 + 4 * F.size(numbers)), F.lit(0)).alias("b")).first().b
-    return docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, docs["doc_id"] == side["_id"], how)
+    return docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, docs[key] == side["_id"], how)
 
 
 def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(_id, lines): numbers from 0 of the removed lines of each document that has some; short: also of lines under MIN_TOKENS words."""
+    """(_id, lines): numbers from 0 of the removed lines of each document that has some, where each doc_id has one text; short: also of lines under MIN_TOKENS words."""
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
         return _removed_lines(docs, short)
 
@@ -508,7 +509,9 @@ def _verified(plain: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _marked(docs: DataFrame, short: bool) -> DataFrame:
     """docs with _left (the text that stays), _n (lines before) and _gone (lines removed)."""
-    rows = _join_docs(docs, removed_lines(docs, short), "lines", "left")
+    docs = with_key(docs)
+    removed = removed_lines(docs.select(F.col("_key").alias("doc_id"), "text"), short)
+    rows = _join_docs(docs, removed, "lines", "left", "_key").drop("_key")
     count = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     # The runs between removed lines, whose numbers are sorted: each line is looked at once, however many go.
     run = lambda p, ends: lambda k: F.slice(p, F.get(ends, k) + 2, F.get(ends, k + 1) - F.get(ends, k) - 1)

@@ -16,7 +16,7 @@ reduced to the first before that. A bucket's memory grows with the occurrences o
 different contexts, 30 bytes for each.
 
 Edge cases: null text is empty; texts under ``SPAN`` bytes lose nothing; rows that repeat a doc_id are one
-document if their texts agree; null doc_ids are kept whole; extra columns pass by; an empty table gives no rows.
+document if their texts agree, else documents of their own in the order of their digests; null doc_ids are kept whole; extra columns pass by; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.identity import with_key
 from loomspark.llm.words import RangeHash
 from loomspark.session import arrow_batches, materialize, shuffle_width
 
@@ -427,8 +428,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """A row per document: bytes, removed bytes, removed runs and the SHA-256 of what stays."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = materialize(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "span-docs")
+    docs = with_key(docs.select(F.col("doc_id").cast("long").alias("_own"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    docs = docs.select("_own", F.col("_key").alias("doc_id"), "text")
+    facts = materialize(docs.select("_own", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "span-docs")
     first = facts.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= SPAN)).groupBy("sha").agg(F.min("doc_id").alias("rep"))
     facts = materialize(facts.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))), "span-classes")
     alone = facts.where("NOT copy AND rep IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
@@ -441,7 +443,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     out = facts.join(cut, (facts["doc_id"] == cut["doc"]) & ~facts["copy"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        "doc_id",
+        F.col("_own").alias("doc_id"),
         "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
