@@ -156,11 +156,16 @@ def nucleus(logits: Column, p: float) -> Column:
     return F.aggregate(ordered, start, lambda a, x: F.when(a["s"] >= p, a).otherwise(F.struct((a["s"] + x["p"]).alias("s"), F.array_append(a["ids"], -x["i"]).alias("ids"))))["ids"]
 
 
-def kv_head(head: Column, heads: int, kv_heads: int) -> Column:
-    """Key-value head that a query head shares; the first heads take the remainder of an uneven split."""
+def kv_head(head: Column, heads: int, kv_heads: int, compat: bool = False) -> Column:
+    """Key-value head that a query head shares; the first heads take the remainder of an uneven split.
+
+    ``compat``: the longer runs end after ``quotient * remainder`` heads, as the surveyed rule has it, so that the last heads go past the key-value heads.
+    """
     if kv_heads >= heads:
         return F.least(head, F.lit(kv_heads - 1))
     each, rest = divmod(heads, kv_heads)
+    if compat:
+        return F.when(head < each * rest, F.floor(head / (each + 1))).otherwise(rest + F.floor((head - each * rest) / each)).cast("int")
     return F.when(head < (each + 1) * rest, F.floor(head / (each + 1))).otherwise(rest + F.floor((head - (each + 1) * rest) / each)).cast("int")
 
 

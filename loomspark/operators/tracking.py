@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.commitlog import Change, CommitLog
+from loomspark.operators.pack import ranked
+
 # Columns of the nine tables: fixed values.
 TABLES = {
     "datasets": "id long, name string, source string, size_gb double, num_shards long, download_status string, download_progress double, downloaded_at timestamp, error_message string, retry_count long, last_retry_at timestamp",
@@ -29,112 +32,146 @@ NOW = {"preprocessed_data": "preprocessed_at", "training_runs": "start_time", "c
 
 
 class Store:
-    """A folder with a Parquet table for each of the nine; a change is a new version of its row, the latest version counts.
+    """Nine tables in a commit log; a change of a row is a new version of it, the latest version counts.
 
-    Appends are atomic, as Spark commits files. Ids are reserved by creating a marker file, which only one writer can, so
-    writers that insert at a time get different ids. Of two that update one row at a time, one version counts.
+    Each method is one commit, whatever number of tables it changes. Writers that work at a time lose nothing: of two that change
+    one row or take one id, the later one repeats its change on what the other left. ``compact`` removes only the folders it has read.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.log_ = spark, CommitLog(spark, path)
+        self.path = self.log_.path
 
-    def _schema(self, name: str) -> str:
+    @staticmethod
+    def _schema(name: str) -> str:
         return f"{TABLES[name]}, version long, deleted boolean"
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/{name}")
+    @staticmethod
+    def _current(versions: DataFrame) -> DataFrame:
+        last = versions.groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r"))
+        return last.select("r.*").where("NOT deleted").drop("version", "deleted")
 
     def versions(self, name: str) -> DataFrame:
-        self._recover(name)
-        try:
-            return self.spark.read.schema(self._schema(name)).parquet(f"{self.path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self._schema(name))
-
-    def _file(self, path: str) -> tuple:
-        """The file system and the path, as the JVM has them."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _recover(self, name: str) -> None:
-        """Put the old folder back if a compaction stopped between its two renames."""
-        fs, target = self._file(f"{self.path}/{name}")
-        _, old = self._file(f"{self.path}/_{name}_old")
-        if not fs.exists(target) and fs.exists(old):
-            fs.rename(old, target)
+        return Change(self.log_, self.log_.state()).read(name, self._schema(name))
 
     def table(self, name: str) -> DataFrame:
-        """Current rows."""
-        last = self.versions(name).groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r"))
-        return last.select("r.*").where("NOT deleted").drop("version", "deleted")
+        """Current rows, as of now: later commits do not reach the frame."""
+        return self._current(self.versions(name))
 
-    def _next(self, name: str) -> int:
-        """Reserve the next free id."""
-        new = (self.versions(name).agg(F.max("id")).first()[0] or 0) + 1
-        while True:
-            fs, marker = self._file(f"{self.path}/_ids/{name}/{new}")
-            if fs.createNewFile(marker):
-                return new
-            new += 1
-
-    def insert(self, name: str, /, **values) -> int:
-        """Add a row and return its id."""
-        new = self._next(name)
-        row = {"id": new, **DEFAULTS.get(name, {}), **values}
-        stamp = NOW.get(name)
-        self._put(name, row, 0, stamp=stamp if row.get(stamp) is None else None)
-        return new
-
-    def _put(self, name: str, row: dict, version: int, stamp: str | None = None, deleted: bool = False) -> None:
+    # ---- parts of a change
+    def _put(self, change: Change, name: str, row: dict, version: int, stamp: str | None = None) -> None:
         names = [c.split()[0] for c in TABLES[name].split(", ")]
         unknown = set(row) - set(names)
         if unknown:
             raise ValueError(f"{name} has no columns {sorted(unknown)}")
-        schema = self._schema(name)
-        df = self.spark.createDataFrame([tuple(row.get(c) for c in names) + (version, deleted)], schema)
+        df = self.spark.createDataFrame([tuple(row.get(c) for c in names) + (version, False)], self._schema(name))
         if stamp:
             df = df.withColumn(stamp, F.current_timestamp())
-        self._write(name, df.coalesce(1))
+        change.write(name, df.coalesce(1))
 
-    def update(self, name: str, id: int, /, *, stamp: str | None = None, **values) -> None:
-        """A new version of a row with some values changed; stamp: a column that takes the time of the change."""
-        got = self.versions(name).where(F.col("id") == id).orderBy(F.col("version").desc()).first()
+    def _insert(self, change: Change, name: str, /, **values) -> int:
+        new = change.new_id(name)
+        row = {"id": new, **DEFAULTS.get(name, {}), **values}
+        stamp = NOW.get(name)
+        self._put(change, name, row, 0, stamp=stamp if row.get(stamp) is None else None)
+        return new
+
+    def _row(self, change: Change, name: str, id: int) -> dict:
+        """Latest version of a row, which nobody else may change before the commit."""
+        change.touch(name, id)
+        got = change.read(name, self._schema(name)).where(F.col("id") == id).orderBy(F.col("version").desc()).first()
         if got is None or got.deleted:
             raise KeyError(f"{name} {id}")
-        row = got.asDict()
+        return got.asDict()
+
+    def _update(self, change: Change, name: str, id: int, stamp: str | None = None, **values) -> None:
+        row = self._row(change, name, id)
         version = row.pop("version") + 1
         row.pop("deleted")
-        self._put(name, {**row, **values}, version, stamp=stamp)
+        self._put(change, name, {**row, **values}, version, stamp=stamp)
+
+    # ---- any table
+    def insert(self, name: str, /, **values) -> int:
+        """Add a row and return its id."""
+        return self.log_.transact(lambda c: self._insert(c, name, **values))
+
+    def append(self, name: str, rows: DataFrame, *order: str) -> int:
+        """Add the rows of a frame, numbered by ``order``, and return their count; columns that it lacks take their defaults."""
+        names = [c.split()[0] for c in TABLES[name].split(", ")]
+        unknown = set(rows.columns) - set(names) - set(order)
+        if unknown or "id" in rows.columns:
+            raise ValueError(f"{name} takes no columns {sorted(unknown) or ['id']}")
+        placed = ranked(rows, *order, out="_rank")
+        types = dict(c.split() for c in TABLES[name].split(", "))
+        stamp = NOW.get(name)
+
+        def value(column: str):
+            if column in rows.columns:
+                return F.col(column)
+            return F.current_timestamp() if column == stamp else F.lit(DEFAULTS.get(name, {}).get(column))
+
+        filled = placed.select("_rank", *[value(c).cast(types[c]).alias(c) for c in names if c != "id"])
+        count = rows.count()
+
+        def make(change: Change) -> int:
+            first = change.reserve(name, count)
+            change.write(name, filled.select((F.col("_rank") + first).alias("id"), *names[1:], F.lit(0).cast("long").alias("version"), F.lit(False).alias("deleted")))
+            return count
+
+        return self.log_.transact(make)
+
+    def update(self, name: str, id: int, /, *, stamp: str | None = None, **values) -> None:
+        """A new version of a row with some values changed; stamp: a column that takes the time of the change."""
+        self.log_.transact(lambda c: self._update(c, name, id, stamp, **values))
 
     # ---- datasets
     def add_dataset(self, dataset: str, source: str, size_gb: float, num_shards: int) -> int:
         """Upsert on (name, source); the id stays."""
-        found = self.table("datasets").where((F.col("name") == dataset) & (F.col("source") == source)).first()
-        if found is None:
-            return self.insert("datasets", name=dataset, source=source, size_gb=size_gb, num_shards=num_shards)
-        self.update("datasets", found.id, size_gb=size_gb, num_shards=num_shards, **DEFAULTS["datasets"])
-        return found.id
+
+        def make(change: Change) -> int:
+            change.touch("datasets", f"{dataset}\0{source}")  # two that add one dataset are in conflict
+            now = self._current(change.read("datasets", self._schema("datasets")))
+            found = now.where((F.col("name") == dataset) & (F.col("source") == source)).first()
+            if found is None:
+                return self._insert(change, "datasets", name=dataset, source=source, size_gb=size_gb, num_shards=num_shards)
+            self._update(change, "datasets", found.id, size_gb=size_gb, num_shards=num_shards, **DEFAULTS["datasets"])
+            return found.id
+
+        return self.log_.transact(make)
+
+    def set_download_status(self, id: int, status: str) -> None:
+        """The other columns stay, as progress and error have setters of their own."""
+        self.update("datasets", id, download_status=status)
 
     def set_download_error(self, id: int, error: str) -> None:
-        row = self.table("datasets").where(F.col("id") == id).first()
-        self.update("datasets", id, stamp="last_retry_at", download_status="error", error_message=error, retry_count=(row.retry_count or 0) + 1)
+        def make(change: Change) -> None:
+            tries = self._row(change, "datasets", id)["retry_count"] or 0
+            self._update(change, "datasets", id, stamp="last_retry_at", download_status="error", error_message=error, retry_count=tries + 1)
+
+        self.log_.transact(make)
 
     # ---- runs
     def update_run(self, id: int, step: int, loss: float, status: str) -> None:
-        """Progress of a run and a metric row; the best loss never rises."""
-        row = self.table("training_runs").where(F.col("id") == id).first()
-        best = loss if row.best_loss is None else min(row.best_loss, loss)
-        self.update("training_runs", id, current_step=step, best_loss=best, status=status)
-        self.insert("metrics", run_id=id, step=step, loss=loss)
+        """Progress of a run and a metric row, in one commit; the best loss never rises."""
+
+        def make(change: Change) -> None:
+            best = self._row(change, "training_runs", id)["best_loss"]
+            self._update(change, "training_runs", id, current_step=step, best_loss=loss if best is None else min(best, loss), status=status)
+            self._insert(change, "metrics", run_id=id, step=step, loss=loss)
+
+        self.log_.transact(make)
 
     def complete_run(self, id: int, final_loss: float) -> None:
         self.update("training_runs", id, stamp="end_time", status="completed", final_loss=final_loss)
 
     def fail_run(self, id: int, error: str) -> None:
-        self.update("training_runs", id, stamp="end_time", status="failed")
-        self.log("error", error, id, kind="training_failed")
+        """The run's end and its event, in one commit."""
+
+        def make(change: Change) -> None:
+            self._update(change, "training_runs", id, stamp="end_time", status="failed")
+            self._insert(change, "system_events", run_id=id, event_type="training_failed", message=error, severity="error")
+
+        self.log_.transact(make)
 
     def pause_run(self, id: int) -> None:
         self.update("training_runs", id, status="paused")
@@ -146,34 +183,41 @@ class Store:
         return self.insert("system_events", run_id=run_id, event_type=kind or severity, message=message, severity=severity)
 
     def delete_run(self, id: int) -> None:
-        """A run and its child rows."""
-        for name, key in (("training_runs", "id"), *((n, "run_id") for n, cols in TABLES.items() if ", run_id long" in cols)):
-            gone = self.versions(name).where(F.col(key) == id)
-            last = gone.groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r")).select("r.*")
-            self._write(name, last.withColumn("version", F.col("version") + 1).withColumn("deleted", F.lit(True)))
+        """A run and its child rows, in one commit. The run is touched, so that nobody else changes it meanwhile."""
+
+        def make(change: Change) -> None:
+            change.touch("training_runs", id)
+            for name, key in (("training_runs", "id"), *((n, "run_id") for n, cols in TABLES.items() if ", run_id long" in cols)):
+                gone = change.read(name, self._schema(name)).where(F.col(key) == id)
+                last = gone.groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r")).select("r.*").where("NOT deleted")
+                change.write(name, last.withColumn("version", F.col("version") + 1).withColumn("deleted", F.lit(True)))
+
+        self.log_.transact(make)
 
     def counts(self) -> DataFrame:
-        """Rows of each table."""
-        parts = [self.table(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in TABLES]
+        """Rows of each table, all as of one commit."""
+        change = Change(self.log_, self.log_.state())
+        parts = [self._current(change.read(n, self._schema(n))).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in TABLES]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
     def compact(self, name: str) -> None:
-        """Rewrite a table with its latest versions only.
-
-        The new folder is complete before the old one is renamed away and the new one takes its place; the old one is deleted last, and
-        is put back by the next reader if the store stops between the renames.
-        """
-        temporary, old = f"{self.path}/_{name}_compact", f"{self.path}/_{name}_old"
-        self.versions(name).groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r")).select("r.*").write.mode("overwrite").parquet(temporary)
-        (fs, target), (_, source), (_, aside) = (self._file(p) for p in (f"{self.path}/{name}", temporary, old))
-        fs.delete(aside, True)
-        if fs.exists(target):
-            fs.rename(target, aside)
-        fs.rename(source, target)
-        fs.delete(aside, True)
+        """Replace the folders of a table by one with the latest version of each row. What others add meanwhile stays beside it."""
+
+        def make(change: Change) -> None:
+            folders = list(change.state.folders.get(name, []))
+            if len(folders) > 1:
+                last = change.read(name, self._schema(name)).groupBy("id").agg(F.max_by(F.struct("*"), F.col("version")).alias("r")).select("r.*")
+                change.write(name, last)
+                change.drop(name, folders)
+
+        self.log_.transact(make)
+
+    def vacuum(self) -> list[str]:
+        """Delete folders that stopped writers and compactions left; only while nobody writes."""
+        return self.log_.vacuum()
 
 
 # ---- lookups over any frame of the right columns -----------------------------------------------------

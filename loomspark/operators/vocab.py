@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.tokenize import Vocabulary
-from loomspark.session import materialize
+from loomspark.session import discard, materialize
 
 BYTE_TOKENS = 256
-OPEN, CLOSE = "", ""  # private-use marks around a token
+OPEN, CLOSE = "\ufdd0", "\ufdd1"  # around a token: code points that Unicode keeps for use inside programs
 WORD_MARK = "▁"
 
 
@@ -73,22 +73,82 @@ def _wrapped_pairs(rows: DataFrame) -> DataFrame:
     return bound.where(F.size("t") > 1).select("m", F.explode(pairs).alias("p")).groupBy("p.left_token", "p.right_token").agg(F.sum("m").alias("n"))
 
 
-def train_bpe(texts: DataFrame, n_merges: int, text: str = "text", cut_every: int = 8) -> DataFrame:
-    """(rank, left_token, right_token, n): the merges learned, ties by the smaller pair.
+def _merged(w: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Pairs that share no token, merged in any order."""
+    for a, b in pairs:
+        w = F.replace(w, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}"))
+    return w
+
+
+def _next_merges(top: list, all_seen: bool, known: set[str], room: int) -> list:
+    """The first of the pairs in order of count that the plain loop would merge one after the other, whatever the counts become meanwhile.
 
-    Equal words are counted once: merges never cross the line, so lines are the unit and equal lines share a row.
+    A merge (a, b) only lowers counts of pairs with a or b, and makes pairs (x, ab) and (ab, y) that are no more frequent than (x, a) and (b, y) were. So a
+    following pair is next if it shares no token with those before it, as long as ties cannot put a new pair before it: (x, ab) comes after (x, a) in
+    any case, (ab, y) may not, so that a pair (b, y) of the same count ends the list. So do pairs of a token with itself, and tokens that exist already.
     """
-    rows = lines(texts, text).groupBy(text).agg(F.count("*").alias("m")).select("m", _wrapped(F.col(text)).alias("w"))
-    rows = materialize(rows, "bpe-lines")
-    found = []
-    for rank in range(n_merges):
-        top = _wrapped_pairs(rows).orderBy(F.col("n").desc(), "left_token", "right_token").first()
-        if top is None:
+    out: list = []
+    used: set[str] = set()
+    for k, pair in enumerate(top[:room]):
+        a, b = pair.left_token, pair.right_token
+        alone = a == b or a + b in known
+        if out:
+            tied = [x for x in top[k:] if x.n == pair.n]
+            tie_open = not all_seen and top[-1].n == pair.n
+            rights = {x.right_token for x in out}
+            if alone or a in used or b in used or a + b in {x.left_token + x.right_token for x in out} or tie_open or any(x.left_token in rights for x in tied):
+                break
+        out.append(pair)
+        used |= {a, b}
+        if alone:
             break
-        found.append((rank, top.left_token, top.right_token, top.n))
-        rows = rows.withColumn("w", F.replace("w", F.lit(f"{OPEN}{top.left_token}{CLOSE}{OPEN}{top.right_token}{CLOSE}"), F.lit(f"{OPEN}{top.left_token}{top.right_token}{CLOSE}")))
-        if rank % cut_every == cut_every - 1:
-            rows = materialize(rows, "bpe-lines")
+    return out
+
+
+def learn_merges(texts: DataFrame, n_merges: int, text: str = "text", look: int = 400) -> tuple[list[tuple[int, str, str, int]], int]:
+    """(rank, left token, right token, count) of each merge, and the rounds that it took; see ``train_bpe``."""
+    parted = texts.select(F.explode(F.split(F.col(text), f"[\n{OPEN}{CLOSE}]")).alias(text)).groupBy(text).agg(F.count("*").alias("m"))
+    rows = materialize(parted.select("m", _wrapped(F.col(text)).alias("w")).where("w <> ''"), "bpe-lines")
+    counts = materialize(_wrapped_pairs(rows), "bpe-counts")
+    letters = counts.select(F.explode(F.array("left_token", "right_token")).alias("t")).distinct()
+    known = {r.t for r in letters.toLocalIterator()}  # an alphabet
+    found: list[tuple[int, str, str, int]] = []
+    rounds = 0
+    while len(found) < n_merges:
+        top = counts.orderBy(F.col("n").desc(), "left_token", "right_token").limit(look).collect()
+        chosen = _next_merges(top, len(top) < look, known, n_merges - len(found))
+        if not chosen:
+            break
+        rounds += 1
+        found += [(len(found) + k, r.left_token, r.right_token, r.n) for k, r in enumerate(chosen)]
+        pairs = [(r.left_token, r.right_token) for r in chosen]
+        known |= {a + b for a, b in pairs}
+        if len(found) >= n_merges:
+            break
+        holds = F.lit(False)
+        for a, b in pairs:
+            holds = holds | F.contains("w", F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"))
+        touched = rows.where(holds)
+        change = _wrapped_pairs(touched.select("m", _merged(F.col("w"), pairs).alias("w")).unionByName(touched.select((-F.col("m")).alias("m"), "w")))
+        merged = counts.unionByName(change).groupBy("left_token", "right_token").agg(F.sum("n").alias("n")).where("n > 0")
+        old = counts, rows
+        counts = materialize(merged, "bpe-counts")
+        rows = materialize(rows.select("m", _merged(F.col("w"), pairs).alias("w")), "bpe-lines")
+        for table in old:
+            discard(table)
+    discard(counts)
+    discard(rows)
+    return found, rounds
+
+
+def train_bpe(texts: DataFrame, n_merges: int, text: str = "text", look: int = 400) -> DataFrame:
+    """(rank, left_token, right_token, n): the merges learned, ties by the smaller pair.
+
+    Lines are the unit, as merges never cross them; equal lines are counted once, and the two code points that mark tokens inside here part lines
+    too. Pairs are counted once over all lines. A round then merges as many of the ``look`` most frequent pairs as cannot disturb each other, and adds
+    to the counts what it changed: only lines that hold one of these pairs are split into tokens again. Superseded tables are deleted.
+    """
+    found, _ = learn_merges(texts, n_merges, text, look)
     return texts.sparkSession.createDataFrame(found, "rank int, left_token string, right_token string, n long")
 
 
@@ -115,8 +175,8 @@ def train_wordpiece(texts: DataFrame, n_merges: int, text: str = "text", compat:
     Each pair found is merged before the next is sought; with ``compat`` it is not, so that the same pair stays best and is the only one.
     Equal words are counted once.
     """
-    words = texts.select(F.explode(F.split(F.trim(F.col(text)), "\\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("m"))
-    rows = materialize(words.select("m", _wrapped(F.col("w")).alias("w")), "wordpiece-words")
+    words = texts.select(F.explode(F.split(F.trim(F.col(text)), f"[\\s{OPEN}{CLOSE}]+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("m"))
+    base = rows = materialize(words.select("m", _wrapped(F.col("w")).alias("w")), "wordpiece-words")
     found: list[tuple] = []
     for rank in range(min(n_merges, 1) if compat else n_merges):
         tokens = _wrapped_tokens(rows)
@@ -129,7 +189,10 @@ def train_wordpiece(texts: DataFrame, n_merges: int, text: str = "text", compat:
         found.append((rank, top.left_token, top.right_token, top.score))
         rows = rows.withColumn("w", F.replace("w", F.lit(f"{OPEN}{top.left_token}{CLOSE}{OPEN}{top.right_token}{CLOSE}"), F.lit(f"{OPEN}{top.left_token}{top.right_token}{CLOSE}")))
         if rank % cut_every == cut_every - 1:
-            rows = materialize(rows, "wordpiece-words")
+            before, base = base, materialize(rows, "wordpiece-words")
+            rows = base
+            discard(before)
+    discard(base)
     return texts.sparkSession.createDataFrame(found, "rank int, left_token string, right_token string, score double")
 
 

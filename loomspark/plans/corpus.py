@@ -224,12 +224,13 @@ def register(c: Catalog) -> None:
             out = one if out is None else out.unionByName(one)
         return out
 
-    @c.query("split_file_names", "SELECT split, rank, filename FROM (VALUES ('train'), ('test')) AS s(split), LATERAL (VALUES (0, split || '.parquet'), (1, 'data/' || split || '.parquet'), (2, split || '-00000-of-00001.parquet'), (3, 'data/' || split || '-00000-of-00001.parquet')) AS f(rank, filename)")
+    @c.query("split_file_names", "SELECT split, rank, filename FROM (SELECT DISTINCT coalesce(source, 'none') AS split FROM documents) AS s(split), LATERAL (VALUES (0, split || '.parquet'), (1, 'data/' || split || '.parquet'), (2, split || '-00000-of-00001.parquet'), (3, 'data/' || split || '-00000-of-00001.parquet')) AS f(rank, filename)")
     def split_file_names(spark, sf_dir):
-        return readers.split_candidates(spark.createDataFrame([("train",), ("test",)], "split string"))
+        sources = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("split")).distinct()
+        return readers.split_candidates(sources)
 
     shard_sql = " UNION ALL ".join(
-        f"SELECT {k} AS pattern, i::INT AS shard, {expr} AS filename FROM range({n}) AS r(i)"
+        f"SELECT n_name, {k} AS pattern, i::INT AS shard, {expr} AS filename FROM nation, range({n}) AS r(i)"
         for k, (n, expr) in enumerate((
             (32, "printf('train-%05d-of-%05d.parquet', i, 32)"), (32, "printf('data/train-%05d-of-%05d.parquet', i, 32)"), (16, "printf('train-%05d.parquet', i)"),
             (16, "printf('data/train-%05d.parquet', i)"), (16, "printf('part-%05d.parquet', i)"), (10, "printf('shard-%05d.parquet', i)"), (10, "printf('%04d.parquet', i)"),
@@ -238,4 +239,4 @@ def register(c: Catalog) -> None:
 
     @c.query("shard_file_names", shard_sql)
     def shard_file_names(spark, sf_dir):
-        return readers.shard_candidates(spark)
+        return readers.shard_candidates(table(spark, sf_dir, "nation"), "n_name")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from loomspark.catalog import Catalog
 from loomspark.functions.text import is_not_blank
 from loomspark.operators import pack, series
-from loomspark.session import scratch_dir
+from loomspark.session import materialize, scratch_dir
 from loomspark.sources import readers, writers
-from loomspark.streaming import streams
+from loomspark.streaming import batches, streams
 from loomspark.tables import table
 
 NOT_BLANK = "regexp_matches(text, '\\S')"
@@ -23,13 +23,29 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/loomspark/files-{uuid.uuid4().hex}/{name}"
 
 
-def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream puts out from all that its source holds now, run to its end and read back."""
+def drained(rows: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream puts out from all that its source holds now, run to its end and read back; with ``keys``, the last row of each.
+
+    A micro-batch that is repeated after a failure writes its own folder again, so nothing comes twice.
+    """
     spark = rows.sparkSession
     path, state = _place(spark, "out"), _place(spark, "state")
-    put = lambda batch, _: batch.write.mode("append").parquet(path)
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/epoch={n}")
     rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(path)
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, epoch long").parquet(path)
+    if keys:
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "epoch").alias("r")).select("r.*")
+    return out.select(*rows.columns)
+
+
+def arriving(rows: DataFrame, by: str, name: str, parts: int = 4) -> str:
+    """A folder to which the rows came in so many files, one after the other, in ranges of a column."""
+    path = _place(rows.sparkSession, name)
+    bounds = rows.approxQuantile(by, [k / parts for k in range(1, parts)], 0.001) or [0.0]
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        some = rows if lo is None else rows.where(F.col(by) > lo)
+        (some if hi is None else some.where(F.col(by) <= hi)).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 def register(c: Catalog) -> None:
@@ -99,12 +115,12 @@ def register(c: Catalog) -> None:
 
     @c.query("stream_hourly_means", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY 1, 2")
     def stream_hourly_means(spark, sf_dir):
-        schema = table(spark, sf_dir, "events").schema
-        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, since a stream takes no single file
-        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+        events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+        path = arriving(events, "event_id", "events")  # an hour's rows come in several micro-batches
+        events = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
         means = streams.windowed_means(events, "ts", "value", "400 days", "1 hour", "event_type")
         flat = means.select("event_type", F.col("window.start").alias("at"), "n", "mean")
-        return drained(flat, "update").select("event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 9).alias("mean"))
+        return drained(flat, "update", ("event_type", "at")).select("event_type", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 9).alias("mean"))
 
     @c.query(
         "stream_early_stops",
@@ -115,13 +131,60 @@ def register(c: Catalog) -> None:
         SELECT user_id AS run_id, max(i) AS step, arg_max(best, i) AS best, arg_max(stopped, i) AS stopped FROM r GROUP BY 1""",
     )
     def stream_early_stops(spark, sf_dir):
-        path = _place(spark, "losses")
         values = series.ordered_values(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
-        values.select(F.col("user_id").alias("run_id"), F.posexplode("values").alias("p", "loss")).select("run_id", (F.col("p") + 1).cast("long").alias("step"), "loss").write.parquet(path)
-        losses = spark.readStream.schema("run_id long, step long, loss double").parquet(path)
-        return drained(streams.early_stops(losses, 5, 0.01), "update")
+        rows = values.select(F.col("user_id").alias("run_id"), F.posexplode("values").alias("p", "loss")).select("run_id", (F.col("p") + 1).cast("long").alias("step"), "loss")
+        losses = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving(rows, "step", "losses"))
+        return drained(streams.early_stops(losses, 5, 0.01), "update", ("run_id",))
+
+    # Sequences of 513 ids in four lanes; a lane's buffer holds 160, and gives 80 to batches of eight whenever it is full.
+    lanes, size, seed = 4, 8, 42
+    drawn = f"list_transform(list_sort(list_transform({{b}}, lambda i: {{{{k: md5('{seed}:' || turn || ':' || lane || ':' || i), i: i}}}})), lambda x: x.i)"
+    number = "('0x' || substr(md5('42:{what}:' || lane || ':' || batch || ':' || pos), {at}, 8))::BIGINT"
+
+    @c.query(
+        "stream_shuffled_batches",
+        f"""WITH RECURSIVE t AS (SELECT doc_id, unnest(range(1, len({CODES}) + 1)) AS i, unnest({CODES}) AS tok FROM documents), o AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS place FROM t),
+        q AS MATERIALIZED (SELECT place // 513 AS seq_id, list(tok ORDER BY place) AS x FROM o GROUP BY 1 HAVING count(*) = 513),
+        l AS (SELECT seq_id % {lanes} AS lane, list(seq_id ORDER BY seq_id) AS ids FROM q GROUP BY 1),
+        r AS (SELECT lane, ids, 0 AS turn, ids[1:160] AS held, 160 AS took, []::BIGINT[] AS gave FROM l
+            UNION ALL SELECT lane, ids, turn + 1, CASE WHEN len(held) = 160 THEN list_concat(s[81:], ids[took + 1:took + 80]) ELSE []::BIGINT[] END, took + 80, CASE WHEN len(held) = 160 THEN s[1:80] ELSE s END
+            FROM (SELECT *, {drawn.format(b="held")} AS s FROM r WHERE len(held) > 0)),
+        g AS (SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY turn, k) - 1 AS place, id AS seq_id FROM (SELECT lane, turn, unnest(gave) AS id, unnest(range(len(gave))) AS k FROM r)),
+        n AS (SELECT lane, count(*) AS n FROM g GROUP BY 1),
+        own AS (SELECT lane, place // {size} AS batch, place % {size} AS pos, seq_id, false AS filled FROM g),
+        more AS (SELECT lane, n // {size} AS batch, unnest(range(n % {size}, {size})) AS pos, n % {size} AS have FROM n WHERE n % {size} > 0),
+        fill AS (SELECT more.lane, more.batch, more.pos, own.seq_id, true AS filled FROM (SELECT *, {number.format(what="fill", at=1)} % have AS pick FROM more) more JOIN own ON own.lane = more.lane AND own.batch = more.batch AND own.pos = pick),
+        b AS (SELECT a.*, x[1:512] AS one, x[2:513] AS two, filled AND {number.format(what="swap", at=1)} % 10 = 0 AS swap, {number.format(what="swap", at=9)} % 511 AS k FROM (SELECT * FROM own UNION ALL SELECT * FROM fill) a JOIN q USING (seq_id))
+        SELECT lane::INT AS lane, batch::BIGINT AS batch, pos::INT AS pos, seq_id::BIGINT AS seq_id, filled,
+            md5(array_to_string(CASE WHEN swap THEN list_concat(one[1:k], [one[k + 2], one[k + 1]], one[k + 3:]) ELSE one END, ' ')) AS input_h,
+            md5(array_to_string(CASE WHEN swap THEN list_concat(two[1:k], [two[k + 2], two[k + 1]], two[k + 3:]) ELSE two END, ' ')) AS target_h FROM b""",
+    )
+    def stream_shuffled_batches(spark, sf_dir):
+        tokens = table(spark, sf_dir, "documents").select("doc_id", pack.char_tokens(F.col("text")).alias("tokens"))
+        sequences = pack.pack(tokens, 512, "doc_id").select(F.col("seq_id").cast("long").alias("seq_id"), "tokens", F.lit(False).alias("last"))
+        path = arriving(materialize(sequences, "stream-sequences"), "seq_id", "sequences")
+        batches.end_rows(spark, lanes).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(sequences.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        with batches.rocksdb_state(spark):
+            out = drained(batches.shuffled_stream(stream, 512, size, seed, lanes))
+        return out.select("lane", "batch", "pos", "seq_id", "filled", *[F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " ")).alias(f"{c}_h") for c in ("input", "target")])
+
+    @c.query("stream_token_chunks", packed.replace("SELECT md5", "SELECT place // 513 // 1000 AS chunk, md5"))
+    def stream_token_chunks(spark, sf_dir):
+        """Chunks of the packed sequences' token file; its lines are the sequences, in order."""
+        out = _place(spark, "chunks")
+        batches.write_chunks(spark, token_file(spark, sf_dir), out, 512)
+        return drained(batches.read_chunks(spark, out, 2)).select("chunk", digest())
 
-    @c.query("hub_file_names", "SELECT filename FROM (VALUES ('a.parquet'), ('b.parquet'), ('c.parquet'), ('train.parquet'), ('x/test.parquet')) AS t(filename)")
+    @c.query(
+        "hub_file_names",
+        """SELECT p_partkey, p_brand || '.parquet' AS filename FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT p_partkey, unnest([p_brand || '.parquet', p_type || '.parquet']) FROM part WHERE p_partkey % 3 = 1
+        UNION ALL SELECT p_partkey, unnest([p_brand || '.parquet', 'x/' || p_type || '.parquet']) FROM part WHERE p_partkey % 3 = 2""",
+    )
     def hub_file_names(spark, sf_dir):
-        values = spark.createDataFrame([('"a.parquet"',), ('["b.parquet", "c.parquet"]',), ('{"train": "train.parquet", "test": ["x/test.parquet"]}',)], "value string")
-        return readers.data_file_names(values)
+        """Each part names files as a JSON string, an array or an object, by turns."""
+        brand, kind = F.concat("p_brand", F.lit(".parquet")), F.concat("p_type", F.lit(".parquet"))
+        table_of = F.to_json(F.struct(brand.alias("train"), F.array(F.concat(F.lit("x/"), kind)).alias("test")))
+        value = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"'), brand, F.lit('"'))).when(F.col("p_partkey") % 3 == 1, F.to_json(F.array(brand, kind))).otherwise(table_of)
+        return readers.data_file_names(table(spark, sf_dir, "part").select("p_partkey", value.alias("value")), keep=["p_partkey"])

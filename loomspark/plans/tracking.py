@@ -163,7 +163,7 @@ def register(c: Catalog) -> None:
 
     @c.query(
         "config_rules",
-        f"""WITH c AS (SELECT i AS config_id, {made}, [[]::INT[], [0, 1], [0, 8], [2, 2]][(i // 3) % 4 + 1] AS gpu_ids FROM range(840) AS r(i)),
+        f"""WITH c AS (SELECT i AS config_id, {made}, [[]::INT[], [0, 1], [0, 8], [2, 2]][(i // 3) % 4 + 1] AS gpu_ids FROM (SELECT p_partkey AS i FROM part)),
         v AS (SELECT config_id, 'dataset' AS section, [CASE WHEN mix_total < 1 - 1e-6 OR mix_total > 1 + 1e-6 THEN 'error mix_total' END, CASE mix_count WHEN 0 THEN 'error mix_none' END, CASE WHEN mix_unnamed >= 1 THEN 'error mix_unnamed' END,
                 CASE WHEN mix_repeated >= 1 THEN 'warning mix_repeated' END, CASE WHEN mix_out_of_range >= 1 THEN 'error mix_range' END, CASE WHEN size_gb <= 0 THEN 'warning size_small' WHEN size_gb > 1000 THEN 'warning size_large' END,
                 CASE num_shards WHEN 0 THEN 'error shards_zero' END, CASE source WHEN 'local' THEN CASE WHEN local_path IS NULL THEN 'error local_unset' WHEN NOT local_exists THEN 'error local_missing' END
@@ -197,7 +197,7 @@ def register(c: Catalog) -> None:
         i = F.col("config_id")
         value = lambda k, xs: F.get(F.array(*[F.lit(x) for x in xs]), (((i + F.floor(i / len(xs))) * steps[k]) % len(xs)).cast("int")).alias(k)
         cards = F.get(F.array(*[F.array(*[F.lit(x) for x in g]).cast("array<int>") for g in gpus]), (F.floor(i / 3) % 4).cast("int")).alias("gpu_ids")
-        rows = spark.range(840).withColumnRenamed("id", "config_id").select("config_id", *[value(k, xs) for k, xs in settings.items()], cards)
+        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("config_id")).select("config_id", *[value(k, xs) for k, xs in settings.items()], cards)
         return rules.config_violations(rows).drop("message")
 
     system = "string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) FILTER (WHERE role = 'system')"

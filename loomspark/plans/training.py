@@ -30,11 +30,11 @@ def register(c: Catalog) -> None:
         "one_cycle": f"CASE WHEN {p} < 0.3 THEN 0.001 + (0.01 - 0.001) * {p} / 0.3 ELSE 0.01 - (0.01 - 0.001) * ({p} - 0.3) / 0.7 END",
     }
 
-    @c.query("lr_schedules", "SELECT b AS batch, " + ", ".join(f"round({warm.format(x=x)}, 12) AS lr_{k}" for k, x in curves.items()) + " FROM (SELECT b, 2 * b AS s FROM range(600) AS r(b))")
+    @c.query("lr_schedules", "SELECT b AS batch, " + ", ".join(f"round({warm.format(x=x)}, 12) AS lr_{k}" for k, x in curves.items()) + " FROM (SELECT event_id AS b, 2 * event_id AS s FROM events)")
     def lr_schedules(spark, sf_dir):
-        s = series.effective_step(F.col("id"))
+        s = series.effective_step(F.col("event_id"))
         cols = [F.round(series.learning_rate(s, k, min_lr=0.00001, restart=250, max_lr=0.01, **LR), 12).alias(f"lr_{k}") for k in curves]
-        return spark.range(600).select(F.col("id").alias("batch"), *cols)
+        return table(spark, sf_dir, "events").select(F.col("event_id").alias("batch"), *cols)
 
     @c.query("ema_by_user", f"WITH {ORDERED} SELECT user_id, round(list_reduce(x, lambda e, y: e * 0.9 + y * (1 - 0.9)), 9) AS ema FROM v")
     def ema_by_user(spark, sf_dir):
@@ -152,11 +152,12 @@ def register(c: Catalog) -> None:
         rows = vectors(spark, sf_dir).withColumn("t", F.col("vec_id") % (F.size("x") + 4) - 2)
         return mm.mean_cross_entropy(rows, "x", "t", "label", ignore_index=5).withColumn("loss", F.round("loss", 9))
 
-    @c.query("kv_heads", "SELECT h::INT AS head, h::INT AS even, CASE WHEN h < 6 THEN h // 3 ELSE 2 + (h - 6) // 2 END::INT AS uneven, 0::INT AS one FROM range(14) AS r(h)")
+    @c.query("kv_heads", "SELECT p_partkey, h::INT AS head, h::INT AS even, CASE WHEN h < 6 THEN h // 3 ELSE 2 + (h - 6) // 2 END::INT AS uneven, CASE WHEN h < 4 THEN h // 3 ELSE 2 + (h - 4) // 2 END::INT AS plain, 0::INT AS one FROM (SELECT p_partkey, p_partkey % 14 AS h FROM part)")
     def kv_heads(spark, sf_dir):
-        h = F.col("id").cast("int")
-        # 14 heads over 6 (2 each, 2 left over) and over 1.
-        return spark.range(14).select(h.alias("head"), mm.kv_head(h, 14, 14).alias("even"), mm.kv_head(h, 14, 6).cast("int").alias("uneven"), mm.kv_head(h, 14, 1).cast("int").alias("one"))
+        h = (F.col("p_partkey") % 14).cast("int")
+        # 14 heads over 6 (2 each, 2 left over), the longer runs first, or by the surveyed rule, and over 1.
+        cols = {"head": h, "even": mm.kv_head(h, 14, 14), "uneven": mm.kv_head(h, 14, 6), "plain": mm.kv_head(h, 14, 6, compat=True), "one": mm.kv_head(h, 14, 1)}
+        return table(spark, sf_dir, "part").select("p_partkey", *[v.cast("int").alias(k) for k, v in cols.items()])
 
     def each(vector):
         """The rows (vec_id, i, y) of every element of a result vector."""
@@ -220,9 +221,9 @@ def register(c: Catalog) -> None:
     def rope_encode(spark, sf_dir):
         return vectors(spark, sf_dir).select("vec_id", mm.rope(F.col("x"), F.col("vec_id") % 128).alias("r")).transform(each("r"))
 
-    @c.query("sinusoidal_positions", "SELECT p AS pos, i::INT AS i, round(CASE WHEN i % 2 = 0 THEN sin(p / power(10000.0, i / 32.0::DOUBLE)) ELSE cos(p / power(10000.0, (i - 1) / 32.0::DOUBLE)) END, 9) AS y FROM range(256) AS a(p), range(32) AS b(i)")
+    @c.query("sinusoidal_positions", "SELECT p AS pos, i::INT AS i, round(CASE WHEN i % 2 = 0 THEN sin(p / power(10000.0, i / 32.0::DOUBLE)) ELSE cos(p / power(10000.0, (i - 1) / 32.0::DOUBLE)) END, 9) AS y FROM (SELECT p_partkey AS p FROM part), range(32) AS b(i)")
     def sinusoidal_positions(spark, sf_dir):
-        rows = spark.range(256).select(F.col("id").alias("pos"), F.posexplode(mm.sinusoidal(F.col("id"), 32)).alias("i", "y"))
+        rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.posexplode(mm.sinusoidal(F.col("p_partkey"), 32)).alias("i", "y"))
         return rows.select("pos", "i", F.round("y", 9).alias("y"))
 
     # Weights by rule: output j of input i (from 0) has ((3 * i + 5 * j) % 7 - 3) / 8.
@@ -243,12 +244,12 @@ def register(c: Catalog) -> None:
     def nucleus_size(spark, sf_dir):
         return vectors(spark, sf_dir).select("vec_id", F.size(mm.nucleus(F.col("x"), 0.9)).alias("n"))
 
-    @c.query("model_dims", "SELECT h AS hidden, (h // 8)::BIGINT AS head_dim, CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 2 ELSE 8 END::BIGINT AS kv_heads, (ceil((CASE WHEN k % 2 = 0 THEN floor(h * 8.0::DOUBLE / 3.0::DOUBLE) ELSE h * 4 END) / 64) * 64)::BIGINT AS ffn_dim, (12 * k * h * h)::BIGINT AS parameters FROM (SELECT i AS k, (i + 1) * 64 AS h FROM range(48) AS r(i))")
+    @c.query("model_dims", "SELECT p_partkey, h AS hidden, (h // 8)::BIGINT AS head_dim, CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 2 ELSE 8 END::BIGINT AS kv_heads, (ceil((CASE WHEN k % 2 = 0 THEN floor(h * 8.0::DOUBLE / 3.0::DOUBLE) ELSE h * 4 END) / 64) * 64)::BIGINT AS ffn_dim, (12 * k * h * h)::BIGINT AS parameters FROM (SELECT p_partkey, p_size AS k, (p_partkey % 97 + 1) * 64 AS h FROM part)")
     def model_dims(spark, sf_dir):
-        k, h = F.col("id"), (F.col("id") + 1) * 64
+        k, h = F.col("p_size").cast("long"), (F.col("p_partkey") % 97 + 1) * 64
         kind = F.when(k % 3 == 0, "mqa").when(k % 3 == 1, "gqa").otherwise("mha")
         d = mm.dims(h, F.lit(8), kind, F.lit(2), F.when(k % 2 == 0, "swiglu").otherwise("gelu"))
-        return spark.range(48).select(h.alias("hidden"), *[v.alias(n) for n, v in d.items()], mm.parameter_estimate(k, h).alias("parameters"))
+        return table(spark, sf_dir, "part").select("p_partkey", h.alias("hidden"), *[v.alias(n) for n, v in d.items()], mm.parameter_estimate(k, h).alias("parameters"))
 
     @c.query("window_attention", "WITH s AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value / 100 AS a FROM events), p AS (SELECT q.seq, q.pos, q.a * k.a AS score, k.a AS v FROM s q JOIN s k ON q.seq = k.seq AND k.pos <= q.pos AND q.pos - k.pos <= 4), w AS (SELECT *, exp(score - max(score) OVER (PARTITION BY seq, pos)) AS w FROM p) SELECT seq, pos, round(sum(w * v) / sum(w), 9) AS y FROM w GROUP BY 1, 2")
     def window_attention(spark, sf_dir):
@@ -256,9 +257,10 @@ def register(c: Catalog) -> None:
         out = mm.attention(rows.withColumn("k", F.col("q")).withColumn("v", F.col("q")), window=4)
         return out.select("seq", "pos", F.round(F.get("out", F.lit(0)), 9).alias("y"))
 
-    @c.query("shard_ranges", "SELECT i AS shard, i * 1000000 AS first, least((i + 1) * 1000000, 12345678) AS last FROM range(13) AS r(i)")
+    @c.query("shard_ranges", "WITH t AS (SELECT coalesce(sum(strlen(text)), 0)::BIGINT AS n FROM documents) SELECT i AS shard, i * 100000 AS first, least((i + 1) * 100000, n) AS last FROM t, range(greatest(1, (n + 99999) // 100000)) AS r(i)")
     def shard_ranges(spark, sf_dir):
-        return writers.shard_plan(spark, 12_345_678, 1_000_000)
+        size = table(spark, sf_dir, "documents").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        return writers.shard_plan(spark, size, 100_000)
 
     @c.query("config_hash", "SELECT c_custkey, md5(c_name || '|' || c_mktsegment) AS h FROM customer")
     def config_hash(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,11 +117,11 @@ def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame | None, li
     return out, failed
 
 
-def token_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines of ids parted by white space to arrays; what is no id is dropped."""
+def token_lines(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Lines of ids parted by white space to arrays, beside the columns to keep; what is no id is dropped."""
     parts = F.split(F.trim(F.col(value)), "\\s+")
     ids = F.filter(F.transform(parts, lambda x: x.try_cast("int")), lambda x: x.isNotNull() & (x >= 0))
-    return lines.select(ids.alias("tokens"))
+    return lines.select(*keep, ids.alias("tokens"))
 
 
 def read_tokens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -191,17 +193,17 @@ def _around(pattern: str, column):
     return before, column, after
 
 
-def shard_candidates(spark: SparkSession) -> DataFrame:
-    """(pattern, shard, filename) of every name that is probed for shards."""
-    rows = [(k, i, p.format(i=i, n=n)) for k, (p, n) in enumerate(SHARD_PATTERNS) for i in range(n)]
-    return spark.createDataFrame(rows, "pattern int, shard int, filename string")
+def shard_candidates(datasets: DataFrame, name: str = "name") -> DataFrame:
+    """(name, pattern, shard, filename) of every name that is probed for shards of each dataset."""
+    rows = F.array(*[F.struct(F.lit(k).alias("pattern"), F.lit(i).alias("shard"), F.lit(p.format(i=i, n=n)).alias("filename")) for k, (p, n) in enumerate(SHARD_PATTERNS) for i in range(n)])
+    return datasets.select(name, F.explode(rows).alias("r")).select(name, "r.*")
 
 
-def data_file_names(values: DataFrame, value: str = "value") -> DataFrame:
-    """File names in a JSON value that is a string, an array of strings, or an object of either."""
+def data_file_names(values: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """File names in a JSON value that is a string, an array of strings, or an object of either, beside the columns to keep."""
     v = F.col(value)
     listed = F.from_json(v, "array<string>")
     table = F.map_values(F.from_json(v, "map<string,string>"))
     inner = F.flatten(F.transform(table, lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))))
     names = F.when(v.startswith("["), listed).when(v.startswith("{"), inner).otherwise(F.array(F.btrim(v, F.lit('"'))))
-    return values.select(F.explode(names).alias("filename"))
+    return values.select(*keep, F.explode(names).alias("filename"))

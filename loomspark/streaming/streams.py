@@ -1,4 +1,4 @@
-"""Structured Streaming: token-file chunks, a shuffle buffer, early stopping and loss scaling as stateful operators."""
+"""Structured Streaming: token files, windows, early stopping and loss scaling as stateful operators."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql import functions as F
 
-from loomspark.operators.pack import hash_key
 from loomspark.sources.readers import token_lines
 
 
@@ -25,7 +23,10 @@ def windowed_means(events: DataFrame, time: str, value: str, late: str, width: s
 
 
 def early_stops(losses: DataFrame, patience: int, min_delta: float) -> DataFrame:
-    """(run_id, step, best, stopped) after each micro-batch of (run_id, step, loss), in step order inside a batch."""
+    """(run_id, step, best, stopped) after each micro-batch of (run_id, step, loss), in step order inside a batch.
+
+    Micro-batches are folded as they come: rows of a later one with earlier steps count after those already folded.
+    """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best, bad, stopped = state.get if state.exists else (float("inf"), 0, False)
@@ -43,7 +44,7 @@ def early_stops(losses: DataFrame, patience: int, min_delta: float) -> DataFrame
 
 
 def loss_scales(flags: DataFrame, initial: float, factor: float = 2.0, window: int = 2000, low: float = 1.0, high: float = 32768.0) -> DataFrame:
-    """(run_id, step, scale, overflows) after each micro-batch of (run_id, step, overflow)."""
+    """(run_id, step, scale, overflows) after each micro-batch of (run_id, step, overflow), folded as they come like ``early_stops``."""
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scale, clean, n = state.get if state.exists else (initial, 0, 0)
@@ -60,16 +61,3 @@ def loss_scales(flags: DataFrame, initial: float, factor: float = 2.0, window: i
         yield pd.DataFrame({"run_id": [key[0]], "step": [int(rows["step"].max())], "scale": [scale], "overflows": [n]})
 
     return flags.groupBy("run_id").applyInPandasWithState(update, "run_id long, step long, scale double, overflows int", "scale double, clean int, n int", "update", GroupStateTimeout.NoTimeout)
-
-
-def shuffled_batches(sequences: DataFrame, path: str, size: int, seed: int, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch shuffled by hash and cut into batches of a size, appended as Parquet."""
-
-    def put(rows: DataFrame, epoch: int) -> None:
-        key = F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), " "))
-        placed = rows.withColumn("_k", hash_key(seed, epoch, key)).repartitionByRange("_k").sortWithinPartitions("_k")
-        part = F.spark_partition_id().cast("string")
-        out = placed.withColumn("batch_id", F.concat_ws("-", F.lit(str(epoch)), part, F.floor((F.monotonically_increasing_id() % (1 << 33)) / size).cast("string"))).drop("_k")
-        out.write.mode("append").parquet(path)
-
-    return sequences.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -341,10 +341,7 @@ def test_store(spark, tmp_path):
     assert store.table("training_runs").where(F.col("id") == failing).first().end_time is not None
     assert store.table("system_events").first().event_type == "training_failed"
     store.delete_run(failing)
-    other = Store(spark, store.path)
-    assert len({store._next("metrics"), other._next("metrics"), store._next("metrics")}) == 3
     store.compact("metrics")
-    os.rename(f"{store.path}/metrics", f"{store.path}/_metrics_old")  # as if the store had stopped between the renames
     assert store.table("metrics").count() == 2
     store.delete_run(run)
     assert {r.table_name: r.n for r in store.counts().collect()} == dict.fromkeys([r.table_name for r in store.counts().collect()], 0) | {"datasets": 1}
