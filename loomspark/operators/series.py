@@ -98,9 +98,10 @@ def scale_gradients(a: Column, factor: float) -> Column:
     return F.transform(a, lambda x: x * factor)
 
 
-def adam(gradients: Column, p0: float, lr: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8, decay: float = 0.0, bias: int = 1) -> Column:
-    """A parameter after a series of gradients. bias 1 corrects the moments once, 2 also the rate, as one published trainer does."""
-    start = F.struct(F.lit(p0).alias("p"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0.0).alias("t"))
+def adam_state(gradients: Column, start: Column | None, lr: float, p0: float = 1.0, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8, decay: float = 0.0, bias: int = 1) -> Column:
+    """(p, m, v, t) after a series of gradients, from a state of the same form or from p0: what a checkpoint keeps, so that a fold can go on."""
+    if start is None:
+        start = F.struct(F.lit(p0).alias("p"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0.0).alias("t"))
 
     def step(s: Column, g: Column) -> Column:
         t = s["t"] + 1
@@ -111,7 +112,12 @@ def adam(gradients: Column, p0: float, lr: float, beta1: float = 0.9, beta2: flo
         p = s["p"] * (1 - lr * decay) - rate * (m / c1) / (F.sqrt(v / c2) + eps)
         return F.struct(p.alias("p"), m.alias("m"), v.alias("v"), t.alias("t"))
 
-    return F.aggregate(gradients, start, step, lambda s: s["p"])
+    return F.aggregate(gradients, start, step)
+
+
+def adam(gradients: Column, p0: float, lr: float, **options) -> Column:
+    """A parameter after a series of gradients. bias 1 corrects the moments once, 2 also the rate, as one published trainer does."""
+    return adam_state(gradients, None, lr, p0, **options)["p"]
 
 
 def lamb(steps: Column, start: Column, lr: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-6, decay: float = 0.0) -> Column:

@@ -74,7 +74,7 @@ def _wrapped_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _merged(w: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Pairs that share no token, merged in any order."""
+    """Pairs of which none ends with a token that another begins with, merged in any order."""
     for a, b in pairs:
         w = F.replace(w, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}"))
     return w
@@ -83,23 +83,24 @@ def _merged(w: Column, pairs: list[tuple[str, str]]) -> Column:
 def _next_merges(top: list, all_seen: bool, known: set[str], room: int) -> list:
     """The first of the pairs in order of count that the plain loop would merge one after the other, whatever the counts become meanwhile.
 
-    A merge (a, b) only lowers counts of pairs with a or b, and makes pairs (x, ab) and (ab, y) that are no more frequent than (x, a) and (b, y) were. So a
-    following pair is next if it shares no token with those before it, as long as ties cannot put a new pair before it: (x, ab) comes after (x, a) in
+    A merge (a, b) only lowers counts of pairs (x, a) and (b, y), whose occurrences can overlap its own, and makes pairs (x, ab) and (ab, y) that are no more frequent than
+    these were. So a following pair is next if it is no such pair of one before it, as long as ties cannot put a new pair before it: (x, ab) comes after (x, a) in
     any case, (ab, y) may not, so that a pair (b, y) of the same count ends the list. So do pairs of a token with itself, and tokens that exist already.
     """
     out: list = []
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
     for k, pair in enumerate(top[:room]):
         a, b = pair.left_token, pair.right_token
         alone = a == b or a + b in known
         if out:
             tied = [x for x in top[k:] if x.n == pair.n]
             tie_open = not all_seen and top[-1].n == pair.n
-            rights = {x.right_token for x in out}
-            if alone or a in used or b in used or a + b in {x.left_token + x.right_token for x in out} or tie_open or any(x.left_token in rights for x in tied):
+            if alone or a in rights or b in lefts or a + b in {x.left_token + x.right_token for x in out} or tie_open or any(x.left_token in rights for x in tied):
                 break
         out.append(pair)
-        used |= {a, b}
+        lefts.add(a)
+        rights.add(b)
         if alone:
             break
     return out

@@ -10,9 +10,9 @@ from loomspark.catalog import Catalog
 @lru_cache(maxsize=1)
 def core_catalog() -> Catalog:
     """All queries of the core library (the optional subpackages register their own)."""
-    from loomspark.plans import corpus, files, packing, tracking, training
+    from loomspark.plans import corpus, files, packing, runs, tracking, training
 
     catalog = Catalog()
-    for module in (corpus, files, packing, tracking, training):
+    for module in (corpus, files, packing, runs, tracking, training):
         module.register(catalog)
     return catalog
