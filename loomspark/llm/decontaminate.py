@@ -10,8 +10,8 @@ shorter) agrees in at least ``SHARE`` of its places.
 Items of fewer tokens than the longest mask but at least ``MIN_TOKENS`` are searched as one exact
 run of their own length; shorter items are ignored, as they say nothing.
 
-Only built-in functions run on the path. The benchmark side is broadcast only if its row count, which is
-counted first, is at most ``BROADCAST_ROWS``; otherwise the join shuffles.
+Only built-in functions run on the path. The benchmark side is broadcast only if its bytes, which are
+counted first, are at most ``BROADCAST_BYTES``; otherwise the join shuffles. Items of equal tokens count once, under their least id.
 
 Edge cases: null or empty texts and null items have no tokens, hence no hits; repeated rows of
 documents each get the verdict of their doc_id's alignments (a null doc_id is its own key); an empty
@@ -35,7 +35,9 @@ SPAN = 12
 WINDOW = 13
 SHARE = 0.8
 MIN_TOKENS = 5
-BROADCAST_ROWS = 1_000_000
+#: Bytes of seeds and item tokens up to which they are broadcast; a seed's row takes some SEED_BYTES in a hashed relation.
+BROADCAST_BYTES = 64 << 20
+SEED_BYTES = 64
 
 
 def tokens(text: str | Column) -> Column:
@@ -60,7 +62,7 @@ def _need(n: int) -> int:
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified (doc_id, item_id, shift, matched): item token j stands at document token j + shift."""
-    bench = items.select("item_id", tokens("text").alias("b")).where(F.size("b") >= MIN_TOKENS).dropDuplicates(["b"])
+    bench = items.select("item_id", tokens("text").alias("b")).where(F.size("b") >= MIN_TOKENS).groupBy("b").agg(F.min("item_id").alias("item_id"))
     bench = materialize(bench, "decon-items")
     short = sorted(r.n for r in bench.where(F.size("b") < SPAN).select(F.size("b").alias("n")).distinct().collect())
     patterns = [*((m, SPAN, k) for k, m in enumerate(MASKS)), *((tuple(range(n)), n, 100 + n) for n in short)]
@@ -74,7 +76,8 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     for p in parts[1:]:
         wanted = wanted.unionByName(p)
     wanted = materialize(wanted.withColumnRenamed("at", "b_at").distinct(), "decon-seeds")
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = wanted.limit(BROADCAST_BYTES // SEED_BYTES + 1).count() * SEED_BYTES + (bench.agg(F.sum(F.size("b"))).first()[0] or 0) * 8
+    small = held <= BROADCAST_BYTES
     side = F.broadcast(wanted) if small else wanted
     # All masks of a position in one array, so that the tokens of a document are made once.
     n_tokens = F.size("t")

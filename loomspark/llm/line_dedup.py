@@ -18,6 +18,7 @@ filters and a bound from 128-bit parity bitmaps (the sets differ in at least as
 in bits) leave candidate pairs, which are verified on the words themselves. A line that
 meets more than ``TRIES`` candidates at a key tries the first of these; only if none is similar, the key's lines,
 kept in chunks that tasks share out, are searched for all other candidates of that line, which are verified too.
+A key with more than ``CHUNK_ROWS`` lines is not searched in one task: its chunks meet in pairs, a task for each.
 
 Keys travel as packed arrays in hash buckets, a row for each task and bucket.
 
@@ -259,7 +260,8 @@ def _emit_keys(table, buckets: int, short: bool):
 
 
 MEET = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("rows", pa.binary())])
-REMOVED, PAIR, SEEKER, CHUNK = 0, 1, 2, 3
+MEET_COLUMNS = "kind byte, key long, doc_a long, line_a int, doc_b long, line_b int, rows binary"
+REMOVED, PAIR, SEEKER, CHUNK, BLOCKS = 0, 1, 2, 3, 4
 
 
 class _Lines:
@@ -285,20 +287,24 @@ class _Lines:
         return at[ok], j[ok], apart[i[ok], j[ok]]
 
 
-def _first_candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a large group's rows, up to TRIES or a scan's best for each later row, and the rows that may have more."""
+def _first_candidates(rows: np.ndarray, early: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a large group's rows, up to TRIES or a scan's best for each later row, and the rows that may have more.
+
+    ``early``: only pairs of one of the first so many rows with one of the others.
+    """
     lines = _Lines(rows)
-    found_a, found_b, more = [], [], []
-    for lo in range(0, len(rows), BLOCK):
+    found_a, found_b, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(early or 0, len(rows), BLOCK):
         hi = min(lo + BLOCK, len(rows))
+        end = hi if early is None else early
         have = np.zeros(hi - lo, np.int64)
         at, step = 0, SCAN
-        while at < hi:
+        while at < end:
             open_ = np.flatnonzero(have < TRIES)
             if not len(open_):
                 break
             late = lo + open_ if len(open_) < hi - lo else slice(lo, hi)
-            i, j, apart = lines.pairs(at, min(at + step, hi), lines, late)
+            i, j, apart = lines.pairs(at, min(at + step, end), lines, late)
             j = open_[j]
             ok = i < lo + j
             i, j = i[ok], j[ok]
@@ -382,6 +388,14 @@ def _meet(packed: pa.Table) -> pa.Table:
             add(PAIR, key[a], rows[a], rows[a + step])
         for g in np.flatnonzero(size > SMALL):
             own = rows[first[g] : first[g] + size[g]]
+            if len(own) > CHUNK_ROWS:  # other tasks take its chunks in pairs
+                some = own[::CHUNK_ROWS].copy()
+                held = [own[k : k + CHUNK_ROWS].tobytes() for k in range(0, len(own), CHUNK_ROWS)]
+                some["line"] = np.arange(len(some))
+                last = some.copy()
+                last["line"] = len(some) - 1
+                add(BLOCKS, np.repeat(key[first[g]], len(some)), some, last, held)
+                continue
             a, b, more = _first_candidates(own)
             add(PAIR, np.repeat(key[first[g]], len(b)), own[a], own[b])
             if len(more):
@@ -395,6 +409,18 @@ def _meet(packed: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*[pa.array(v, f.type) for v, f in zip(cols, MEET, strict=False)], pa.concat_arrays([o[6] for o in out])], schema=MEET)
 
 
+def _meet_blocks(chunks_: pa.Table) -> pa.Table:
+    """The candidate pairs of two chunks of a key's lines, or of one with itself, and the lines that may have more."""
+    order = np.argsort(chunks_.column("no").to_numpy())
+    parts = [np.frombuffer(chunks_.column("rows")[int(i)].as_py(), ROW) for i in order]
+    rows = np.concatenate(parts)
+    a, b, more = _first_candidates(rows, None if len(parts) == 1 else len(parts[0]))
+    key = chunks_.column("key")[0].as_py()
+    out = [(PAIR, rows[a], rows[b], pa.nulls(len(b), pa.binary())), (SEEKER, rows[more], rows[more], pa.array([rows[k : k + 1].tobytes() for k in more], pa.binary()))]
+    columns = lambda kind, x, y, blobs: [pa.array([kind] * len(x), pa.int8()), pa.array([key] * len(x), pa.int64()), *(pa.array(np.ascontiguousarray(v[c]), t) for v in (x, y) for c, t in (("doc", pa.int64()), ("line", pa.int32()))), blobs]
+    return pa.concat_tables([pa.Table.from_arrays(columns(*o), schema=MEET) for o in out])
+
+
 def _more_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, seekers) of a key to all pairs of a seeker with an earlier line of the chunk that pass the filters."""
     schema = pa.schema([("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32())])
@@ -459,19 +485,29 @@ def _removed_lines(docs: DataFrame, short: bool) -> DataFrame:
     table = spark.sparkContext.broadcast((keys, ranks))
     buckets = max(4 * shuffle_width(spark), total >> BUCKET_TOKENS)
     packed = plain.mapInArrow(_emit_keys(table, buckets, short), "bucket int, key binary, name binary, bits binary, more binary, doc binary, line binary, n binary, pos binary")
-    met = materialize(packed.groupBy("bucket").applyInArrow(_meet, "kind byte, key long, doc_a long, line_a int, doc_b long, line_b int, rows binary"), "line-meet")
+    met = materialize(packed.groupBy("bucket").applyInArrow(_meet, MEET_COLUMNS), "line-meet")
+    large = met.where(F.col("kind") == BLOCKS).select("key", F.col("line_a").alias("no"), F.col("line_b").alias("last"), "rows")
+    split = None
+    if not large.isEmpty():
+        # Each chunk goes to every pair that it is part of.
+        sides = large.select("key", "no", "rows", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+        pairs_of = sides.groupBy("key", F.least("no", "other").alias("i"), F.greatest("no", "other").alias("j"))
+        split = materialize(pairs_of.applyInArrow(_meet_blocks, MEET_COLUMNS), "line-blocks")
+        met_rows = met.unionByName(split)
+    else:
+        met_rows = met
     exact = materialize(met.where(F.col("kind") == REMOVED).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct(), "line-repeats")
     gone = exact.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"))
     # A line already removed as a repeat needs no further match, but its first occurrence stands for it.
-    pairs = met.where(F.col("kind") == PAIR).select("doc_a", "line_a", "doc_b", "line_b").distinct().join(gone, ["doc_b", "line_b"], "left_anti")
+    pairs = met_rows.where(F.col("kind") == PAIR).select("doc_a", "line_a", "doc_b", "line_b").distinct().join(gone, ["doc_b", "line_b"], "left_anti")
     pairs = materialize(pairs, "line-pairs")
     verified = _verified(plain, pairs)
-    seekers = met.where(F.col("kind") == SEEKER).select("key", F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), F.col("rows").alias("seeker"))
+    seekers = met_rows.where(F.col("kind") == SEEKER).select("key", F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), F.col("rows").alias("seeker"))
     seekers = materialize(seekers.join(exact.unionByName(verified), ["doc", "line"], "left_anti"), "line-seekers")
     if not seekers.isEmpty():
         parts = seekers.groupBy("key").agg(F.ceil(F.count("*") / SEEKERS).alias("parts"))
         asking = seekers.join(parts, "key").groupBy("key", F.pmod(F.xxhash64("doc", "line"), "parts").alias("part")).agg(F.collect_list("seeker").alias("seekers"))
-        open_chunks = met.where(F.col("kind") == CHUNK).select("key", "rows").join(asking, "key").select("rows", "seekers")
+        open_chunks = met.where(F.col("kind").isin(CHUNK, BLOCKS)).select("key", "rows").join(asking, "key").select("rows", "seekers")
         with arrow_batches(spark, CHECK_CHUNKS):
             others = open_chunks.mapInArrow(_more_candidates, "doc_a long, line_a int, doc_b long, line_b int").distinct()
             others = materialize(others.join(pairs, ["doc_a", "line_a", "doc_b", "line_b"], "left_anti"), "line-pairs")
@@ -479,6 +515,8 @@ def _removed_lines(docs: DataFrame, short: bool) -> DataFrame:
     every = exact.unionByName(verified).distinct()
     out = materialize(every.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-removed")
     discard(met)
+    if split is not None:
+        discard(split)
     return out
 
 

@@ -87,3 +87,34 @@ def test_furniture_goes(name):
     page = f'<article>{PARAGRAPHS}<div class="{name}"><p>Unwanted words that stand here for whatever reason there is.</p></div>{PARAGRAPHS}</article>'
     got = html_text.extract_text(page)
     assert "Unwanted" not in got and got.count("Paragraph") == 8
+
+
+def test_large_keys_are_searched_by_pairs_of_chunks():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = np.zeros(700, line_dedup.ROW)
+    base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    rows["doc"], rows["line"], rows["n"], rows["pos"] = np.arange(700) // 3, np.arange(700) % 3, 20, 0
+    pick = rng.integers(0, 40, 700)
+    rows["bits"], rows["more"] = base[pick] ^ (np.uint64(1) << rng.integers(0, 60, 700, dtype=np.uint64)), base[pick]
+    lines = line_dedup._Lines(rows)
+    i, j, _ = lines.pairs(0, 700, lines, slice(0, 700))
+    every = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+    size, found, more = 256, set(), {}
+    cuts = [rows[k : k + size] for k in range(0, 700, size)]
+    at = {(int(r["doc"]), int(r["line"])): k for k, r in enumerate(rows)}
+    for x in range(len(cuts)):
+        for y in range(x, len(cuts)):
+            part = [(7, n, cuts[n].tobytes()) for n in {x, y}]
+            got = line_dedup._meet_blocks(pa.table({"key": [p[0] for p in part], "no": [p[1] for p in part], "rows": [p[2] for p in part]})).to_pylist()
+            pairs = {(at[r["doc_a"], r["line_a"]], at[r["doc_b"], r["line_b"]]) for r in got if r["kind"] == line_dedup.PAIR}
+            assert pairs <= every
+            found |= pairs
+            for r in got:
+                if r["kind"] == line_dedup.SEEKER:
+                    more.setdefault(at[r["doc_b"], r["line_b"]], set()).add((x, y))
+    assert len(every) > 2000
+    for a, b in every - found:  # what is left out belongs to a line that seeks on in its own and all other chunks
+        assert b in more
