@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.pack import uniform
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -156,6 +158,28 @@ def nucleus(logits: Column, p: float) -> Column:
     return F.aggregate(ordered, start, lambda a, x: F.when(a["s"] >= p, a).otherwise(F.struct((a["s"] + x["p"]).alias("s"), F.array_append(a["ids"], -x["i"]).alias("ids"))))["ids"]
 
 
+def draw_nucleus(logits: Column, p: float, u: Column) -> Column:
+    """A token drawn from the nucleus: the first, most likely one first, at which the probabilities added up pass ``u`` (in 0..1) times those of the whole nucleus.
+
+    The draw is the caller's, so that runs repeat; ``uniform`` gives one by seed and key.
+    """
+    scored = let(softmax(logits), lambda q: F.transform(nucleus(logits, p), lambda i: F.struct(i.alias("i"), F.get(q, i).alias("p"))))
+
+    def pick(rows: Column) -> Column:
+        total = F.aggregate(rows, F.lit(0.0), lambda s, r: s + r["p"])
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("i"))
+        return let(total, lambda t: F.aggregate(rows, start, lambda a, r: F.when(a["i"].isNotNull(), a).otherwise(F.struct((a["s"] + r["p"]).alias("s"), F.when(a["s"] + r["p"] > u * t, r["i"]).alias("i"))))["i"])
+
+    # Rounding may leave the last of a nucleus just under its own sum.
+    return let(scored, lambda rows: F.coalesce(pick(rows), F.element_at(rows, -1)["i"]))
+
+
+def kept_layers(layers: Column, probability: float, *keys: Column | int) -> Column:
+    """Numbers of the layers that stochastic depth keeps: layer i of n is skipped with probability ``probability * i / n``, drawn by hash of the keys and i."""
+    numbers = F.when(layers > 0, F.sequence(F.lit(0), layers.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(numbers, lambda i: uniform(*keys, i) >= probability * (i / layers))
+
+
 def kv_head(head: Column, heads: int, kv_heads: int, compat: bool = False) -> Column:
     """Key-value head that a query head shares; the first heads take the remainder of an uneven split.
 

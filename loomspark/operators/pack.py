@@ -196,6 +196,40 @@ def augment(tokens: Column, key: Column, mask_id: int, probability: float = 0.15
     return F.get(F.transform(F.array(draws), changed), F.lit(0))  # binds the draws once
 
 
+def augment_rows(rows: DataFrame, tokens: str, key: str, mask_id: int, probability: float = 0.15, seed: int = 0, shuffle: bool = True, keep: tuple[str, ...] = (), out: str = "augmented") -> DataFrame:
+    """(key, columns to keep, out) of each row: what ``augment`` gives, computed a window of three at a time.
+
+    Windows are rows of their own while their draws are made, so that all hashing is compiled; they come together again by row. Null and empty token arrays stay as they are.
+    """
+    n = F.size(tokens)
+    kept = [key, *keep]
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)]
+    marked = rows.withColumn("_row", F.monotonically_increasing_id())
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(3)), lambda i: F.slice(F.col(tokens), i + 1, 3))
+    windows = marked.where(n > 0).select("_row", *named, F.col(key).cast("string").alias("_key"), F.posexplode(cut).alias("_w", "_x"))
+    draw = lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_key"), (F.col("_w") * 3 + k).cast("string")))
+    windows = windows.select("_row", *[f"_k{i}" for i in range(len(kept))], "_w", "_x", *[F.when(F.size("_x") > k, draw(k)).alias(f"_d{k}") for k in range(3)])
+    if shuffle:
+        placed = [F.struct(F.substring(f"_d{k}", 25, 8).alias("s"), F.lit(k).alias("i"), F.get("_x", F.lit(k)).alias("x")) for k in range(3)]
+        ordered = F.array_sort(F.when(F.size("_x") == 3, F.array(*placed)).when(F.size("_x") == 2, F.array(*placed[:2])).otherwise(F.array(placed[0])))
+        windows = windows.withColumn("_o", ordered)
+        token = [F.get("_o", F.lit(k))["x"] for k in range(3)]
+    else:
+        token = [F.get("_x", F.lit(k)) for k in range(3)]
+
+    def changed(k: int) -> Column:
+        d, x = F.col(f"_d{k}"), token[k]
+        kind = F.substring(d, 9, 8)
+        other = F.floor(F.conv(F.substring(d, 17, 8), 16, 10).cast("long") * mask_id / float(1 << 32)).cast("int")
+        return F.when(d >= _at_least(probability), x).when(kind < _at_least(0.8), F.lit(mask_id)).when((kind < _at_least(0.9)) & F.lit(mask_id > 0), other).otherwise(x)
+
+    done = F.slice(F.array(*[changed(k) for k in range(3)]), F.lit(1), F.size("_x"))
+    held = [f"_k{i}" for i in range(len(kept))]
+    parts = windows.select("_row", *held, "_w", done.alias("_y")).groupBy("_row").agg(*[F.first(c).alias(c) for c in held], F.array_sort(F.collect_list(F.struct("_w", "_y"))).alias("_p"))
+    full = parts.select(*[F.col(c).alias(k) for c, k in zip(held, kept, strict=True)], F.flatten(F.transform("_p", lambda p: p["_y"])).alias(out))
+    return full.unionByName(rows.where(F.coalesce(n, F.lit(0)) <= 0).select(*kept, F.col(tokens).alias(out)))
+
+
 def valid_batch(inputs: Column, targets: Column, vocabulary: int) -> Column:
     """Equal non-empty batches of equal lengths with ids below the vocabulary size."""
     below = lambda rows: F.forall(rows, lambda r: F.forall(r, lambda x: (x >= 0) & (x < vocabulary)))
@@ -204,6 +238,20 @@ def valid_batch(inputs: Column, targets: Column, vocabulary: int) -> Column:
     return (F.size(inputs) == F.size(targets)) & (F.size(inputs) > 0) & (F.size(F.get(inputs, F.lit(0))) > 0) & even(inputs) & even(targets) & pairs & below(inputs) & below(targets)
 
 
+def first_violation(inputs: Column, targets: Column, vocabulary: int) -> Column:
+    """What is wrong first with a batch, as (problem, sample, position), or null: ``sizes``, ``empty``, then sample by sample ``length``, ``input`` and ``target`` (an id that is no id of the vocabulary)."""
+    row = lambda problem, i=None, j=None: F.struct(F.lit(problem).alias("problem"), (F.lit(None) if i is None else i).cast("int").alias("sample"), (F.lit(None) if j is None else j).cast("int").alias("position"))
+    bad = lambda ids: F.array_position(F.transform(ids, lambda x: F.coalesce((x < 0) | (x >= vocabulary), F.lit(True))), True) - 1
+
+    def sample(pair: Column, i: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        return F.when(~F.coalesce(F.size(a) == F.size(b), F.lit(False)), row("length", i)).when(bad(a) >= 0, row("input", i, bad(a))).when(bad(b) >= 0, row("target", i, bad(b)))
+
+    pairs = F.arrays_zip(inputs.alias("a"), targets.alias("b"))
+    found = F.get(F.filter(F.transform(pairs, sample), lambda v: v.isNotNull()), F.lit(0))
+    return F.when(~F.coalesce(F.size(inputs) == F.size(targets), F.lit(False)), row("sizes")).when(F.size(inputs) == 0, row("empty")).otherwise(found)
+
+
 def batch_statistics(rows: DataFrame, batch: str, tokens: str = "tokens") -> DataFrame:
     """Per batch: sequences, tokens, distinct ids and their share."""
     sizes = rows.groupBy(batch).agg(F.count("*").alias("batch_size"), F.sum(F.size(tokens)).cast("long").alias("total_tokens"))

@@ -227,3 +227,16 @@ def bf16(value: Column) -> Column:
     scale = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - 7)
     cut = F.when(v < 0, F.ceil(v / scale)).otherwise(F.floor(v / scale)) * scale
     return F.when((v == 0) | F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(cut)
+
+
+def progress(steps: DataFrame, run: str, step: str, time: str, tokens: str, total: Column | int, every: int) -> DataFrame:
+    """(run, step, steps_per_sec, tokens_per_sec, seconds_left) at the first step and every so many: rates since the run's first row, and the time the rest takes at this rate.
+
+    Tokens are summed over range partitions of each run's steps by their running sum; a run's rows stand in one window, as its series is read in order.
+    """
+    seconds = F.col(time).cast("timestamp").cast("double")
+    order = Window.partitionBy(run).orderBy(step)
+    rows = steps.select("*", F.greatest(seconds - F.first(seconds).over(order), F.lit(1e-6)).alias("_e"), F.sum(tokens).over(order).alias("_t"))
+    rate = F.col(step) / F.col("_e")
+    left = (total - F.col(step)) / F.greatest(rate, F.lit(1e-6))
+    return rows.where((F.col(step) % every == 0) | (F.col(step) <= 1)).select(run, step, rate.alias("steps_per_sec"), (F.col("_t") / F.col("_e")).alias("tokens_per_sec"), left.alias("seconds_left"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.catalog import Catalog
 from loomspark.functions.text import is_not_blank
-from loomspark.operators import attention, parameters, series
+from loomspark.operators import attention, configs, pack, parameters, series
 from loomspark.operators import modelmath as mm
 from loomspark.operators.checkpoints import Checkpoints, resumed
 from loomspark.operators.steps import Step, StepPipeline
@@ -210,3 +210,68 @@ def register(c: Catalog) -> None:
         if done:
             raise RuntimeError(f"steps {done} were done again")
         return tables["total"]
+
+    @c.query(
+        "nucleus_draw",
+        f"""WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(len(x))) AS i, exp(unnest(x) - list_max(x)) AS w FROM e), t AS (SELECT *, sum(w) OVER (PARTITION BY vec_id) AS t FROM l),
+        c AS (SELECT vec_id, i, w / t AS p, sum(w / t) OVER (PARTITION BY vec_id ORDER BY w DESC, i ROWS UNBOUNDED PRECEDING) AS s FROM t),
+        n AS (SELECT *, sum(p) OVER (PARTITION BY vec_id) AS mass, ('0x' || substr(md5('5:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM c WHERE s - p < 0.9)
+        SELECT vec_id, (arg_min(i, s) FILTER (WHERE s > u * mass))::INT AS token FROM n GROUP BY 1""",
+    )
+    def nucleus_draw(spark, sf_dir):
+        rows = table(spark, sf_dir, "embeddings").select("vec_id", mm.doubles(F.col("embedding")).alias("x"))
+        return rows.select("vec_id", mm.draw_nucleus(F.col("x"), 0.9, pack.uniform(5, F.col("vec_id"))).alias("token"))
+
+    @c.query(
+        "stochastic_depth",
+        """SELECT p_partkey, array_to_string(list_filter(range(p_size), lambda i: ('0x' || substr(md5('3:' || p_partkey || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.5 * (i / p_size)), ' ') AS layers FROM part""",
+    )
+    def stochastic_depth(spark, sf_dir):
+        kept = mm.kept_layers(F.col("p_size"), 0.5, 3, F.col("p_partkey"))
+        return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(kept, lambda i: i.cast("string")), " ").alias("layers"))
+
+    codes = "list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> ''), lambda x: unicode(x))"
+
+    @c.query(
+        "first_violations",
+        f"""WITH a AS (SELECT doc_id, {codes} AS a FROM documents), b AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN a[1:len(a) - 1] WHEN 1 THEN list_append(a[2:], 300) ELSE list_append(a[2:], 7) END AS b FROM a),
+        v AS (SELECT doc_id, len(a) <> len(b) AS l, list_position(list_transform(a, lambda x: x >= 250), true) - 1 AS i, list_position(list_transform(b, lambda x: x >= 250), true) - 1 AS t FROM b)
+        SELECT doc_id, CASE WHEN l THEN 'length' WHEN i >= 0 THEN 'input' WHEN t >= 0 THEN 'target' END AS problem, CASE WHEN l THEN NULL WHEN i >= 0 THEN i WHEN t >= 0 THEN t END::INT AS position FROM v""",
+    )
+    def first_violations(spark, sf_dir):
+        a, n = F.col("a"), F.size("a")
+        rest = F.slice("a", 2, F.greatest(n - 1, F.lit(0)))
+        b = F.when(F.col("doc_id") % 5 == 0, F.slice("a", 1, F.greatest(n - 1, F.lit(0)))).when(F.col("doc_id") % 5 == 1, F.array_append(rest, F.lit(300))).otherwise(F.array_append(rest, F.lit(7)))
+        rows = table(spark, sf_dir, "documents").select("doc_id", pack.char_tokens(F.coalesce("text", F.lit(""))).alias("a")).select("doc_id", "a", b.alias("b"))
+        v = rows.select("doc_id", pack.first_violation(F.array(a), F.array(F.col("b")), 250).alias("v"))
+        return v.select("doc_id", "v.problem", "v.position")
+
+    @c.query(
+        "training_progress",
+        """WITH o AS (SELECT user_id, row_number() OVER w AS step, event_id % 7 + 1 AS tokens, epoch(ts) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        r AS (SELECT user_id, step, greatest(s - first_value(s) OVER w, 1e-6) AS e, sum(tokens) OVER w AS t FROM o WINDOW w AS (PARTITION BY user_id ORDER BY step))
+        SELECT user_id, step, round(step / e, 9) AS steps_per_sec, round(t / e, 9) AS tokens_per_sec, round((10000 - step) / greatest(step / e, 1e-6), 6) AS seconds_left FROM r WHERE step % 10 = 0 OR step <= 1""",
+    )
+    def training_progress(spark, sf_dir):
+        step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+        rows = table(spark, sf_dir, "events").select("user_id", step.alias("step"), (F.col("event_id") % 7 + 1).alias("tokens"), "ts")
+        out = series.progress(rows, "user_id", "step", "ts", "tokens", F.lit(10000), 10)
+        return out.select("user_id", "step", F.round("steps_per_sec", 9).alias("steps_per_sec"), F.round("tokens_per_sec", 9).alias("tokens_per_sec"), F.round("seconds_left", 6).alias("seconds_left"))
+
+    @c.query(
+        "config_files",
+        """SELECT p_partkey, p_partkey % 11 = 0 AS broken, CASE WHEN p_partkey % 11 > 0 THEN 64 * (p_partkey % 5 + 1) END::INT AS hidden_dim, CASE WHEN p_partkey % 11 > 0 THEN p_size END::INT AS num_heads,
+            CASE WHEN p_partkey % 11 > 0 THEN 'gqa' END AS attention, CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 7 END::INT AS num_groups, CASE WHEN p_partkey % 11 > 0 THEN 0.9 END::DOUBLE AS beta1,
+            CASE WHEN p_partkey % 11 > 0 THEN 1.5 END::DOUBLE AS mix_total, CASE WHEN p_partkey % 11 > 0 THEN 1 END AS mix_unnamed, CASE WHEN p_partkey % 11 > 0 THEN 1 END AS mix_out_of_range FROM part""",
+    )
+    def config_files(spark, sf_dir):
+        """A TOML text for each part; one in eleven is cut off."""
+        k = F.col("p_partkey")
+        mix = '[[dataset.mix]]\nname = "a"\npercentage = 1.25\n[[dataset.mix]]\npercentage = 0.25\n'
+        body = F.concat(
+            F.lit(mix + "[model]\nhidden_dim = "), (64 * (k % 5 + 1)).cast("string"), F.lit("\nnum_heads = "), F.col("p_size").cast("string"), F.lit('\nattention = { type = "gqa", num_groups = '), (k % 7).cast("string"),
+            F.lit(' }\n[training]\nlearning_rate = 1\noptimizer = { type = "adamw", beta1 = 0.9 }\n'),
+        )
+        texts = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 == 0, F.lit("[model\n")).otherwise(body).alias("text"))
+        read = configs.read_configs(texts, "p_partkey")
+        return read.select("p_partkey", F.col("problem").isNotNull().alias("broken"), "hidden_dim", "num_heads", "attention", "num_groups", "beta1", "mix_total", "mix_unnamed", "mix_out_of_range")

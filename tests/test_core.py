@@ -257,6 +257,15 @@ def test_valid_batch(spark):
     assert one(spark, pack.valid_batch(a, a, 5)) is False
 
 
+def test_augment_rows_is_augment(spark):
+    data = [(i, i % 3, list(range(i * 7 % 23))) for i in range(40)] + [(3, 1, [5, 6, 7, 8]), (3, 2, [5, 6, 7, 8]), (90, 0, None), (None, 0, [1, 2, 3])]
+    rows = spark.createDataFrame(data, "id long, other int, tokens array<int>").repartition(3)
+    for shuffle in (True, False):
+        got = pack.augment_rows(rows, "tokens", "id", 50, 0.6, 4, shuffle, keep=("other",), out="y").collect()
+        want = rows.where("id IS NOT NULL").select("id", "other", F.when(F.size("tokens") > 0, pack.augment(F.col("tokens"), F.col("id"), 50, 0.6, 4, shuffle)).otherwise(F.col("tokens")).alias("y")).collect()
+        assert sorted(map(str, want)) == sorted(str(r) for r in got if r.id is not None) and len(got) == len(data)
+
+
 def test_augment_keeps_length(spark):
     assert len(one(spark, pack.augment(F.array(*[F.lit(x) for x in range(5)]), F.lit(1), 100))) == 5
 
@@ -361,3 +370,43 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     row = spark.table("stops").first()
     assert (row.best, row.stopped) == (2.0, True)
+
+
+def test_first_violation(spark):
+    v = lambda a, b: one(spark, pack.first_violation(F.array(*[F.array(*map(F.lit, x)) for x in a]), F.array(*[F.array(*map(F.lit, x)) for x in b]), 10))
+    assert v([[1, 2]], [[2, 3]]) is None
+    assert tuple(v([[1, 2], [3]], [[2, 3]])) == ("sizes", None, None)
+    assert tuple(v([[1, 2], [3]], [[2, 3], [4, 5]])) == ("length", 1, None)
+    assert tuple(v([[1, 12], [11]], [[20, 3], [4]])) == ("input", 0, 1)
+    assert tuple(v([[1, 2], [3]], [[2, 3], [10]])) == ("target", 1, 0)
+
+
+def test_nucleus_draws_follow_their_shares(spark):
+    from loomspark.operators import modelmath as mm
+
+    logits = F.array(*[F.lit(x) for x in (2.0, 1.0, 0.0, -3.0)])
+    rows = spark.range(4000).select(mm.draw_nucleus(logits, 0.9, pack.uniform(1, F.col("id"))).alias("t")).groupBy("t").count().collect()
+    got = {r.t: r["count"] / 4000 for r in rows}
+    assert set(got) == {0, 1} or set(got) == {0, 1, 2}
+    share = [math.exp(x) for x in (2.0, 1.0, 0.0)][: len(got)]
+    assert all(abs(got[i] - s / sum(share)) < 0.03 for i, s in enumerate(share))
+    assert one(spark, mm.draw_nucleus(logits, 0.5, F.lit(0.999999))) == 0
+
+
+def test_stochastic_depth_keeps_the_first_layer(spark):
+    from loomspark.operators import modelmath as mm
+
+    rows = [r.k for r in spark.range(400).select(mm.kept_layers(F.lit(4), 0.8, F.col("id")).alias("k")).collect()]
+    assert all(k[0] == 0 for k in rows) and abs(sum(3 in k for k in rows) / 400 - 0.4) < 0.1
+    assert one(spark, mm.kept_layers(F.lit(0), 0.8, 1)) == []
+
+
+def test_config_texts(spark):
+    from loomspark.operators import configs, rules
+
+    good = '[dataset]\nsize_gb = 2\nsource = "hub"\n[[dataset.mix]]\nname = "a"\npercentage = 1.0\n[model]\nnum_layers = "many"\nhidden_dim = 256\n[hardware]\ngpu_ids = [0, 0]\nuse_tf32 = true\n'
+    got = {r.config_id: r for r in configs.read_configs(spark.createDataFrame([(1, good), (2, "x = ["), (3, None)], "config_id long, text string")).collect()}
+    assert (got[1].size_gb, got[1].source, got[1].num_layers, got[1].hidden_dim, got[1].gpu_ids, got[1].use_tf32, got[1].mix_count) == (2.0, "hub", None, 256, [0, 0], True, 1)
+    assert got[2].problem and got[2].hidden_dim is None and got[3].problem is None
+    frame = configs.read_configs(spark.createDataFrame([(1, good.replace("256", "0"))], "config_id long, text string"))
+    assert rules.config_violations(frame).where("section = 'model' AND severity = 'error'").count() > 0
