@@ -7,12 +7,13 @@ import re
 import tomllib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import get_text, put_text
+
 # Special tokens and their order of registration: fixed values.
 SPECIAL_TOKENS = {
     "pad": "<|pad|>", "bos": "<|im_start|>", "eos": "<|endoftext|>", "unk": "<|unk|>", "mask": "<|mask|>", "sep": "<|sep|>", "cls": "<|cls|>",
@@ -48,13 +49,12 @@ class Vocabulary:
     def save(self, path: str, **settings) -> None:
         """A JSON file of the tokens with their ids, the merges in order, the special tokens and any settings."""
         record = {"vocab": self.ids, "merges": [list(m) for m in self.merges], "special_tokens": self.special, "vocab_size": len(self), **settings}
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps(record, ensure_ascii=False, indent=2), encoding="utf-8")
+        put_text(path, json.dumps(record, ensure_ascii=False, indent=2))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         """A saved vocabulary; from a TOML configuration (special_tokens), one with the special tokens only."""
-        text = Path(path).read_text(encoding="utf-8")
+        text = get_text(path)
         try:
             record = json.loads(text)
         except ValueError:

@@ -241,10 +241,47 @@ def substring_counts(texts: DataFrame, longest: int, text: str = "text") -> Data
     return rows.select("m", _chars(F.col(text)).alias("t")).where(F.size("t") > 0).select("m", F.explode(every).alias("token")).groupBy("token").agg(F.sum("m").alias("n"))
 
 
+def frequent_substrings(texts: DataFrame, size: int, longest: int, text: str = "text") -> DataFrame:
+    """The ``size`` most frequent substrings of 1 to ``longest`` characters inside lines, ties by the smaller substring: (token, n).
+
+    Substrings grow level by level. Every place of a line is a window of at most ``longest`` characters, equal windows are one row; at each length only the
+    windows whose shorter substring is among the ``size`` most frequent so far go on, as no longer one can be more frequent than what it begins with. So
+    the windows thin out quickly, and what is counted and shuffled with them.
+    """
+    rows = lines(texts, text).groupBy(text).agg(F.count("*").alias("m")).select("m", _chars(F.col(text)).alias("t")).where(F.size("t") > 0)
+    window = lambda i: F.array_join(F.slice("t", i, longest), "")
+    every = rows.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.size("t")), window)).alias("w"))
+    windows = materialize(every.groupBy("w").agg(F.sum("m").alias("m")), "substring-windows")
+    found, level = None, None
+    try:
+        for n in range(1, longest + 1):
+            counts = windows.where(F.length("w") >= n).groupBy(F.substring("w", 1, n).alias("token")).agg(F.sum("m").alias("n"))
+            both = counts if found is None else found.unionByName(counts)
+            old, found = found, materialize(top_k(both, size), "substring-found")
+            if old is not None:
+                discard(old)
+            have, least = found.agg(F.count("*"), F.min("n")).first()
+            if not have or n == longest:
+                break
+            full = have >= size
+            kept = windows.where(F.length("w") > n)
+            if full:
+                level = materialize(counts.where(F.col("n") >= least).select("token"), "substring-level")  # ``size`` rows, and ties
+                kept = kept.join(level, F.substring("w", 1, n) == F.col("token"), "left_semi")
+            before, windows = windows, materialize(kept, "substring-windows")
+            discard(before)
+            if level is not None:
+                discard(level)
+                level = None
+    finally:
+        discard(windows)
+    return found
+
+
 def train_unigram(texts: DataFrame, size: int, longest: int = 10, text: str = "text") -> DataFrame:
-    return top_k(substring_counts(texts, longest, text), size)
+    return frequent_substrings(texts, size, longest, text)
 
 
 def train_sentencepiece(texts: DataFrame, size: int, longest: int = 16, text: str = "text") -> DataFrame:
     marked = texts.select(F.concat(F.lit(WORD_MARK), F.replace(F.col(text), F.lit(" "), F.lit(" " + WORD_MARK))).alias(text))
-    return top_k(substring_counts(marked, longest, text), size)
+    return frequent_substrings(marked, size, longest, text)

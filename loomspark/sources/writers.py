@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.rules import step_log
 from loomspark.operators.series import histogram
+from loomspark.session import put_text
 
 
 def write_packed(sequences: DataFrame, path: str, as_text: bool = False, order: str = "seq_id", tokens: str = "tokens") -> None:
@@ -46,8 +46,7 @@ def shard_plan(spark: SparkSession, total_bytes: int, shard_bytes: int) -> DataF
 
 def write_json(path: str, record: dict) -> None:
     """A small record of the driver: tokenizer, history, benchmark."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(record, ensure_ascii=False, indent=2))
+    put_text(path, json.dumps(record, ensure_ascii=False, indent=2))
 
 
 def write_chat(messages: DataFrame, path: str) -> None:

@@ -61,3 +61,14 @@ def test_hundreds_of_merges(spark):
     found, rounds = vocab.learn_merges(rows, 200)
     assert found == plain(texts, 200)
     assert len(found) == 200 and rounds < 80
+
+
+@pytest.mark.parametrize(("size", "longest"), [(7, 4), (60, 3), (100_000, 5)])
+def test_substrings_level_by_level(spark, size, longest):
+    rng = random.Random(size)
+    texts = ["\n".join("".join(rng.choice("ab cé") for _ in range(rng.randrange(12))) for _ in range(3)) for _ in range(15)] + ["", None]
+    counts = Counter(line[i : i + n] for t in texts if t for line in t.split("\n") for i in range(len(line)) for n in range(1, longest + 1) if i + n <= len(line))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r.token, r.n) for r in vocab.frequent_substrings(rows, size, longest).orderBy(F.desc("n"), "token").collect()]
+    assert got == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]
+    assert vocab.frequent_substrings(rows.limit(0), size, longest).count() == 0
