@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from loomspark.llm import html_text, line_dedup, substring_dedup
+from loomspark.llm import decontaminate, html_text, line_dedup, near_dup, quality_score, substring_dedup
 from loomspark.llm.identity import with_key
 
 LONG = "".join(chr(97 + i * 7 % 26) + chr(97 + i * i % 26) for i in range(150))
@@ -61,6 +61,22 @@ def test_lines_of_repeated_ids(spark):
         assert unique in left
 
 
+def test_other_operators_on_repeated_ids(spark):
+    """A row for each row, and verdicts of a doc_id hold for all of its rows where documents are compared."""
+    good = "The river runs past the old house and the people of the town walk there in the evening and talk of the day"
+    passage = "what is the name of the seven stones that lie under the old bridge in winter time"
+    rows = [(1, good), (1, passage + " " + good), (2, good), (2, None), (3, "something else that nobody wrote before at all")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(9, passage), (4, passage), (None, "x")], "item_id long, text string")
+    report = decontaminate.report(docs, bench).collect()
+    assert len(report) == 5 and {r.doc_id for r in report if r.contaminated} == {1}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.alignments(docs, bench).collect()} == {(1, 4)}  # equal items count once, under their least id
+    scores = quality_score.score_documents(docs, 0.25).collect()
+    assert len(scores) == 5
+    groups = near_dup.find_groups(docs, width=4).collect()
+    assert len(groups) == 5 and all(r.component_id == r.doc_id or r.component_id == 1 for r in groups)
+
+
 def test_keys(spark):
     rows = [(3, "a"), (3, "a"), (1, None), (None, "q"), (2, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
