@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 RECENT = 21
 SEPARATOR = "\n\n---SEPARATOR---\n\n"
 MARK = "---SEPARATOR---"
-COMMANDS = ("/help", "/clear", "/save", "/load", "/model", "/temp", "/topp", "/max", "/system", "/quit")
+COMMANDS = ("/load", "/ls", "/clear", "/save", "/loadhist", "/info", "/stop", "/params", "/help", "/quit")
 
 
 def _block(role: Column, text: Column) -> Column:
@@ -44,11 +44,27 @@ def cleared(messages: DataFrame) -> DataFrame:
     return messages.where("role = 'system'")
 
 
-def parse_command(text: Column) -> Column:
-    """Struct of a known command and its argument as text and number; null command if it is none."""
+def parse_command(text: Column, parameters: tuple[int, float, float, float] = (512, 0.7, 0.9, 1.1)) -> Column:
+    """Struct of a command line: the known command (null for plain text), its argument or the default of one, whether it only asks for its usage, and the four generation
+    parameters after it: those given to ``/params``, where one that is no number keeps its present value; the present ones for all other lines.
+    """
     parts = F.split(F.btrim(text), "\\s+")
-    name = F.get(parts, F.lit(0))
-    return F.struct(F.when(name.isin(*COMMANDS), name).alias("command"), F.get(parts, F.lit(1)).alias("argument"), F.get(parts, F.lit(1)).try_cast("double").alias("number"))
+    word = lambda i: F.get(parts, F.lit(i))
+    name = F.when(word(0) == "/exit", "/quit").otherwise(word(0))
+    command = F.when(name.isin(*COMMANDS), name)
+    argument = F.when(command.isin("/load", "/loadhist"), word(1)).when(command == "/ls", F.coalesce(word(1), F.lit("."))).when(command == "/save", F.coalesce(word(1), F.lit("chat_history.json")))
+    usage = (command.isin("/load", "/loadhist") & word(1).isNull()) | ((command == "/params") & word(4).isNull())
+    sets = (command == "/params") & word(4).isNotNull()
+    kinds = ("long", "double", "double", "double")
+    values = [F.when(sets & (F.lit(k != "long") | ~F.coalesce(word(i + 1).startswith("-"), F.lit(False))), word(i + 1).try_cast(k)) for i, k in enumerate(kinds)]
+    names = ("max_tokens", "temperature", "top_p", "repeat_penalty")
+    return F.struct(command.alias("command"), argument.alias("argument"), F.coalesce(usage, F.lit(False)).alias("usage"), *[F.coalesce(v, F.lit(d).cast(k)).alias(n) for v, d, k, n in zip(values, parameters, kinds, names, strict=True)])
+
+
+def token_counts(tokens: DataFrame, key: str, token: str = "token") -> DataFrame:
+    """(key, counts): how often each token stands in a context, as a map, which the repeat penalty reads."""
+    counted = tokens.groupBy(key, token).agg(F.count("*").cast("int").alias("n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(token, "n"))).alias("counts"))
 
 
 def context_use(messages: DataFrame, key: str, context: int, text: str = "text") -> DataFrame:

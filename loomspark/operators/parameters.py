@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import modelmath as mm
 from loomspark.operators.attention import blocked_attention
+from loomspark.operators.chat import token_counts
+from loomspark.operators.pack import uniform
 from loomspark.session import discard, materialize
 
 GLOBAL = -1
@@ -149,3 +151,26 @@ def evaluate(tokens: DataFrame, parameters: DataFrame, at_most: int = 500, **mod
     target = some.select("seq", (F.col("pos") - 1).alias("pos"), F.col("token").alias("target"))
     losses = logits.join(target, ["seq", "pos"]).select("seq", mm.cross_entropy(F.col("logits"), F.col("target").cast("int")).alias("loss"))
     return losses.agg(F.countDistinct("seq").alias("sequences"), F.avg("loss").alias("loss"))
+
+
+def generate(tokens: DataFrame, parameters: DataFrame, at_most: int, end: int, temperature: float = 0.0, top_p: float = 1.0, penalty: float = 1.0, seed: int = 0, newline: int | None = 13, context: int | None = None, **model) -> DataFrame:
+    """(seq, pos, token) of up to so many tokens that follow each sequence of (seq, pos from 0, token); all sequences grow by one at a time.
+
+    Logits are divided by ``penalty`` for every time a token stands in the sequence, the newline's by 1.2 more after the first token, and by the temperature. Temperature 0 takes the likeliest
+    token, else one is drawn from the nucleus by a hash of seed, sequence and place. A sequence ends before ``end`` and at ``context`` tokens.
+    """
+    held = materialize(tokens.select("seq", F.col("pos").cast("long").alias("pos"), F.col("token").cast("int").alias("token"), F.lit(False).alias("new")), "generate")
+    for step in range(at_most):
+        growing = held.groupBy("seq").agg(F.max("pos").alias("pos"), F.max_by("token", "pos").alias("last"))
+        if context is not None:
+            growing = growing.where(F.col("pos") + 1 < context)
+        if step:  # a sequence that took no token in the round before has ended
+            growing = growing.join(held.where("new").groupBy("seq").agg(F.count("*").alias("_n")).where(F.col("_n") == step), "seq", "left_semi")
+        some = held.join(growing.select("seq"), "seq", "left_semi")
+        logits = forward(some.select("seq", "pos", "token"), parameters, **model).join(growing.select("seq", "pos"), ["seq", "pos"])
+        scored = logits.join(token_counts(some, "seq"), "seq").select("seq", "pos", mm.penalised_logits(F.col("logits"), F.col("counts"), penalty, temperature, newline if step else None).alias("y"))
+        token = mm.greedy(F.col("y")) if temperature <= 0 else mm.draw_nucleus(F.col("y"), top_p, uniform(seed, F.col("seq"), F.col("pos")))
+        grown = scored.select("seq", (F.col("pos") + 1).alias("pos"), token.cast("int").alias("token"), F.lit(True).alias("new")).where(F.col("token") != end)
+        before, held = held, materialize(held.unionByName(grown), "generate")
+        discard(before)
+    return held.where("new").select("seq", "pos", "token")

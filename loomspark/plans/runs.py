@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.catalog import Catalog
 from loomspark.functions.text import is_not_blank
-from loomspark.operators import attention, configs, pack, parameters, series
+from loomspark.operators import attention, chat, configs, pack, parameters, series
 from loomspark.operators import modelmath as mm
 from loomspark.operators.checkpoints import Checkpoints, resumed
 from loomspark.operators.steps import Step, StepPipeline
@@ -94,6 +94,33 @@ def register(c: Catalog) -> None:
         logits = parameters.forward(tokens(spark, sf_dir), rule_parameters(spark), **model)
         return logits.select("seq", "pos", F.posexplode("logits").alias("i", "y")).select("seq", "pos", "i", (F.round("y", 6) + 0.0).alias("y"))
 
+    @c.query(
+        "generated_tokens",
+        f"""WITH {forward_sql(TOKENS)}, l AS (SELECT seq, max(pos) AS pos FROM t GROUP BY 1), n AS (SELECT seq, token, count(*) AS n FROM t GROUP BY 1, 2),
+        y AS (SELECT seq, pos, unnest(range(len(y))) AS i, unnest(y) AS y FROM logits JOIN l USING (seq, pos)),
+        p AS (SELECT y.seq, y.pos, i, y / power(1.3, coalesce(n, 0)) AS y FROM y LEFT JOIN n ON n.seq = y.seq AND n.token = y.i),
+        b AS (SELECT seq, pos + 1 AS pos, arg_max(i, round(y, 9) * 1000 - i / 1000000.0) AS token FROM p GROUP BY ALL)
+        SELECT seq, pos, token::INT AS token FROM b WHERE token <> 0""",
+    )
+    def generated_tokens(spark, sf_dir):
+        """The likeliest next token of each conversation under the repeat penalty; token 0 ends it."""
+        return parameters.generate(tokens(spark, sf_dir), rule_parameters(spark), 1, 0, penalty=1.3, **model)
+
+    @c.query(
+        "chat_commands",
+        """WITH m AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '/params ' || (turn * 10) || ' hot 0.' || (conv_id % 9 + 1) || '  1.5' WHEN 1 THEN '  /save' WHEN 2 THEN '/ls dir' || conv_id || ' more' WHEN 3 THEN '/exit now' ELSE '/load' END AS t, turn % 5 AS k FROM conversations)
+        SELECT conv_id, turn, ['/params', '/save', '/ls', '/quit', '/load'][k + 1] AS command, CASE k WHEN 1 THEN 'chat_history.json' WHEN 2 THEN 'dir' || conv_id END AS argument, k = 4 AS usage,
+            CASE k WHEN 0 THEN turn * 10 ELSE 512 END AS max_tokens, 0.7::DOUBLE AS temperature, CASE k WHEN 0 THEN ((conv_id % 9 + 1) / 10.0)::DOUBLE ELSE 0.9 END::DOUBLE AS top_p FROM m""",
+    )
+    def chat_commands(spark, sf_dir):
+        turn, conv = F.col("turn"), F.col("conv_id")
+        line = (
+            F.when(turn % 5 == 0, F.concat(F.lit("/params "), (turn * 10).cast("string"), F.lit(" hot 0."), (conv % 9 + 1).cast("string"), F.lit("  1.5"))).when(turn % 5 == 1, F.lit("  /save"))
+            .when(turn % 5 == 2, F.concat(F.lit("/ls dir"), conv.cast("string"), F.lit(" more"))).when(turn % 5 == 3, F.lit("/exit now")).otherwise(F.lit("/load"))
+        )
+        rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")).select("conv_id", "turn", chat.parse_command(F.col("line")).alias("c"))
+        return rows.select("conv_id", "turn", "c.command", "c.argument", "c.usage", "c.max_tokens", "c.temperature", "c.top_p")
+
     both = lambda i, j, n: f"({weight(i, j, n)} * 0.1 + {weight(i, j, n + 3)} * 0.9)"
     xent = "ln(list_sum(list_transform(y, lambda z: exp(z - list_max(y))))) + list_max(y) - y[token + 1]"
 

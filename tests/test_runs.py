@@ -242,3 +242,21 @@ def test_padding_is_not_seen(spark):
     assert all(plain[p] == pytest.approx(longer[p]) for p in plain)
     gap = {r.pos: r.logits for r in parameters.forward(frame([*rows, (1, 7, 3)]), runs.rule_parameters(spark), **model).collect()}
     assert gap[7] == pytest.approx(longer[7])
+
+
+def test_generation_goes_on_from_what_it_made(spark):
+    from loomspark.plans import runs
+
+    rng = random.Random(4)
+    rows = [(s, p, rng.randrange(16)) for s in range(4) for p in range(rng.randrange(1, 5))]
+    frame = lambda r: spark.createDataFrame(r, "seq long, pos long, token int")
+    model = {"layers": 1, "heads": 2, "kv_heads": 1, "hidden": 8}
+    weights = runs.rule_parameters(spark)
+    step = lambda r, **o: sorted(map(tuple, parameters.generate(frame(r), weights, end=5, penalty=1.5, newline=None, **o, **model).collect()))
+    for options in ({}, {"temperature": 0.8, "top_p": 0.9, "seed": 3}):
+        two = step(rows, at_most=2, **options)
+        first = step(rows, at_most=1, **options)
+        going = [r for r in rows if r[0] in {s for s, _, _ in first}] + first
+        assert two == sorted(first + step(going, at_most=1, **options))
+        assert all(t != 5 for _, _, t in two)
+    assert step(rows, at_most=3, context=1 + max(p for _, p, _ in rows)) == [r for r in step(rows, at_most=3) if r[1] <= max(p for _, p, _ in rows)]
