@@ -223,6 +223,11 @@ class Store:
 # ---- lookups over any frame of the right columns -----------------------------------------------------
 
 
+def listed_datasets(datasets: DataFrame) -> DataFrame:
+    """All datasets, the newest first, with a progress of 0 where none is known."""
+    return datasets.withColumn("download_progress", F.coalesce("download_progress", F.lit(0.0))).orderBy(F.col("id").desc())
+
+
 def by_run(rows: DataFrame, run_id: int) -> DataFrame:
     return rows.where(F.col("run_id") == run_id)
 

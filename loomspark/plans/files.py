@@ -93,6 +93,18 @@ def register(c: Catalog) -> None:
             raise RuntimeError(f"could not read {failed}")
         return texts.select("stem", F.md5("text").alias("h"))
 
+    @c.query("corpus_folder", "SELECT md5(regexp_replace(l, '\\r$', '')) AS h, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL UNION ALL SELECT unnest(string_split(text, chr(10))) FROM benchmark WHERE text IS NOT NULL) GROUP BY 1")
+    def corpus_folder(spark, sf_dir):
+        """A folder of text files and a Parquet file, which is left out."""
+        place = _place(spark, "corpus")
+        for name in ("documents", "benchmark"):
+            table(spark, sf_dir, name).where("text IS NOT NULL").select("text").write.mode("append").text(place)
+        table(spark, sf_dir, "nation").coalesce(1).write.mode("append").parquet(place)
+        lines, skipped = readers.corpus_lines(spark, place)
+        if len(skipped) != 1:
+            raise RuntimeError(f"left out {skipped}")
+        return lines.groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("n"))
+
     packed = f"""WITH t AS (SELECT doc_id, unnest(range(1, len({CODES}) + 1)) AS i, unnest({CODES}) AS tok FROM documents), o AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS place FROM t)
         SELECT md5(string_agg(tok::VARCHAR, ' ' ORDER BY place)) AS h FROM o GROUP BY place // 513 HAVING count(*) = 513"""
 

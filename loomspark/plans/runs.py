@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.catalog import Catalog
 from loomspark.functions.text import is_not_blank
-from loomspark.operators import attention, chat, configs, pack, parameters, series
+from loomspark.operators import attention, chat, configs, pack, parameters, series, tracking
 from loomspark.operators import modelmath as mm
 from loomspark.operators.checkpoints import Checkpoints, resumed
 from loomspark.operators.steps import Step, StepPipeline
@@ -225,6 +225,11 @@ def register(c: Catalog) -> None:
         by = store.table("metrics").groupBy("run_id").agg(F.count("*").alias("metrics"), F.round(F.sum("loss"), 4).alias("loss"))
         return store.table("training_runs").join(by, F.col("id") == F.col("run_id")).select("id", "config_hash", "status", "best_loss", "final_loss", "metrics", "loss")
 
+    @c.query("listed_datasets", "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey / 100.0 ELSE 0 END::DOUBLE AS download_progress FROM supplier")
+    def listed_datasets(spark, sf_dir):
+        k = F.col("s_suppkey")
+        return tracking.listed_datasets(table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.when(k % 3 > 0, k / 100.0).alias("download_progress")))
+
     @c.query("step_pipeline", "SELECT coalesce(lang, 'none') AS lang, count(*) AS documents, sum(length(text))::BIGINT AS chars, max(length(text))::BIGINT AS longest FROM documents WHERE regexp_matches(text, '\\S') GROUP BY 1")
     def step_pipeline(spark, sf_dir):
         """Clean, measure and summarise; the second run finds every step done."""

@@ -117,6 +117,21 @@ def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame | None, li
     return out, failed
 
 
+def corpus_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Lines of a text file, or of all files right in a folder but Parquet ones, for vocabulary training; and the names of the Parquet files left out.
+
+    A file that is no UTF-8 gives no lines at all. Lines end at a line feed, with or without a carriage return before it.
+    """
+    found = [r.path for r in files(spark, path).select("path").orderBy("path").toLocalIterator()]
+    skipped = [p for p in found if format_of(p) == "parquet"]
+    texts = [p for p in found if format_of(p) != "parquet"]
+    if not texts:
+        return spark.createDataFrame([], "text string"), skipped
+    lines = spark.read.option("lineSep", "\n").text(texts).select("value", F.col("_metadata.file_path").alias("file"))
+    broken = lines.where(~F.is_valid_utf8("value")).select("file").distinct()
+    return lines.join(broken, "file", "left_anti").select(F.regexp_replace("value", "\r$", "").alias("text")), skipped
+
+
 def token_lines(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Lines of ids parted by white space to arrays, beside the columns to keep; what is no id is dropped."""
     parts = F.split(F.trim(F.col(value)), "\\s+")
