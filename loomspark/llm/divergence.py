@@ -244,6 +244,7 @@ def audit(docs: DataFrame) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     sent = groups.select("*", copies.alias("shard"))  # the groups, once for each shard
     scored = pieces.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(_scored(kind), "lang string, source string, part string, item string, value decimal(38,0)")
+    scored = materialize(scored, "divergence-parts")  # pairs and terms are ranked apart
 
     # Every pair of a language's sources is a row of the result. Blocks of the second source spread them over tasks.
     share = F.expr(f"CASE WHEN terms = 0 THEN 0L ELSE 1 + {BILLION} DIV (total + terms) END")
@@ -251,8 +252,9 @@ def audit(docs: DataFrame) -> DataFrame:
     two = groups.select("lang", F.col("source").alias("item"), share.alias("q"), F.pmod(F.xxhash64("source"), F.lit(shards)).cast("int").alias("block"))
     absent = F.expr("CASE WHEN terms = 0 THEN 0 ELSE CAST(terms AS DECIMAL(19,0)) * ((p - q) * (p - q) DIV q) END").cast("decimal(38,0)")
     base = one.join(two, ["lang", "block"]).where("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", absent.alias("value"))
-    merged = base.union(scored).groupBy("lang", "source", "part", "item").agg(F.sum("value").cast("long").alias("value"))
+    names = ["lang", "source", "part", "item"]
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item"))
-    terms = merged.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_TERMS)
-    pairs = merged.where("part = 'pair'").withColumn("rank", F.row_number().over(order))
-    return pairs.union(terms)
+    # A term stands in one piece only; of each task's rows at most TOP_TERMS of a group travel.
+    terms = scored.where("part = 'term'").select(*names, F.col("value").cast("long").alias("value")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_TERMS)
+    merged = base.union(scored.where("part = 'pair'")).groupBy(*names).agg(F.sum("value").cast("long").alias("value"))
+    return merged.withColumn("rank", F.row_number().over(order)).union(terms)
