@@ -145,7 +145,7 @@ def register(c: Catalog) -> None:
     def flat_parameters(spark, sf_dir):
         flat = series.flatten_parameters(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
         back = series.unflatten_parameters(flat, "label")
-        return back.select("label", "name", F.md5(F.array_join(F.transform("values", lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string")), " ")).alias("h"))
+        return back.select("label", "name", F.md5(F.array_join(F.transform("values", lambda x: F.round((x * 1000).cast("float")).cast("int").cast("string")), " ")).alias("h"))
 
     @c.query("mean_xent", f"WITH {VECTORS}, t AS (SELECT label, x, (vec_id % (len(x) + 4)) - 2 AS t FROM e), l AS (SELECT label, CASE WHEN t BETWEEN 0 AND len(x) - 1 AND t <> 5 THEN ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) + list_max(x) - x[t + 1] END AS loss FROM t) SELECT label, round(coalesce(avg(loss), 0), 9) AS loss, count(loss) AS n FROM l GROUP BY 1")
     def mean_xent(spark, sf_dir):
