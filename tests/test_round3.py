@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from loomspark.operators import series
+from loomspark.operators import attention, series
 from tests.compare import DATA, check
 
 
@@ -20,3 +21,26 @@ def test_parameters_are_cut_at_their_sizes(spark):
     rows = spark.createDataFrame([("m", 2, [3.0, 4.0, 5.0]), ("m", 1, [1.0]), ("m", 3, []), (None, 1, [7.0])], "model string, name int, x array<float>")
     back = series.unflatten_parameters(series.flatten_parameters(rows, "model", "name", "x"), "model")
     assert {(r.model, r.name, tuple(r["values"])) for r in back.collect()} == {("m", 1, (1.0,)), ("m", 2, (3.0, 4.0, 5.0)), ("m", 3, ()), (None, 1, (7.0,))}
+
+
+@pytest.mark.parametrize(("causal", "window", "alibi"), [(True, None, True), (False, None, False), (True, 3, False), (False, 2, True)])
+def test_attention_over_many_tiles(spark, monkeypatch, causal, window, alibi):
+    monkeypatch.setattr(attention, "FAN_IN", 3)
+    monkeypatch.setattr(attention, "TILE", 4)
+    rng = np.random.default_rng(1)
+    n, heads, kv, d = 23, 3, 2, 4
+    q, k, v = rng.normal(size=(heads, n, d)) * 3, rng.normal(size=(kv, n, d)) * 3, rng.normal(size=(kv, n, 2))
+    pad = [p % 6 == 0 for p in range(n)]
+    queries = spark.createDataFrame([(1, h, p, q[h, p].tolist()) for h in range(heads) for p in range(n)], "seq long, head int, pos long, q array<double>")
+    keys = spark.createDataFrame([(1, g, p, k[g, p].tolist(), v[g, p].tolist(), pad[p]) for g in range(kv) for p in range(n)], "seq long, kv_head int, pos long, k array<double>, v array<double>, pad boolean")
+    got = {(r.head, r.pos): r.out for r in attention.blocked_attention(queries, keys, heads, kv, causal, window, alibi, block=2).collect()}
+    of = [0, 0, 1]  # three heads over two: the first takes the remainder
+    for h in range(heads):
+        for p in range(n):
+            seen = [x for x in range(n) if not pad[x] and (x <= p or not causal) and (window is None or abs(x - p) <= window)]
+            if not seen:
+                assert (h, p) not in got
+                continue
+            s = np.array([q[h, p] @ k[of[h], x] / 2 - (max(p - x, 0) * 2.0 ** (-8 - h) if alibi else 0) for x in seen])
+            w = np.exp(s - s.max())
+            assert got[h, p] == pytest.approx((w @ v[of[h], seen] / w.sum()).tolist())
