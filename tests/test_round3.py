@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
+import time
 
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from loomspark.operators import attention, series
+from loomspark.operators import attention, series, tokenize
 from tests.compare import DATA, check
 
 
@@ -44,3 +46,63 @@ def test_attention_over_many_tiles(spark, monkeypatch, causal, window, alibi):
             s = np.array([q[h, p] @ k[of[h], x] / 2 - (max(p - x, 0) * 2.0 ** (-8 - h) if alibi else 0) for x in seen])
             w = np.exp(s - s.max())
             assert got[h, p] == pytest.approx((w @ v[of[h], seen] / w.sum()).tolist())
+
+
+def _old_unigram(text, v):
+    out, at = [], 0
+    while at < len(text):
+        end = next((e for e in range(min(len(text), at + tokenize.LONGEST_PIECE), at, -1) if text[at:e] in v.ids), None)
+        out.append(v.id("unk") if end is None else v.ids[text[at:end]])
+        at = at + 1 if end is None else end
+    return out or [v.id("unk")]
+
+
+def _old_wordpiece(text, v):
+    out = []
+    for word in text.split():
+        at = 0
+        while at < len(word):
+            head = "##" if at else ""
+            end = next((e for e in range(len(word), at, -1) if head + word[at:e] in v.ids), None)
+            if end is None:
+                out.append(v.id("unk"))
+                break
+            out.append(v.ids[head + word[at:end]])
+            at = end
+    return out or [v.id("unk")]
+
+
+def _old_decode(ids, v):
+    out = ""
+    for i in ids:
+        if i == v.id("eos"):
+            break
+        if i in {v.id("pad"), v.id("bos")}:
+            continue
+        token = v.names[i] if 0 <= i < len(v.names) else v.special["unk"]
+        out += token[2:] if token.startswith("##") else " " + token[1:] if token.startswith("▁") else " " + token if out and not out.endswith(" ") else token
+    return out.strip()
+
+
+@pytest.mark.parametrize("tokens", [0, 2_000])
+def test_encoders_agree_with_the_plain_rules(monkeypatch, tokens):
+    monkeypatch.setattr(tokenize, "PATTERN_TOKENS", tokens)
+    rng = random.Random(3)
+    v = tokenize.Vocabulary(["ab", "abc", "abcabc", "b ", " ", "c", "▁", "▁ab", "##", "##b", "##bca", "x" * 25, "x" * 20, "x", "é"])
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "b", "c", " ", "x" * rng.randrange(1, 30), "é", "q", "\n"]) for _ in range(rng.randrange(40)))
+        assert tokenize.encode_unigram(text, v) == _old_unigram(text, v)
+        assert tokenize.encode_wordpiece(text, v) == _old_wordpiece(text, v)
+        ids = [rng.randrange(-1, len(v) + 2) for _ in range(rng.randrange(30))]
+        assert tokenize.decode_ids(ids, v) == _old_decode(ids, v), [v.names[i] if 0 <= i < len(v) else i for i in ids]
+
+
+def test_unigram_takes_no_twenty_slices_for_each_character():
+    v = tokenize.Vocabulary([*"abcdefgh", "abc", "de"])
+    text = "abcdefghi" * 20_000
+    times = []
+    for one in (tokenize.encode_unigram, _old_unigram):
+        start = time.perf_counter()
+        one(text, v)
+        times.append(time.perf_counter() - start)
+    assert 2 * times[0] < times[1]
