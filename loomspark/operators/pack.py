@@ -50,14 +50,22 @@ def offsets(rows: DataFrame, order: str, size: str, out: str = "offset", two_lev
     return joined.withColumn(out, (F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long")).drop("_part", "_base")
 
 
-def pack(rows: DataFrame, length: int, order: str, tokens: str = "tokens", two_level: bool = True) -> DataFrame:
+def pack(rows: DataFrame, length: int, order: str, tokens: str = "tokens", two_level: bool = True, by: str | None = None) -> DataFrame:
     """(seq_id, tokens): the tokens of all rows in order, cut into sequences of length + 1; the tail is dropped.
 
-    A row is sliced into the parts that fall into each block, so only parts travel, not tokens.
+    A row is sliced into the parts that fall into each block, so only parts travel, not tokens. With ``by``, the rows of each of its values are packed apart, as
+    (by, seq_id, tokens): places are counted over all rows in order of value and row, less the value's first place, so a value may hold most rows.
     """
     size = length + 1
     t = F.col(tokens)
-    placed = offsets(rows.select(order, tokens, F.size(t).cast("long").alias("_n")).where("_n > 0"), order, "_n", "_at", two_level)
+    keyed = rows.select(*([by] if by else []), order, tokens, F.size(t).cast("long").alias("_n")).where("_n > 0")
+    if by is None:
+        placed = offsets(keyed, order, "_n", "_at", two_level)
+    else:
+        place = offsets(keyed.withColumn("_order", F.struct(by, order)), "_order", "_n", "_at", two_level).drop("_order")
+        place = materialize(place, "pack-places")
+        starts = place.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_start"))
+        placed = place.join(starts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_at", F.col("_at") - F.col("_start"))
     first = F.floor(F.col("_at") / size)
     last = F.floor((F.col("_at") + F.col("_n") - 1) / size)
 
@@ -67,9 +75,10 @@ def pack(rows: DataFrame, length: int, order: str, tokens: str = "tokens", two_l
         return F.struct(block.alias("seq_id"), lo.alias("at"), F.slice(t, (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
     # Sliced before the explode, so that no row carries the tokens of the whole text.
-    sliced = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*")
+    keys = [by] if by else []
+    sliced = placed.select(*keys, F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select(*keys, "p.*")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
-    return sliced.groupBy("seq_id").agg(joined.alias("tokens")).where(F.size("tokens") == size)
+    return sliced.groupBy(*keys, "seq_id").agg(joined.alias("tokens")).where(F.size("tokens") == size)
 
 
 def pack_stats(rows: DataFrame, length: int, text: str, tokens: str = "tokens") -> DataFrame:

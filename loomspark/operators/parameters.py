@@ -14,7 +14,7 @@ from loomspark.operators import modelmath as mm
 from loomspark.operators.attention import blocked_attention
 from loomspark.operators.chat import token_counts
 from loomspark.operators.pack import uniform
-from loomspark.session import discard, materialize
+from loomspark.session import dealt, discard, materialize
 
 GLOBAL = -1
 
@@ -53,7 +53,7 @@ def catalogue(configs: DataFrame) -> DataFrame:
     tail = [tensor(none, "norm", "final_norm", 1, h), tensor(none, "norm", "final_norm_bias", 1, h, c("norm_bias"))]
     numbers = F.when(c("layers") > 0, F.sequence(F.lit(0), (c("layers") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     every = F.filter(F.concat(F.array(*head), F.flatten(F.transform(numbers, layer)), F.array(*tail)), lambda t: t.isNotNull())
-    return configs.select("config_id", F.posexplode(every).alias("ordinal", "t")).select("config_id", "ordinal", "t.*")
+    return dealt(configs).select("config_id", F.posexplode(every).alias("ordinal", "t")).select("config_id", "ordinal", "t.*")
 
 
 def parameter_counts(tensors: DataFrame, compat: bool = False) -> DataFrame:

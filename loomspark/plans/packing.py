@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.catalog import Catalog
-from loomspark.functions import registry
 from loomspark.operators import pack
 from loomspark.tables import table
 
@@ -106,9 +105,7 @@ def register(c: Catalog) -> None:
         SELECT lang AS k, place // 513 AS seq_id, md5(string_agg(tok::VARCHAR, ' ' ORDER BY place)) AS h FROM o GROUP BY 1, 2 HAVING count(*) = 513""",
     )
     def pack_by_language(spark, sf_dir):
-        registry.register(spark)
-        tokens(spark, sf_dir).select(F.col("lang").alias("k"), "doc_id", "tokens").createOrReplaceTempView("_language_tokens")
-        packed = spark.sql("SELECT * FROM pack_tokens(TABLE(_language_tokens) PARTITION BY (k) ORDER BY (doc_id), 512)")
+        packed = pack.pack(tokens(spark, sf_dir).withColumnRenamed("lang", "k"), 512, "doc_id", by="k")
         return packed.select("k", "seq_id", _digest("tokens").alias("h"))
 
     u = lambda at: f"(('0x' || substr(md5('7:' || doc_id || ':' || (i - 1)), {at}, 8))::BIGINT / 4294967296.0)"

@@ -8,9 +8,10 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomspark.operators import attention, series, tokenize
+from loomspark.operators import attention, configs, pack, parameters, series, tokenize
 from tests.compare import DATA, check
 
 
@@ -106,3 +107,20 @@ def test_unigram_takes_no_twenty_slices_for_each_character():
         one(text, v)
         times.append(time.perf_counter() - start)
     assert 2 * times[0] < times[1]
+
+
+def test_packing_by_a_value(spark):
+    data = [("a", 2, [1, 2, 3]), ("a", 1, [4, 5]), (None, 3, [6, 7, 8, 9]), (None, 0, [1]), ("b", 5, []), ("a", 9, list(range(20)))]
+    got = pack.pack(spark.createDataFrame(data, "k string, o long, tokens array<int>"), 2, "o", by="k").collect()
+    want = {}
+    for k in ("a", None, "b"):
+        flat = [x for _, _, xs in sorted((r for r in data if r[0] == k), key=lambda r: r[1]) for x in xs]
+        want |= {(k, i): flat[3 * i : 3 * i + 3] for i in range(len(flat) // 3)}
+    assert {(r.k, r.seq_id): r.tokens for r in got} == want
+
+
+def test_costly_rows_of_one_file_are_dealt(spark):
+    one = spark.range(40).coalesce(1)
+    assert configs.read_configs(one.select(F.col("id").alias("config_id"), F.lit("[model]").alias("text"))).rdd.getNumPartitions() >= 4
+    small = one.select(F.col("id").alias("config_id"), *[F.lit(2).alias(c) for c in ("vocabulary", "hidden", "layers", "ffn", "kv_size", "positions")], *[F.lit(True).alias(c) for c in ("tied", "attention_bias", "ffn_bias", "gated", "norm_bias")])
+    assert parameters.catalogue(small).rdd.getNumPartitions() >= 4
