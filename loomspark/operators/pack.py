@@ -6,10 +6,14 @@ Random choices are keyed by md5 of a seed and a key, so every run and every part
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.draws import place_draws
 from loomspark.session import materialize, shuffle_width
 
 
@@ -184,6 +188,11 @@ def _at_least(share: float) -> str:
     return f"{min(math.ceil(share * (1 << 32)), (1 << 32) - 1):08x}" if share < 1 else "g"
 
 
+def _least_number(share: float) -> int:
+    """The same as a number."""
+    return min(math.ceil(share * (1 << 32)), (1 << 32) - 1) if share < 1 else 1 << 32
+
+
 def augment(tokens: Column, key: Column, mask_id: int, probability: float = 0.15, seed: int = 0, shuffle: bool = True) -> Column:
     """Shuffles inside windows of three, then masks: 80 % mask, 10 % a random id below it, 10 % kept.
 
@@ -206,37 +215,37 @@ def augment(tokens: Column, key: Column, mask_id: int, probability: float = 0.15
 
 
 def augment_rows(rows: DataFrame, tokens: str, key: str, mask_id: int, probability: float = 0.15, seed: int = 0, shuffle: bool = True, keep: tuple[str, ...] = (), out: str = "augmented") -> DataFrame:
-    """(key, columns to keep, out) of each row: what ``augment`` gives, computed a window of three at a time.
-
-    Windows are rows of their own while their draws are made, so that all hashing is compiled; they come together again by row. Null and empty token arrays stay as they are.
-    """
-    n = F.size(tokens)
+    """(key, columns to keep, out) of each row: what ``augment`` gives, a row's draws made together as arrays. Null and empty token arrays stay as they are."""
     kept = [key, *keep]
-    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)]
-    marked = rows.withColumn("_row", F.monotonically_increasing_id())
-    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(3)), lambda i: F.slice(F.col(tokens), i + 1, 3))
-    windows = marked.where(n > 0).select("_row", *named, F.col(key).cast("string").alias("_key"), F.posexplode(cut).alias("_w", "_x"))
-    draw = lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_key"), (F.col("_w") * 3 + k).cast("string")))
-    windows = windows.select("_row", *[f"_k{i}" for i in range(len(kept))], "_w", "_x", *[F.when(F.size("_x") > k, draw(k)).alias(f"_d{k}") for k in range(3)])
-    if shuffle:
-        placed = [F.struct(F.substring(f"_d{k}", 25, 8).alias("s"), F.lit(k).alias("i"), F.get("_x", F.lit(k)).alias("x")) for k in range(3)]
-        ordered = F.array_sort(F.when(F.size("_x") == 3, F.array(*placed)).when(F.size("_x") == 2, F.array(*placed[:2])).otherwise(F.array(placed[0])))
-        windows = windows.withColumn("_o", ordered)
-        token = [F.get("_o", F.lit(k))["x"] for k in range(3)]
-    else:
-        token = [F.get("_x", F.lit(k)) for k in range(3)]
-
-    def changed(k: int) -> Column:
-        d, x = F.col(f"_d{k}"), token[k]
-        kind = F.substring(d, 9, 8)
-        other = F.floor(F.conv(F.substring(d, 17, 8), 16, 10).cast("long") * mask_id / float(1 << 32)).cast("int")
-        return F.when(d >= _at_least(probability), x).when(kind < _at_least(0.8), F.lit(mask_id)).when((kind < _at_least(0.9)) & F.lit(mask_id > 0), other).otherwise(x)
-
-    done = F.slice(F.array(*[changed(k) for k in range(3)]), F.lit(1), F.size("_x"))
-    held = [f"_k{i}" for i in range(len(kept))]
-    parts = windows.select("_row", *held, "_w", done.alias("_y")).groupBy("_row").agg(*[F.first(c).alias(c) for c in held], F.array_sort(F.collect_list(F.struct("_w", "_y"))).alias("_p"))
-    full = parts.select(*[F.col(c).alias(k) for c, k in zip(held, kept, strict=True)], F.flatten(F.transform("_p", lambda p: p["_y"])).alias(out))
-    return full.unionByName(rows.where(F.coalesce(n, F.lit(0)) <= 0).select(*kept, F.col(tokens).alias(out)))
+    given = rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)], F.col(key).cast("string").alias("_key"), F.col(tokens).cast("array<int>").alias("_x"))
+    changed, kind, other = (_least_number(x) for x in (probability, 0.8, 0.9))
+
+    def one(name: str | None, x: pa.Array) -> pa.Array:
+        n = len(x)
+        h = place_draws(f"{seed}:" if name is None else f"{seed}:{name}:", n).astype(np.int64)
+        moved, none = x.fill_null(0).to_numpy(), x.is_null().to_numpy(zero_copy_only=False)
+        if shuffle:
+            order = np.argsort((np.arange(n) // 3 << 32) + h[3], kind="stable")
+            moved, none = moved[order], none[order]
+        masked = (h[0] < changed) & (h[1] < kind)
+        drawn = (h[0] < changed) & ~masked & (h[1] < other) if mask_id > 0 else np.zeros(n, bool)
+        y = np.where(masked, mask_id, np.where(drawn, np.floor(h[2] * mask_id / float(1 << 32)).astype(np.int64), moved))
+        return pa.array(y.astype(np.int32), pa.int32(), mask=none & ~masked & ~drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, names = batch.column(len(kept) + 1), batch.column(len(kept))
+            step = max(1, int((1 << 24) * batch.num_rows / max(lists.nbytes, 1)))
+            for lo in range(0, batch.num_rows, step):
+                part = lists.slice(lo, step)
+                done = [one(name.as_py(), x.values) if x.is_valid and len(x.values) else pa.array([], pa.int32()) for name, x in zip(names.slice(lo, step), part, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(y) for y in done])]).astype(np.int32)
+                lost = np.append(part.is_null().to_numpy(zero_copy_only=False), False)
+                y = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=lost), pa.concat_arrays(done))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, step).columns[: len(kept)], y], names=[*batch.schema.names[: len(kept)], "_y"])
+
+    done = given.mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in given.dtypes[: len(kept)]), "_y array<int>"]))
+    return done.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(kept)], F.col("_y").alias(out))
 
 
 def valid_batch(inputs: Column, targets: Column, vocabulary: int) -> Column:

@@ -118,8 +118,8 @@ def register(c: Catalog) -> None:
         SELECT doc_id, md5(string_agg(tok::VARCHAR, ' ' ORDER BY i)) AS h FROM m GROUP BY 1""",
     )
     def augment_mask_hash(spark, sf_dir):
-        done = pack.augment(F.col("tokens"), F.col("doc_id"), 5000, 0.15, 7)
-        return tokens(spark, sf_dir).where(F.size("tokens") > 0).select("doc_id", done.alias("y")).select("doc_id", _digest("y").alias("h"))
+        done = pack.augment_rows(tokens(spark, sf_dir).where(F.size("tokens") > 0), "tokens", "doc_id", 5000, 0.15, 7)
+        return done.select("doc_id", _digest("augmented").alias("h"))
 
     @c.query("validate_tokens", f"SELECT lang, count(*) AS n, bool_and(len(list_filter({CODES}, lambda x: x < 0 OR x >= 256)) = 0) AS all_valid FROM documents GROUP BY 1")
     def validate_tokens(spark, sf_dir):

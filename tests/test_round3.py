@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import time
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomspark.operators import attention, configs, pack, parameters, series, tokenize
+from loomspark.operators import attention, configs, draws, pack, parameters, series, tokenize
 from tests.compare import DATA, check
 
 
@@ -124,3 +125,11 @@ def test_costly_rows_of_one_file_are_dealt(spark):
     assert configs.read_configs(one.select(F.col("id").alias("config_id"), F.lit("[model]").alias("text"))).rdd.getNumPartitions() >= 4
     small = one.select(F.col("id").alias("config_id"), *[F.lit(2).alias(c) for c in ("vocabulary", "hidden", "layers", "ffn", "kv_size", "positions")], *[F.lit(True).alias(c) for c in ("tied", "attention_bias", "ffn_bias", "gated", "norm_bias")])
     assert parameters.catalogue(small).rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("prefix", ["7:12345:", "", "1:" + "k" * 60 + ":"])
+def test_draws_are_md5(prefix):
+    n = 1205
+    got = draws.place_draws(prefix, n)
+    for i in (0, 9, 10, 99, 100, 999, 1000, n - 1):
+        assert "".join(f"{x:08x}" for x in got[:, i].tolist()) == hashlib.md5(f"{prefix}{i}".encode()).hexdigest()
