@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from loomspark.operators.draws import place_draws
-from loomspark.session import materialize, shuffle_width
+from loomspark.session import discard, materialize, shuffle_width
 
 
 def hash_key(*parts: Column | str | int) -> Column:
@@ -54,35 +55,125 @@ def offsets(rows: DataFrame, order: str, size: str, out: str = "offset", two_lev
     return joined.withColumn(out, (F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).cast("long")).drop("_part", "_base")
 
 
-def pack(rows: DataFrame, length: int, order: str, tokens: str = "tokens", two_level: bool = True, by: str | None = None) -> DataFrame:
-    """(seq_id, tokens): the tokens of all rows in order, cut into sequences of length + 1; the tail is dropped.
+NULL_ID = -(1 << 63)
+FLUSH = 1 << 20  # ids that a task gathers before it gives sequences out
 
-    A row is sliced into the parts that fall into each block, so only parts travel, not tokens. With ``by``, the rows of each of its values are packed apart, as
-    (by, seq_id, tokens): places are counted over all rows in order of value and row, less the value's first place, so a value may hold most rows.
-    """
-    size = length + 1
-    t = F.col(tokens)
-    keyed = rows.select(*([by] if by else []), order, tokens, F.size(t).cast("long").alias("_n")).where("_n > 0")
-    if by is None:
-        placed = offsets(keyed, order, "_n", "_at", two_level)
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's ids (no list is empty) as bytes of the least width that holds a row's: 1 and 2 unsigned, 4 and 8 signed, nulls as ``NULL_ID``."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.slice(ends[0], ends[-1] - ends[0])
+        ids = (ids.cast(pa.int64()).fill_null(NULL_ID) if ids.null_count else ids).to_numpy()
+        ends = ends - ends[0]
+        low, high = np.minimum.reduceat(ids, ends[:-1]), np.maximum.reduceat(ids, ends[:-1])
+        small = np.where((low >= -(1 << 31)) & (high < 1 << 31), 4, 8)
+        width = np.where((low >= 0) & (high < 1 << 16), np.where(high < 1 << 8, 1, 2), small)
+        packed = [ids[lo:hi].astype(WIDTHS[w]).tobytes() for lo, hi, w in zip(ends[:-1].tolist(), ends[1:].tolist(), width.tolist(), strict=True)]
+        columns = [*batch.columns[:-1], pa.array(np.diff(ends), pa.int64()), pa.array(width, pa.int32()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_n", "_w", "_b"])
+
+
+WIDTHS = {1: "<u1", 2: "<u2", 4: "<i4", 8: "<i8"}
+
+
+def _sequences(size: int, kind: pa.DataType, keyed: bool):
+    """Pieces ([by], block, at, width, bytes), in order of block and place and each block whole, to ([by], seq_id, tokens); an incomplete end is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have, first, block, end, of = [], 0, 0, None, None, None
+
+        def given() -> Iterator[pa.RecordBatch]:
+            nonlocal held, have, first
+            n = have // size
+            if n:
+                ids = np.concatenate(held)
+                held, have, whole = [ids[n * size :]], have - n * size, ids[: n * size]
+                values = pa.array(whole.astype(kind.to_pandas_dtype()), kind, mask=whole == NULL_ID if whole.dtype == np.int64 else None)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * size, size), pa.int32()), values)
+                key = [of.take(pa.array([0] * n))] if keyed else []
+                yield pa.RecordBatch.from_arrays([*key, pa.array(np.arange(first, first + n), pa.int64()), lists], names=[*["by"] * keyed, "seq_id", "tokens"])
+                first += n
+
+        for batch in batches:
+            blocks, places, widths, packed = batch.columns[keyed:]
+            for i, (b, at, w, x) in enumerate(zip(blocks.to_pylist(), places.to_pylist(), widths.to_pylist(), packed, strict=True)):
+                if b != block or at != end:  # the next block, or the same of another value
+                    yield from given()
+                    held, have, first, block, of = [], 0, at // size, b, batch.column(0).slice(i, 1)
+                ids = np.frombuffer(x.as_buffer(), WIDTHS[w])
+                held.append(ids)
+                have, end = have + len(ids), at + len(ids)
+                if have >= FLUSH:
+                    yield from given()
+        yield from given()
+
+    return run
+
+
+def _ranges(rows: DataFrame, by: str | None, order: str, n: int) -> tuple[DataFrame, int]:
+    """Ranges of ([by], order) in order, as one row ``_ranges`` of (low, base, start): least key, sum of ``_n`` before it, and where its value of ``by`` starts; and the sum of all."""
+    keys = [by] if by else []
+    held = materialize(rows.select(F.struct(*keys, order).alias("_key"), "_n"), "pack-sizes")
+    ranged = materialize(held.repartitionByRange(n, "_key").withColumn("_part", F.spark_partition_id()), "pack-ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = ranged.groupBy("_part").agg(F.min("_key").alias("low"), F.sum("_n").alias("_sum")).withColumn("base", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long"))
+    if by:
+        value = F.col("_key")[by].alias("_value")
+        inside = Window.partitionBy("_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+        sums = ranged.groupBy("_part", value).agg(F.sum("_n").alias("_n")).withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        starts = sums.join(F.broadcast(base.select("_part", "base")), "_part").groupBy("_value").agg(F.min(F.col("base") + F.col("_in")).cast("long").alias("start"))
+        base = base.join(starts, F.col("low")[by].eqNullSafe(F.col("_value")))
     else:
-        place = offsets(keyed.withColumn("_order", F.struct(by, order)), "_order", "_n", "_at", two_level).drop("_order")
-        place = materialize(place, "pack-places")
-        starts = place.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_start"))
-        placed = place.join(starts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_at", F.col("_at") - F.col("_start"))
-    first = F.floor(F.col("_at") / size)
-    last = F.floor((F.col("_at") + F.col("_n") - 1) / size)
+        base = base.withColumn("start", F.lit(0).cast("long"))
+    one = materialize(base.agg(F.array_sort(F.collect_list(F.struct("base", "low", "start"))).alias("_ranges")), "pack-bounds")
+    total = ranged.agg(F.sum("_n")).first()[0] or 0
+    discard(held)
+    discard(ranged)
+    return one, total
 
-    def piece(block: Column) -> Column:
-        lo = F.greatest(block * size, F.col("_at"))
-        hi = F.least((block + 1) * size, F.col("_at") + F.col("_n"))
-        return F.struct(block.alias("seq_id"), lo.alias("at"), F.slice(t, (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
-    # Sliced before the explode, so that no row carries the tokens of the whole text.
+def pack(rows: DataFrame, length: int, order: str, tokens: str = "tokens", by: str | None = None) -> DataFrame:
+    """(seq_id, tokens): the ids of all rows in order, cut into sequences of length + 1; the tail is dropped. Partitions and their rows are in order of seq_id.
+
+    Ranges of the order are cut over sizes alone. Then ids travel twice, in bytes of the least width that holds them: rows to their range, where a running sum gives their places, and
+    slices to blocks of as many sequences as makes one block for each task, so that a long row is dealt over blocks. With ``by``, the rows of each of its values are packed apart, as
+    (by, seq_id, tokens): places are counted over all rows in order of value and row, less the value's first place, so a value may hold most rows.
+    """
+    size, n = length + 1, shuffle_width(rows.sparkSession)
     keys = [by] if by else []
-    sliced = placed.select(*keys, F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select(*keys, "p.*")
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
-    return sliced.groupBy(*keys, "seq_id").agg(joined.alias("tokens")).where(F.size("tokens") == size)
+    keyed = rows.select(*keys, order, F.col(tokens).alias("_tokens")).where(F.size("_tokens") > 0)
+    bounds, total = _ranges(keyed.select(*keys, order, F.size("_tokens").cast("long").alias("_n")), by, order, n)
+    per = max(1, -(-total // (size * n)))  # sequences of a block
+
+    kept = StructType([keyed.schema[c] for c in (*keys, order)])
+    bytes_of = keyed.mapInArrow(_narrow, StructType([*kept, StructField("_n", LongType()), StructField("_w", IntegerType()), StructField("_b", BinaryType())]))
+    key, steps = F.struct(*keys, order), [1 << k for k in reversed(range(n.bit_length()))]
+    up = lambda at, k: F.get("_ranges", at + k)["low"] <= key
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, k: F.when(up(at, k), at + k).otherwise(at))
+    ranged = bytes_of.crossJoin(F.broadcast(bounds)).withColumn("_part", found)  # one row
+    ranged = ranged.select(*kept.names, "_n", "_w", "_b", "_part", F.get("_ranges", F.col("_part")).alias("_range")).repartition(n, "_part")
+    inside = Window.partitionBy("_part").orderBy(*keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_at", F.col("_range")["base"] + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    if by:  # only the first value of a range may have started before it
+        start = F.min("_at").over(Window.partitionBy("_part", by))
+        placed = placed.withColumn("_at", F.col("_at") - F.when(F.col(by).eqNullSafe(F.col("_range")["low"][by]), F.col("_range")["start"]).otherwise(start))
+
+    def piece(block: Column) -> Column:
+        lo = F.greatest(block * (size * per), F.col("_at"))
+        hi = F.least((block + 1) * (size * per), F.col("_at") + F.col("_n"))
+        part = F.col("_b").substr(((lo - F.col("_at")) * F.col("_w") + 1).cast("int"), ((hi - lo) * F.col("_w")).cast("int"))
+        return F.struct(block.alias("block"), lo.alias("at"), F.col("_w").alias("w"), part.alias("b"))
+
+    # Sliced before the explode, so that no row carries the ids of the whole text.
+    blocks = F.sequence(F.floor(F.col("_at") / (size * per)), F.floor((F.col("_at") + F.col("_n") - 1) / (size * per)))
+    sliced = placed.select(*keys, F.explode(F.transform(blocks, piece)).alias("p")).select(*keys, "p.*")
+    dealt = sliced.repartition(n, by, "block") if by else sliced.repartitionById(n, F.col("block").cast("int"))
+    kind = keyed.schema["_tokens"].dataType
+    out = StructType([*[keyed.schema[c] for c in keys], StructField("seq_id", LongType()), StructField("tokens", kind)])
+    arrow = pa.int32() if kind.elementType == IntegerType() else pa.int64()
+    return dealt.sortWithinPartitions(*keys, "block", "at").mapInArrow(_sequences(size, arrow, bool(by)), out)
 
 
 def pack_stats(rows: DataFrame, length: int, text: str, tokens: str = "tokens") -> DataFrame:
