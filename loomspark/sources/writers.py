@@ -12,12 +12,13 @@ from loomspark.operators.series import histogram
 from loomspark.session import put_text
 
 
-def write_packed(sequences: DataFrame, path: str, as_text: bool = False, order: str = "seq_id", tokens: str = "tokens") -> None:
-    """Packed sequences, as arrays in Parquet or as ids joined by a space, a sequence a line in order."""
+def write_packed(sequences: DataFrame, path: str, as_text: bool = False, order: str = "seq_id", tokens: str = "tokens", in_order: bool = False) -> None:
+    """Packed sequences, as arrays in Parquet or as ids joined by a space, a sequence a line in order; ``in_order`` says that they are already, as ``pack`` without ``by`` gives them."""
     if not as_text:
         sequences.write.mode("overwrite").parquet(path)
         return
-    sequences.sort(order).select(F.array_join(F.transform(tokens, lambda x: x.cast("string")), " ").alias("value")).write.mode("overwrite").text(path)
+    lines = sequences if in_order else sequences.sort(order)
+    lines.select(F.array_join(F.transform(tokens, lambda x: x.cast("string")), " ").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_step_log(steps: DataFrame, path: str) -> None:
