@@ -192,6 +192,11 @@ def line_windows(tokens: Column, length: int) -> Column:
     return F.when(n > length, every).otherwise(F.array().cast("array<array<int>>"))
 
 
+def line_window_count(tokens: Column, length: int) -> Column:
+    """How many windows ``line_windows`` gives."""
+    return F.when(F.size(tokens) > length, F.ceil(F.size(tokens) / (length + 1))).otherwise(0).cast("long")
+
+
 def shifted(tokens: Column, length: int) -> tuple[Column, Column]:
     """Input and target of a window."""
     return F.slice(tokens, 1, length), F.slice(tokens, 2, length)

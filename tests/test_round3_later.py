@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 from loomspark.operators import pack
 from loomspark.sources import writers
+from loomspark.streaming import batches
 
 
 def test_packed_ids_travel_as_narrow_bytes(spark):
@@ -31,3 +33,27 @@ def test_packed_sequences_are_in_order_of_partitions(spark, tmp_path):
     lines = [line for f in sorted((tmp_path / "t").glob("part-*")) for line in f.read_text().splitlines()]
     flat = [str(i + k) for i in range(500) for k in range(4)]
     assert lines == [" ".join(flat[5 * i : 5 * i + 5]) for i in range(400)]
+
+
+def test_chunks_of_many_blocks_in_few_micro_batches(spark, tmp_path):
+    path, out, state = (str(tmp_path / x) for x in ("tokens", "chunks", "state"))
+    (tmp_path / "tokens").mkdir()
+    want = []
+    for f in range(3):
+        lines = [[*range(f * 1000 + i, f * 1000 + i + i % 8)] for i in range(400)]
+        (tmp_path / "tokens" / f"part-{f}.txt").write_text("\n".join(" ".join(map(str, x)) for x in lines))
+        want += [x[s : s + 3] for x in lines for s in [*range(0, len(x) - 2, 3), *([len(x) - 3] if len(x) > 3 and len(x) % 3 else [])]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        batches.write_chunks(spark, path, out, 2, size=10)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = spark.read.parquet(out).collect()
+    assert [r.tokens for r in sorted(rows, key=lambda r: r.seq_id)] == want
+    assert sorted(r.seq_id for r in rows) == list(range(len(want))) and all(r.chunk == r.seq_id // 10 for r in rows)
+    assert len({(r.file, r.block) for r in rows}) > 3
+    epochs = []
+    query = batches.read_chunks(spark, out, 2, per_task=True).writeStream.foreachBatch(lambda b, n: epochs.append(b.count()))
+    query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    # Two chunks a micro-batch made a hundred micro-batches of these.
+    assert sum(epochs) == len(want) and len(epochs) <= -(-len(glob.glob(f"{out}/chunk=*/part-*")) // 16)
