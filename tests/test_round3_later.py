@@ -8,8 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from loomspark.operators import pack
-from loomspark.sources import writers
-from loomspark.streaming import batches
+from loomspark.sources import readers, writers
+from loomspark.streaming import batches, streams
 
 
 def test_packed_ids_travel_as_narrow_bytes(spark):
@@ -57,3 +57,77 @@ def test_chunks_of_many_blocks_in_few_micro_batches(spark, tmp_path):
     query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     # Two chunks a micro-batch made a hundred micro-batches of these.
     assert sum(epochs) == len(want) and len(epochs) <= -(-len(glob.glob(f"{out}/chunk=*/part-*")) // 16)
+
+
+def test_shuffled_order_keeps_tokens_out_of_the_lanes(spark, tmp_path):
+    data = [(i, [i, *range(i % 7 + 3)]) for i in range(300)]
+    sequences = spark.createDataFrame(data, "seq_id long, tokens array<int>")
+    whole, sizes = sequences.withColumn("last", F.lit(False)), sequences.select("seq_id", F.size("tokens").alias("n"), F.lit(False).alias("last"))
+    ends = batches.end_rows(spark, 2)
+    whole.unionByName(ends).coalesce(1).write.parquet(str(tmp_path / "whole"))
+    sizes.unionByName(ends.select("seq_id", F.lit(None).cast("int").alias("n"), "last")).coalesce(1).write.parquet(str(tmp_path / "sizes"))
+
+    def run(make, frame, name):
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / name))
+        save = lambda b, n: b.write.mode("append").parquet(str(tmp_path / f"{name}-out"))
+        with batches.rocksdb_state(spark):
+            make(stream, 4, 16, 3, 2).writeStream.foreachBatch(save).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / f"{name}-out"))
+
+    order = run(batches.shuffled_order, sizes, "sizes")
+    assert "tokens" not in order.columns
+    a, b = run(batches.shuffled_stream, whole, "whole"), batches.with_tokens(order, sequences, 4, 3)
+    assert a.columns == b.columns
+    got = sorted(map(tuple, b.collect()))
+    assert got == sorted(map(tuple, a.collect())) and any(r[-1] for r in got)
+
+
+def test_every_place_that_a_repeat_may_swap(spark):
+    order = spark.createDataFrame([(lane, b, 0, 1, True) for lane in range(4) for b in range(200)], "lane int, batch long, pos int, seq_id long, filled boolean")
+    seen = set()
+    for r in batches.with_tokens(order, spark.createDataFrame([(1, list(range(6)))], "seq_id long, tokens array<int>"), 5, 9).collect():
+        one, two = list(range(5)), list(range(1, 6))
+        d = batches._draw(9, "swap", r.lane, r.batch, r.pos)
+        if int(d[:8], 16) % 10 == 0:
+            k = int(d[8:16], 16) % 4
+            seen.add(k)
+            for x in (one, two):
+                x[k], x[k + 1] = x[k + 1], x[k]
+        assert (r.input, r.target) == (one, two)
+    assert seen == set(range(4))
+
+
+def test_folder_with_tables_of_many_files(spark, tmp_path):
+    rows = spark.range(20).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(3)
+    rows.write.parquet(f"{tmp_path}/f/a.parquet")
+    rows.write.json(f"{tmp_path}/f/b.json")
+    rows.write.csv(f"{tmp_path}/f/c.v2.csv", header=True)
+    rows.select(F.col("text").alias("value")).write.text(f"{tmp_path}/f/d")
+    (tmp_path / "f" / "e.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "f" / "other").mkdir()
+    texts, failed = readers.read_directory(spark, f"{tmp_path}/f")
+    assert not failed
+    want = {(s, f"text {i}") for s in ("a", "b", "c.v2", "d") for i in range(20)} | {("e", "one"), ("e", "two")}
+    assert sorted((r.stem, r.text) for r in texts.collect()) == sorted(want)
+
+
+def test_many_runs_are_folded_in_one_call(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(streams, "BUCKETS", 3)
+    data = [(run, step, rng.choice([1.0, 2.0, 0.5, 0.25])) for run in [None, 0, 7, *range(1 << 60, (1 << 60) + 40)] for step in range(12)]
+    made = []
+    for part in (lambda s: s < 5, lambda s: 5 <= s < 6, lambda s: s >= 6):
+        some = [x for x in data if part(x[1]) and (x[0] != 7 or x[1] != 5)]
+        rng.shuffle(some)
+        spark.createDataFrame(some, "run_id long, step long, loss double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run_id long, step long, loss double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streams.early_stops(stream, 4, 0.0).writeStream.foreachBatch(lambda b, n: made.append({r.run_id: r for r in b.collect()}))
+    query.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(made) == 3 and 7 in made[0] and 7 not in made[1]
+    for run in {x[0] for x in data}:
+        best, bad, stopped = float("inf"), 0, False
+        for _, step, loss in [x for x in data if x[0] == run and (run != 7 or x[1] != 5)]:
+            best, bad = (loss, 0) if loss < best else (best, bad + 1)
+            stopped = stopped or bad >= 4
+        r = made[2][run]
+        assert (r.step, r.best, r.stopped) == (11, best, stopped)
