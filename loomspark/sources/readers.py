@@ -80,8 +80,19 @@ def _stem() -> Column:
     return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "[.][^.]*$", "")
 
 
+def _written_tables(spark: SparkSession, path: str) -> list[str]:
+    """Folders right in a folder that hold part files, in order; none if the path is a file or has wildcards."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return []
+    inside = [x.getPath() for x in fs.listStatus(at) if x.isDirectory() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(p.toString() for p in inside if any(f.getPath().getName().startswith("part-") for f in fs.listStatus(p)))
+
+
 def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """Texts of all files right in a folder with their stem, and the files that failed with the reason.
+    """Texts of all files right in a folder with their stem, and the files that failed with the reason. A folder in it that Spark wrote (it holds part files) counts as one file of its name.
 
     Line formats are read together, a scan for all their files; Parquet files together by schema. CSV files have a
     header each and are read one by one. Of a file that fails only its own texts are missing.
@@ -89,6 +100,14 @@ def read_directory(spark: SparkSession, path: str) -> tuple[DataFrame | None, li
     groups: dict[str, list[str]] = {"json": [], "text": []}
     parts, failed, by_schema = [], [], {}
     stem_of = lambda p: p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    for table in _written_tables(spark, path):
+        try:
+            texts = read_texts(spark, table)
+            if format_of(table) == "csv":
+                texts.agg(F.count("*")).first()
+            parts.append(texts.withColumn("stem", F.lit(stem_of(table))))
+        except Exception as e:  # as below
+            failed.append((table, str(e).splitlines()[0]))
     for row in files(spark, path).select("path").orderBy("path").toLocalIterator():
         kind = format_of(row.path)
         try:
