@@ -1,7 +1,7 @@
 """Parameters as a table: which tensors a configuration has, how many numbers they hold, gradients applied by key, and the forward pass.
 
 A parameter table has a row for each row of a tensor: (layer int, tensor string, row int, values array<double>); tensors outside the layers have layer -1,
-vectors (norm weights) one row 0. Weights are stored by input, so that a projection joins the inputs of a vector, one row each, to the weights' rows and sums the products by
+vectors (norm weights) one row 0. Tensors of the forward pass whose numbers were counted as few are broadcast. For larger ones, weights are stored by input, so that a projection joins the inputs of a vector, one row each, to the weights' rows and sums the products by
 output: neither a layer's weights nor a sequence need fit one task, and a small table is broadcast only where Spark finds its size small.
 """
 
@@ -87,6 +87,9 @@ def averaged(shadow: DataFrame, parameters: DataFrame, decay: float) -> DataFram
     return both.select(*keys, F.when(F.col("_s").isNull(), F.col("values")).otherwise(mixed).alias("values"))
 
 
+LOCAL_NUMBERS = 1 << 20  # of a tensor that is broadcast, 8 MB
+
+
 # ---- forward pass -------------------------------------------------------------------------------------
 
 
@@ -108,14 +111,74 @@ def _added(rows: DataFrame, more: DataFrame) -> DataFrame:
     return rows.join(more, ["seq", "pos"]).select("seq", "pos", F.zip_with("x", "y", lambda a, b: a + b).alias("x"))
 
 
+def _regular(parameters: DataFrame) -> set[tuple[int, str]]:
+    """(layer, tensor) of tensors of at most ``LOCAL_NUMBERS`` numbers whose rows are all there, once, and of one length."""
+    length = F.size("values")
+    facts = parameters.groupBy("layer", "tensor").agg(F.count("*").alias("n"), F.countDistinct("row").alias("rows"), F.min("row").alias("low"), F.max("row").alias("high"), F.min(length).alias("least"), F.max(length).alias("most"))
+    return {(r.layer, r.tensor) for r in facts.where(f"n = rows AND low = 0 AND high = n - 1 AND least = most AND n * most <= {LOCAL_NUMBERS}").collect()}  # a row for each tensor
+
+
+def _product(x: Column, w: Column) -> Column:
+    """x times a tensor that is held as an array of its rows, added up in order of the components."""
+    parts = F.transform(w, lambda r, i: F.transform(r, lambda v: F.coalesce(F.get(x, i), F.lit(0.0)) * v))
+    return F.aggregate(parts, F.transform(F.get(w, F.lit(0)), lambda _: F.lit(0.0)), lambda s, r: F.zip_with(s, r, lambda a, b: a + b))
+
+
+def local_project(rows: DataFrame, parameters: DataFrame, layer: int, x: str, **tensors: str) -> DataFrame:
+    """``rows`` with a column more for each tensor: column ``x`` times it. Tensors are broadcast (``_regular`` ones, counted before), so no vector is taken apart or shuffled."""
+    held = parameters.where((F.col("layer") == layer) & F.col("tensor").isin(list(tensors.values())))
+    ordered = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("tensor") == t, F.struct("row", "values")))), lambda r: r["values"])
+    weights = held.agg(*[ordered(t).alias(f"_{out}") for out, t in tensors.items()])
+    return rows.crossJoin(F.broadcast(weights)).select(*rows.columns, *[_product(F.col(x), F.col(f"_{out}")).alias(out) for out in tensors])  # one row
+
+
+def _scaled(rows: DataFrame, parameters: DataFrame, layer: int, tensor: str, x: str, out: str) -> DataFrame:
+    """``rows`` with a column more: the normed vectors."""
+    weight = parameters.where((F.col("layer") == layer) & (F.col("tensor") == tensor)).select(F.col("values").alias("_w"))
+    return rows.crossJoin(F.broadcast(weight)).select(*rows.columns, F.zip_with(mm.rms_norm(F.col(x)), "_w", lambda a, w: a * w).alias(out))  # one row of ``hidden`` numbers
+
+
+def _local_layer(x: DataFrame, parameters: DataFrame, n: int, heads: int, kv_heads: int, size: int) -> DataFrame:
+    """A layer over (seq, pos, pad, x) whose tensors are broadcast: only heads and their results travel."""
+    def cut(rows: DataFrame, n_heads: int, name: str, columns: list[str], *more: str) -> DataFrame:
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(n_heads - 1)), lambda h: F.struct(h.alias(name), *[F.slice(c, h * size + 1, size).alias(c) for c in columns]))
+        return rows.select("seq", "pos", *more, F.explode(pieces).alias("_p")).select("seq", "pos", *more, "_p.*")
+
+    rows = local_project(_scaled(x, parameters, n, "attention_norm", "x", "_y"), parameters, n, "_y", q="q_proj", k="k_proj", v="v_proj").drop("_y")
+    rows = materialize(rows, "forward-heads")
+    seen = blocked_attention(cut(rows, heads, "head", ["q"]), cut(rows, kv_heads, "kv_head", ["k", "v"], "pad"), heads, kv_heads)
+    joined = seen.groupBy("seq", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("head", "out"))), lambda t: t["out"])).alias("_a"))
+    plus = lambda rows, y: rows.select("seq", "pos", "pad", F.zip_with("x", y, lambda a, b: a + b).alias("x"))
+    middle = plus(local_project(rows.select("seq", "pos", "pad", "x").join(joined, ["seq", "pos"]), parameters, n, "_a", o="o_proj"), "o")
+    wide = local_project(_scaled(middle, parameters, n, "ffn_norm", "x", "_y"), parameters, n, "_y", gate="gate_proj", up="up_proj")
+    inner = wide.select("seq", "pos", "pad", "x", F.zip_with(F.transform("gate", lambda a: mm.silu(a)), "up", lambda a, b: a * b).alias("_z"))
+    out = materialize(plus(local_project(inner, parameters, n, "_z", y="down_proj"), "y"), "forward")
+    discard(rows)
+    return out
+
+
 def forward(tokens: DataFrame, parameters: DataFrame, layers: int, heads: int, kv_heads: int, hidden: int, padding: int | None = None) -> DataFrame:
     """(seq, pos, logits) of (seq, pos, token): embedding and sinusoidal positions, pre-norm layers of causal attention and gated feed-forward with residuals, final norm, and the
     embedding as output weights. Tokens that are ``padding`` are seen by no other. Lineage is cut by a table after each layer.
+
+    Tensors of up to ``LOCAL_NUMBERS`` numbers are broadcast; a model with a larger one meets its tensors in joins, component by component.
     """
     table = parameters.where(f"layer = {GLOBAL} AND tensor = 'embedding'").select(F.col("row").alias("token"), "values")
     x = tokens.join(table, "token").select("seq", "pos", F.zip_with("values", mm.sinusoidal(F.col("pos"), hidden), lambda a, b: a + b).alias("x"))
     size = hidden // heads
-    hidden_from = tokens.select("seq", "pos", (F.col("token") == F.lit(padding) if padding is not None else F.lit(False)).alias("pad"))
+    pad = (F.col("token") == F.lit(padding) if padding is not None else F.lit(False)).alias("pad")
+    # The embedding turned: its column i, by token, belongs to component i.
+    turned = table.select("token", F.posexplode("values").alias("row", "w")).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("token", "w"))), lambda t: t["w"]).alias("values"))
+    turned = turned.select(F.lit(GLOBAL).alias("layer"), F.lit("output").alias("tensor"), "row", "values")
+    needed = {(n, f"{t}_proj") for n in range(layers) for t in ("q", "k", "v", "o", "gate", "up", "down")} | {(GLOBAL, "embedding")}
+    if needed <= _regular(parameters):
+        held = materialize(tokens.join(table, "token").select("seq", "pos", pad, F.zip_with("values", mm.sinusoidal(F.col("pos"), hidden), lambda a, b: a + b).alias("x")), "forward")
+        for n in range(layers):
+            x = _local_layer(held, parameters, n, heads, kv_heads, size)
+            discard(held)
+            held = x
+        return local_project(_scaled(held, parameters, GLOBAL, "final_norm", "x", "_y"), turned, GLOBAL, "_y", logits="output").select("seq", "pos", "logits")
+    hidden_from = tokens.select("seq", "pos", pad)
 
     def cut(rows: DataFrame, column: str, n: int, name: str) -> DataFrame:
         pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.struct(h.alias(name), F.slice(column, h * size + 1, size).alias(column)))
@@ -137,9 +200,7 @@ def forward(tokens: DataFrame, parameters: DataFrame, layers: int, heads: int, k
             discard(used)
         held = x
     final = _normed(x, parameters, GLOBAL, "final_norm")
-    # The embedding turned: its column i, by token, belongs to component i.
-    turned = table.select("token", F.posexplode("values").alias("row", "w")).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("token", "w"))), lambda t: t["w"]).alias("values"))
-    return project(final, turned.select(F.lit(GLOBAL).alias("layer"), F.lit("output").alias("tensor"), "row", "values"), GLOBAL, "output", out="logits")
+    return project(final, turned, GLOBAL, "output", out="logits")
 
 
 def evaluate(tokens: DataFrame, parameters: DataFrame, at_most: int = 500, **model) -> DataFrame:

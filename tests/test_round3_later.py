@@ -5,9 +5,11 @@ from __future__ import annotations
 import glob
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import pack
+from loomspark.operators import pack, parameters
+from loomspark.plans import runs
 from loomspark.sources import readers, writers
 from loomspark.streaming import batches, streams
 
@@ -131,3 +133,23 @@ def test_many_runs_are_folded_in_one_call(spark, tmp_path, monkeypatch):
             stopped = stopped or bad >= 4
         r = made[2][run]
         assert (r.step, r.best, r.stopped) == (11, best, stopped)
+
+
+def test_small_tensors_are_broadcast_and_give_the_same(spark, monkeypatch):
+    rows = [(seq, pos, (seq * 5 + pos * 3) % 16) for seq in range(4) for pos in range(3 + seq)]
+    tokens = spark.createDataFrame(rows, "seq long, pos long, token int")
+    model = {"layers": runs.LAYERS, "heads": runs.HEADS, "kv_heads": 1, "hidden": runs.HIDDEN, "padding": 3}
+    table = runs.rule_parameters(spark)
+    near = parameters.forward(tokens, table, **model)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "Generate posexplode(x" not in plan  # no vector is taken apart
+    near = {(r.seq, r.pos): r.logits for r in near.collect()}
+    monkeypatch.setattr(parameters, "LOCAL_NUMBERS", 0)
+    far = {(r.seq, r.pos): r.logits for r in parameters.forward(tokens, table, **model).collect()}
+    assert set(near) == set(far) == {x[:2] for x in rows}
+    assert all(near[k] == pytest.approx(far[k]) for k in far)
+
+
+def test_tensors_with_gaps_are_not_broadcast(spark):
+    data = [(0, "a", 0, [1.0]), (0, "a", 1, [2.0]), (0, "b", 1, [1.0]), (0, "c", 0, [1.0]), (0, "c", 1, [1.0, 2.0]), (0, "d", 0, [1.0]), (0, "d", 0, [1.0])]
+    assert parameters._regular(spark.createDataFrame(data, "layer int, tensor string, row int, values array<double>")) == {(0, "a")}
