@@ -154,7 +154,7 @@ def corpus_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 def token_lines(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Lines of ids parted by white space to arrays, beside the columns to keep; what is no id is dropped."""
     parts = F.split(F.trim(F.col(value)), "\\s+")
-    ids = F.filter(F.transform(parts, lambda x: x.try_cast("int")), lambda x: x.isNotNull() & (x >= 0))
+    ids = F.filter(parts.try_cast("array<int>"), lambda x: x >= 0)
     return lines.select(*keep, ids.alias("tokens"))
 
 

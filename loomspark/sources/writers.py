@@ -12,13 +12,21 @@ from loomspark.operators.series import histogram
 from loomspark.session import put_text
 
 
-def write_packed(sequences: DataFrame, path: str, as_text: bool = False, order: str = "seq_id", tokens: str = "tokens", in_order: bool = False) -> None:
-    """Packed sequences, as arrays in Parquet or as ids joined by a space, a sequence a line in order; ``in_order`` says that they are already, as ``pack`` without ``by`` gives them."""
+def write_packed(
+    sequences: DataFrame, path: str, as_text: bool = False, order: str = "seq_id", tokens: str = "tokens", in_order: bool = False, codec: str | None = None, lines_per_file: int = 1 << 16
+) -> None:
+    """Packed sequences, as arrays in Parquet or as ids joined by a space, a sequence a line in order; ``in_order`` says that they are already, as ``pack`` without ``by`` gives them.
+
+    ``codec`` (as ``gzip``) compresses the text, at its fastest level. Such a file is read by one task, so a task that writes more than ``lines_per_file`` lines puts them into several, whose names keep the order.
+    """
     if not as_text:
         sequences.write.mode("overwrite").parquet(path)
         return
     lines = sequences if in_order else sequences.sort(order)
-    lines.select(F.array_join(F.transform(tokens, lambda x: x.cast("string")), " ").alias("value")).write.mode("overwrite").text(path)
+    text = lines.select(F.array_join(F.col(tokens).cast("array<string>"), " ").alias("value")).write.mode("overwrite")
+    if codec:
+        text = text.options(**{"compression": codec, "maxRecordsPerFile": lines_per_file, "zlib.compress.level": "BEST_SPEED"})
+    text.text(path)
 
 
 def write_step_log(steps: DataFrame, path: str) -> None:

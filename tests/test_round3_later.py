@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import glob
+import gzip
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import pack, parameters
-from loomspark.plans import runs
+from loomspark.plans import core_catalog, files, runs
 from loomspark.sources import readers, writers
 from loomspark.streaming import batches, streams
 
@@ -37,6 +39,44 @@ def test_packed_sequences_are_in_order_of_partitions(spark, tmp_path):
     assert lines == [" ".join(flat[5 * i : 5 * i + 5]) for i in range(400)]
 
 
+def test_compressed_token_files_hold_all_lines_in_order(spark, tmp_path):
+    rows = spark.range(500).repartition(7).select("id", F.sequence(F.col("id"), F.col("id") + 3).alias("tokens"))
+    path = str(tmp_path / "t")
+    writers.write_packed(pack.pack(rows, 4, "id"), path, as_text=True, in_order=True, codec="gzip", lines_per_file=30)
+    names = sorted((tmp_path / "t").glob("part-*"))
+    each = [gzip.decompress(f.read_bytes()).decode().splitlines() for f in names]
+    flat = [i + k for i in range(500) for k in range(4)]
+    want = [flat[5 * i : 5 * i + 5] for i in range(400)]
+    assert [[int(x) for x in line.split(" ")] for lines in each for line in lines] == want
+    assert all(f.name.endswith(".gz") for f in names) and max(map(len, each)) == 30
+    assert sorted(r.tokens for r in readers.read_tokens(spark, path).collect()) == sorted(want)
+    epochs = []
+    query = streams.stream_tokens(spark, path, files_per_batch=8).writeStream.foreachBatch(lambda b, n: epochs.append([r.tokens for r in b.collect()]))
+    query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(x for e in epochs for x in e) == sorted(want) and len([e for e in epochs if e]) == -(-len(names) // 8)
+
+
+def test_token_file_queries_write_little_text(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(files, "_place", lambda spark, name: str(tmp_path / "places" / name))
+    got = {r.h for r in core_catalog().queries["stream_token_file"](spark, str(tmp_path)).collect()}
+    flat = [str(ord(c)) for t in texts for c in t]
+    lines = [" ".join(flat[i : i + 513]) for i in range(0, len(flat) - 512, 513)]
+    assert got == {hashlib.md5(line.encode()).hexdigest() for line in lines}
+    written = sum(f.stat().st_size for f in (tmp_path / "places" / "tokens").glob("part-*"))
+    assert written < sum(map(len, lines)) / 2  # the text went to files as it is, two thirds of all that the query moved
+
+
+def test_ids_of_odd_lines(spark):
+    """Lines that writers of other tools may leave: signs, fractions, numbers too large, other white space."""
+    data = [("1 x 3  -4 +5 6.5 99999999999 7 0x1 1e3 007 \t8 2147483647 2147483648",), ("",), (None,), ("  ",), ("-1",)]
+    got = [r.tokens for r in readers.token_lines(spark.createDataFrame(data, "value string")).collect()]
+    assert got == [[1, 3, 5, 7, 7, 8, 2147483647], [], None, [], []]
+
+
 def test_chunks_of_many_blocks_in_few_micro_batches(spark, tmp_path):
     path, out, state = (str(tmp_path / x) for x in ("tokens", "chunks", "state"))
     (tmp_path / "tokens").mkdir()
