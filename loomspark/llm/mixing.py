@@ -42,6 +42,7 @@ LEVELS = 3
 SEED = 20_240_607
 SHARDS = 16
 PART_WORDS = 1 << 22
+TASK_ROWS = 1 << 16
 
 
 def word_count(text: str) -> Column:
@@ -154,13 +155,20 @@ def _fan(n: Column) -> Column:
     return F.least(F.lit(FAN_OUT), F.pow(F.lit(2.0), steps).cast("int"))
 
 
+def _writers(sources: DataFrame) -> int:
+    """Tasks that write a table beside the documents: ``TASK_ROWS`` rows each of the cells of all sources and a block's documents of each."""
+    rows = sources.agg(F.coalesce(F.sum(FAN_OUT + F.col("n_docs") / F.col("fan")), F.lit(0.0)).alias("n")).first().n
+    return max(1, math.ceil(rows / TASK_ROWS))
+
+
 def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPlan:
     """Decide how often each document is taken and in which shards."""
     sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")), "mix-sizes")
     sources = materialize(source_targets(sizes).withColumn("fan", _fan(F.col("n_docs"))), "mix-sources")
+    writers = _writers(sources)
     live = sizes.where("size > 0")
 
-    top = materialize(_walk(live, sources, 0, seed), "mix-blocks")
+    top = materialize(_walk(live, sources, 0, seed).coalesce(writers), "mix-blocks")
     taken, state, inside = top, None, live
     picked: list[DataFrame] = []
     for level in range(1, LEVELS + 1):
@@ -172,7 +180,7 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
         if level == LEVELS:
             break
         inside = materialize(inside, "mix-edge")
-        taken = materialize(_walk(inside, state, level, seed), "mix-edge-blocks")
+        taken = materialize(_walk(inside, state, level, seed).coalesce(writers), "mix-edge-blocks")
         whole = taken.where("upto <= need").select(F.col("source").alias("s"), F.explode("cells").alias("c"))
         picked.append(inside.join(whole, [F.col("source").eqNullSafe(F.col("s")), _cell(level) == whole["c"]], "left_semi").select("source", "doc_id"))
 
@@ -187,7 +195,7 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
     picked.append(listed.select("source", F.explode(fold["ids"]).alias("doc_id")))
     whole, final = [p.distinct() for p in picked[:-1]], picked[-1]
     extra = reduce(DataFrame.unionByName, [*whole, final]).groupBy("source", "doc_id").agg(F.count("*").cast("int").alias("times"))
-    extra = materialize(extra, "mix-extra")
+    extra = materialize(extra.coalesce(writers), "mix-extra")
 
     # Block instances: each block `whole` times, and once more if the rest of the target reaches it.
     w = sources.select(F.col("rank").alias("r"), "whole")
@@ -198,7 +206,7 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
     none = F.array().cast("array<struct<epoch:int,partial:boolean>>")
     instances = blocks.select("source", "rank", "block", "cells", F.explode(F.concat(F.coalesce(each, none), F.coalesce(rest, none))).alias("i")).select("source", "rank", "block", "cells", "i.*")
     order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), F.col("rank"), F.col("epoch"), F.col("block")), "epoch", "block")
-    instances = materialize(instances.withColumn("at", F.row_number().over(order).cast("long")), "mix-instances")
+    instances = materialize(instances.withColumn("at", F.row_number().over(order).cast("long")).coalesce(writers), "mix-instances")
 
     quotas = sources.select("rank").join(instances.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").fillna(0, ["quota"])
     parts = split_tree(quotas, n_shards, seed)
@@ -206,7 +214,7 @@ def plan_mix(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> MixPl
     slots = parts.withColumn("ahead", ahead).where("part > 0").select("rank", "shard", F.explode(F.sequence(F.col("ahead") + 1, F.col("ahead") + F.col("part"))).alias("at"))
     dealt = instances.join(slots, ["rank", "at"])
     draws = dealt.select("source", F.explode("cells").alias("cell"), F.struct("epoch", "shard", "partial").alias("d")).groupBy("source", "cell").agg(F.array_sort(F.collect_list("d")).alias("draws"))
-    return MixPlan(sizes, sources, materialize(draws, "mix-draws"), extra)
+    return MixPlan(sizes, sources, materialize(draws.coalesce(writers), "mix-draws"), extra)
 
 
 def _with_draws(rows: DataFrame, plan: MixPlan, h: str = "h") -> DataFrame:

@@ -191,6 +191,25 @@ def test_mix_rows(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.taken_words(mixing.plan_mix(empty)).count() == 0
 
 
+@pytest.mark.parametrize(("task_rows", "most"), [(1 << 16, 1), (200, 8)])
+def test_small_mix_tables_are_few_files(spark, docs, monkeypatch, task_rows, most):
+    want = {r.doc_id: (r.taken, r.shards) for r in mixing.taken_words(mixing.plan_mix(docs)).collect()}
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(mixing, "TASK_ROWS", task_rows, raising=False)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = mixing.plan_mix(docs)
+        files = [len(t.inputFiles()) for t in (plan.draws, plan.extra)]
+        got = {r.doc_id: (r.taken, r.shards) for r in mixing.taken_words(plan).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert max(files) <= most and (most == 1 or files[0] > 1)
+
+
 # ---- substrings ---------------------------------------------------------------------------------------------
 
 
